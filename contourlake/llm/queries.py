@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, quality_rules, simhash, substring_dedup, token_output, url_filters
+from . import decontamination, language_id, line_dedup, lm_scoring, packing, quality_rules, simhash, substring_dedup, token_output, url_filters
 
 
 def tokenizer(name: str) -> str:
@@ -26,10 +26,22 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer("piece_bpe_32k.model"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer("byte_bpe_50k.json"))
 
@@ -49,7 +61,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
+    "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_decontamination": op6_decontamination,
     "op7_token_output": op7_token_output,
     "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
