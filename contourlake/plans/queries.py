@@ -1,4 +1,6 @@
-"""Queries and the SQL that must give the same rows."""
+"""All queries of the core library and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import metric_queries
+
+QUERIES = {**metric_queries.QUERIES}
+ORACLE_SQL = {**metric_queries.SQL}
