@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 
 TONES = ("H", "M", "L")
-IN_CLASS = F.col("target").isin(*TONES)
 
 
 def class_stats(tbu: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -14,17 +14,16 @@ AB_CATCH_SHARE, AB_TRIALS = 0.80, 24
 TONE_DEFAULT = 0.58
 
 
-def parse_answers(code: Column) -> Column:
-    """Map of item to label from `PILOT1;item01=ok;...`: parts without = are skipped, the last of equal items wins."""
+def answer_parts(code: Column) -> Column:
+    """Array of (item_id, label) from `PILOT1;item01=ok;...`: parts without = are skipped, items trimmed, labels trimmed and lowered."""
     parts = F.filter(F.split(code, ";"), lambda p: p.contains("="))
-    pairs = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.lower(F.trim(F.substr(p, F.locate("=", p) + 1))).alias("v")))
-    last = F.filter(pairs, lambda p, i: F.size(F.filter(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"])) == 0)
-    return F.map_from_entries(last)
+    return F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("item_id"), F.lower(F.trim(F.substr(p, F.locate("=", p) + 1))).alias("label")))
 
 
 def answer_rows(raters: DataFrame, rater: str = "rater", code: str = "code") -> DataFrame:
-    """rater, item_id, label."""
-    return raters.select(rater, F.explode(parse_answers(F.col(code))).alias("item_id", "label"))
+    """rater, item_id, label of compact codes; of an item's answers in one code the last counts."""
+    said = raters.select(rater, F.posexplode(answer_parts(F.col(code))).alias("pos", "p")).select(rater, "pos", "p.*")
+    return said.groupBy(rater, "item_id").agg(F.max_by("label", "pos").alias("label"))
 
 
 def judgement(label: Column) -> Column:
