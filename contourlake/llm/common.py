@@ -1,4 +1,4 @@
-"""What the training-data operators share: inputs, tables in the shared folder, bounded samples.
+"""What the training-data operators share: inputs, partition counts, folds.
 
 Inputs. ``prepared`` turns any table with an id and a text column into three
 columns of its own: ``id`` (long), ``tkey`` (a hash of the text) and ``body``
@@ -11,14 +11,14 @@ documents are counted, and rows that also share their text get the same result;
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contourlake.storage import Tables  # noqa: F401
+
 NULL_ID = -(1 << 63)
 
 
@@ -35,43 +35,6 @@ def restored(col: str = "id"):
     return F.when(F.col(col) != NULL_ID, F.col(col))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="contourlake-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-class Tables:
-    """Intermediate tables in the shared folder, so that a lost executor costs no recomputation from the start.
-
-    ``put`` writes a DataFrame and reads it back; ``drop`` deletes tables that
-    no later plan reads. Tables that the returned DataFrame still reads stay.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/contourlake/{name}-{uuid.uuid4().hex}"
-
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all bodies of prepared documents."""
     return docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0

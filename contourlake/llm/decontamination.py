@@ -231,8 +231,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out.withColumnRenamed("id", id_col)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs, whole, that hold no item."""
-    found = leaks(docs, benchmark, id_col, text_col, **how).select(F.col(id_col).alias("_hit")).distinct()
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    return whole.join(found, F.col(f"_row.`{id_col}`").cast("long").eqNullSafe(F.col("_hit")), "left_anti").select("_row.*")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, whole, that hold no item: a filter per block, without a shuffle."""
+    schema, names = docs.schema, docs.columns
+    spark = docs.sparkSession
+    out = docs
+
+    def scan(rows, block):
+        sent = spark.sparkContext.broadcast(build(*block, rate))
+        at = names.index(text_col)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = [normal(x) if x else "" for x in b.column(at).to_pylist()]
+                yield b.filter(pa.array([not found for found in held(sent.value, texts)], pa.bool_()))
+
+        return rows.mapInArrow(run, schema)
+
+    for block in blocks(benchmark, item_col, item_text_col, min_chars, block_chars):
+        out = scan(out, block)
+    return out

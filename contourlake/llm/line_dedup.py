@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, partitions, prepared, restored
+from .common import NULL_ID, Tables, partitions, prepared, restored
 
 ROW = "h1 long, h2 long, id long, tkey long, pos int, n_lines int"
 #: Rows that a task sends or holds at once.
@@ -200,7 +200,7 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = prepared(docs, id_col, text_col)
     bitmaps = tables_bitmaps(docs, rows, min_docs, min_chars)
     body = F.coalesce(F.col(spare)[text_col], F.lit("")).cast("binary")
-    keyed = whole.select(F.coalesce(F.col(spare)[id_col].cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(body).alias("tkey"), spare)
+    keyed = whole.select(F.coalesce(F.col(spare)[id_col].cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(body).alias("tkey"), spare)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, language_id, line_dedup, lm_scoring, packing, quality_rules, simhash, substring_dedup, token_output, url_filters
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer(name: str) -> str:
@@ -71,4 +72,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, prepared, restored
+from .common import NULL_ID, Tables, prepared, restored
 
 SEED = 42
 #: A doc's shingles are hashed and summed this many at a time.
@@ -56,14 +56,14 @@ def fingerprint(body: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of each prepared row."""
+    """id, tkey and fp (the fingerprint as a signed long) of each prepared row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(x, shingle) for x in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            fp = np.fromiter((fingerprint(x, shingle) for x in b.column(2).to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["id", "tkey", "fp"])
 
-    return docs.select("id", "body").mapInArrow(run, "id long, fp long")
+    return docs.select("id", "tkey", "body").mapInArrow(run, "id long, tkey long, fp long")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -160,23 +160,29 @@ def components(tables: Tables, edges: DataFrame, most_rounds: int = 100) -> Data
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """id_col, fp and component_id (the smallest id reachable over links of at most max_bits) of each row."""
-    tables = Tables(docs.sparkSession, "simhash")
-    fps = tables.put("fps", fingerprints(prepared(docs, id_col, text_col), shingle))
+def classes(tables: Tables, rows: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """id, tkey, fp, root (a fingerprint that names the component) and component (its smallest id) of each prepared row."""
+    fps = tables.put("fps", fingerprints(rows, shingle))
     reps = tables.put("reps", fps.groupBy("fp").agg(F.min("id").alias("rep")))
     edges = tables.put("edges", links(reps.select("fp"), max_bits))
     roots = components(tables, edges)
     rooted = tables.put("rooted", reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    labels = tables.put("labels", rooted.join(least, "root").select("fp", "component"))
-    return fps.join(labels, "fp").select(restored().alias(id_col), "fp", restored("component").alias("component_id"))
+    labels = tables.put("labels", rooted.join(least, "root").select("fp", "root", "component"))
+    return fps.join(labels, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """id_col, fp and component_id (the smallest id reachable over links of at most max_bits) of each row."""
+    found = classes(Tables(docs.sparkSession, "simhash"), prepared(docs, id_col, text_col), shingle, max_bits)
+    return found.select(restored().alias(id_col), "fp", restored("component").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of docs, whole, whose id is the smallest of its component; of rows that share that id, one."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    ids = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_rep")).distinct()
+    """One row of docs, whole, of each component: the one with the smallest id, then the smallest hash of its text."""
+    found = classes(Tables(docs.sparkSession, "simhash"), prepared(docs, id_col, text_col), shingle, max_bits)
+    first = found.groupBy("root").agg(F.min(F.struct("id", "tkey")).alias("_k")).select("_k.id", "_k.tkey")
+    body = F.coalesce(F.col("_row")[text_col], F.lit("")).cast("binary")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    kept = whole.join(ids, F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_rep")), "left_semi")
-    return kept.select("_row.*").dropDuplicates([id_col])
+    keyed = whole.select(F.coalesce(F.col("_row")[id_col].cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(body).alias("tkey"), "_row")
+    return keyed.join(first, ["id", "tkey"], "left_semi").dropDuplicates(["id", "tkey"]).select("_row.*")
