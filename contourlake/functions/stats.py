@@ -27,6 +27,16 @@ def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def clip(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
+    """x within the limits; greatest and least alone would make a limit of NULL."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
+
+
+def pearson(x: Column | str, y: Column | str) -> Column:
+    """Correlation as an aggregate; NULL without spread."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def rounded(x: Column, digits: int = 4) -> Column:
     return F.round(no_nan(x), digits)
 
@@ -65,11 +75,11 @@ def kappa(agree: Column, chance: Column) -> Column:
 
 
 def semitone(hz: Column, reference: float = 100.0) -> Column:
-    return F.lit(12.0) * F.log2(F.greatest(hz, F.lit(1e-6)) / F.lit(reference))
+    return F.when(hz.isNotNull(), F.lit(12.0) * F.log2(F.greatest(hz, F.lit(1e-6)) / F.lit(reference)))
 
 
 def len_ratio(dur: Column, text: Column, per_char: float = 0.157) -> Column:
-    return dur / F.greatest(F.lit(per_char) * F.length(text), F.lit(1e-6))
+    return F.when(text.isNotNull(), dur / F.greatest(F.lit(per_char) * F.length(text), F.lit(1e-6)))
 
 
 def expected_dur(text: Column, per_char: float = 0.157) -> Column:

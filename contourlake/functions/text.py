@@ -128,5 +128,5 @@ def fill_carrier(template: Column, word: Column) -> Column:
 
 def bad_tags(tags: Column, valid: list[str]) -> Column:
     """The tags, split at commas of either width, that are not valid."""
-    named = F.filter(F.transform(F.split(F.lower(tags), "[,\uff0c]"), F.trim), lambda x: x != "")
+    named = F.filter(F.transform(F.split(F.lower(tags), "[,\uff0c]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_except(named, F.array(*map(F.lit, valid)))

@@ -108,9 +108,8 @@ def reward(cfg: Reward = Reward()) -> tuple[Column, Column]:
         .when(F.coalesce(F.col("n_kinds"), F.lit(0)) < 2, "monotone")
         .otherwise("ok")
     )
-    clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    tone = clip((F.col("tone_acc") - cfg.tone_floor) / (1 - cfg.tone_floor))
-    voice = F.coalesce(cfg.ssim_weight * clip((F.col("ssim") - cfg.ssim_floor) / (1 - cfg.ssim_floor)), F.lit(0.0))
+    tone = S.clip((F.col("tone_acc") - cfg.tone_floor) / (1 - cfg.tone_floor))
+    voice = F.coalesce(cfg.ssim_weight * S.clip((F.col("ssim") - cfg.ssim_floor) / (1 - cfg.ssim_floor)), F.lit(0.0))
     return gate, F.when(gate == "ok", tone + voice).otherwise(0.0)
 
 

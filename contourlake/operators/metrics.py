@@ -59,8 +59,8 @@ def weighted_f1(tbu: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def pair_kappa(pairs: DataFrame, a: str, b: str, keys: Sequence[str] = (), classes: Sequence[str] = TONES) -> DataFrame:
     """Cohen's kappa of columns a and b. All pairs are in the denominator, also those outside the classes."""
     n = F.count("*").cast("double")
-    agree = F.sum(F.when((F.col(a) == F.col(b)) & F.col(a).isin(*classes), 1).otherwise(0)) / n
-    chance = sum((F.count_if(F.col(a) == c) / n * (F.count_if(F.col(b) == c) / n) for c in classes), F.lit(0.0))
+    agree = S.share(F.sum(F.when((F.col(a) == F.col(b)) & F.col(a).isin(*classes), 1).otherwise(0)), n)
+    chance = sum((S.share(F.count_if(F.col(a) == c), n) * S.share(F.count_if(F.col(b) == c), n) for c in classes), F.lit(0.0))
     out = pairs.groupBy(*keys).agg(F.count("*").alias("n"), agree.alias("agree"), chance.alias("chance"))
     return out.withColumn("kappa", F.when(F.col("n") > 0, S.kappa(F.col("agree"), F.col("chance")))).drop("agree", "chance")
 
@@ -116,14 +116,14 @@ def auroc(rows: DataFrame, score: str, label: str) -> DataFrame:
 
 def point_biserial(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Pearson's r of a score and a 0/1 label; NULL for fewer than two rows or no spread."""
-    x = rows.agg(F.count("*").alias("n"), F.stddev_pop(score).alias("sx"), F.stddev_pop(F.col(label).cast("double")).alias("sy"), F.corr(score, F.col(label).cast("double")).alias("r"))
+    x = rows.agg(F.count("*").alias("n"), F.stddev_pop(score).alias("sx"), F.stddev_pop(F.col(label).cast("double")).alias("sy"), S.pearson(F.col(score), F.col(label).cast("double")).alias("r"))
     return x.select("n", F.when((F.col("n") >= 2) & (F.col("sx") >= 1e-12) & (F.col("sy") >= 1e-12), F.col("r")).alias("r"))
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks."""
     both = average_ranks(average_ranks(rows.select(x, y), x, "_rx"), y, "_ry")
-    out = both.agg(F.count("*").alias("n"), F.stddev_pop("_rx").alias("sx"), F.stddev_pop("_ry").alias("sy"), F.corr("_rx", "_ry").alias("rho"))
+    out = both.agg(F.count("*").alias("n"), F.stddev_pop("_rx").alias("sx"), F.stddev_pop("_ry").alias("sy"), S.pearson("_rx", "_ry").alias("rho"))
     return out.select("n", F.when((F.col("n") >= 2) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("rho")).alias("rho"))
 
 

@@ -144,7 +144,7 @@ def trend_test(rows: DataFrame, x: str, y: str, n_perm: int, seed: int) -> DataF
     each = F.broadcast(ranked).crossJoin(reps)
     order = F.when(F.col("rep") < 0, F.col("k")).otherwise(S.hash_number(F.lit(seed), F.col("rep"), F.col("k")))
     mixed = each.select("rep", "rx", "k", F.row_number().over(Window.partitionBy("rep").orderBy(order, "k")).alias("place")).join(ranked.select((F.col("k") + 1).alias("place"), F.col("ry").alias("other")), "place")
-    rho = mixed.groupBy("rep").agg(F.when((F.stddev_pop("rx") > 0) & (F.stddev_pop("other") > 0), F.corr("rx", "other")).alias("rho"))
+    rho = mixed.groupBy("rep").agg(F.when((F.stddev_pop("rx") > 0) & (F.stddev_pop("other") > 0), S.pearson("rx", "other")).alias("rho"))
     own = F.max(F.when(F.col("rep") < 0, F.col("rho")))
     both = rho.crossJoin(F.broadcast(rho.where("rep < 0").select(F.col("rho").alias("own"))))
     out = both.agg(own.alias("rho"), F.count_if((F.col("rep") >= 0) & (F.col("rho") >= F.col("own") - 1e-12)).alias("ge"))

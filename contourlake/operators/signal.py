@@ -207,4 +207,4 @@ def cosine(a: Column, b: Column) -> Column:
 
 def ssim(a: Column, b: Column) -> Column:
     """Speaker similarity in [0, 1]."""
-    return (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(a, b))) + 1) / 2
+    return (S.clip(cosine(a, b), -1.0, 1.0) + 1) / 2

@@ -144,7 +144,7 @@ def dose_response(spark, d):
 
     a = metrics.population(T.tbu(spark, d), ["tbu_idx"]).select(F.col("tbu_idx").alias("factor"), F.col("balanced_acc").alias("t"))
     s = a.withColumn("nx", F.lead("t").over(Window.orderBy("factor")))  # a row per dose
-    return s.agg(F.count("*").alias("n"), F.bool_and(F.col("nx").isNull() | (F.col("nx") <= F.col("t") + 0.03)).alias("monotone"), F.round(F.corr(F.col("factor").cast("double"), "t"), 6).alias("r"))
+    return s.agg(F.count("*").alias("n"), F.bool_and(F.col("nx").isNull() | (F.col("nx") <= F.col("t") + 0.03)).alias("monotone"), F.round(S.pearson(F.col("factor").cast("double"), F.col("t")), 6).alias("r"))
 
 
 @query("hours", "SELECT o_orderpriority AS source, round(sum(o_totalprice) / 3600, 4) AS hours, count(DISTINCT o_custkey) AS speakers, count(*) AS clips FROM orders GROUP BY 1")

@@ -86,7 +86,7 @@ def holdout_drop(spark, d):
 FRAMES = "frames AS (SELECT user_id AS clip_id, round((epoch_us(ts) - 1704067200000000) / 3.6e9, 6) AS t, max(CASE WHEN value BETWEEN 65 AND 400 THEN value END) AS f0 FROM events GROUP BY 1, 2)"
 SPANS = "spans AS (SELECT clip_id, min(CASE WHEN f0 IS NOT NULL THEN t END) AS v0, max(CASE WHEN f0 IS NOT NULL THEN t END) AS v1, avg((f0 IS NOT NULL)::INT) AS voiced FROM frames GROUP BY 1)"
 WINS = "wins AS (SELECT clip_id, i::INT AS tbu_idx, substr('HMLHML', i::INT + 1, 1) AS target, v0 + i * ((v1 - v0) / 6) AS t0, v0 + (i + 1) * ((v1 - v0) / 6) AS t1 FROM spans, range(0, 6) r(i) WHERE v1 > v0)"
-UNITS = "meds AS (SELECT w.clip_id, w.tbu_idx, median(CASE WHEN t >= t0 + 0.5 * (t1 - t0) THEN f0 END) AS a, median(f0) AS b FROM wins w JOIN frames f ON f.clip_id = w.clip_id AND t >= t0 AND t < t1 WHERE f0 IS NOT NULL GROUP BY 1, 2), units AS (SELECT w.clip_id, w.tbu_idx, w.target, 12 * log2(greatest(coalesce(a, b), 1e-6) / 100) AS st, (t0 + t1) / 2 AS t_mid FROM wins w LEFT JOIN meds m USING (clip_id, tbu_idx))"
+UNITS = "meds AS (SELECT w.clip_id, w.tbu_idx, median(CASE WHEN t >= t0 + 0.5 * (t1 - t0) THEN f0 END) AS a, median(f0) AS b FROM wins w JOIN frames f ON f.clip_id = w.clip_id AND t >= t0 AND t < t1 WHERE f0 IS NOT NULL GROUP BY 1, 2), units AS (SELECT w.clip_id, w.tbu_idx, w.target, CASE WHEN coalesce(a, b) IS NOT NULL THEN 12 * log2(greatest(coalesce(a, b), 1e-6) / 100) END AS st, (t0 + t1) / 2 AS t_mid FROM wins w LEFT JOIN meds m USING (clip_id, tbu_idx))"
 CLAMP = "greatest(-2.0, least(0.0, coalesce({}, 0.0)))"
 SLOPES = f"live AS (SELECT * FROM units WHERE st IS NOT NULL), ps AS (SELECT a.clip_id, median((b.st - a.st) / (b.t_mid - a.t_mid)) AS m FROM live a JOIN live b ON a.clip_id = b.clip_id AND a.tbu_idx < b.tbu_idx WHERE abs(b.t_mid - a.t_mid) > 1e-9 GROUP BY 1), slopes AS (SELECT clip_id, CASE WHEN n < 3 THEN 0.0 ELSE {CLAMP.format('m')} END AS slope FROM (SELECT clip_id, count(*) AS n FROM live GROUP BY 1) LEFT JOIN ps USING (clip_id))"
 RES = "res AS (SELECT clip_id, tbu_idx, target, round(st - coalesce(slope, 0) * t_mid, 6) AS res FROM units LEFT JOIN slopes USING (clip_id))"
