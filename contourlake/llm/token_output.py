@@ -22,9 +22,13 @@ other in the order of their text's hash. An empty table gives no pages.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -37,66 +41,110 @@ from .common import Tables, partitions, prepared, restored, text_bytes
 
 PAGE_BYTES = 1 << 20
 PAGE = "run long, first long, doc_ids array<long>, n_tokens array<int>, ends array<int>, dict_hash string, frames binary"
-#: Cuts between a visible character and a space or a line feed before a visible character are cuts of the tokenizer, too. Texts with other white space or controls go to it whole.
-ODD = re.compile("  |\n\n| \n|\n |^[ \n]|[ \n]$|[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u2064\u3000\ufeff]")
+#: A space or a line feed between visible characters begins a stretch that the tokenizer, too, splits off. Texts with other white space or controls go to it whole.
+ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u2064\u3000\ufeff]")
+
+
+def odd(text: str) -> bool:
+    """Whether a text is empty, begins or ends with white space, has two white spaces in a row, or any but spaces and line feeds."""
+    return not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or ODD.search(text) is not None
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; what it gave for a stretch between cuts is remembered in two generations."""
+    """Serialized ids of texts by the tokenizers library.
+
+    What it gave for a stretch is remembered, in two generations, so that
+    frequent stretches stay and memory is bounded. A stretch is named by its
+    text without the space that begins it; one that begins with a line feed, or
+    the first of a text, has no such space.
+    """
 
-    most = 150_000
+    most = 300_000
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.bits = 16 if self.model.get_vocab_size() <= 1 << 16 else 32
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-
-    def library(self, texts: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
+        self.bpe = self.model.model
+        # How byte-level BPE shows bytes: those without a visible Latin-1 character as 256 and on, in order.
+        hidden = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+        self.shown = {b: 256 + k for k, b in enumerate(hidden)}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def serialized(self, ids: list[int]) -> bytes:
+        out = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [self.serialized(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and a word of Latin letters, which are one pre-token: straight from the library's BPE."""
+        as_bytes = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        return self.serialized([t.id for t in self.bpe.tokenize("Ġ" + as_bytes)])
 
     def _learn(self, parts: set[str]) -> None:
+        """Makes young know all parts."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        new = []
-        for p in parts - self.young.keys():
-            got = self.old.get(p)
-            if got is None:
+        young, old, new, ends = self.young, self.old, [], []
+        for p in parts - young.keys():
+            got = old.get(p)
+            if got is not None:
+                young[p] = got
+            elif p.isalpha() and (p.isascii() or max(p) < "ɐ"):
+                young[p] = self._word(p)
+            elif len(p) > 2 and p[-1] in ".," and p[-2].isascii() and p[-2].isalpha():  # the mark is a token of its own
+                ends.append(p)
+            else:
                 new.append(p)
+        stems = {x for p in ends for x in (p[:-1], "\x00" + p[-1])} - young.keys() - set(new)
+        for p in stems:
+            if p.isalpha() and (p.isascii() or max(p) < "ɐ"):
+                young[p] = self._word(p)
             else:
-                self.young[p] = got
+                new.append(p)
         for lo in range(0, len(new), 4096):
             some = new[lo : lo + 4096]
-            self.young.update(zip(some, self.library(some), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not ODD.search(t) and bool(t) for t in texts]
-        split = [re.findall(r"\n[^ \n]+|\n| ?[^ \n]+", t) if p else None for t, p in zip(texts, plain, strict=True)]
+            young.update(zip(some, self.library([p if p[0] == "\n" else p[1:] if p[0] == "\x00" else " " + p for p in some]), strict=True))
+        for p in ends:
+            young[p] = young[p[:-1]] + young["\x00" + p[-1]]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [None if odd(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        for s in split:
+            if s:
+                s[0] = "\x00" + s[0]  # the first has no space before it
         self._learn(set(chain.from_iterable(s for s in split if s)))
-        whole = iter(self.library([t for t, p in zip(texts, plain, strict=True) if not p]))
+        whole = iter(self.library([t for t, s in zip(texts, split, strict=True) if s is None]))
         at = self.young.__getitem__
-        return [np.fromiter(chain.from_iterable(map(at, s)) if s else next(whole), np.uint32) for s in split]
+        return [next(whole) if s is None else b"".join(map(at, s)) for s in split]
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process: what a task has learned helps the next."""
+    return Encoder(path)
 
 
 def train_dictionary(docs: DataFrame, path: str, size: int = 64 << 10, sample_docs: int = 2000, sample_bytes: int = 4096) -> bytes:
     """A dictionary from the ids of a bounded sample, the short documents with the smallest hash; empty if there is too little."""
-    short = docs.where(F.octet_length("body").between(1, sample_bytes)).select("id", "tkey", "body")
-    rows = short.orderBy(F.xxhash64("id", "tkey"), "id", "tkey").limit(sample_docs).collect()
-    encoder = Encoder(path)
-    samples = [serialized(ids, encoder.bits) for ids in encoder([bytes(r["body"]).decode() for r in rows])]
+    short = docs.where(F.octet_length("body").between(1, sample_bytes))
+    keys = short.select("id", "tkey").distinct().orderBy(F.xxhash64("id", "tkey"), "id", "tkey").limit(sample_docs)
+    rows = short.join(F.broadcast(keys), ["id", "tkey"], "left_semi").dropDuplicates(["id", "tkey"]).sort("id", "tkey").collect()  # sample_docs x sample_bytes at most
+    samples = encoder_of(path)([bytes(r["body"]).decode() for r in rows])
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples
         return b""
 
 
-def serialized(ids: np.ndarray, bits: int) -> bytes:
-    return ids.astype(f"<u{bits // 8}").tobytes()
-
-
 def codec(dictionary: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     return zstandard.ZstdCompressor(level=3, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
@@ -110,7 +158,8 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
     spark.createDataFrame([(digest, bytearray(dictionary))], "hash string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, (packer, _) = Encoder(path), codec(dictionary)
+        encoder, (packer, _) = encoder_of(path), codec(dictionary)
+        end = int(end_id).to_bytes(encoder.width, "little")
         state = {"run": None, "first": 0}
         ids, sizes, ends, frames, n = [], [], [], [], 0
 
@@ -123,14 +172,14 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
             return out
 
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
                 for i, got in zip(part.column(0).to_pylist(), encoder([x.decode() for x in part.column(1).to_pylist()]), strict=True):
                     state["run"] = i if state["run"] is None else state["run"]
-                    frame = packer.compress(serialized(np.append(got, np.uint32(end_id)), encoder.bits))
+                    frame = packer.compress(got + end)
                     n += len(frame)
                     ids.append(i)
-                    sizes.append(len(got) + 1)
+                    sizes.append(len(got) // encoder.width + 1)
                     ends.append(n)
                     frames.append(frame)
                     if n >= PAGE_BYTES:
@@ -144,7 +193,7 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
     ordered.mapInArrow(run, PAGE).write.option("compression", "uncompressed").parquet(f"{folder}/pages")
 
 
-def read(spark: SparkSession, folder: str, bits: int = 16) -> DataFrame:
+def read(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     """id, start (ids of all documents before it), n_tokens, ids_crc32 and the serialized ids of each document in folder."""
     pages = spark.read.schema(PAGE).parquet(f"{folder}/pages")
     held = {r["hash"]: bytes(r["dictionary"]) for r in spark.read.parquet(f"{folder}/dictionary").collect()}  # one row
@@ -158,7 +207,7 @@ def read(spark: SparkSession, folder: str, bits: int = 16) -> DataFrame:
                 _, unpacker = codec(held[x["dict_hash"]])
                 start, lo, out = x["base"] + x["first"], 0, []
                 for i, n, hi in zip(x["doc_ids"], x["n_tokens"], x["ends"], strict=True):
-                    ids = np.frombuffer(unpacker.decompress(x["frames"][lo:hi]), f"<u{bits // 8}").astype("<u4").tobytes()
+                    ids = np.frombuffer(unpacker.decompress(x["frames"][lo:hi]), f"<u{width}").astype("<u4").tobytes()
                     if len(ids) != 4 * n:
                         raise ValueError(f"document {i} has {len(ids) // 4} ids; its page says {n}")
                     out.append((i, start, n, zlib.crc32(ids), ids))
@@ -174,4 +223,4 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     folder = Tables(spark, "tokens").root
     write(docs, folder, path, id_col, text_col, end_id)
-    return read(spark, folder, Encoder(path).bits).select(restored().alias(id_col), "start", "n_tokens", "ids_crc32")
+    return read(spark, folder, encoder_of(path).width).select(restored().alias(id_col), "start", "n_tokens", "ids_crc32")
