@@ -158,4 +158,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = R
     """The rows of docs, whole, that fail neither the base nor a rule."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     m = measured(docs, F.coalesce(F.col(text_col), F.lit("")), [whole])
-    return m.where(~base_failed() & verdict(rules)).select("_row.*")
+    # A place number in the same projection keeps Catalyst from pushing the filter below it, where each
+    # measure would be computed anew wherever another one uses it.
+    judged = m.select("_row", (~base_failed() & verdict(rules)).alias("_kept"), F.monotonically_increasing_id().alias("_place"))
+    return judged.where(F.col("_kept") & (F.col("_place") >= 0)).select("_row.*")
