@@ -12,9 +12,13 @@ documents are counted, and rows that also share their text get the same result;
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from contourlake.storage import Tables  # noqa: F401
@@ -35,6 +39,40 @@ def restored(col: str = "id"):
     return F.when(F.col(col) != NULL_ID, F.col(col))
 
 
+def squeezed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, tkey, row (all columns, the text left out) and z (the text, compressed; null for null): rows that are cheap to shuffle."""
+    none = F.lit(None).cast(docs.schema[text_col].dataType)
+    row = F.struct(*(none.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    text = F.col(f"`{text_col}`").cast("binary")
+    keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce(text, F.lit("").cast("binary"))).alias("tkey"), row.alias("row"), text.alias("z"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            z = [None if x is None else packer.compress(x) for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(z, pa.binary())], ["id", "tkey", "row", "z"])
+
+    kinds = [("id", T.LongType()), ("tkey", T.LongType()), ("row", keyed.schema["row"].dataType), ("z", T.BinaryType())]
+    return keyed.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in kinds]))
+
+
+def restored_rows(squeezed_rows: DataFrame, schema: T.StructType, text_col: str, change: Callable[[bytes, object], bytes] | None = None, by: str | None = None) -> DataFrame:
+    """The rows as they were before ``squeezed``, with change(text, value of by) as their text where it is not null."""
+    at = schema.fieldNames().index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+        for b in batches:
+            texts = [None if x is None else unpacker.decompress(x) for x in b.column(1).to_pylist()]
+            if change is not None:
+                texts = [None if x is None else change(x, y) for x, y in zip(texts, b.column(2).to_pylist(), strict=True)]
+            parts = b.column(0).flatten()
+            parts[at] = pa.array([None if x is None else x.decode() for x in texts], pa.string())
+            yield pa.RecordBatch.from_arrays(parts, schema.fieldNames())
+
+    return squeezed_rows.select("row", "z", *([by] if by else [])).mapInArrow(run, schema)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all bodies of prepared documents."""
     return docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Tables, partitions, prepared, restored
+from .common import Tables, partitions, prepared, restored, restored_rows, squeezed
 
 ROW = "h1 long, h2 long, id long, tkey long, pos int, n_lines int"
 #: Rows that a task sends or holds at once.
@@ -195,20 +195,6 @@ def tables_bitmaps(docs: DataFrame, rows: DataFrame, min_docs: int, min_chars: i
 
 def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with the kept lines in text_col (null stays null); all other columns as they are."""
-    spare = "__line_" + "_".join(docs.columns)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(spare))
-    rows = prepared(docs, id_col, text_col)
-    bitmaps = tables_bitmaps(docs, rows, min_docs, min_chars)
-    body = F.coalesce(F.col(spare)[text_col], F.lit("")).cast("binary")
-    keyed = whole.select(F.coalesce(F.col(spare)[id_col].cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(body).alias("tkey"), spare)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [None if x is None else x if y is None else kept_text(x.encode(), y)[0].decode() for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            old = b.column(0)
-            fields = [old.type.field(i) for i in range(old.type.num_fields)]
-            parts = [pa.array(got, pa.string()) if f.name == text_col else old.field(i) for i, f in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays(parts, [f.name for f in fields])
-
-    joined = keyed.join(bitmaps.select("id", "tkey", "bitmap"), ["id", "tkey"], "left")
-    return joined.select(spare, F.col(spare)[text_col].alias("t"), "bitmap").mapInArrow(run, docs.schema)
+    bitmaps = tables_bitmaps(docs, prepared(docs, id_col, text_col), min_docs, min_chars)
+    joined = squeezed(docs, id_col, text_col).join(bitmaps.select("id", "tkey", "bitmap"), ["id", "tkey"], "left")
+    return restored_rows(joined, docs.schema, text_col, lambda text, bitmap: kept_text(text, bitmap)[0], "bitmap")

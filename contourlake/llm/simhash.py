@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Tables, prepared, restored
+from .common import Tables, prepared, restored, restored_rows, squeezed
 
 SEED = 42
 #: A doc's shingles are hashed and summed this many at a time.
@@ -182,7 +182,5 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of docs, whole, of each component: the one with the smallest id, then the smallest hash of its text."""
     found = classes(Tables(docs.sparkSession, "simhash"), prepared(docs, id_col, text_col), shingle, max_bits)
     first = found.groupBy("root").agg(F.min(F.struct("id", "tkey")).alias("_k")).select("_k.id", "_k.tkey")
-    body = F.coalesce(F.col("_row")[text_col], F.lit("")).cast("binary")
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    keyed = whole.select(F.coalesce(F.col("_row")[id_col].cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(body).alias("tkey"), "_row")
-    return keyed.join(first, ["id", "tkey"], "left_semi").dropDuplicates(["id", "tkey"]).select("_row.*")
+    kept = squeezed(docs, id_col, text_col).join(first, ["id", "tkey"], "left_semi").dropDuplicates(["id", "tkey"])
+    return restored_rows(kept, docs.schema, text_col)
