@@ -7,8 +7,8 @@ probabilities are fitted by expectation-maximisation, whose expected counts
 come from the same forward pass and its mirror.
 
 Fitting takes a bounded sample of the labelled rows: per language
-``sample_docs`` documents of at most ``sample_bytes`` bytes, those with the
-smallest hash of the id. The model is a matrix of vocabulary size times
+at most ``sample_docs`` documents of at most ``sample_bytes`` bytes, picked by a
+hash of the id. The model is a matrix of vocabulary size times
 languages, a bound known before the data, and is broadcast. Predictions read
 the text alone, of every row, whole. Words are scored once per batch, all
 languages together, grouped by length; a word of over ``LONG`` characters is
@@ -180,7 +180,10 @@ def train(docs: DataFrame, path: str, id_col: str, text_col: str, lang_col: str,
     if not shares:
         return None
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    small = rows.where(F.octet_length("text") <= sample_bytes).select("lang", "id")
+    # Hashes thin the rows out to about twice the sample before any language's rows meet for ranking.
+    share = F.create_map(*(F.lit(x) for lang, n in shares.items() for x in (lang, min(1.0, 2.0 * sample_docs / n))))
+    thin = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= F.element_at(share, F.col("lang")) * F.lit(float(1 << 30))
+    small = rows.where((F.octet_length("text") <= sample_bytes) & thin).select("lang", "id")
     ids = small.withColumn("k", rank).where(F.col("k") <= sample_docs).select("id").distinct()
     sample = rows.where(F.octet_length("text") <= sample_bytes).join(F.broadcast(ids), "id", "left_semi")  # sample_docs a language
 
