@@ -1,7 +1,7 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 Each byte is eight binary decisions; each decision, in each context of up to
-four bytes, keeps counts of zeros and ones and a Krichevsky-Trofimov estimate.
+five bytes, keeps counts of zeros and ones and a Krichevsky-Trofimov estimate.
 A context's weighted probability is half its own estimate's and half the
 product of its longer contexts', from the deepest up; what share its own
 estimate has earned is its weight in prediction. A text's score mixes the
@@ -14,8 +14,9 @@ of the word or by the two bytes before the predicted one (so all contexts of at
 least that depth meet in one shard; the 65,535 nodes above them are broadcast).
 No model is gathered whole anywhere:
 
-1. Each task counts words and five-byte runs of its training rows and sends
-   one compressed pack of keys and counts per shard; shards merge them.
+1. Each task counts words and six-byte runs of its training rows and sends
+   one compressed pack of keys and counts per shard; shards merge them, at most
+   ``MERGED_AT_ONCE`` in a task.
 2. Documents are dealt into blocks of about ``block_bytes`` by a hash of the id
    and the text. A block asks each shard, in one pack, for its distinct words
    and runs; the shards answer with counts and log probabilities.
@@ -42,15 +43,18 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, Tables, crc_fold, prepared, restored, text_bytes
 
-DEPTH = 4
+DEPTH = 5
 END = 0xFF  # in no UTF-8 text: ends a text and fills the context before it
 BLOCK_BYTES = 12 << 20
 BLOCKS_AT_ONCE = 1024
+#: Packs of a shard that are merged at once.
+MERGED_AT_ONCE = 1024
 #: Bytes whose runs are counted at once.
 SLICE = 1 << 21
 HALF = math.log(0.5)
@@ -220,16 +224,15 @@ def _count_task(packs: Packs):
             keys, values = summed(*(np.concatenate([x[k] for x in found]) for k in (0, 1)))
             rows = [(s, Packs.words_out(ws), Packs.values_out(np.array([words[w] for w in ws], np.int64))) for s, ws in packs.by_word(words).items()]
             rows += [(s, Packs.runs_out(keys[at]), Packs.values_out(values[at].astype(np.int64))) for s, at in packs.by_run(keys)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["shard", "keys", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([task] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["shard", "part", "keys", "counts"])
 
-        words, found, n = Counter(), [], 0
+        words, found, task = Counter(), [], TaskContext.get().partitionId()
         for b in batches:
             for part in chunks(b.column(0).to_pylist()):
                 part = [x.lower() for x in part]
                 for x in part:
                     words.update(x.split())
                 words[b""] += len(part)
-                n += sum(map(len, part))
                 found.append(counted(runs(part)[0]))
                 if len(found) == 16:
                     found = [summed(*(np.concatenate([x[k] for x in found]) for k in (0, 1)))]
@@ -243,10 +246,10 @@ def _count_task(packs: Packs):
 
 
 def _merge(packs: Packs):
-    """One pack of each shard's keys and counts."""
+    """One pack of the keys and counts of a group of a shard's packs."""
 
     def run(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
+        shard, part = (group.column(c)[0].as_py() for c in ("shard", "part"))
         keys, counts = group.column("keys").to_pylist(), [Packs.values_in(x) for x in group.column("counts").to_pylist()]
         if shard < packs.words:
             merged: Counter = Counter()
@@ -258,7 +261,7 @@ def _merge(packs: Packs):
         else:
             k, n = summed(np.concatenate([Packs.runs_in(x) for x in keys]), np.concatenate(counts))
             out = Packs.runs_out(k), n
-        return pa.table({"shard": pa.array([shard], pa.int32()), "keys": pa.array([out[0]], pa.binary()), "counts": pa.array([Packs.values_out(out[1])], pa.binary()), "total": [int(out[1].sum())], "distinct": [len(out[1])]})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "part": [part], "keys": pa.array([out[0]], pa.binary()), "counts": pa.array([Packs.values_out(out[1])], pa.binary()), "total": [int(out[1].sum())], "distinct": [len(out[1])]})
 
     return run
 
@@ -351,8 +354,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     blocks = max(1, -(-text_bytes(rows) // block_bytes))
     packs = Packs(max(16, blocks), run_shards)
     learned = rows.where((F.col("id") != NULL_ID) & (crc_fold("id") != 1)).select("body")
-    counted_ = learned.mapInArrow(_count_task(packs), "shard int, keys binary, counts binary")
-    counts = tables.put("counts", counted_.groupBy("shard").applyInArrow(_merge(packs), "shard int, keys binary, counts binary, total long, distinct long"))
+    sent = learned.mapInArrow(_count_task(packs), "shard int, part long, keys binary, counts binary")
+    merged, tasks = "shard int, part long, keys binary, counts binary, total long, distinct long", 4 * blocks  # tasks: of three MB or more
+    while tasks > MERGED_AT_ONCE:  # packs of neighbouring tasks meet first, so that no shard's packs are too many for a task
+        sent = sent.withColumn("part", F.floor(F.col("part") / MERGED_AT_ONCE)).groupBy("shard", "part").applyInArrow(_merge(packs), merged)
+        tasks = -(-tasks // MERGED_AT_ONCE)
+    counts = tables.put("counts", sent.groupBy("shard").applyInArrow(_merge(packs), merged))
     size = counts.where(F.col("shard") < packs.words).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tops = counts.where(F.col("shard") >= packs.words).select("keys", "counts").mapInArrow(_tops, "last int, node int, zeros long, ones long, weighted double")
     tops = tops.groupBy("last", "node").agg(*(F.sum(c) for c in ("zeros", "ones", "weighted"))).collect()  # at most 256 x 255 rows

@@ -204,19 +204,20 @@ def test_held_out_languages(spark):
     assert out.where("lang = lang_pred").count() >= 0.97 * out.count()
 
 
-def test_lm_scoring(docs, rows, empty):
+def test_lm_scoring(docs, rows, empty, monkeypatch):
     train = [r for r in rows if r[0] is not None and common.crc_fold_of(r[0]) != 1]
     c, tree = Counter(), defaultdict(lambda: [0, 0])
     for r in train:
         c.update(text(r[1]).lower().split())
         c[b""] += 1
     n, v = sum(c.values()), len(c)
-    path = lambda t: (b"\xff" * 4 + text(t).lower() + b"\xff")
+    deep = lm_scoring.DEPTH
+    path = lambda t: (b"\xff" * deep + text(t).lower() + b"\xff")
 
     def steps(b):
-        for t in range(4, len(b)):
+        for t in range(deep, len(b)):
             for k in range(8):
-                yield [(b[t - d : t], (1 << k) | (b[t] >> (8 - k))) for d in range(5)], b[t] >> (7 - k) & 1
+                yield [(b[t - d : t], (1 << k) | (b[t] >> (8 - k))) for d in range(deep + 1)], b[t] >> (7 - k) & 1
 
     for r in train:
         for nodes, bit in steps(path(r[1])):
@@ -226,8 +227,8 @@ def test_lm_scoring(docs, rows, empty):
     for s, j in sorted(tree, key=lambda x: -len(x[0])):
         z, o = tree[s, j]
         own = math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1)
-        mixed = own if len(s) == 4 else np.logaddexp(own, below[s, j]) + math.log(0.5)
-        weight[s, j] = 1.0 if len(s) == 4 else math.exp(own + math.log(0.5) - mixed)
+        mixed = own if len(s) == deep else np.logaddexp(own, below[s, j]) + math.log(0.5)
+        weight[s, j] = 1.0 if len(s) == deep else math.exp(own + math.log(0.5) - mixed)
         if s:
             below[s[1:], j] += mixed
 
@@ -253,6 +254,9 @@ def test_lm_scoring(docs, rows, empty):
     for k in want:
         assert np.allclose(sorted(want[k]), sorted(have[k]), rtol=1e-6)
     assert lm_scoring.score(empty).count() == 0
+    monkeypatch.setattr(lm_scoring, "MERGED_AT_ONCE", 2)
+    again = {(r["doc_id"], r["n_known"], round(r["score"], 3)) for r in lm_scoring.score(docs, block_bytes=20_000, run_shards=3).collect()}
+    assert again == {(k[0], k[3], round(s, 3)) for k, v in have.items() for _, s in v}
 
 
 def edits(item, t):
