@@ -1,0 +1,245 @@
+"""Near copies by word shingles: an exact Jaccard check on every pair that shares one of its least shingles.
+
+A document is the set of XXH64 hashes (seed 42) of its five-word shingles. Two
+documents are linked if the Jaccard similarity of their sets is 0.8 or more,
+and one document of each component of links is kept.
+
+A pair is looked at if it shares one of the 16 least hashes of either set. For a
+pair at 0.8, each of the 16 least hashes of the union is shared with
+probability 0.8 and, if so, is among the 16 least of both: a pair is missed
+with probability 0.2 ** 16 = 7e-12 at most, as rare as a clash of hashes. A
+sketch of the 48 least hashes then turns away pairs that share under 20 of the
+48 least of their union; a pair at 0.8 does so with probability 1e-9. The
+sketches only turn away; each link is checked on the texts.
+
+What keeps it in bounds:
+
+* Only distinct sets are compared: a group of exact copies is one entry.
+* Rows whose hash nobody else has leave in a semi-join before any Python.
+* Entries of a hash are grown from pivots: n - 1 edges, not pairs. A hash with
+  many entries is cut over range partitions, whose pivots are linked after.
+* Where an edge fails the check or a hash was cut, the pairs of that hash are
+  listed, without those in one component already. That is the only list of pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Tables, prepared, restored_rows, squeezed
+from .simhash import SEED, SLICE, components
+
+SHINGLE = 5
+#: The least similarity of a link, as a fraction.
+NUM, DEN = 4, 5
+KEYS, SKETCH, LEAST_SHARED = 16, 48, 20
+PAD = np.uint64((1 << 64) - 1)
+
+
+def shingle_set(body: bytes) -> np.ndarray:
+    """Sorted hashes of the ASCII-lowered words' shingles; fewer words: the whole sequence; none: nothing."""
+    words = body.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    parts = []
+    for at in range(0, len(words) - SHINGLE + 1, SLICE):
+        part = words[at : at + SLICE + SHINGLE - 1]
+        grams = map(b" ".join, zip(*(part[i:] for i in range(SHINGLE)), strict=False))
+        parts.append(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
+    return np.unique(np.concatenate(parts))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets is 0.8 or more; empty sets are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return DEN * both >= NUM * (len(a) + len(b) - both)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """id, tkey, skey (a hash of the set), n (its size) and least (its least hashes) of each prepared row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(x) for x in b.column(2).to_pylist()]
+            skey = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
+            least = pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(skey.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), least], ["id", "tkey", "skey", "n", "least"])
+
+    return docs.select("id", "tkey", "body").mapInArrow(run, "id long, tkey long, skey long, n long, least array<long>")
+
+
+def _hopeful(m: np.ndarray, n: np.ndarray, at: int, others: np.ndarray) -> np.ndarray:
+    """Which of the others may be similar to the row at: by size, and by the least hashes of the two sets' union."""
+    fit = DEN * np.minimum(n[others], n[at]) >= NUM * np.maximum(n[others], n[at])
+    rows, out = others[fit], np.zeros(len(others), bool)
+    if not len(rows):
+        return out
+    a, x = m[at][: min(int(n[at]), SKETCH)], m[rows]
+    live = np.arange(SKETCH) < np.minimum(n[rows], SKETCH)[:, None]
+    place = np.searchsorted(a, x)
+    shared = live & (a[np.minimum(place, len(a) - 1)] == x)
+    rank = np.arange(SKETCH) + place - (np.cumsum(shared, axis=1) - shared)
+    common = (shared & (rank < SKETCH)).sum(axis=1)
+    union = len(a) + live.sum(axis=1) - shared.sum(axis=1)
+    out[fit] = np.where(union < SKETCH, DEN * common >= NUM * union, common >= LEAST_SHARED)
+    return out
+
+
+def _grown(m: np.ndarray, n: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges that connect what may be similar, without a cycle, and the first row of each component."""
+    edges, pivots, left = [], [], np.arange(len(n))
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        pivots.append(front[0])
+        while front and len(left):
+            at = front.pop()
+            near = _hopeful(m, n, at, left)
+            edges += [(at, int(x)) for x in left[near]]
+            front += [int(x) for x in left[near]]
+            left = left[~near]
+    return edges, pivots
+
+
+def _listed(m: np.ndarray, n: np.ndarray, comp: np.ndarray, token: int) -> list[tuple[int, int]]:
+    """All pairs of different comp that may be similar, each at its first common key."""
+    out, keys = [], m[:, :KEYS]
+    for at in range(len(n) - 1):
+        others = np.arange(at + 1, len(n))
+        others = others[comp[others] != comp[at]]
+        for x in others[_hopeful(m, n, at, others)] if len(others) else ():
+            if np.intersect1d(keys[at][: n[at]], keys[x][: n[x]])[0] == token:
+                out.append((at, int(x)))
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """token, skey, comp, n and the matrix of least hashes of each run of rows (token, skey, comp, n, least) with one token."""
+    held, last = [], None
+
+    def made():
+        m = np.full((len(held), SKETCH), PAD, np.uint64)
+        for i, r in enumerate(held):
+            m[i, : len(r[4])] = np.array(r[4], np.int64).view(np.uint64)
+        return last, *(np.array([r[k] for r in held], np.int64) for k in (1, 2, 3)), m
+
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if r[0] != last and held:
+                yield made()
+                held = []
+            last = r[0]
+            held.append(r)
+    if held:
+        yield made()
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a and b of each edge; then token, a, n and least of the pivots of the partition's first and last token, which may go on elsewhere."""
+    names = ["token", "a", "b", "n", "least"]
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+    rows: list[tuple] = []
+    first, last = True, []
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names)
+
+    for token, skey, _, n, m in _groups(batches):
+        edges, pivots = _grown(m, n)
+        rows += [(None, int(skey[x]), int(skey[y]), None, None) for x, y in edges]
+        ends = [(token, int(skey[p]), None, int(n[p]), m[p][: n[p]].view(np.int64)) for p in pivots]
+        rows += ends if first else []
+        first, last = False, [] if first else ends
+        if len(rows) > 10000:
+            yield batch()
+            rows = []
+    rows += last
+    yield batch()
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for token, skey, comp, n, m in _groups(batches):
+        found = _listed(m, n, comp, np.int64(token).view(np.uint64))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(skey[[p[i] for p in found]]) for i in (0, 1)], ["a", "b"])
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """id, tkey and the body, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([packer.compress(x) for x in b.column(2).to_pylist()], pa.binary())], ["id", "tkey", "z"])
+
+    return docs.select("id", "tkey", "body").mapInArrow(run, "id long, tkey long, z binary")
+
+
+def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b and whether their sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+        name, had = None, None  # a pivot's pairs come together
+        for b in batches:
+            said = []
+            for a, x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if a != name:
+                    name, had = a, shingle_set(unpacker.decompress(x))
+                said.append(similar(had, shingle_set(unpacker.decompress(y))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.bool_())], ["a", "b", "ok"])
+
+    za, zb = texts.select(F.col("skey").alias("a"), F.col("z").alias("za")), texts.select(F.col("skey").alias("b"), F.col("z").alias("zb"))
+    return pairs.join(zb, "b").join(za, "a").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long, ok boolean")
+
+
+def classes(tables: Tables, rows: DataFrame) -> DataFrame:
+    """id, tkey and root (a set's hash that names the component) of each prepared row."""
+    made = tables.put("sketches", sketches(rows))
+    sets = made.groupBy("skey").agg(F.min("n").alias("n"), F.min("least").alias("least"), F.min(F.struct("id", "tkey")).alias("at"))
+    sets = tables.put("sets", sets.select("skey", "n", "least", "at.id", "at.tkey"))
+    keyed = sets.select(F.explode(F.slice("least", 1, KEYS)).alias("token"), "skey", F.col("skey").alias("comp"), "n", "least")
+    shared = sets.select(F.explode(F.slice("least", 1, KEYS)).alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    met = tables.put("met", keyed.join(shared, "token", "left_semi"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = "token long, a long, b long, n long, least array<long>"
+    cut = tables.put("cut", met.repartitionByRange(parts, "token", "skey").sortWithinPartitions("token", "skey").mapInArrow(_edges, kind))
+    ends = cut.where("b IS NULL").select("token", F.col("a").alias("skey"), F.col("a").alias("comp"), "n", "least")
+    over = ends.repartition("token").sortWithinPartitions("token", "skey").mapInArrow(_edges, kind)
+    ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    edges = tables.put("edges", ordered(cut.unionByName(over).where("b IS NOT NULL")))
+    cuts = tables.put("cuts", ends.select("token").distinct())
+    named = edges.select(F.explode(F.array("a", "b")).alias("skey")).unionByName(met.join(cuts, "token", "left_semi").select("skey")).distinct()
+    where = sets.join(named, "skey", "left_semi").select("id", "tkey", "skey")
+    texts = tables.put("texts", _packed(rows).join(where, ["id", "tkey"]).dropDuplicates(["skey"]).select("skey", "z"))
+    checked = tables.put("checked", _checked(edges, texts))
+    links = checked.where("ok").select("a", "b")
+    roots = components(tables, links)
+    failed = checked.where("NOT ok").select(F.explode(F.array("a", "b")).alias("skey")).distinct()
+    left = met.drop("comp").join(roots.select(F.col("node").alias("skey"), "root"), "skey", "left").select("token", "skey", F.coalesce("root", "skey").alias("comp"), "n", "least")
+    doubted = left.join(failed, "skey", "left_semi").select("token").unionByName(cuts).distinct()
+    several = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").join(doubted, "token", "left_semi")
+    doubts = tables.put("doubts", left.join(several, "token", "left_semi"))  # written, since after a join on token the repartition would be left out and the join may be dealt anew
+    listed = doubts.repartition("token").sortWithinPartitions("token", "skey").mapInArrow(_pairs, "a long, b long")
+    pairs = tables.put("pairs", ordered(listed).join(edges, ["a", "b"], "left_anti"))
+    more = tables.put("more", _checked(pairs, texts).where("ok").select("a", "b"))
+    if more.head(1):
+        roots = components(Tables(rows.sparkSession, "near_copies"), links.unionByName(more))
+    return made.select("id", "tkey", "skey").join(roots, made.skey == roots.node, "left").select("id", "tkey", F.coalesce("root", "skey").alias("root"))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, whole, of each component: the one with the smallest id, then the smallest hash of its text."""
+    found = classes(Tables(docs.sparkSession, "near_copies"), prepared(docs, id_col, text_col))
+    first = found.groupBy("root").agg(F.min(F.struct("id", "tkey")).alias("_k")).select("_k.id", "_k.tkey")
+    kept = squeezed(docs, id_col, text_col).join(first, ["id", "tkey"], "left_semi").dropDuplicates(["id", "tkey"])
+    return restored_rows(kept, docs.schema, text_col)

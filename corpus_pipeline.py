@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contourlake.llm import decontamination, line_dedup, packing, quality_rules, simhash
+from contourlake.llm import decontamination, line_dedup, near_copies, packing, quality_rules
 from contourlake.llm.common import Tables
 
 
@@ -17,7 +17,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_representatives(docs)
+    return near_copies.keep_representatives(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

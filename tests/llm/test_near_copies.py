@@ -1,0 +1,77 @@
+import random
+from collections import Counter
+
+import corpus_pipeline
+import numpy as np
+
+from contourlake.llm import near_copies
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def texts():
+    """Families of copies with few and with many edits, chains, short texts, a passage that many share, and no text."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(900)}"
+    out = ["", None, " \n", "one two", "One  two", "one three", "a b c d e", "a b c d e f"]
+    for size in (30, 60, 200, 500):
+        for _ in range(6):
+            base = [word() for _ in range(size)]
+            out += [" ".join(edited(rng, base, k)) for k in (0, 0, 1, 2, size // 60, size // 45, size // 30, size // 12)]
+    chain = [word() for _ in range(300)]
+    for _ in range(12):
+        chain = edited(rng, chain, 4)
+        out.append(" ".join(chain))
+    passage = [word() for _ in range(60)]
+    return out + [" ".join([word() for _ in range(40)] + passage) for _ in range(20)]
+
+
+def wanted(rows):
+    grams = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        grams.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
+                root[find(i)] = find(j)
+    return Counter(min(rows[j][0] for j in range(len(rows)) if find(j) == i) for i in range(len(rows)) if find(i) == i)
+
+
+def test_pipeline_keeps_no_near_copies(spark):
+    rows = list(enumerate(texts()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = wanted(rows)
+    for parts in ("4", "16"):  # with more partitions, more groups are cut
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            kept = corpus_pipeline.near_duplicates(spark, docs, "")
+            assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert 100 < len(want) < len(rows) - 50
+
+
+def test_sketches_turn_away_no_similar_pair():
+    rng = random.Random(4)
+    for size in (5, 20, 50, 300):
+        for _ in range(40):
+            base = [f"w{rng.randrange(900)}" for _ in range(size)]
+            a, b = (near_copies.shingle_set(" ".join(x).encode()) for x in (base, edited(rng, base, rng.randrange(1 + size // 15))))
+            m = np.full((2, near_copies.SKETCH), near_copies.PAD, np.uint64)
+            for i, s in enumerate((a, b)):
+                m[i, : min(len(s), near_copies.SKETCH)] = s[: near_copies.SKETCH]
+            hopeful = near_copies._hopeful(m, np.array([len(a), len(b)]), 0, np.array([1]))[0]
+            assert hopeful or not near_copies.similar(a, b)
