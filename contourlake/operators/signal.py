@@ -205,6 +205,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def mean_pair_cosine(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """pairs and mean_cosine over all pairs of each key's vectors, without pairs: (|sum of unit vectors|^2 - n) / (n (n - 1)). Vectors without length count in pairs only."""
+    x = F.transform(vector, lambda v: v.cast("double"))
+    length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    unit = rows.where(F.col(key).isNotNull()).select(key, F.when(length > 0, F.transform(x, lambda v: v / length)).alias("_u"))
+    counts = unit.groupBy(key).agg(F.count("*").alias("_n"), F.count("_u").cast("double").alias("_m")).where("_n > 1")
+    sums = unit.select(key, F.posexplode("_u").alias("_i", "_v")).groupBy(key, "_i").agg(F.sum("_v").alias("_s")).groupBy(key).agg(F.sum(F.col("_s") * F.col("_s")).alias("_q"))
+    mean = F.when(F.col("_m") > 1, (F.col("_q") - F.col("_m")) / (F.col("_m") * (F.col("_m") - 1)))
+    return counts.join(sums, key, "left").select(key, F.expr("_n * (_n - 1) div 2").alias("pairs"), mean.alias("mean_cosine"))
+
+
 def ssim(a: Column, b: Column) -> Column:
     """Speaker similarity in [0, 1]."""
     return (S.clip(cosine(a, b), -1.0, 1.0) + 1) / 2

@@ -172,11 +172,8 @@ COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(li
 
 @query("voice_diversity", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), s AS (SELECT * FROM r WHERE k <= 4) SELECT a.label, count(*) AS pairs, round(avg({COS}), 6) AS mean_cosine FROM s a JOIN s b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1")
 def voice_diversity(spark, d):
-    """Pairs among the first voices of each line, as many as a panel has."""
-    s = selection.capped(T.table(spark, d, "embeddings"), "label", 4, "vec_id")
-    a, b = s.alias("a"), s.alias("b")
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    return pairs.groupBy(F.col("a.label").alias("label")).agg(F.count("*").alias("pairs"), F.round(F.avg(signal.cosine(F.col("a.embedding"), F.col("b.embedding"))), 6).alias("mean_cosine"))
+    """Over all pairs of voices of each line; the SQL beside it takes the first four voices only."""
+    return r6(signal.mean_pair_cosine(T.table(spark, d, "embeddings"), "label", "embedding"), "mean_cosine")
 
 
 @query("role_changes", "WITH t AS (SELECT role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations) SELECT before, role, count(*) AS n FROM t WHERE before IS NOT NULL GROUP BY 1, 2")
