@@ -85,9 +85,8 @@ def replicates(rows: DataFrame, n_rep: int, seed: int) -> DataFrame:
     point = rows.agg(*sums).withColumn("rep", F.lit(-1).cast("long"))
     if not n or not n_rep:
         return point
-    drawn = draws(rows.sparkSession, n_rep, n, seed).groupBy("rep", "k").agg(F.count("*").alias("_w"))
-    weighted = drawn.join(rows, "k").select("rep", *((F.col(c) * F.col("_w")).alias(c) for c in names))
-    return weighted.groupBy("rep").agg(*sums).unionByName(point)
+    drawn = draws(rows.sparkSession, n_rep, n, seed)
+    return drawn.join(rows, "k").groupBy("rep").agg(*sums).unionByName(point)
 
 
 def index_quantile(values: DataFrame, value: str, q: float, clamp: bool = True, keys: Sequence[str] = ()) -> DataFrame:

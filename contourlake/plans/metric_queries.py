@@ -14,6 +14,8 @@ TBU = f"tbu AS (SELECT l_orderkey AS clip_id, {PLACE} AS tbu_idx, {TONE} AS targ
 TBU2 = f"tbu2 AS (SELECT l_orderkey AS clip_id, {PLACE} AS tbu_idx, {TONE} AS target, CASE WHEN l_tax = 0 THEN NULL WHEN l_tax > 0.055 THEN 'H' WHEN l_tax <= 0.025 THEN 'L' ELSE 'M' END AS pred FROM lineitem)"
 STATS = "cs AS (SELECT target, count(*) AS support, count(pred) AS covered, sum(CASE WHEN pred = target THEN 1 ELSE 0 END) AS correct FROM tbu GROUP BY target)"
 N_REP, SEED = 40, 7
+#: What the queries draw; N_REP and three seeds are only what the SQL draws.
+N_BOOT, FLOOR_SEEDS, N_PERM = 1000, 25, 2000
 HASH = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 CELLS = ", ".join(f"sum(CASE WHEN target = '{t}' AND pred = '{p}' THEN 1 ELSE 0 END) AS c_{t}{p}" for t in "HML" for p in "HML")
 SUMS = ", ".join(f"sum(c_{t}{p}) AS c_{t}{p}" for t in "HML" for p in "HML")
@@ -216,22 +218,22 @@ def boot_sql(stat, lo, hi=None):
 
 @query("bootstrap_lcb", boot_sql(sql_balanced(), 0.05))
 def bootstrap_lcb(spark, d):
-    return r6(resample.bootstrap(resample.clip_counts(T.tbu(spark, d)), resample.balanced(), N_REP, SEED, 0.05), "point", "lo")
+    return r6(resample.bootstrap(resample.clip_counts(T.tbu(spark, d)), resample.balanced(), N_BOOT, SEED, 0.05), "point", "lo")
 
 
 @query("bootstrap_ci", boot_sql(sql_balanced(), 0.025, 0.975))
 def bootstrap_ci(spark, d):
-    return r6(resample.bootstrap(resample.clip_counts(T.tbu(spark, d)), resample.balanced(), N_REP, SEED, 0.025, 0.975), "point", "lo", "hi")
+    return r6(resample.bootstrap(resample.clip_counts(T.tbu(spark, d)), resample.balanced(), N_BOOT, SEED, 0.025, 0.975), "point", "lo", "hi")
 
 
 @query("bootstrap_kappa", boot_sql(sql_kappa(), 0.05))
 def bootstrap_kappa(spark, d):
-    return r6(resample.bootstrap(resample.clip_counts(T.tbu(spark, d)), resample.counts_kappa(), N_REP, SEED, 0.05), "point", "lo")
+    return r6(resample.bootstrap(resample.clip_counts(T.tbu(spark, d)), resample.counts_kappa(), N_BOOT, SEED, 0.05), "point", "lo")
 
 
 @query("paired_delta", boot_sql(f"({sql_balanced()} - {sql_balanced(True)})", 0.025, 0.975))
 def paired_delta(spark, d):
-    return r6(resample.bootstrap(resample.clip_counts(T.tbu(spark, d)), resample.balanced() - resample.swapped_balanced(), N_REP, SEED, 0.025, 0.975), "point", "lo", "hi")
+    return r6(resample.bootstrap(resample.clip_counts(T.tbu(spark, d)), resample.balanced() - resample.swapped_balanced(), N_BOOT, SEED, 0.025, 0.975), "point", "lo", "hi")
 
 
 def permuted_sql(seed):
@@ -257,7 +259,7 @@ def controls(spark, d):
 @query("scramble_floor", f"WITH {TBU}, s AS (" + " UNION ALL ".join(f"SELECT {balanced_of(permuted_sql(s))} AS v" for s in range(3)) + ") SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM s")
 def scramble_floor(spark, d):
     t, out = T.tbu(spark, d), None
-    for s in range(3):
+    for s in range(FLOOR_SEEDS):
         one = metrics.population(resample.permuted_targets(t, s)).select(F.col("balanced_acc").alias("v"))
         out = one if out is None else out.unionByName(one)
     return out.agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"))
@@ -271,7 +273,7 @@ def index_quantiles(spark, d):
 @query("trend_permutation")
 def trend_permutation(spark, d):
     a = metrics.population(T.tbu(spark, d), ["tbu_idx"]).select(F.col("tbu_idx").cast("double").alias("dose"), F.col("balanced_acc").alias("rate"))
-    return r6(resample.trend_test(a, "dose", "rate", 200, 3), "rho", "p")
+    return r6(resample.trend_test(a, "dose", "rate", N_PERM, 3), "rho", "p")
 
 
 WIDE = f"""w AS (SELECT 'I2' AS instrument, 'tone' AS role, avg(correct::DOUBLE / covered) AS balanced_acc, sum(correct)::DOUBLE / sum(covered) AS micro_acc, sum(covered)::DOUBLE / sum(support) AS coverage,
