@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -147,27 +148,41 @@ def test_quality_rules(docs, rows, empty):
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
 
 
-def test_token_output(spark, docs, rows, empty, tmp_path):
+def test_token_output(spark, docs, rows, empty):
     model = Tokenizer.from_file(BPE)
-    model.encode_special_tokens = True
+    extra = [(70, "a <|endoftext|> b", *rows[0][2:]), (70, "a <|endoftext|> b", *rows[0][2:]), (71, " ".join(f"long{k * k}text{k}," for k in range(40_000)), *rows[0][2:])]
+    every, more = [*rows, *extra], docs.unionByName(spark.createDataFrame(extra, docs.schema))
     want, start = Counter(), 0
     signed = lambda t: np.uint64(xxhash.xxh64_intdigest(text(t), 42)).astype(np.int64).item()
-    for r in sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], signed(r[1]))):
+    for r in sorted(every, key=lambda r: (-(1 << 63) if r[0] is None else r[0], signed(r[1]))):
         ids = [*model.encode(r[1] or "", add_special_tokens=False).ids, 0]
         want[(r[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] += 1
         start += len(ids)
-    assert got(token_output.token_digests(docs, BPE), "doc_id", "start", "n_tokens", "ids_crc32") == want
+    assert any(50256 in model.encode(r[1] or "", add_special_tokens=False).ids for r in every)
+    for page_bytes in (token_output.PAGE_BYTES, 500):  # one page a run, and many
+        assert got(token_output.token_digests(more, BPE, page_bytes=page_bytes), "doc_id", "start", "n_tokens", "ids_crc32") == want
     assert token_output.token_digests(empty, BPE).count() == 0
+    folder = common.Tables(spark, "again").root
+    token_output.write(more, folder, BPE, page_bytes=2000)
+    pages = spark.read.parquet(f"{folder}/pages").collect()
+    assert any(p["first"] for p in pages) and len({p["dict_hash"] for p in pages}) == 1
+    back = {(r["id"], r["start"]): np.frombuffer(r["ids"], "<u4").tolist() for r in token_output.read(spark, folder).collect()}
+    assert [v for (i, _), v in back.items() if i == 71] == [[*model.encode(extra[2][1], add_special_tokens=False).ids, 0]]
 
 
-def test_encoder_cuts_as_the_library_does():
+def test_encoder_cuts_as_the_library_does(tmp_path):
     model = Tokenizer.from_file(BPE)
-    model.encode_special_tokens = True
     rng = random.Random(3)
-    marks = ["don't", "x's", " ", "\n", "  ", "\t", "é", "漢", " ", "1,234", "...", "#$%", "\r\n", "ﬁ", "​", "a", "<|endoftext|>", "́", "\U0001f600"]
-    texts = [" ".join(rng.choice(["don't.", "Tone,", "x.", "ab).", "é.", "a,b", "1.", "end.\nNext", "漢,"]) for _ in range(9)) for _ in range(200)]
-    texts += ["".join(rng.choice(marks) + (" " if rng.random() < 0.5 else "") for _ in range(rng.randrange(12))) for _ in range(500)]
-    assert [np.frombuffer(x, "<u2").tolist() for x in token_output.Encoder(BPE)(texts)] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    marks = ["don't", "x's", " ", "\n", "  ", "\t", "é", "漢", " ", "1,234", "...", "#$%", "\r\n", "ﬁ", "\u200b", "a", "<|endoftext|>", "\u0301", "\U0001f600", "\x00", "'s", "it's", "'", "ab'"]
+    texts = [" ".join(rng.choice(["don't.", "Tone,", "x.", "ab).", "é.", "a,b", "1.", "end.\nNext", "漢,", "it's,", "x'", "7%%%", "s'.", "e\u0301.", ",", "«a».", "ﬂ,", "'s"]) for _ in range(9)) for _ in range(400)]
+    texts += ["".join(rng.choice(marks) + (" " if rng.random() < 0.5 else "") for _ in range(rng.randrange(12))) for _ in range(1500)]
+    want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    encoder = token_output.Encoder(BPE)
+    assert encoder.cuts and [x.tolist() for x in encoder(pa.array(texts))] == want
+    encoder.most = 0  # forgets all before each batch
+    assert [x.tolist() for k in range(0, len(texts), 100) for x in encoder(pa.array(texts[k : k + 100]))] == want
+    other = token_output.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert not other.cuts and [x.tolist() for x in other(pa.array(texts[:50]))] == [e.ids for e in other.model.encode_batch(texts[:50], add_special_tokens=False)]
 
 
 def test_language_id(docs, rows, empty, spark):
