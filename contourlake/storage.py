@@ -36,6 +36,12 @@ class Tables:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def below(self, name: str) -> Tables:
+        """Tables of a part of the run, in a folder of their own."""
+        out = Tables.__new__(Tables)
+        out.spark, out.root = self.spark, f"{self.root}/{name}"
+        return out
+
     def drop(self, *names: str) -> None:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
