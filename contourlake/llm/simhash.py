@@ -1,30 +1,47 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has 64 bits: a bit is 1 if it is set in over half of the XXH64
-hashes (seed 42) of the text's word shingles. Two fingerprints within three
-bits of each other differ by at most one bit in one of their two 32-bit halves.
-So each half is a table; a fingerprint looks up its half and the half's Hamming
-ball of radius 1 in that table, and complete distances are verified. Of two
-halves that differ in one bit only the one with the 0 looks up the other.
+A fingerprint bit is 1 if it is set in over half of the hashes of the text's
+word shingles: the first 64 bits come from XXH64 (seed 42), each further 64
+from a mix of it. Two documents are linked if their fingerprints differ in at
+most ``max_bits`` bits. A ``Shape`` cuts a fingerprint into segments, each with
+a table; a pair is looked at if a segment of one lies in the Hamming ball of
+radius 1 around the other's, and its complete distance is verified.
+
+* ``EXACT``: 64 bits, two segments of 32 and at most three bits. One of the
+  segments differs in one bit at most, so every link is found.
+* ``shape_for(n, similarity)``: two sets of shingles of Jaccard similarity j
+  differ in each bit with probability acos(2j / (1 + j)) / pi. The most bits
+  are those expected at the similarity; segments grow with the logarithm of n,
+  so random matches stay rare, and there are as many tables as it takes to miss
+  no more than ``LOST`` of the pairs right at the threshold. With 512 bits the
+  similarity that a fingerprint states has a standard error of 0.036 at 0.8.
 
 What keeps it in bounds:
 
 * Only distinct fingerprints are indexed: a group of exact copies, however
   large, is one entry.
-* Probes that meet no table entry leave in a semi-join before any Python.
-* Within a table entry and its probes, links are found by growing a component
-  from a pivot over what is left; a component of n fingerprints gives n - 1
-  edges. Pairs are never listed.
+* A segment's table is dealt out by either half of the segment, since of two
+  halves one is equal within the ball; the ball of the other half is enumerated
+  inside the task. That is two rows per table instead of one per ball member.
+* Groups of near copies are first taken in from pivots, then only what is
+  outside the largest group looks the others up. n fingerprints of a group give
+  n - 1 edges; pairs are never listed.
+* A half that many fingerprints share is cut over range partitions. The pivots
+  of the pieces are linked, then what is outside the half's largest component
+  meets all pieces, in blocks of bounded size.
 * Components come from alternating star contractions; each round is written to
   the shared folder.
 
 Null and empty texts have the fingerprint zero and are linked like others. A
-repeated row is in the component of its twin. An empty table gives no rows.
+null id is smaller than any other. A repeated row is in the component of its
+twin. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -33,107 +50,268 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, prepared, restored, restored_rows, squeezed
+from .common import Tables, partitions, prepared, restored, restored_rows, squeezed
 
 SEED = 42
 #: A doc's shingles are hashed and summed this many at a time.
 SLICE = 1 << 18
+#: Share of the pairs right at the threshold that no table shows.
+LOST = 0.005
+#: Fingerprints of a half that meet in a task where the half was cut.
+BLOCK = 1 << 14
+#: Pairs whose distance is computed at once.
+PAIRS = 1 << 20
+LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprint(body: bytes, shingle: int = 3) -> int:
-    """SimHash of the ASCII-lowered words' shingles; fewer words: the whole sequence; none: zero."""
+@dataclass(frozen=True)
+class Shape:
+    """Fingerprints of so many bits; tables of so many segments of so many (an even number of) bits; the most bits in which linked ones differ."""
+
+    bits: int
+    segment: int
+    tables: int
+    max_bits: int
+
+
+EXACT = Shape(64, 32, 2, 3)
+
+
+def shape_for(n: int, similarity: float) -> Shape:
+    """A shape for n documents and a Jaccard similarity of their shingles; see the module's text."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    segment = max(16, 2 * math.ceil((math.log2(max(n, 2)) - 4) / 2))
+    seen = (1 - p) ** segment + segment * p * (1 - p) ** (segment - 1)
+    tables = math.ceil(math.log(LOST) / math.log(1 - seen)) if p else 1
+    bits = max(512, -(-tables * segment // 64) * 64)
+    return Shape(bits, segment, tables, int(bits * p))
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash derived from h; h itself for 0."""
+    if not k:
+        return h
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def set_bits(h: np.ndarray) -> np.ndarray:
+    """How many of the numbers in h have each bit, from bit 0 on: eight counters in each of eight words, 255 rows at a time."""
+    cuts = np.arange(0, len(h), 255)
+    lanes = np.stack([np.add.reduceat(h >> np.uint64(k) & LANES, cuts) for k in range(8)], axis=1)
+    return lanes.astype("<u8").view(np.uint8).reshape(len(cuts), 8, 8).sum(axis=0, dtype=np.int64).T.ravel()
+
+
+def fingerprint(body: bytes, shingle: int = 3, bits: int = 64) -> bytes:
+    """SimHash of the ASCII-lowered words' shingles, highest bit first; fewer words: the whole sequence; none: zero."""
     words = body.lower().split()
     if not words:
-        return 0
+        return bytes(bits // 8)
     n = max(1, len(words) - shingle + 1)
-    sums = np.zeros(64, np.int64)
+    sums = np.zeros((bits // 64, 64), np.int64)
     for at in range(0, n, SLICE):
         part = words[at : at + SLICE + shingle - 1]
         grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
-        sums += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(sums * 2 > n, bitorder="little").view(np.uint64)[0])
+        h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
+        for k in range(len(sums)):
+            sums[k] += set_bits(mixed(h, k))
+    return np.packbits((sums * 2 > n)[:, ::-1]).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """id, tkey and fp (the fingerprint as a signed long) of each prepared row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64) -> DataFrame:
+    """id, tkey and fp (the fingerprint's bytes) of each prepared row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(x, shingle) for x in b.column(2).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["id", "tkey", "fp"])
-
-    return docs.select("id", "tkey", "body").mapInArrow(run, "id long, tkey long, fp long")
-
-
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64))
-
-
-def _linked(members: np.ndarray, probes: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Edges that connect what is within max_bits: members among themselves, probes with members. No pair twice, no cycle among members."""
-    edges, component = [], np.full(len(members), -1)
-    left = np.arange(len(members))
-    while len(left):
-        front, left = [left[0]], left[1:]
-        name = front[0]
-        component[name] = name
-        while front and len(left):
-            at = front.pop()
-            near = _distance(members[left], members[at]) <= max_bits
-            for x in left[near]:
-                component[x] = name
-                edges.append((members[at], members[x]))
-                front.append(x)
-            left = left[~near]
-    for p in probes:
-        near = np.flatnonzero(_distance(members, p) <= max_bits)
-        if len(near):
-            _, first = np.unique(component[near], return_index=True)  # one link to each component suffices
-            edges += [(p, members[near[i]]) for i in first]
-    return edges
-
-
-def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of the distinct fps within max_bits (at most 3) of each other."""
-    if not 0 <= max_bits <= 3:
-        raise ValueError("two segments with balls of radius 1 find distances up to 3")
-    half = [F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(0xFFFFFFFF)]
-    tagged = [h + F.lit(i << 32) for i, h in enumerate(half)]
-    table = fps.select(F.explode(F.array(*tagged)).alias("key"), "fp")
-    ball = [F.when(h.bitwiseAND(1 << b) == 0, t + F.lit(1 << b)) for h, t in zip(half, tagged, strict=True) for b in range(32)]
-    probes = fps.select(F.explode(F.array_compact(F.array(*ball))).alias("key"), "fp")
-    counts = table.groupBy("key").agg(F.count("*").alias("n"))
-    met = probes.join(counts.select("key"), "key", "left_semi")
-    full = met.select("key").distinct().unionByName(counts.where("n > 1").select("key")).distinct()
-    rows = table.join(full, "key", "left_semi").select("key", F.lit(0).alias("role"), "fp").unionByName(met.select("key", F.lit(1).alias("role"), "fp"))
-
-    def edges_of(k, r, f):
-        cuts = np.flatnonzero(np.diff(k)) + 1
-        out = []
-        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(k)], strict=True):
-            m = lo + int(np.searchsorted(r[lo:hi], 1))
-            out += _linked(f[lo:m], f[m:hi], max_bits)
-        return out
+            fp = [fingerprint(x, shingle, bits) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.binary())], ["id", "tkey", "fp"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []  # of the last key, which may go on
+    return docs.select("id", "tkey", "body").mapInArrow(run, "id long, tkey long, fp binary")
 
-        def batch(edges):
-            a, b = (np.array([e[i] for e in edges], np.int64) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        for b in batches:
-            now = [b.column(i).to_numpy() for i in range(3)]
-            kept = [np.concatenate(x) for x in zip(kept, now, strict=True)] if kept else now
-            last = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0
-            if last:
-                yield batch(edges_of(*(x[:last] for x in kept)))
-                kept = [x[last:] for x in kept]
-        if kept and len(kept[0]):
-            yield batch(edges_of(*kept))
+def as_words(column: pa.Array, bits: int) -> np.ndarray:
+    """A row of 64-bit words for each fingerprint."""
+    size = bits // 8
+    at = column.offset * size  # all have the same size
+    return np.frombuffer(column.buffers()[2], np.uint8, len(column) * size, at).view(np.uint64).reshape(len(column), -1) if len(column) else np.empty((0, size // 8), np.uint64)
+
 
-    return rows.repartition("key").sortWithinPartitions("key", "role", "fp").mapInArrow(run, "a long, b long")
+def table_rows(fps: DataFrame, shape: Shape) -> DataFrame:
+    """key (table, which half, the half's value), rest (the other half) and fp: two rows for each fingerprint and table."""
+    half = shape.segment // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.arange(2 * shape.tables, dtype=np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                column = b.column(0).slice(lo, 4096)
+                n = len(column)
+                bits = np.unpackbits(as_words(column, shape.bits).view(np.uint8), axis=1)[:, : shape.tables * shape.segment]
+                value = bits.reshape(n, 2 * shape.tables, half) @ (1 << np.arange(half - 1, -1, -1, dtype=np.int32))
+                key = names << 32 | value
+                rest = value[:, names ^ 1].astype(np.int32)
+                of = column.take(pa.array(np.repeat(np.arange(n), len(names))))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(rest.ravel()), of], ["key", "rest", "fp"])
+
+    return fps.select("fp").mapInArrow(run, "key long, rest int, fp binary")
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def taken_in(words: np.ndarray, max_bits: int, tries: int = 16) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges from pivots that take in much of what is left, and each row's pivot (itself where none did)."""
+    edges, pivot, left = [], np.arange(len(words)), np.arange(len(words))
+    for k in range(tries):
+        if len(left) < 8:
+            break
+        p = left[(2 * k + 1) * len(left) // (2 * tries)]
+        near = distance(words[left], words[p]) <= max_bits
+        if near.sum() > max(4, len(left) // 16):
+            pivot[left[near]] = p
+            edges += [(p, x) for x in left[near] if x != p]
+            left = left[~near]
+    return edges, pivot
+
+
+def looked_up(words: np.ndarray, rest: np.ndarray, queries: np.ndarray, group: np.ndarray, half: int, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, row) pairs of different groups within the ball of the rest and within max_bits."""
+    order = np.argsort(rest, kind="stable")
+    ranked = rest[order]
+    for ball in (0, *(1 << k for k in range(half))):
+        lo, hi = (np.searchsorted(ranked, rest[queries] ^ ball, side) for side in ("left", "right"))
+        ends = np.cumsum(hi - lo)
+        at = 0
+        while at < len(queries):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            n = (hi - lo)[at:upto]
+            q = np.repeat(queries[at:upto], n)
+            x = order[np.arange(len(q)) + np.repeat(lo[at:upto] - (np.cumsum(n) - n), n)]
+            apart = group[q] != group[x]
+            q, x = q[apart], x[apart]
+            near = distance(words[q], words[x]) <= max_bits
+            yield q[near], x[near]
+            at = upto
+
+
+def merging(pairs: Iterator[tuple[np.ndarray, np.ndarray]], group: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs that join groups not joined before: no cycle."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.get(i, i)) != i:
+            root[i] = root.get(up, up)
+            i = up
+        return i
+
+    out = []
+    for q, x in pairs:
+        for i, j in zip(q.tolist(), x.tolist(), strict=True):
+            a, b = find(int(group[i])), find(int(group[j]))
+            if a != b:
+                root[a] = b
+                out.append((i, j))
+    return out
+
+
+def linked(words: np.ndarray, rest: np.ndarray, half: int, max_bits: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges that connect whatever of a table's half is within the ball and max_bits, and each row's pivot."""
+    edges, pivot = taken_in(words, max_bits)
+    names, sizes = np.unique(pivot, return_counts=True)
+    queries = np.flatnonzero(pivot != names[sizes.argmax()]) if sizes.max() > 1 else np.arange(len(rest))
+    return edges + merging(looked_up(words, rest, queries, pivot, half, max_bits), pivot), pivot
+
+
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[pa.Array]]:
+    """Columns of each run of rows with equal first n_keys columns."""
+    held: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = pa.Table.from_batches([b])
+        held = now if held is None else pa.concat_tables([held, now])
+        keys = [held.column(k).to_numpy() for k in range(n_keys)]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        if len(cuts):
+            whole = held.combine_chunks()
+            for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                yield [c.chunk(0).slice(lo, hi - lo) for c in whole.columns]
+            held = whole.slice(int(cuts[-1]))
+    if held is not None:
+        yield [c.chunk(0) for c in held.combine_chunks().columns]
+
+
+EDGE = "key long, n long, a binary, b binary"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["key", "n", "a", "b"])
+
+
+def links(tables: Tables, fps: DataFrame, shape: Shape) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of the distinct fps that the shape's tables show."""
+    half, spark = shape.segment // 2, fps.sparkSession
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges; of the first and the last key, which may go on in other partitions, the rows and the pivots."""
+
+        def end(key, fp, pivot):
+            own = np.unique(pivot[pivot != np.arange(len(fp))])
+            return [(key, len(fp), None, None)] + [(key, None, fp[int(p)].as_py(), None) for p in own]
+
+        rows: list[tuple] = []
+        last = None
+        for key, rest, fp in groups(batches, 1):
+            pivot = np.zeros(1, np.int64)
+            if len(fp) > 1:
+                edges, pivot = linked(as_words(fp, shape.bits), rest.to_numpy(), half, shape.max_bits)
+                rows += [(None, None, fp[int(i)].as_py(), fp[int(j)].as_py()) for i, j in edges]
+            if last is None:
+                rows += end(key[0].as_py(), fp, pivot)
+                last = ()
+            else:
+                last = key[0].as_py(), fp, pivot
+            if len(rows) > 10_000:
+                yield _batch(rows)
+                rows = []
+        yield _batch(rows + (end(*last) if last else []))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges between a block's rows outside the largest component (role 0) and all of another block."""
+        for _, _, _, role, rest, fp, comp in groups(batches, 3):
+            queries = np.flatnonzero(role.to_numpy() == 0)
+            if len(queries) and len(queries) < len(fp):
+                group = np.unique(np.array(comp.to_pylist(), object), return_inverse=True)[1]
+                found = merging(looked_up(as_words(fp, shape.bits), rest.to_numpy(), queries, group, half, shape.max_bits), group)
+                yield _batch([(None, None, fp[i].as_py(), fp[j].as_py()) for i, j in found])
+
+    rows = table_rows(fps, shape)
+    n = partitions(spark, fps.count() * 2 * shape.tables * (shape.bits // 8 + 40))
+    said = tables.put("pieces", rows.repartitionByRange(n, "key", "fp").sortWithinPartitions("key", "fp").mapInArrow(pieces, EDGE))
+    edges = said.where("b IS NOT NULL").select("a", "b")
+    cut = said.where("n IS NOT NULL").groupBy("key").agg(F.count("*").alias("pieces"), F.sum("n").alias("n")).where("pieces > 1")
+    cut = tables.put("cut", cut.select("key", "n"))  # two keys a partition at most
+    if not cut.head(1):
+        return edges
+    pivots = said.where("n IS NULL AND b IS NULL").select("key", F.lit(0).alias("rest"), F.col("a").alias("fp")).join(F.broadcast(cut), "key", "left_semi").distinct()
+    among = pivots.repartition("key").sortWithinPartitions("key").mapInArrow(pieces, EDGE)
+    edges = tables.put("edges1", edges.unionByName(among.where("b IS NOT NULL").select("a", "b")))
+    comps = components(tables.below("pieces_components"), edges)
+    hot = tables.put("hot", rows.join(F.broadcast(cut), "key").join(comps, F.col("fp") == comps.node, "left").select("key", "n", "rest", "fp", F.coalesce("root", "fp").alias("comp")))
+    largest = hot.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), (F.sum("c") - F.max("c")).alias("m"))
+    placed = hot.join(F.broadcast(largest), "key").where("m > 0")
+    of_all, of_others = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("m") / BLOCK).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    own = lambda k: F.pmod(F.xxhash64("fp"), k).cast("int")
+    cols = ("key", "block", "other", "role", "rest", "fp", "comp")
+    table = placed.withColumn("block", own(of_all)).withColumn("other", every(of_others)).withColumn("role", F.lit(1)).select(*cols)
+    asking = placed.where("comp != top").withColumn("other", own(of_others)).withColumn("block", every(of_all)).withColumn("role", F.lit(0)).select(*cols)
+    both = table.unionByName(asking).repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", "role", "fp")
+    return tables.put("edges2", edges.unionByName(both.mapInArrow(met, EDGE).select("a", "b")))
 
 
 def components(tables: Tables, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -160,27 +338,27 @@ def components(tables: Tables, edges: DataFrame, most_rounds: int = 100) -> Data
     raise RuntimeError("components did not settle")
 
 
-def classes(tables: Tables, rows: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+def classes(tables: Tables, rows: DataFrame, shingle: int = 3, shape: Shape = EXACT) -> DataFrame:
     """id, tkey, fp, root (a fingerprint that names the component) and component (its smallest id) of each prepared row."""
-    fps = tables.put("fps", fingerprints(rows, shingle))
+    fps = tables.put("fps", fingerprints(rows, shingle, shape.bits))
     reps = tables.put("reps", fps.groupBy("fp").agg(F.min("id").alias("rep")))
-    edges = tables.put("edges", links(reps.select("fp"), max_bits))
-    roots = components(tables, edges)
+    roots = components(tables, links(tables, reps.select("fp"), shape))
     rooted = tables.put("rooted", reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     labels = tables.put("labels", rooted.join(least, "root").select("fp", "root", "component"))
     return fps.join(labels, "fp")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """id_col, fp and component_id (the smallest id reachable over links of at most max_bits) of each row."""
-    found = classes(Tables(docs.sparkSession, "simhash"), prepared(docs, id_col, text_col), shingle, max_bits)
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, shape: Shape = EXACT) -> DataFrame:
+    """id_col, fp (bytes) and component_id (the smallest id reachable over links) of each row."""
+    found = classes(Tables(docs.sparkSession, "simhash"), prepared(docs, id_col, text_col), shingle, shape)
     return found.select(restored().alias(id_col), "fp", restored("component").alias("component_id"))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """One row of docs, whole, of each component: the one with the smallest id, then the smallest hash of its text."""
-    found = classes(Tables(docs.sparkSession, "simhash"), prepared(docs, id_col, text_col), shingle, max_bits)
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of docs, whole, of each component of documents whose fingerprints state the similarity or more: the one with the smallest id, then the smallest hash of its text, then the least other columns, as JSON."""
+    found = classes(Tables(docs.sparkSession, "simhash"), prepared(docs, id_col, text_col), shingle, shape_for(docs.count(), similarity))
     first = found.groupBy("root").agg(F.min(F.struct("id", "tkey")).alias("_k")).select("_k.id", "_k.tkey")
-    kept = squeezed(docs, id_col, text_col).join(first, ["id", "tkey"], "left_semi").dropDuplicates(["id", "tkey"])
-    return restored_rows(kept, docs.schema, text_col)
+    kept = squeezed(docs, id_col, text_col).join(first, ["id", "tkey"], "left_semi")
+    one = kept.groupBy("id", "tkey").agg(F.min_by(F.struct("row", "z"), F.to_json("row")).alias("v")).select("v.row", "v.z")
+    return restored_rows(one, docs.schema, text_col)

@@ -47,28 +47,105 @@ def test_simhash(docs, rows, empty):
             break
         low = new
     none = lambda x: None if x == -(1 << 63) else x
-    want = Counter((r[0], np.uint64(f).astype(np.int64).item(), none(x)) for r, f, x in zip(rows, fps, low, strict=True))
+    want = Counter((r[0], f.to_bytes(8, "big"), none(x)) for r, f, x in zip(rows, fps, low, strict=True))
+    assert {simhash.fingerprint(text(r[1])) for r in rows} == {f.to_bytes(8, "big") for f in fps}
     assert got(simhash.near_duplicates(docs), "doc_id", "fp", "component_id") == want
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.keep_representatives(docs)
-    assert kept.columns == docs.columns
-    clusters = {}
-    for i, f in enumerate(fps):
-        clusters.setdefault(next((c for c in clusters if any((f ^ fps[j]).bit_count() <= 3 for j in clusters[c])), i), []).append(i)
-    assert kept.count() == len(clusters)
     assert simhash.keep_representatives(empty).count() == 0
 
 
-def test_simhash_links_are_all_found_without_pairs():
-    rng = random.Random(2)
-    centre = rng.getrandbits(64)
-    values = {centre}
-    for _ in range(400):
-        values.add(rng.choice(sorted(values)) ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(1, 4))))
-    members = np.array(sorted(values), np.uint64).view(np.int64)
-    edges = simhash._linked(members, members[:0], 3)
-    assert len(edges) < len(members)
-    assert {int(x) for e in edges for x in e} >= {int(m) for m in members if (simhash._distance(members, m) <= 3).sum() > 1}
+def test_fingerprints_slice_long_texts(monkeypatch):
+    rng = random.Random(9)
+    body = " ".join(f"w{rng.randrange(500)}" for _ in range(3000)).encode()
+    whole = simhash.fingerprint(body, 5, 192)
+    assert whole[:8] == simhash.fingerprint(body, 5) and len(set(whole)) > 10
+    monkeypatch.setattr(simhash, "SLICE", 7)
+    assert simhash.fingerprint(body, 5, 192) == whole
+    h = np.random.default_rng(1).integers(0, 1 << 64, 700, np.uint64)
+    assert simhash.set_bits(h).tolist() == [int((h >> np.uint64(k) & np.uint64(1)).sum()) for k in range(64)]
+
+
+def test_shapes():
+    for n in (0, 1, 10**5, 10**7, 10**9):
+        s = simhash.shape_for(n, 0.8)
+        assert s.segment % 2 == 0 and s.tables * s.segment <= s.bits and s.bits % 64 == 0 and abs(s.max_bits / s.bits - 0.1515) < 0.002
+    assert simhash.shape_for(10**5, 0.8) == simhash.Shape(512, 16, 17, 77)
+
+
+def families(rng, bits):
+    """Fingerprints in dense families, chains and pairs, and some on their own."""
+    out = set()
+    for size, most in ((400, bits // 12), (60, bits // 6), (25, bits // 9)):
+        centre = rng.getrandbits(bits)
+        out |= {centre ^ sum(1 << b for b in rng.sample(range(bits), rng.randrange(1, most))) for _ in range(size)}
+    for _ in range(30):
+        x = rng.getrandbits(bits)
+        for _ in range(rng.randrange(1, 5)):
+            out.add(x)
+            x ^= sum(1 << b for b in rng.sample(range(bits), bits // 8 if bits > 64 else 2))
+    return sorted(out)
+
+
+def partition_of(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("bits", [64, 512])
+def test_links_of_hot_halves(spark, bits, monkeypatch):
+    """Components lie between those of the pairs that a table shows and those of all pairs within the distance, however the halves are cut."""
+    values = families(random.Random(bits), bits)
+    shape = simhash.EXACT if bits == 64 else simhash.shape_for(10**4, 0.8)
+    seg = lambda x, t: x >> (bits - (t + 1) * shape.segment) & (1 << shape.segment) - 1
+    near = [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= shape.max_bits]
+    shown = [(i, j) for i, j in near if any((seg(values[i], t) ^ seg(values[j], t)).bit_count() <= 1 for t in range(shape.tables))]
+    fine, coarse = partition_of(len(values), shown), partition_of(len(values), near)
+    assert len(set(coarse)) > 20 and (bits > 64 or fine == coarse)
+    fps = spark.createDataFrame([(bytearray(v.to_bytes(bits // 8, "big")),) for v in values], "fp binary")
+    at = {v.to_bytes(bits // 8, "big"): k for k, v in enumerate(values)}
+    for parts, block in (("2", 1 << 14), ("40", 16)):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        try:
+            found = [(at[bytes(r["a"])], at[bytes(r["b"])]) for r in simhash.links(common.Tables(spark, "links"), fps, shape).collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert set(map(frozenset, found)) <= set(map(frozenset, near))
+        have = partition_of(len(values), found)
+        assert len({(f, h) for f, h in zip(fine, have, strict=True)}) == len(set(fine)) and len({(h, c) for h, c in zip(have, coarse, strict=True)}) == len(set(have))
+
+
+def test_representatives(spark):
+    """Copies with few edits go, with the first by id kept whole; others stay."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(9000)}"
+    rows, k = [], 0
+    for size in (120, 300, 900):
+        for _ in range(8):
+            base = [word() for _ in range(size)]
+            for edits in (0, 0, size // 150, size // 120):
+                out = list(base)
+                for at in rng.sample(range(size), edits):
+                    out[at] = word()
+                rows.append((1000 - k, " ".join(out), f"x{k}", k // 4))
+                k += 1
+    rows += [(2000, None, "n", 90), (2001, "", "n", 90), (None, " ", "n", 90), (1000, rows[0][1], "a", 0), (3000, "one two", "z", 91)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tkey string, family int").repartition(3)
+    kept = simhash.keep_representatives(docs).collect()
+    assert docs.columns == list(kept[0].asDict()) and sorted(r["family"] for r in kept) == sorted({r[3] for r in rows})
+    by = {r["family"]: r for r in kept}
+    for f in range(24):
+        assert by[f]["doc_id"] == min(r[0] for r in rows if r[3] == f)
+    assert by[0]["tkey"] == "x3" and by[90]["doc_id"] is None
 
 
 def test_line_dedup(docs, rows, empty):
