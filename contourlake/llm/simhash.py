@@ -26,9 +26,10 @@ What keeps it in bounds:
 * Groups of near copies are first taken in from pivots, then only what is
   outside the largest group looks the others up. n fingerprints of a group give
   n - 1 edges; pairs are never listed.
-* A half that many fingerprints share is cut over range partitions. The pivots
-  of the pieces are linked, then what is outside the half's largest component
-  meets all pieces, in blocks of bounded size.
+* A half whose rows are cut over range partitions meets again in one task if it
+  has at most ``BLOCK`` rows. Of a larger one the pivots of the pieces are
+  linked, then what is outside its largest component meets all pieces, in blocks
+  of bounded size.
 * Components come from alternating star contractions; each round is written to
   the shared folder.
 
@@ -295,6 +296,9 @@ def links(tables: Tables, fps: DataFrame, shape: Shape) -> DataFrame:
     edges = said.where("b IS NOT NULL").select("a", "b")
     cut = said.where("n IS NOT NULL").groupBy("key").agg(F.count("*").alias("pieces"), F.sum("n").alias("n")).where("pieces > 1")
     cut = tables.put("cut", cut.select("key", "n"))  # two keys a partition at most
+    whole = rows.join(F.broadcast(cut.where(F.col("n") <= BLOCK).select("key")), "key", "left_semi").repartition("key").sortWithinPartitions("key", "fp")
+    edges = tables.put("edges0", edges.unionByName(whole.mapInArrow(pieces, EDGE).where("b IS NOT NULL").select("a", "b")))
+    cut = cut.where(F.col("n") > BLOCK)
     if not cut.head(1):
         return edges
     pivots = said.where("n IS NULL AND b IS NULL").select("key", F.lit(0).alias("rest"), F.col("a").alias("fp")).join(F.broadcast(cut), "key", "left_semi").distinct()
