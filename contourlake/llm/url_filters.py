@@ -1,11 +1,17 @@
 """URL filters: pattern rules found by their rarest literal token.
 
-A rule is a regular expression with a verdict. Its literal tokens are the runs
-of letters and digits that every match must have whole; the token that the
-fewest rules have is its index key. A URL is cut into its own tokens, each
-fetches the rules filed under it, and only those run. Rules without a literal
-token are few by construction and run on each URL. The rule table is part of
-the program, so its size is fixed and it goes to the tasks with the code.
+A rule is a line of a filter list: literal text, ``*`` for anything, ``^`` for a
+separator (anything but a letter, a digit, ``_``, ``.``, ``%`` or ``-``) or the
+end, ``|`` at either end for that end of the URL, ``@@`` before a rule that allows. Letters
+are compared lowered. A rule's tokens are the runs of letters and digits that
+every match must have whole, which follows from its text: on both sides stands
+other literal text, a separator or an end. Its index key is the token that is
+rarest in the URLs themselves: one count of the rules' tokens over the whole
+table, a row per token of a rule. A URL is cut into its own tokens, each fetches
+the rules filed under it, and only those run as regular expressions. A rule
+without a whole token is refused: no rule runs on every URL. The rule table is
+given with the program, so its size is known and it goes to the tasks with the
+code.
 
 On top of the patterns stand host-and-path rules, of which the longest that
 fits wins over any pattern. A null URL, or one without ``://``, has an empty
@@ -16,24 +22,51 @@ empty table gives no rows; extra columns are left behind.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK, ALLOW = "block", "allow"
+SEPARATOR = "(?:[^a-z0-9_.%-]|$)"
+TOKEN = "[a-z0-9]+"
 
 
 @dataclass(frozen=True)
 class Pattern:
-    """regex over the lowered URL; tokens: letter-and-digit runs that any match has whole in the URL."""
+    """A line of a filter list."""
 
-    regex: str
-    tokens: tuple[str, ...]
-    verdict: str = BLOCK
+    text: str
+
+    @property
+    def verdict(self) -> str:
+        return ALLOW if self.text.startswith("@@") else BLOCK
+
+    @cached_property
+    def body(self) -> str:
+        return self.text.removeprefix("@@").lower()
+
+    @cached_property
+    def regex(self) -> str:
+        """The rule as a regular expression over a lowered URL."""
+        inner = self.body.removeprefix("|").removesuffix("|")
+        special = {"*": ".*", "^": SEPARATOR}
+        middle = "".join(special.get(c) or re.escape(c) for c in inner)
+        return "^" * self.body.startswith("|") + middle + "$" * (self.body.endswith("|") and len(self.body) > 1)
+
+    @cached_property
+    def tokens(self) -> tuple[str, ...]:
+        """Runs that any match has whole in the URL."""
+        found = []
+        for m in re.finditer(TOKEN, self.body):
+            before, after = self.body[: m.start()][-1:], self.body[m.end() :][:1]
+            if before not in ("", "*") and after not in ("", "*"):
+                found.append(m[0])
+        return tuple(dict.fromkeys(found))
 
 
 @dataclass(frozen=True)
@@ -58,29 +91,61 @@ HOST_PATH_RULES = (
     HostPath("org", "/es/", BLOCK),
 )
 
-#: Advertising, tracking, shop and account pages, and files that are not text.
-PATTERNS = (
-    Pattern(r"://ads\.", ("ads",)),
-    Pattern(r"://adserver\.", ("adserver",)),
-    Pattern(r"://tracker\.", ("tracker",)),
-    Pattern(r"://pixel\.", ("pixel",)),
-    Pattern(r"/wp-login\.php", ("login", "php", "wp")),
-    Pattern(r"/wp-admin/", ("admin", "wp")),
-    Pattern(r"/cgi-bin/", ("bin", "cgi")),
-    Pattern(r"/cart(/|\?|$)", ("cart",)),
-    Pattern(r"/checkout(/|\?|$)", ("checkout",)),
-    Pattern(r"/signin(/|\?|$)", ("signin",)),
-    Pattern(r"[?&]replytocom=[0-9]+", ("replytocom",)),
-    Pattern(r"[?&]sessionid=", ("sessionid",)),
-    Pattern(r"[?&]phpsessid=", ("phpsessid",)),
-    Pattern(r"[?&]print=1(&|#|$)", ("print", "1")),
-    Pattern(r"[?&]page=[0-9]+&ref=", ("page", "ref")),
-    Pattern(r"[?&]utm_source=feed(&|#|$)", ("feed", "source", "utm")),
-    Pattern(r"\.(gif|jpe?g|png|zip|exe|mp4)(\?|#|$)", ()),
-    Pattern(r"://docs\.[^/]*/print=1", ("docs", "print", "1"), ALLOW),
+#: Advertising, tracking, shop, account and gambling pages, session copies, and files that are not text.
+PATTERNS = tuple(
+    Pattern(line)
+    for line in """
+://ads.
+://adserver.
+://adservice.
+://banner.
+://pixel.
+://tracker.
+://tracking.
+/adclick^
+/doubleclick/
+/wp-login.php^
+/wp-admin/
+/cgi-bin/
+/cart^
+/checkout^
+/basket^
+/signin^
+/signup^
+/login^
+/logout^
+/password/reset^
+?replytocom=
+&replytocom=
+?sessionid=
+&sessionid=
+?phpsessid=
+&phpsessid=
+;jsessionid=
+?print=1^
+&print=1^
+://casino.
+.casino-
+://casino-
+.poker-
+.betting-
+/affiliate/*/click^
+/tag/*/feed^
+.gif^
+.jpg^
+.jpeg^
+.png^
+.zip^
+.exe^
+.mp4^
+.css^
+@@://docs.*/cart^
+@@://help.*/login^
+@@/robots.txt|
+""".split()
 )
 
-_TOKEN = re.compile(r"[a-z0-9]+")
+_TOKEN = re.compile(TOKEN)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -97,24 +162,36 @@ def _lower(s: str) -> str:
 
 
 class PatternIndex:
-    """Patterns by their rarest token; those without one are tried always."""
+    """Patterns by their token that is rarest by often (how many URLs have it)."""
 
-    def __init__(self, patterns: Sequence[Pattern]):
-        often = Counter(t for p in patterns for t in set(p.tokens))
+    def __init__(self, patterns: Sequence[Pattern], often: Mapping[str, int]):
         self.by_token: dict[str, list[tuple[re.Pattern, str]]] = defaultdict(list)
-        self.always: list[tuple[re.Pattern, str]] = []
         for p in patterns:
-            to = self.by_token[min(p.tokens, key=lambda t: (often[t], -len(t), t))] if p.tokens else self.always
-            to.append((re.compile(p.regex, re.ASCII), p.verdict))
+            if not p.tokens:
+                raise ValueError(f"the rule {p.text} has no whole token to be found by")
+            key = min(p.tokens, key=lambda t: (often.get(t, 0), -len(t), t))
+            self.by_token[key].append((re.compile(p.regex, re.ASCII), p.verdict))
+
+    def fetched(self, low: str) -> list[tuple[re.Pattern, str]]:
+        """The rules that a lowered URL's tokens are the keys of."""
+        return [r for t in {*_TOKEN.findall(low)} & self.by_token.keys() for r in self.by_token[t]]
 
     def verdict(self, url: str) -> str:
         """allow if an allowing pattern matches or none does, else block."""
         low = _lower(url)
-        found = {v for t in {*_TOKEN.findall(low)} & self.by_token.keys() for r, v in self.by_token[t] if r.search(low)}
-        found |= {v for r, v in self.always if r.search(low)}
+        found = {v for r, v in self.fetched(low) if r.search(low)}
         return BLOCK if found == {BLOCK} else ALLOW
 
 
+def token_counts(urls: DataFrame, patterns: Sequence[Pattern]) -> dict[str, int]:
+    """How many of the urls have each token of a pattern."""
+    tokens = sorted({t for p in patterns for t in p.tokens})
+    low = F.translate("url", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    held = F.array_intersect(F.regexp_extract_all(low, F.lit(f"({TOKEN})"), F.lit(1)), F.array(*map(F.lit, tokens)))
+    counts = urls.select(F.explode(held).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return {r["token"]: r["n"] for r in counts.collect()}  # a row per token of a rule
+
+
 class HostPathIndex:
     """Rules by host; a URL looks up its host and each of its parents."""
 
@@ -132,9 +209,11 @@ class HostPathIndex:
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[HostPath] = HOST_PATH_RULES, patterns: Sequence[Pattern] = PATTERNS) -> DataFrame:
     """id_col, host, path, rule (null if none fits) and verdict of each row."""
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
+    often = token_counts(rows, patterns) if patterns else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_host, by_token = HostPathIndex(rules), PatternIndex(patterns)
+        by_host, by_token = HostPathIndex(rules), PatternIndex(patterns, often)
         for b in batches:
             out = []
             for url in b.column(1).to_pylist():
@@ -145,5 +224,4 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], pa.string()) for i in range(4))], ["id", "host", "path", "rule", "verdict"])
 
     kind = dict(pages.dtypes)[id_col]
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     return rows.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
