@@ -8,11 +8,12 @@ come from the same forward pass and its mirror.
 
 Fitting takes a bounded sample of the labelled rows: per language
 at most ``sample_docs`` documents of at most ``sample_bytes`` bytes, picked by a
-hash of the id. The model is a matrix of vocabulary size times
+hash of the id; all their words count, long ones, too. The model is a matrix of vocabulary size times
 languages, a bound known before the data, and is broadcast. Predictions read
 the text alone, of every row, whole. Words are scored once per batch, all
-languages together, grouped by length; a word of over ``LONG`` characters is
-scored alone with rescaling, in time linear in its length.
+languages together, grouped by length; words of ``LONG`` characters and more
+(texts without spaces are one word) go through the same passes in logarithms,
+in time linear in their length.
 
 A text that is null or has no letter, or any text if nothing was learned, is
 ``und`` with score 0. A null id is not held out and is not learned from.
@@ -43,6 +44,13 @@ BASE = 0x9E3779B97F4A7C15
 SPACE = "▁"
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 ... base ** (n - 1) modulo 2 ** 64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 class Pieces:
     """The vocabulary's pieces, findable by text and, in arrays, by hash."""
 
@@ -54,9 +62,8 @@ class Pieces:
         self.texts = sorted({p.lower() for p in found if len(p) <= LONG})
         self.index = {p: i for i, p in enumerate(self.texts)}
         self.longest = max(map(len, self.texts))
-        up = [pow(BASE, k, 1 << 64) for k in range(LONG + 2)]
-        self.up = np.array(up, np.uint64)
-        self.down = np.array([pow(x, -1, 1 << 64) for x in up], np.uint64)
+        self.up, self.down = (powers(x, LONG + 2) for x in (BASE, pow(BASE, -1, 1 << 64)))
+        up = self.up.tolist()
         hashes = np.array([sum(ord(c) * u for c, u in zip(p, up, strict=False)) & (1 << 64) - 1 for p in self.texts], np.uint64)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
@@ -77,8 +84,10 @@ class Pieces:
         return out
 
     def lattice(self, words: list[str], n: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """start, end, rows and pieces of all words of n characters; a lone unknown character has the piece -1."""
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
+        """start, end, rows and pieces of all words, of at most n characters; a lone unknown character has the piece -1."""
+        if len(self.up) < n + 2:
+            self.up, self.down = (powers(x, 2 * n) for x in (BASE, pow(BASE, -1, 1 << 64)))
+        codes = np.frombuffer("".join(w.ljust(n, "\x00") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
         s = np.zeros((len(words), n + 1), np.uint64)
         np.cumsum(codes * self.up[:n], axis=1, out=s[:, 1:])
         edges = []
@@ -108,64 +117,85 @@ def _forward(edges, n: int, w: int, prob: np.ndarray) -> np.ndarray:
     return a
 
 
-def _long(pieces: Pieces, word: str, prob: np.ndarray) -> np.ndarray:
-    """The forward pass of one word, rescaled at each step."""
-    a, log = [np.ones(prob.shape[1])], np.zeros(prob.shape[1])
-    for j in range(1, len(word) + 1):
-        x = np.zeros(prob.shape[1])
-        for k in range(1, min(len(a), pieces.longest) + 1):
-            p = pieces.index.get(word[j - k : j], -1)
-            if p >= 0 or k == 1:
-                x += a[-k] * prob[p]
-        log += np.log(x)
-        a = [y / x for y in a[-pieces.longest :]] + [np.ones_like(x)]
-    return log
+def _log_forward(edges, n: int, w: int, prob: np.ndarray) -> np.ndarray:
+    """Logarithms of the forward pass: each place relative to the one before, so nothing underflows."""
+    a = np.zeros((n + 1, w, prob.shape[1]))
+    at, x = 0, np.ones((w, prob.shape[1]))
+    for i, j, rows, pieces in edges:
+        if j != at:
+            if at:
+                a[at] = a[at - 1] + np.log(x)
+            at, x = j, np.zeros((w, prob.shape[1]))
+        x[rows] += np.exp(a[i, rows] - a[j - 1, rows]) * prob[pieces]
+    a[n] = a[n - 1] + np.log(x)
+    return a
+
+
+def grouped(words: list[str], languages: int, most: int = 1 << 14) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, places) of groups of words with their mark: of equal length if short, else of at most double length; a group's arrays are of bounded size."""
+    by_length = defaultdict(list)
+    for k, w in enumerate(words):
+        n = len(w) + 1
+        by_length[n if n <= LONG else 1 << (n - 1).bit_length()].append(k)
+    for n, at in sorted(by_length.items()):
+        step = most if n <= LONG else max(1, (1 << 22) // (n * languages))
+        for lo in range(0, len(at), step):
+            part = np.array(at[lo : lo + step])
+            yield max(len(words[k]) + 1 for k in part), part
 
 
 def word_scores(pieces: Pieces, words: list[str], prob: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language."""
-    out, by_length = np.empty((len(words), prob.shape[1])), defaultdict(list)
-    for k, w in enumerate(words):
-        by_length[len(w) + 1].append(k)
-    for n, at in by_length.items():
-        if n > LONG:
-            for k in at:
-                out[k] = _long(pieces, SPACE + words[k], prob)
-            continue
-        for lo in range(0, len(at), 1 << 14):
-            part = at[lo : lo + (1 << 14)]
-            a = _forward(pieces.lattice([SPACE + words[k] for k in part], n), n, len(part), prob)
-            out[part] = np.log(a[n])
+    out = np.empty((len(words), prob.shape[1]))
+    for n, at in grouped(words, prob.shape[1]):
+        marked = [SPACE + words[k] for k in at]
+        edges = pieces.lattice(marked, n)
+        if n <= LONG:
+            out[at] = np.log(_forward(edges, n, len(at), prob)[n])
+        else:
+            out[at] = _log_forward(edges, n, len(at), prob)[[len(w) for w in marked], np.arange(len(at))]
     return out
 
 
+def expected(edges, n: int, sizes: np.ndarray, count: np.ndarray, prob: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces, and how often words of these sizes are expected to use them, count times each."""
+    w = len(count)
+    if n <= LONG:
+        a = _forward(edges, n, w, prob)
+        b = np.zeros_like(a)
+        b[n] = count / a[n]
+        for i, j, rows, found in reversed(edges):
+            b[i, rows] += b[j, rows] * prob[found]
+        for i, j, rows, found in edges:
+            yield found, a[i, rows] * prob[found] * b[j, rows]
+        return
+    a = _log_forward(edges, n, w, prob)
+    at = np.zeros_like(a)  # how often a piece is expected to end at a place
+    at[sizes, np.arange(w)] = count
+    for i, j, rows, found in reversed(edges):
+        used = np.exp(a[i, rows] - a[j, rows]) * prob[found] * at[j, rows]
+        at[i, rows] += used
+        yield found, used
+
+
 def fit(pieces: Pieces, counts: dict[tuple[str, str], int], docs: dict[str, int], rounds: int = 4) -> Model:
     """EM over word counts by (language, word); docs: documents by language, for the prior."""
     languages = sorted(docs)
     where = {x: k for k, x in enumerate(languages)}
-    words = sorted({w for _, w in counts if len(w) < LONG})
+    words = sorted({w for _, w in counts})
     row = {w: k for k, w in enumerate(words)}
     c = np.zeros((len(words), len(languages)))
     for (lang, w), n in counts.items():
-        if w in row:
-            c[row[w], where[lang]] = n
+        c[row[w], where[lang]] = n
     v = len(pieces.texts)
     prob = np.full((v + 1, len(languages)), 1.0 / v)
     prob[v] = UNKNOWN
-    by_length = defaultdict(list)
-    for k, w in enumerate(words):
-        by_length[len(w) + 1].append(k)
-    groups = [(n, at, pieces.lattice([SPACE + words[k] for k in at], n)) for n, at in by_length.items()]
+    groups = [(n, at, pieces.lattice([SPACE + words[k] for k in at], n)) for n, at in grouped(words, len(languages), len(words) or 1)]
     for _ in range(rounds):
         new = np.zeros_like(prob)
         for n, at, edges in groups:
-            a = _forward(edges, n, len(at), prob)
-            b = np.zeros_like(a)
-            b[n] = c[at] / a[n]
-            for i, j, rows, found in reversed(edges):
-                b[i, rows] += b[j, rows] * prob[found]
-            for i, j, rows, found in edges:
-                np.add.at(new, found, a[i, rows] * prob[found] * b[j, rows])
+            for found, used in expected(edges, n, np.array([len(words[k]) + 1 for k in at]), c[at], prob):
+                np.add.at(new, found, used)
         new += 0.05
         prob = new / new[:v].sum(axis=0)
         prob[v] = UNKNOWN
@@ -176,12 +206,13 @@ def fit(pieces: Pieces, counts: dict[tuple[str, str], int], docs: dict[str, int]
 def train(docs: DataFrame, path: str, id_col: str, text_col: str, lang_col: str, sample_docs: int = 400, sample_bytes: int = 20_000) -> Model | None:
     """Model of the rows whose fold is not 0 and whose language is known; None if there are none."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where((crc_fold("id") != 0) & F.col("lang").isNotNull())
-    shares = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
-    if not shares:
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.octet_length("text") <= sample_bytes).alias("short")).collect()  # a row per language
+    if not sizes:
         return None
+    shares = {r["lang"]: r["n"] for r in sizes}
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    # Hashes thin the rows out to about twice the sample before any language's rows meet for ranking.
-    share = F.create_map(*(F.lit(x) for lang, n in shares.items() for x in (lang, min(1.0, 2.0 * sample_docs / n))))
+    # Hashes thin the short rows out to about twice the sample before any language's rows meet for ranking.
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2.0 * sample_docs / max(1, r["short"])))))
     thin = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= F.element_at(share, F.col("lang")) * F.lit(float(1 << 30))
     small = rows.where((F.octet_length("text") <= sample_bytes) & thin).select("lang", "id")
     ids = small.withColumn("k", rank).where(F.col("k") <= sample_docs).select("id").distinct()

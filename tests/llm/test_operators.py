@@ -275,19 +275,98 @@ def test_language_id(docs, rows, empty, spark):
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
 
 
-def test_forward_sums_all_segmentations():
+def log_passes(index, word, prob, lang):
+    """Logarithms of the sums over all segmentations of each beginning and of each end of a word."""
+    p = lambda i, j: math.log(prob[index.get(word[i:j], -1)][lang])
+    edge = lambda i, j: word[i:j] in index or j == i + 1
+    n = len(word)
+    longest = max(map(len, index))
+    a, b = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for j in range(1, n + 1):
+        a[j] = np.logaddexp.reduce([a[i] + p(i, j) for i in range(max(0, j - longest), j) if edge(i, j)])
+    for i in range(n - 1, -1, -1):
+        b[i] = np.logaddexp.reduce([b[j] + p(i, j) for j in range(i + 1, min(n, i + longest) + 1) if edge(i, j)])
+    return a, b, [(i, j, p(i, j)) for j in range(1, n + 1) for i in range(max(0, j - longest), j) if edge(i, j)]
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
+    """Short and long words against a sum over each way to cut them, one by one."""
+    for long in (24, 5):
+        monkeypatch.setattr(language_id, "LONG", long)
+        pieces = language_id.Pieces(PIECES)
+        rng = np.random.default_rng(1)
+        prob = rng.random((len(pieces.texts) + 1, 2)) / 100
+        words = ["tone", "a", "zürich", "漢字x", "contours", "reading", "the", "contour"]
+
+        def cuts(w):
+            if not w:
+                yield []
+            for k in range(1, len(w) + 1):
+                if w[:k] in pieces.index or k == 1:
+                    for rest in cuts(w[k:]):
+                        yield [w[:k], *rest]
+
+        want = [np.log(sum(np.prod([prob[pieces.index.get(p, -1)] for p in way], axis=0) for way in cuts(language_id.SPACE + w))) for w in words]
+        assert np.allclose(language_id.word_scores(pieces, words, prob), want)
+    words = ["reading" * 400, "漢字" * 33, "x" * 5000]
+    assert np.allclose(language_id.word_scores(pieces, words, prob), [[log_passes(pieces.index, language_id.SPACE + w, prob, k)[0][-1] for k in (0, 1)] for w in words])
+
+
+def fitted(pieces, counts, langs, rounds=4):
+    """Expectation-maximisation, word by word and edge by edge."""
+    v = len(pieces.texts)
+    prob = np.full((v + 1, len(langs)), 1.0 / v)
+    prob[v] = language_id.UNKNOWN
+    for _ in range(rounds):
+        new = np.full((v + 1, len(langs)), 0.05)
+        for (lang, w), c in counts.items():
+            k = langs.index(lang)
+            a, b, edges = log_passes(pieces.index, language_id.SPACE + w, prob, k)
+            for i, j, p in edges:
+                new[pieces.index.get((language_id.SPACE + w)[i:j], -1), k] += c * math.exp(a[i] + p + b[j] - a[-1])
+        prob = new / new[:v].sum(axis=0)
+        prob[v] = language_id.UNKNOWN
+    return prob
+
+
+@pytest.mark.parametrize("long", [24, 5])
+def test_language_model_and_posterior(spark, monkeypatch, long):
+    """The fit and the predictions against plain expectation-maximisation and Bayes' rule; long words and texts without spaces, too."""
+    monkeypatch.setattr(language_id, "LONG", long)
     pieces = language_id.Pieces(PIECES)
-    rng = np.random.default_rng(1)
-    prob = rng.random((len(pieces.texts) + 1, 2)) / 100
-    words = ["tone", "a", "zürich", "漢字x", "contours", "reading" * 5]
-
-    def brute(w):
-        total = [np.ones(2)]
-        for j in range(1, len(w) + 1):
-            total.append(sum((total[i] * prob[pieces.index.get(w[i:j], -1)] for i in range(j) if w[i:j] in pieces.index or i == j - 1), np.zeros(2)))
-        return np.log(total[-1])
-
-    assert np.allclose(language_id.word_scores(pieces, words, prob), [brute(language_id.SPACE + w) for w in words])
+    rng = random.Random(8)
+    vocab = {"en": ["the", "reading", "tone", "of"], "de": ["der", "lesen", "ton", "von"], "zz": ["漢字" * 9, "字漢漢" * 7, "thelesen" * 5]}
+    rows = [(i, None if i == 7 else " ".join(rng.choices(vocab[lang], k=rng.randrange(1, 7))), lang) for i, lang in enumerate(rng.choices(sorted(vocab), k=60))]
+    rows += [(100 + i, "".join(rng.choices(vocab["en"], k=3)), None) for i in range(5)]
+    train = [r for r in rows if r[2] and common.crc_fold_of(r[0]) != 0]
+    counts, docs = Counter((lang, w) for _, t, lang in train for w in (t or "").lower().split()), Counter(r[2] for r in train)
+    langs = sorted(docs)
+    prob = fitted(pieces, counts, langs)
+    assert np.allclose(language_id.fit(pieces, counts, docs).prob, prob, rtol=1e-9)
+    if long != 24:  # the workers have the module's own value
+        return
+    out = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES).collect()}
+    for i, t, _ in rows:
+        if not t:
+            assert (out[i]["lang_pred"], out[i]["score"]) == ("und", 0.0)
+            continue
+        log = [math.log(docs[x] / len(train)) + sum(log_passes(pieces.index, language_id.SPACE + w, prob, k)[0][-1] for w in t.lower().split()) for k, x in enumerate(langs)]
+        p = np.exp(np.array(log) - max(log))
+        p /= p.sum()
+        assert out[i]["lang_pred"] == langs[int(p.argmax())] and math.isclose(out[i]["score"], p.max(), rel_tol=1e-6)
+
+
+def test_the_sample_is_bounded_and_counts_short_documents(spark):
+    rows = [(i, "the tone " + ("x " * 9000 if i % 3 else str(i)), "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    fit = language_id.fit
+    try:
+        language_id.fit = lambda pieces, counts, docs, rounds=4: seen.update(n=counts["en", "the"], docs=docs)
+        language_id.train(docs, PIECES, "doc_id", "text", "lang", sample_docs=20, sample_bytes=100)
+    finally:
+        language_id.fit = fit
+    assert seen == {"n": 20, "docs": {"en": sum(common.crc_fold_of(i) != 0 for i in range(300))}}
 
 
 def test_held_out_languages(spark):
