@@ -22,9 +22,10 @@ No model is gathered whole anywhere:
    and runs; the shards answer with counts and log probabilities.
 3. The block scores its documents from the answers.
 
-A hot word is one entry in a pack, not a row per use. Shards that hold runs
-answer at most ``blocks_at_once`` blocks in a task; word shards grow in number
-with the corpus.
+A hot word is one entry in a pack, not a row per use. Shards grow in number with
+the corpus, one for each ``SHARD_BYTES`` of training text, up to ``MOST_SHARDS``:
+from there on a shard grows as the distinct words and runs do, far slower than
+the text. A shard answers at most ``BLOCKS_AT_ONCE`` blocks in a task.
 
 Texts are lowered A-Z. A null or empty text is the end alone. A null id is not
 held out and not learned from. With nothing to learn from, counts are zero.
@@ -53,6 +54,7 @@ DEPTH = 5
 END = 0xFF  # in no UTF-8 text: ends a text and fills the context before it
 BLOCK_BYTES = 12 << 20
 BLOCKS_AT_ONCE = 1024
+SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 16 << 20, 64, 4096
 #: Packs of a shard that are merged at once.
 MERGED_AT_ONCE = 1024
 #: Bytes whose runs are counted at once.
@@ -288,7 +290,7 @@ def _requests(packs: Packs):
         keys = counted(np.concatenate(found))[0]
         rows = [(s, Packs.words_out(ws)) for s, ws in packs.by_word(words).items()] + [(s, Packs.runs_out(keys[at])) for s, at in packs.by_run(keys)]
         block = group.column("block")[0].as_py()
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([block // BLOCKS_AT_ONCE if r[0] >= packs.words else 0 for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "asked": pa.array([r[1] for r in rows], pa.binary())})
+        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([block // BLOCKS_AT_ONCE] * len(rows), pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "asked": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
 
@@ -310,7 +312,7 @@ def _answers(packs: Packs, above):
             none = np.empty(0, np.uint64), np.empty(0, np.int64)
             tree = Tree(*((Packs.runs_in(keys), Packs.values_in(counts)) if keys is not None else none))
             for pack in asked.column("asked").to_pylist():
-                said.append(Packs.values_out(tree.log10(Packs.runs_in(pack), above.value).astype(np.float32)))
+                said.append(Packs.values_out(tree.log10(Packs.runs_in(pack), above.value)))
         return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "asked": asked.column("asked"), "said": pa.array(said, pa.binary())})
 
     return run
@@ -327,13 +329,13 @@ def _scores(packs: Packs, total: int, distinct: int):
                 count.update(zip(Packs.words_in(asked), Packs.values_in(said).tolist(), strict=True))
             else:
                 keys.append(Packs.runs_in(asked))
-                logs.append(Packs.values_in(said, np.float32))
+                logs.append(Packs.values_in(said, np.float64))
         index, logs = pd.Index(np.concatenate(keys)) if keys else None, np.concatenate(logs) if logs else None
         out, end = [], count.get(b"", 0)
         for part in chunks(docs.column("body").to_pylist()):
             part = [x.lower() for x in part]
             key, starts = runs(part)
-            score = np.add.reduceat(logs[index.get_indexer(key)].astype(np.float64), starts[:-1])
+            score = np.add.reduceat(logs[index.get_indexer(key)], starts[:-1])
             for x, s in zip(part, score.tolist(), strict=True):
                 words = x.split()
                 c = np.fromiter(map(count.__getitem__, words), np.int64, len(words))
@@ -346,13 +348,15 @@ def _scores(packs: Packs, total: int, distinct: int):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, run_shards: int = 64) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shards: int | None = None) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and bits_per_byte of each row."""
     spark = docs.sparkSession
     tables = Tables(spark, "lm")
     rows = prepared(docs, id_col, text_col)
-    blocks = max(1, -(-text_bytes(rows) // block_bytes))
-    packs = Packs(max(16, blocks), run_shards)
+    size = text_bytes(rows)
+    blocks = max(1, -(-size // block_bytes))
+    shards = shards or max(LEAST_SHARDS, min(MOST_SHARDS, -(-size // SHARD_BYTES)))
+    packs = Packs(max(16, shards // 4), shards)
     learned = rows.where((F.col("id") != NULL_ID) & (crc_fold("id") != 1)).select("body")
     sent = learned.mapInArrow(_count_task(packs), "shard int, part long, keys binary, counts binary")
     merged, tasks = "shard int, part long, keys binary, counts binary, total long, distinct long", 4 * blocks  # tasks: of three MB or more
@@ -360,20 +364,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
         sent = sent.withColumn("part", F.floor(F.col("part") / MERGED_AT_ONCE)).groupBy("shard", "part").applyInArrow(_merge(packs), merged)
         tasks = -(-tasks // MERGED_AT_ONCE)
     counts = tables.put("counts", sent.groupBy("shard").applyInArrow(_merge(packs), merged))
-    size = counts.where(F.col("shard") < packs.words).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    tokens = counts.where(F.col("shard") < packs.words).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tops = counts.where(F.col("shard") >= packs.words).select("keys", "counts").mapInArrow(_tops, "last int, node int, zeros long, ones long, weighted double")
     tops = tops.groupBy("last", "node").agg(*(F.sum(c) for c in ("zeros", "ones", "weighted"))).collect()  # at most 256 x 255 rows
     above = spark.sparkContext.broadcast(upper([tuple(r) for r in tops]))
 
     dealt = rows.select("id", "body", F.pmod(F.xxhash64("id", "tkey"), F.lit(blocks)).alias("block"))
     asked = dealt.groupBy("block").applyInArrow(_requests(packs), "shard int, part long, block long, asked binary")
-    parts = F.when(F.col("shard") >= packs.words, F.sequence(F.lit(0), F.lit((blocks - 1) // BLOCKS_AT_ONCE))).otherwise(F.array(F.lit(0)))
-    held = counts.select("shard", F.explode(parts.cast("array<long>")).alias("part"), "keys", "counts")
+    parts = F.sequence(F.lit(0), F.lit((blocks - 1) // BLOCKS_AT_ONCE)).cast("array<long>")
+    held = counts.select("shard", F.explode(parts).alias("part"), "keys", "counts")
     said = asked.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(_answers(packs, above), "block long, shard int, asked binary, said binary")
     schema = "id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
-    scored = dealt.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(_scores(packs, size[0], size[1]), schema)
+    scored = dealt.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(_scores(packs, tokens[0], tokens[1]), schema)
     return scored.select(
         restored().alias(id_col),
         F.coalesce((F.col("id") != NULL_ID) & (crc_fold("id") == 1), F.lit(False)).alias("held_out"),
-        "n_tokens", "n_known", F.lit(size[0]).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte",
+        "n_tokens", "n_known", F.lit(tokens[0]).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte",
     )

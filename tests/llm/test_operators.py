@@ -419,14 +419,15 @@ def test_lm_scoring(docs, rows, empty, monkeypatch):
         w = [*text(r[1]).lower().split(), b""]
         want[(r[0], r[0] is not None and common.crc_fold_of(r[0]) == 1, len(w), sum(c[x] > 0 for x in w), n)].append((sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), log10(r[1])))
     have = defaultdict(list)
-    for r in lm_scoring.score(docs, block_bytes=2000, run_shards=5).collect():
+    for r in lm_scoring.score(docs, block_bytes=2000, shards=5).collect():
         have[(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"])].append((r["base_score"], r["score"]))
     assert want.keys() == have.keys()
     for k in want:
-        assert np.allclose(sorted(want[k]), sorted(have[k]), rtol=1e-6)
+        assert np.allclose(sorted(want[k]), sorted(have[k]), rtol=1e-9)
     assert lm_scoring.score(empty).count() == 0
     monkeypatch.setattr(lm_scoring, "MERGED_AT_ONCE", 2)
-    again = {(r["doc_id"], r["n_known"], round(r["score"], 3)) for r in lm_scoring.score(docs, block_bytes=20_000, run_shards=3).collect()}
+    monkeypatch.setattr(lm_scoring, "BLOCKS_AT_ONCE", 1)
+    again = {(r["doc_id"], r["n_known"], round(r["score"], 3)) for r in lm_scoring.score(docs, block_bytes=20_000, shards=3).collect()}
     assert again == {(k[0], k[3], round(s, 3)) for k, v in have.items() for _, s in v}
 
 
