@@ -15,10 +15,12 @@ histogram turn a row's place in its partition into its rank, so no length, even
 one that holds a third of all rows, is gathered in a task. The plan and the
 counts are broadcast; both are bounded (capacity, partitions).
 
-An item of more than the largest capacity is cut into full pieces and a rest;
-nothing is dropped. A document's length is its words and one end token. A null
-or empty text is one token. Rows with equal ids are packed one by one. An empty
-table gives no rows; extra columns are left behind.
+A document's items are its token ids, by the tokenizer that the token output
+uses, and one end id. More ids than the largest capacity are cut into full
+pieces and a rest; nothing is dropped. ``pack`` gives each item's place,
+``sequences`` the bins with their contents, which a bin's capacity bounds. A
+null or empty text is the end id alone. Rows with equal ids are packed one by
+one. An empty table gives no rows; extra columns are left behind.
 """
 
 from __future__ import annotations
@@ -30,13 +32,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, partitions, prepared, restored
+from .token_output import encoder_of
 
 CAPACITIES = (256, 512, 1024, 2048)
 OVERHEAD = 16
+ITEM = ["id", "tkey", "piece", "length", "ids"]
 
 
 @dataclass
@@ -99,26 +104,37 @@ def plan(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES, over
     return out
 
 
-def items(docs: DataFrame, largest: int) -> DataFrame:
-    """id, tkey, piece and length of the items of prepared rows."""
+def items(docs: DataFrame, largest: int, path: str, end_id: int, with_ids: bool) -> DataFrame:
+    """id, tkey, piece, length and, if wanted, ids (serialized, compressed) of the items of prepared rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, packer = encoder_of(path), zstandard.ZstdCompressor(level=1)
+        end = np.array([end_id], encoder.kind)
         for b in batches:
-            n = np.array([len(x.split()) + 1 for x in b.column(2).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n)], ["id", "tkey", "n"])
-
-    sized = docs.select("id", "tkey", "body").mapInArrow(run, "id long, tkey long, n long")
-    pieces = sized.select("id", "tkey", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {largest}"))).alias("piece"))
-    return pieces.select("id", "tkey", "piece", F.least(F.lit(largest), F.col("n") - F.col("piece") * largest).cast("int").alias("length"))
-
-
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD) -> DataFrame:
-    """id_col, piece, length, bin_id, bin_capacity, bin_offset of each item of docs."""
+            for lo in range(0, b.num_rows, 5000):
+                part = b.slice(lo, 5000)
+                got = encoder(part.column(2).cast(pa.string()))
+                sizes = np.array([len(x) + 1 for x in got], np.int64)
+                pieces = -(-sizes // largest)
+                row = np.repeat(np.arange(len(got)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.minimum(largest, sizes[row] - piece * largest)
+                cols = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(piece), pa.array(length.astype(np.int32))]
+                if with_ids:
+                    whole = [np.concatenate([x, end]) for x in got]
+                    cols.append(pa.array([packer.compress(whole[r][k * largest : (k + 1) * largest].tobytes()) for r, k in zip(row.tolist(), piece.tolist(), strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, ITEM[: len(cols)])
+
+    return docs.select("id", "tkey", "body").mapInArrow(run, "id long, tkey long, piece long, length int" + ", ids binary" * with_ids)
+
+
+def placed_items(docs: DataFrame, path: str, id_col: str, text_col: str, capacities: Sequence[int], overhead: float, end_id: int, with_ids: bool) -> DataFrame:
+    """id, piece, length, bin_id, bin_capacity, bin_offset (and ids) of each item of docs."""
     spark = docs.sparkSession
     tables = Tables(spark, "packing")
-    found = tables.put("items", items(prepared(docs, id_col, text_col), max(capacities)))
+    found = tables.put("items", items(prepared(docs, id_col, text_col), max(capacities), path, end_id, with_ids))
     histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # at most the largest capacity
-    n = partitions(spark, 40 * sum(histogram.values()))
+    n = partitions(spark, 40 * sum(histogram.values()) + with_ids * sum(n * k for n, k in histogram.items()))
     key = [F.desc("length"), F.asc("id"), F.asc("tkey"), F.asc("piece")]
     ordered = found.repartitionByRange(n, *key).sortWithinPartitions(*key)
     # A task's rows are numbered from the task's number times 2**33.
@@ -147,7 +163,30 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             bins = seg[s, 3] + nth // seg[s, 4]
             offset = seg[s, 5] + nth % seg[s, 4] * length
             size = span[np.searchsorted(span[:, 0], bins, "right") - 1, 2]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(bins), pa.array(size.astype(np.int32)), pa.array(offset.astype(np.int32))], ["id", "piece", "length", "bin_id", "bin_capacity", "bin_offset"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(bins), pa.array(size.astype(np.int32)), pa.array(offset.astype(np.int32)), *b.columns[6:]], ["id", "piece", "length", "bin_id", "bin_capacity", "bin_offset", "ids"][: b.num_columns])
 
-    out = placed.select("id", "tkey", "piece", "length", "task", "row").mapInArrow(run, "id long, piece long, length int, bin_id long, bin_capacity int, bin_offset int")
+    schema = "id long, piece long, length int, bin_id long, bin_capacity int, bin_offset int" + ", ids binary" * with_ids
+    return placed.select("id", "tkey", "piece", "length", "task", "row", *["ids"] * with_ids).mapInArrow(run, schema)
+
+
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD, end_id: int = 0) -> DataFrame:
+    """id_col, piece, length, bin_id, bin_capacity, bin_offset of each item of docs."""
+    out = placed_items(docs, path, id_col, text_col, capacities, overhead, end_id, with_ids=False)
     return out.select(restored().alias(id_col), "piece", "length", "bin_id", "bin_capacity", "bin_offset")
+
+
+def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD, end_id: int = 0) -> DataFrame:
+    """bin_id, bin_capacity, doc_ids, offsets (where each document's piece begins) and ids (all token ids, in order) of each bin."""
+    kind = encoder_of(path).kind.str
+    found = placed_items(docs, path, id_col, text_col, capacities, overhead, end_id, with_ids=True)
+    bins = found.groupBy("bin_id", "bin_capacity").agg(F.sort_array(F.collect_list(F.struct("bin_offset", restored().alias("id"), "ids"))).alias("held"))  # at most the capacity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+        for b in batches:
+            held = [[x.values() for x in h] for h in b.column(2).to_pylist()]
+            offsets, docs, packed = ([[list(x)[k] for x in h] for h in held] for k in range(3))
+            ids = [np.concatenate([np.frombuffer(unpacker.decompress(x), kind) for x in p]).astype(np.int32) for p in packed]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(docs, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32()))], ["bin_id", "bin_capacity", "doc_ids", "offsets", "ids"])
+
+    return bins.mapInArrow(run, "bin_id long, bin_capacity int, doc_ids array<long>, offsets array<int>, ids array<int>")

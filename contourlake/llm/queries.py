@@ -28,7 +28,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer("byte_bpe_50k.json"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

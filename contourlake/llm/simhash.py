@@ -62,7 +62,8 @@ LOST = 0.005
 BLOCK = 1 << 14
 #: Pairs whose distance is computed at once.
 PAIRS = 1 << 20
-LANES = np.uint64(0x0101010101010101)
+#: Rows of a half up to which all its pairs are looked at in turn.
+SMALL = 24
 
 
 @dataclass(frozen=True)
@@ -99,10 +100,10 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def set_bits(h: np.ndarray) -> np.ndarray:
-    """How many of the numbers in h have each bit, from bit 0 on: eight counters in each of eight words, 255 rows at a time."""
-    cuts = np.arange(0, len(h), 255)
-    lanes = np.stack([np.add.reduceat(h >> np.uint64(k) & LANES, cuts) for k in range(8)], axis=1)
-    return lanes.astype("<u8").view(np.uint8).reshape(len(cuts), 8, 8).sum(axis=0, dtype=np.int64).T.ravel()
+    """How many of the rows of words have each bit, from bit 0 of the first word on; bytes count up to 255 rows at a time."""
+    ones = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").view(np.uint64)
+    sums = np.add.reduceat(ones, np.arange(0, len(h), 255), axis=0)
+    return sums.view(np.uint8).reshape(len(sums), -1).sum(axis=0, dtype=np.int64)
 
 
 def fingerprint(body: bytes, shingle: int = 3, bits: int = 64) -> bytes:
@@ -111,14 +112,13 @@ def fingerprint(body: bytes, shingle: int = 3, bits: int = 64) -> bytes:
     if not words:
         return bytes(bits // 8)
     n = max(1, len(words) - shingle + 1)
-    sums = np.zeros((bits // 64, 64), np.int64)
+    sums = np.zeros(bits, np.int64)
     for at in range(0, n, SLICE):
         part = words[at : at + SLICE + shingle - 1]
         grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
         h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
-        for k in range(len(sums)):
-            sums[k] += set_bits(mixed(h, k))
-    return np.packbits((sums * 2 > n)[:, ::-1]).tobytes()
+        sums += set_bits(np.stack([mixed(h, k) for k in range(bits // 64)], axis=1))
+    return np.packbits((sums * 2 > n).reshape(-1, 64)[:, ::-1]).tobytes()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64) -> DataFrame:
@@ -227,8 +227,8 @@ def linked(words: np.ndarray, rest: np.ndarray, half: int, max_bits: int) -> tup
     return edges + merging(looked_up(words, rest, queries, pivot, half, max_bits), pivot), pivot
 
 
-def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[pa.Array]]:
-    """Columns of each run of rows with equal first n_keys columns."""
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+    """Columns of stretches of whole groups (rows with equal first n_keys columns), and where the groups begin and the last one ends."""
     held: pa.Table | None = None
     for b in batches:
         if not b.num_rows:
@@ -238,12 +238,23 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[pa.A
         keys = [held.column(k).to_numpy() for k in range(n_keys)]
         cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
         if len(cuts):
-            whole = held.combine_chunks()
-            for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-                yield [c.chunk(0).slice(lo, hi - lo) for c in whole.columns]
-            held = whole.slice(int(cuts[-1]))
+            yield [c.chunk(0) for c in held.slice(0, int(cuts[-1])).combine_chunks().columns], np.r_[0, cuts]
+            held = held.slice(int(cuts[-1]))
     if held is not None:
-        yield [c.chunk(0) for c in held.combine_chunks().columns]
+        yield [c.chunk(0) for c in held.combine_chunks().columns], np.array([0, held.num_rows])
+
+
+def small_pairs(words: np.ndarray, bounds: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Edges that connect whatever is within max_bits in each group of at most SMALL rows: all rows against the next, the one after it and so on."""
+    sizes = np.diff(bounds)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    live = sizes[of] <= SMALL
+    found = []
+    for lag in range(1, min(SMALL, int(sizes[sizes <= SMALL].max(initial=1)))):
+        at = np.flatnonzero(live[:-lag] & (of[lag:] == of[:-lag]))
+        near = at[distance(words[at], words[at + lag]) <= max_bits]
+        found.append((near, near + lag))
+    return merging(iter(found), np.arange(len(words)))
 
 
 EDGE = "key long, n long, a binary, b binary"
@@ -264,31 +275,35 @@ def links(tables: Tables, fps: DataFrame, shape: Shape) -> DataFrame:
             own = np.unique(pivot[pivot != np.arange(len(fp))])
             return [(key, len(fp), None, None)] + [(key, None, fp[int(p)].as_py(), None) for p in own]
 
-        rows: list[tuple] = []
-        last = None
-        for key, rest, fp in groups(batches, 1):
-            pivot = np.zeros(1, np.int64)
-            if len(fp) > 1:
-                edges, pivot = linked(as_words(fp, shape.bits), rest.to_numpy(), half, shape.max_bits)
-                rows += [(None, None, fp[int(i)].as_py(), fp[int(j)].as_py()) for i, j in edges]
-            if last is None:
-                rows += end(key[0].as_py(), fp, pivot)
-                last = ()
-            else:
-                last = key[0].as_py(), fp, pivot
-            if len(rows) > 10_000:
-                yield _batch(rows)
-                rows = []
-        yield _batch(rows + (end(*last) if last else []))
+        first, last = True, None
+        for (key, rest, fp), bounds in groups(batches, 1):
+            words, rests = as_words(fp, shape.bits), rest.to_numpy()
+            edges, sizes, pivot = small_pairs(words, bounds, shape.max_bits), np.diff(bounds), np.arange(len(fp))
+            for g in np.flatnonzero(sizes > SMALL):
+                lo, hi = bounds[g], bounds[g + 1]
+                found, own = linked(words[lo:hi], rests[lo:hi], half, shape.max_bits)
+                edges += [(lo + i, lo + j) for i, j in found]
+                pivot[lo:hi] = lo + own
+            rows = [(None, None, fp[int(i)].as_py(), fp[int(j)].as_py()) for i, j in edges]
+            whole = [(key[int(lo)].as_py(), fp.slice(lo, hi - lo), pivot[lo:hi] - lo) for lo, hi in ((bounds[0], bounds[1]), (bounds[-2], bounds[-1]))]
+            if first:
+                rows += end(*whole[0])
+            if not first or len(sizes) > 1:
+                last = whole[1]
+            first = False
+            yield _batch(rows)
+        yield _batch(end(*last) if last else [])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Edges between a block's rows outside the largest component (role 0) and all of another block."""
-        for _, _, _, role, rest, fp, comp in groups(batches, 3):
-            queries = np.flatnonzero(role.to_numpy() == 0)
-            if len(queries) and len(queries) < len(fp):
-                group = np.unique(np.array(comp.to_pylist(), object), return_inverse=True)[1]
-                found = merging(looked_up(as_words(fp, shape.bits), rest.to_numpy(), queries, group, half, shape.max_bits), group)
-                yield _batch([(None, None, fp[i].as_py(), fp[j].as_py()) for i, j in found])
+        for (_, _, _, role, rest, fp, comp), bounds in groups(batches, 3):
+            words, rests, roles = as_words(fp, shape.bits), rest.to_numpy(), role.to_numpy()
+            names = np.unique(np.array(comp.to_pylist(), object), return_inverse=True)[1]
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                queries = np.flatnonzero(roles[lo:hi] == 0)
+                if len(queries) and len(queries) < hi - lo:
+                    found = merging(looked_up(words[lo:hi], rests[lo:hi], queries, names[lo:hi], half, shape.max_bits), names[lo:hi])
+                    yield _batch([(None, None, fp[lo + i].as_py(), fp[lo + j].as_py()) for i, j in found])
 
     rows = table_rows(fps, shape)
     n = partitions(spark, fps.count() * 2 * shape.tables * (shape.bits // 8 + 40))

@@ -61,8 +61,8 @@ def test_fingerprints_slice_long_texts(monkeypatch):
     assert whole[:8] == simhash.fingerprint(body, 5) and len(set(whole)) > 10
     monkeypatch.setattr(simhash, "SLICE", 7)
     assert simhash.fingerprint(body, 5, 192) == whole
-    h = np.random.default_rng(1).integers(0, 1 << 64, 700, np.uint64)
-    assert simhash.set_bits(h).tolist() == [int((h >> np.uint64(k) & np.uint64(1)).sum()) for k in range(64)]
+    h = np.random.default_rng(1).integers(0, 1 << 64, (700, 2), np.uint64)
+    assert simhash.set_bits(h).tolist() == [int((h[:, w] >> np.uint64(k) & np.uint64(1)).sum()) for w in range(2) for k in range(64)]
 
 
 def test_shapes():
@@ -112,7 +112,7 @@ def test_links_of_hot_halves(spark, bits, monkeypatch):
     assert len(set(coarse)) > 20 and (bits > 64 or fine == coarse)
     fps = spark.createDataFrame([(bytearray(v.to_bytes(bits // 8, "big")),) for v in values], "fp binary")
     at = {v.to_bytes(bits // 8, "big"): k for k, v in enumerate(values)}
-    for parts, block in (("2", 1 << 14), ("40", 16)):
+    for parts, block in (("2", 1 << 14), ("40", 16), ("40", 1 << 14)):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         monkeypatch.setattr(simhash, "BLOCK", block)
         try:
@@ -499,18 +499,31 @@ def filled(rows):
 
 def test_packing(docs, rows, empty):
     caps, overhead = (16, 32, 64), 4
-    out = packing.pack(docs, capacities=caps, overhead=overhead).collect()
+    out = packing.pack(docs, BPE, capacities=caps, overhead=overhead).collect()
+    model = Tokenizer.from_file(BPE)
+    ids = [[*model.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in rows]
     lengths = []
-    for r in rows:
-        n = len(text(r[1]).split()) + 1
-        lengths += [64] * ((n - 1) // 64) + [n - (n - 1) // 64 * 64]
+    for x in ids:
+        lengths += [64] * ((len(x) - 1) // 64) + [len(x) - (len(x) - 1) // 64 * 64]
     assert filled((r["bin_id"], r["bin_capacity"], r["bin_offset"], r["length"]) for r in out) == best_fit(lengths, caps, overhead)
     by_doc, want = Counter(), Counter()
     for r in out:
         by_doc[r["doc_id"]] += r["length"]
-    for r in rows:
-        want[r[0]] += len(text(r[1]).split()) + 1
-    assert by_doc == want and packing.pack(empty).count() == 0
+    for r, x in zip(rows, ids, strict=True):
+        want[r[0]] += len(x)
+    assert by_doc == want and packing.pack(empty, BPE).count() == 0
+    bins = packing.sequences(docs, BPE, capacities=caps, overhead=overhead).collect()
+    pieces, cut = Counter(), Counter()
+    for b in bins:
+        assert len(b["ids"]) <= b["bin_capacity"] and b["offsets"][0] == 0
+        for i, lo, hi in zip(b["doc_ids"], b["offsets"], [*b["offsets"][1:], len(b["ids"])], strict=True):
+            pieces[(i, tuple(b["ids"][lo:hi]))] += 1
+    for r, x in zip(rows, ids, strict=True):
+        for k in range(0, len(x), 64):
+            cut[(r[0], tuple(x[k : k + 64]))] += 1
+    assert pieces == cut
+    assert sorted((b["bin_capacity"], len(b["ids"])) for b in bins) == sorted((c, sum(v)) for c, v in best_fit(lengths, caps, overhead))
+    assert packing.sequences(empty, BPE).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(30))
