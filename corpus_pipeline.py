@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from contourlake.llm import decontamination, line_dedup, packing, quality_rules, simhash
 from contourlake.llm.common import Tables
+from contourlake.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.sequences(docs, tokenizer("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("leaks", leaks), ("packed", packed)]
