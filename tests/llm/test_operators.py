@@ -191,20 +191,30 @@ def test_a_hot_line_is_settled_across_cuts(spark):
         assert drop == {x[2:5] for x in hot}
 
 
-def test_substring_dedup(docs, rows, empty):
+@pytest.mark.parametrize("length", [50, 30, 7])
+def test_substring_dedup(docs, rows, empty, length):
     words = [text(r[1]).split() for r in rows]
     low = lambda x: -1 if x is None else x
     first = {}
     for r, w in sorted(zip(rows, words, strict=True), key=lambda x: low(x[0][0])):
-        for k in range(len(w) - 49):
-            first.setdefault(tuple(w[k : k + 50]), low(r[0]))
+        for k in range(len(w) - length + 1):
+            first.setdefault(tuple(w[k : k + length]), low(r[0]))
     want = Counter()
     for r, w in zip(rows, words, strict=True):
-        gone = {j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < low(r[0]) for j in range(k, k + 50)}
+        gone = {j for k in range(len(w) - length + 1) if first[tuple(w[k : k + length])] < low(r[0]) for j in range(k, k + length)}
         want[(r[0], len(w), len(gone), sha(b" ".join(x for j, x in enumerate(w) if j not in gone)))] += 1
     assert sum(1 for k in want if k[2]) > 3
-    assert got(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want
-    assert substring_dedup.remove_repeats(empty).count() == 0
+    assert got(substring_dedup.remove_repeats(docs, length=length), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    assert substring_dedup.remove_repeats(empty, length=length).count() == 0
+
+
+def test_window_lengths_double():
+    assert substring_dedup.levels(50) == [13, 25, 50] and substring_dedup.levels(7) == [7] and substring_dedup.levels(200) == [13, 25, 50, 100, 200]
+
+
+def test_substrings_without_candidates(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(80))) for i in range(5)], "doc_id long, text string")
+    assert {(r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup.remove_repeats(docs).collect()} == {(80, 0, None)}
 
 
 def test_quality_rules(docs, rows, empty):
