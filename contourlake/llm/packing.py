@@ -9,11 +9,14 @@ token: ``cost(c) = c + overhead`` over what a bin of that size can hold of the
 items still to come. At the end each bin is downsized to the smallest permitted
 length that holds its contents.
 
-Documents then find their bins by their rank among items of their length. Ranks
-come from a range partitioning by (length, id): a count per partition and the
-histogram turn a row's place in its partition into its rank, so no length, even
-one that holds a third of all rows, is gathered in a task. The plan and the
-counts are broadcast; both are bounded (capacity, partitions).
+Items then find their bins by their rank among items of their length. The task
+that cuts a document numbers its own items of each length; counts by task and
+length, summed over the tasks before, turn that into a rank, so neither texts
+nor ids are sorted, and no length, even one that holds a third of all rows, is
+gathered in a task. Items of equal length so take places in the order in which
+they were written. The counts go to the tasks if they are at most
+``MOST_COUNTS``, else they meet the items in a shuffled join; the plan is
+bounded by the capacity.
 
 A document's items are its token ids, by the tokenizer that the token output
 uses, and one end id. More ids than the largest capacity are cut into full
@@ -33,15 +36,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, partitions, prepared, restored
-from .token_output import encoder_of
+from .common import Tables, prepared, restored
+from .token_output import encoder_of, stretches
 
 CAPACITIES = (256, 512, 1024, 2048)
 OVERHEAD = 16
-ITEM = ["id", "tkey", "piece", "length", "ids"]
+#: Counts by task and length up to which they are broadcast: some 64 MB.
+MOST_COUNTS = 1 << 21
+ITEM = ["id", "piece", "length", "task", "nth", "ids"]
 
 
 @dataclass
@@ -105,27 +111,31 @@ def plan(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES, over
 
 
 def items(docs: DataFrame, largest: int, path: str, end_id: int, with_ids: bool) -> DataFrame:
-    """id, tkey, piece, length and, if wanted, ids (serialized, compressed) of the items of prepared rows."""
+    """id, piece, length, task, nth (of the task's items of this length) and, if wanted, ids (serialized, compressed) of the items of prepared rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = encoder_of(path), zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], encoder.kind)
+        encoder, packer, task = encoder_of(path), zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
+        end, seen = np.array([end_id], encoder.kind), np.zeros(largest + 1, np.int64)
         for b in batches:
-            for lo in range(0, b.num_rows, 5000):
-                part = b.slice(lo, 5000)
+            for part in stretches(b, 2):
                 got = encoder(part.column(2).cast(pa.string()))
                 sizes = np.array([len(x) + 1 for x in got], np.int64)
                 pieces = -(-sizes // largest)
                 row = np.repeat(np.arange(len(got)), pieces)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 length = np.minimum(largest, sizes[row] - piece * largest)
-                cols = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(piece), pa.array(length.astype(np.int32))]
+                order = np.argsort(length, kind="stable")
+                first = np.r_[0, np.flatnonzero(np.diff(length[order])) + 1]
+                nth = np.empty(len(row), np.int64)
+                nth[order] = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) + seen[length[order]]
+                seen += np.bincount(length, minlength=largest + 1)
+                cols = [part.column(0).take(pa.array(row)), pa.array(piece), pa.array(length.astype(np.int32)), pa.array(np.full(len(row), task, np.int32)), pa.array(nth)]
                 if with_ids:
                     whole = [np.concatenate([x, end]) for x in got]
                     cols.append(pa.array([packer.compress(whole[r][k * largest : (k + 1) * largest].tobytes()) for r, k in zip(row.tolist(), piece.tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ITEM[: len(cols)])
 
-    return docs.select("id", "tkey", "body").mapInArrow(run, "id long, tkey long, piece long, length int" + ", ids binary" * with_ids)
+    return docs.select("id", "tkey", "body").mapInArrow(run, "id long, piece long, length int, task int, nth long" + ", ids binary" * with_ids)
 
 
 def placed_items(docs: DataFrame, path: str, id_col: str, text_col: str, capacities: Sequence[int], overhead: float, end_id: int, with_ids: bool) -> DataFrame:
@@ -133,40 +143,37 @@ def placed_items(docs: DataFrame, path: str, id_col: str, text_col: str, capacit
     spark = docs.sparkSession
     tables = Tables(spark, "packing")
     found = tables.put("items", items(prepared(docs, id_col, text_col), max(capacities), path, end_id, with_ids))
-    histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # at most the largest capacity
-    n = partitions(spark, 40 * sum(histogram.values()) + with_ids * sum(n * k for n, k in histogram.items()))
-    key = [F.desc("length"), F.asc("id"), F.asc("tkey"), F.asc("piece")]
-    ordered = found.repartitionByRange(n, *key).sortWithinPartitions(*key)
-    # A task's rows are numbered from the task's number times 2**33.
-    placed = tables.put("placed", ordered.withColumn("_m", F.monotonically_increasing_id()).select("*", F.shiftright("_m", 33).alias("task"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("row")).drop("_m"))
-    counts = {r["task"]: r["count"] for r in placed.groupBy("task").count().collect()}  # a row per partition
-    before, total = {}, 0
-    for task in sorted(counts):
-        before[task], total = total, total + counts[task]
+    counts = tables.put("counts", found.groupBy("task", "length").agg(F.count("*").alias("n")))
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most the largest capacity
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    before = tables.put("before", counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")))
+    before = F.broadcast(before) if before.count() <= MOST_COUNTS else before
     longer, total = {}, 0
     for length in sorted(histogram, reverse=True):
         longer[length], total = total, total + histogram[length]
-    sent = spark.sparkContext.broadcast((plan(histogram, capacities, overhead), before, longer))
+    sent = spark.sparkContext.broadcast((plan(histogram, capacities, overhead), longer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, before, longer = sent.value
+        p, longer = sent.value
         seg = np.array(p.segments, np.int64).reshape(-1, 6)
         span = np.array(p.spans, np.int64).reshape(-1, 4)
         starts = np.array([longer[x] for x in seg[:, 0]], np.int64) + seg[:, 1]  # in the order of all items
+        base = np.zeros(max(longer, default=0) + 1, np.int64)
+        base[list(longer)] = list(longer.values())
         for b in batches:
             if not b.num_rows:
                 continue
-            length, task, row = (b.column(k).to_numpy() for k in (3, 4, 5))
-            place = np.array([before[t] for t in task.tolist()], np.int64) + row
+            length, nth, earlier = (b.column(k).to_numpy() for k in (2, 3, 4))
+            place = base[length] + earlier + nth
             s = np.searchsorted(starts, place, "right") - 1
-            nth = place - starts[s]
-            bins = seg[s, 3] + nth // seg[s, 4]
-            offset = seg[s, 5] + nth % seg[s, 4] * length
+            at = place - starts[s]
+            bins = seg[s, 3] + at // seg[s, 4]
+            offset = seg[s, 5] + at % seg[s, 4] * length
             size = span[np.searchsorted(span[:, 0], bins, "right") - 1, 2]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(bins), pa.array(size.astype(np.int32)), pa.array(offset.astype(np.int32)), *b.columns[6:]], ["id", "piece", "length", "bin_id", "bin_capacity", "bin_offset", "ids"][: b.num_columns])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bins), pa.array(size.astype(np.int32)), pa.array(offset.astype(np.int32)), *b.columns[5:]], ["id", "piece", "length", "bin_id", "bin_capacity", "bin_offset", "ids"][: b.num_columns + 1])
 
     schema = "id long, piece long, length int, bin_id long, bin_capacity int, bin_offset int" + ", ids binary" * with_ids
-    return placed.select("id", "tkey", "piece", "length", "task", "row", *["ids"] * with_ids).mapInArrow(run, schema)
+    return found.join(before, ["task", "length"]).select("id", "piece", "length", "nth", "before", *["ids"] * with_ids).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD, end_id: int = 0) -> DataFrame:

@@ -54,8 +54,8 @@ from pyspark.sql import functions as F
 from .common import Tables, partitions, prepared, restored, restored_rows, squeezed
 
 SEED = 42
-#: A doc's shingles are hashed and summed this many at a time.
-SLICE = 1 << 18
+#: A doc's shingles are hashed and summed this many at a time, or fewer for wide fingerprints.
+SLICE = 1 << 16
 #: Share of the pairs right at the threshold that no table shows.
 LOST = 0.005
 #: Fingerprints of a half that meet in a task where the half was cut.
@@ -113,8 +113,9 @@ def fingerprint(body: bytes, shingle: int = 3, bits: int = 64) -> bytes:
         return bytes(bits // 8)
     n = max(1, len(words) - shingle + 1)
     sums = np.zeros(bits, np.int64)
-    for at in range(0, n, SLICE):
-        part = words[at : at + SLICE + shingle - 1]
+    step = max(1, SLICE * 64 // bits)
+    for at in range(0, n, step):
+        part = words[at : at + step + shingle - 1]
         grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
         h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
         sums += set_bits(np.stack([mixed(h, k) for k in range(bits // 64)], axis=1))

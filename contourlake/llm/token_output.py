@@ -66,7 +66,7 @@ class Encoder:
     other white space, gets the library's ids of whole texts.
     """
 
-    most = 1_000_000
+    most = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -145,6 +145,16 @@ class Encoder:
         return out
 
 
+def stretches(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of rows with about so many bytes in a column of strings or bytes."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 @lru_cache(maxsize=2)
 def encoder_of(path: str) -> Encoder:
     """One encoder per worker process: what a task has learned helps the next."""
@@ -176,8 +186,7 @@ def frames(rows: DataFrame, path: str, dictionary: bytes, end_id: int) -> DataFr
         encoder, (packer, _) = encoder_of(path), codec(dictionary)
         end = np.array([end_id], encoder.kind).tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, 5000):
-                part = b.slice(lo, 5000)
+            for part in stretches(b, 2):
                 got = encoder(part.column(2).cast(pa.string()))
                 packed = [packer.compress(x.tobytes() + end) for x in got]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) + 1 for x in got], pa.int32()), pa.array(packed, pa.binary())], ["id", "tkey", "n", "frame"])

@@ -59,7 +59,7 @@ def test_fingerprints_slice_long_texts(monkeypatch):
     body = " ".join(f"w{rng.randrange(500)}" for _ in range(3000)).encode()
     whole = simhash.fingerprint(body, 5, 192)
     assert whole[:8] == simhash.fingerprint(body, 5) and len(set(whole)) > 10
-    monkeypatch.setattr(simhash, "SLICE", 7)
+    monkeypatch.setattr(simhash, "SLICE", 21)
     assert simhash.fingerprint(body, 5, 192) == whole
     h = np.random.default_rng(1).integers(0, 1 << 64, (700, 2), np.uint64)
     assert simhash.set_bits(h).tolist() == [int((h[:, w] >> np.uint64(k) & np.uint64(1)).sum()) for w in range(2) for k in range(64)]
@@ -507,7 +507,9 @@ def filled(rows):
     return sorted(out)
 
 
-def test_packing(docs, rows, empty):
+@pytest.mark.parametrize("most", [packing.MOST_COUNTS, 0])
+def test_packing(docs, rows, empty, monkeypatch, most):
+    monkeypatch.setattr(packing, "MOST_COUNTS", most)
     caps, overhead = (16, 32, 64), 4
     out = packing.pack(docs, BPE, capacities=caps, overhead=overhead).collect()
     model = Tokenizer.from_file(BPE)
