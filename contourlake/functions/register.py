@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from . import text as X
 
 FUNCTIONS = {
-    "norm_key(t STRING) RETURNS STRING": "trim(regexp_replace(lower(t), '\\\\s+', ' '))",
+    "norm_key(t STRING) RETURNS STRING": "trim(regexp_replace(lower(CASE WHEN t IS NOT NULL THEN reflect('com.ibm.icu.text.Normalizer', 'compose', t, false) END), '\\\\s+', ' '))",
     "semitone(hz DOUBLE) RETURNS DOUBLE": "CASE WHEN hz IS NOT NULL THEN 12D * log2(greatest(hz, 1e-6D) / 100D) END",
     "wilson_lo(k DOUBLE, n DOUBLE) RETURNS DOUBLE": "CASE WHEN n > 0 THEN greatest(0D, (k / n + 1.920721601D / n) / (1D + 3.841443202D / n) - 1.95996D * sqrt(k / n * (1D - k / n) / n + 3.841443202D / (4D * n * n)) / (1D + 3.841443202D / n)) END",
     "wilson_hi(k DOUBLE, n DOUBLE) RETURNS DOUBLE": "CASE WHEN n > 0 THEN least(1D, (k / n + 1.920721601D / n) / (1D + 3.841443202D / n) + 1.95996D * sqrt(k / n * (1D - k / n) / n + 3.841443202D / (4D * n * n)) / (1D + 3.841443202D / n)) END",

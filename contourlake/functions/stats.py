@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,8 +35,9 @@ def clip(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
 
 
 def pearson(x: Column | str, y: Column | str) -> Column:
-    """Correlation as an aggregate; NULL without spread."""
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    """Correlation as an aggregate over rows that have both; NULL without spread."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)))
 
 
 def rounded(x: Column, digits: int = 4) -> Column:
@@ -51,17 +54,48 @@ def wilson(k: Column, n: Column, z: float = Z95) -> Column:
     return F.struct(F.when(some, p).alias("p"), F.when(some, F.greatest(F.lit(0.0), mid - half)).alias("lo"), F.when(some, F.least(F.lit(1.0), mid + half)).alias("hi"))
 
 
-def log_factorial(n: Column) -> Column:
-    """log n! as a sum of logs, for counts of trials."""
-    return F.when(n < 2, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(2), n.cast("int")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double"))))
+#: What Stirling's formula lacks of log n!, for n below 16.
+STIRLING_GAP = tuple(math.lgamma(n + 1) - (n * math.log(n) - n + 0.5 * math.log(2 * math.pi * n) if n else 0.0) for n in range(16))
+
+
+def _gap(n: Column) -> Column:
+    """What Stirling's formula lacks of log n!."""
+    x = F.greatest(n, F.lit(16)).cast("double")
+    series = F.lit(1 / 12) / x - F.lit(1 / 360) / F.pow(x, 3) + F.lit(1 / 1260) / F.pow(x, 5)
+    return F.when(n < 16, F.element_at(F.array(*map(F.lit, STIRLING_GAP)), F.least(n, F.lit(15)).cast("int") + 1)).otherwise(series)
+
+
+def _deviance(x: Column, mean: Column) -> Column:
+    """x log(x / mean) + mean - x, without loss of digits where x is close to the mean."""
+    return x * F.log1p((x - mean) / mean) + mean - x
+
+
+def binom_half_pmf(k: Column, n: Column) -> Column:
+    """Probability of k heads in n > 0 throws."""
+    x, m = k.cast("double"), n.cast("double")
+    inner = _gap(n) - _gap(k) - _gap(n - k) - _deviance(x, m / 2) - _deviance(m - x, m / 2) + F.log(m / (F.lit(2 * math.pi) * x * (m - x))) / 2
+    return F.when((k == 0) | (k == n), F.exp(-m * F.lit(math.log(2)))).otherwise(F.exp(inner))
 
 
 def binom_two_sided(k: Column, n: Column) -> Column:
-    """Exact two-sided test of k in n against one half: twice the smaller tail, at most 1; NULL for n = 0."""
+    """Exact two-sided test of k in n against one half: twice the smaller tail, at most 1; NULL for n = 0.
+
+    The tail is summed downwards, each term from the one before. Terms beyond
+    seven times the root of n from the first are below 1e-40 of it and left
+    out, so the work is the root of the trials.
+    """
     tail = F.least(k, n - k)
-    logs = F.transform(F.sequence(F.lit(0), tail.cast("int")), lambda i: F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * F.log(F.lit(2.0))))
-    p = F.aggregate(logs, F.lit(0.0), lambda a, x: a + x)
-    return F.when(n > 0, F.when(2 * k == n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * p)))
+    m = n.cast("double")
+    steps = F.least(tail, F.ceil(7 * F.sqrt(m)) + 64).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(acc: Column, j: Column) -> Column:
+        term = acc["term"] * (tail - j + 1).cast("double") / (m - tail + j)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    each = F.when(steps > 0, F.sequence(F.lit(1), F.greatest(steps, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    p = 2 * binom_half_pmf(tail, n) * F.aggregate(each, start, step, lambda acc: acc["sum"])
+    return F.when(n > 0, F.when(2 * k == n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), p)))
 
 
 def sign_test(wins: Column, losses: Column) -> Column:

@@ -9,9 +9,10 @@ Loose combining marks are translated on their own.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACUTE, GRAVE, MACRON = "\u0301", "\u0300", "\u0304"
@@ -64,19 +65,25 @@ def marked_units(text: Column) -> Column:
     loose = whole
     for mark, tone in TONE_OF_MARK.items():
         loose = F.regexp_replace(loose, f"(?:\\p{{L}}|{STAND_IN['M']})[\\x{{302}}\\x{{303}}\\x{{305}}-\\x{{36F}}]*{mark}", STAND_IN[tone])
-    return loose
+    return F.when(text.contains(ACUTE) | text.contains(GRAVE) | text.contains(MACRON), loose).otherwise(whole)
+
+
+def tone_letters_of(text: Column) -> Column:
+    """The tones of a text's tone-bearing units, in order, as a string of H, M, L."""
+    only = F.regexp_replace(marked_units(text), f"[^{''.join(STAND_IN.values())}]", "")
+    return F.translate(only, "".join(STAND_IN.values()), "".join(STAND_IN))
 
 
 def tone_sequence(text: Column) -> Column:
     """The tones of a text's tone-bearing units, in order, as an array of H, M, L."""
-    only = F.regexp_replace(marked_units(text), f"[^{''.join(STAND_IN.values())}]", "")
-    letters = F.translate(only, "".join(STAND_IN.values()), "".join(STAND_IN))
+    letters = tone_letters_of(text)
     return F.when(letters == "", F.array().cast("array<string>")).otherwise(F.split(letters, ""))
 
 
-def tone_count(text: Column, tone: str) -> Column:
-    marked = marked_units(text)
-    return (F.length(marked) - F.length(F.translate(marked, STAND_IN[tone], ""))).cast("long")
+def tone_counts(docs: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
+    """n_h, n_m and n_l of each key; a text's tones are found once and counted three times."""
+    tones = docs.select(*keys, tone_letters_of(F.col(text)).alias("_t"))
+    return tones.groupBy(*keys).agg(*(F.sum(F.length("_t") - F.length(F.replace("_t", F.lit(t), F.lit("")))).cast("long").alias(f"n_{t.lower()}") for t in TONE_OF_MARK.values()))
 
 
 def flat_for_align(text: Column) -> Column:
@@ -95,9 +102,15 @@ def strip_marks(text: Column) -> Column:
     return F.regexp_replace(_translated(text, bare_letters()), "[\\x{300}-\\x{36F}]", "")
 
 
+def composed(text: Column) -> Column:
+    """The text in Unicode's composed form (NFC), by the ICU library that Spark ships."""
+    icu = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike("[^\\x00-\\x7F]"), icu).otherwise(text)
+
+
 def norm_key(text: Column) -> Column:
-    """Lower case, white space collapsed: the key of holdouts."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """Composed, lower case, white space collapsed: the key of holdouts."""
+    return F.trim(F.regexp_replace(F.lower(composed(text)), r"\s+", " "))
 
 
 def cer_text(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from .running import running
 
 TONES = ("H", "M", "L")
 
@@ -57,10 +58,11 @@ def weighted_f1(tbu: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def pair_kappa(pairs: DataFrame, a: str, b: str, keys: Sequence[str] = (), classes: Sequence[str] = TONES) -> DataFrame:
-    """Cohen's kappa of columns a and b. All pairs are in the denominator, also those outside the classes."""
+    """Cohen's kappa of columns a and b. Pairs of which a side is in none of the classes count in n alone: they neither agree nor are in the marginals."""
     n = F.count("*").cast("double")
-    agree = S.share(F.sum(F.when((F.col(a) == F.col(b)) & F.col(a).isin(*classes), 1).otherwise(0)), n)
-    chance = sum((S.share(F.count_if(F.col(a) == c), n) * S.share(F.count_if(F.col(b) == c), n) for c in classes), F.lit(0.0))
+    known = F.col(a).isin(*classes) & F.col(b).isin(*classes)
+    agree = S.share(F.count_if(known & (F.col(a) == F.col(b))), n)
+    chance = sum((S.share(F.count_if(known & (F.col(a) == c)), n) * S.share(F.count_if(known & (F.col(b) == c)), n) for c in classes), F.lit(0.0))
     out = pairs.groupBy(*keys).agg(F.count("*").alias("n"), agree.alias("agree"), chance.alias("chance"))
     return out.withColumn("kappa", F.when(F.col("n") > 0, S.kappa(F.col("agree"), F.col("chance")))).drop("agree", "chance")
 
@@ -85,30 +87,44 @@ def by_subset(tbu: DataFrame, kind: str) -> DataFrame:
     return named.groupBy("subset").agg(F.avg(S.share(F.col("correct"), F.col("covered"))).alias("tone_i2"), S.share(F.sum("covered"), F.sum("support")).alias("coverage"), F.sum("covered").alias("n"))
 
 
+def clip_means(clips: DataFrame, kind: str, means: Sequence[str], least: Sequence[str] = ()) -> DataFrame:
+    """Of each kind and of ALL: the means of clip columns, missing values left out, and the least of some."""
+    aggs = [F.avg(c).alias(c) for c in means] + [F.min(c).alias(f"{c}_least") for c in least]
+    both = clips.groupingSets([[kind], []], kind).agg(*aggs, F.grouping(kind).alias("_all"))
+    return both.select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col(kind)).alias("subset"), *means, *(f"{c}_least" for c in least))
+
+
+def against(rows: DataFrame, key: str, base: str, columns: dict[str, str]) -> DataFrame:
+    """rows, one per condition, with each column's difference from the base condition's under a new name."""
+    own = rows.where(F.col(key) == base).select(*(F.col(c).alias(f"_{c}") for c in columns))  # one row
+    out = rows.crossJoin(F.broadcast(own)).withColumns({new: F.col(c) - F.col(f"_{c}") for c, new in columns.items()})
+    return out.drop(*(f"_{c}" for c in columns))
+
+
+def dose_response(rows: DataFrame, dose: str, value: str, error: str, slack: float = 0.03) -> DataFrame:
+    """Of a row per dose: whether the value never rises by more than the slack, its correlation with the dose, and the error's."""
+    s = rows.withColumn("_next", F.lead(value).over(Window.orderBy(dose)))  # a row per dose
+    x = F.col(dose).cast("double")
+    return s.agg(F.count("*").alias("n"), F.bool_and(F.col("_next").isNull() | (F.col("_next") <= F.col(value) + slack)).alias("monotone"), S.pearson(x, F.col(value)).alias("r"), S.pearson(x, F.col(error)).alias("r_cer"), F.avg(error).alias("mean_cer"))
+
+
 def pooled_by(tbu: DataFrame, key: str, least: int = 20) -> DataFrame:
     """tone_i2 of each key with at least so many scored units."""
     scored = tbu.where(F.col("pred").isNotNull())
     return population(scored, [key]).where(F.col("n_covered") >= least).select(key, F.col("balanced_acc").alias("tone_i2"), F.col("n_covered").alias("n"))
 
 
-def average_ranks(rows: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Ranks with ties at their mean. Ranking works on distinct values with counts, so ties, however many, are one row.
-
-    Without keys, ranks need a total order over distinct values; they run in
-    one partition of (value, count) rows.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_ties"))
-    w = Window.partitionBy(*keys).orderBy(value) if keys else Window.orderBy(value)
-    upto = F.sum("_ties").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn(out, upto - (F.col("_ties") - 1) / 2.0).drop("_ties")
-    return rows.join(ranked, [*keys, value])
+def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """Ranks with ties at their mean. Distinct values with their counts are ranked by running totals, so ties, however many, are one row."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_ties"))
+    ranked = running(counts, F.col("_ties"), value, out="_before")
+    return rows.join(ranked.select(value, (F.col("_before") + (F.col("_ties") + 1) / 2).alias(out)), value)
 
 
 def auroc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve from average ranks; NULL unless both classes occur."""
     counts = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    before = F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("n") - 1) / 2.0
-    ranked = counts.withColumn("rank", before)
+    ranked = running(counts, F.col("n"), score).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     pos, n = F.sum("pos").cast("double"), F.sum("n").cast("double")
     u = F.sum(F.col("rank") * F.col("pos")) - pos * (pos + 1) / 2
     return ranked.agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), F.try_divide(u, pos * (n - pos)).alias("auroc"))
@@ -129,10 +145,11 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 def cocovered(a: DataFrame, b: DataFrame) -> DataFrame:
     """pred_a and pred_b of units that both instruments cover, from clips whose targets agree in number and order."""
-    pairs = a.select("clip_id", "tbu_idx", F.col("target").alias("ta"), F.col("pred").alias("pred_a")).join(b.select("clip_id", "tbu_idx", F.col("target").alias("tb"), F.col("pred").alias("pred_b")), ["clip_id", "tbu_idx"], "full")
-    odd = pairs.groupBy("clip_id").agg(F.bool_and(F.col("ta").eqNullSafe(F.col("tb")) & F.col("ta").isNotNull()).alias("same"))
-    same = pairs.join(odd.where("same"), "clip_id", "left_semi")
-    return same.where(F.col("pred_a").isNotNull() & F.col("pred_b").isNotNull()).select("clip_id", "tbu_idx", F.col("ta").alias("target"), "pred_a", "pred_b")
+    sides = a.select("clip_id", "tbu_idx", "target", "pred", F.lit(0).alias("side")).unionByName(b.select("clip_id", "tbu_idx", "target", "pred", F.lit(1).alias("side")))
+    of = lambda c, k: F.max(F.when(F.col("side") == k, F.col(c)))
+    pairs = sides.repartition("clip_id").groupBy("clip_id", "tbu_idx").agg(F.count("*").alias("_n"), of("target", 0).alias("target"), of("target", 1).alias("_tb"), of("pred", 0).alias("pred_a"), of("pred", 1).alias("pred_b"))
+    same = F.bool_and((F.col("_n") == 2) & F.coalesce(F.col("target") == F.col("_tb"), F.lit(False))).over(Window.partitionBy("clip_id"))
+    return pairs.withColumn("_same", same).where(F.col("_same") & F.col("pred_a").isNotNull() & F.col("pred_b").isNotNull()).select("clip_id", "tbu_idx", "target", "pred_a", "pred_b")
 
 
 def paired_win_rate(pairs: DataFrame, correct: str, flipped: str) -> DataFrame:

@@ -20,10 +20,11 @@ def answer_parts(code: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("item_id"), F.lower(F.trim(F.substr(p, F.locate("=", p) + 1))).alias("label")))
 
 
-def answer_rows(raters: DataFrame, rater: str = "rater", code: str = "code") -> DataFrame:
-    """rater, item_id, label of compact codes; of an item's answers in one code the last counts."""
-    said = raters.select(rater, F.posexplode(answer_parts(F.col(code))).alias("pos", "p")).select(rater, "pos", "p.*")
-    return said.groupBy(rater, "item_id").agg(F.max_by("label", "pos").alias("label"))
+def answer_rows(raters: DataFrame, rater: str = "rater", code: str = "code", order: str | None = None) -> DataFrame:
+    """rater, item_id, label of compact codes; of an item's answers in one code the last counts, of several codes that of the last in the order."""
+    place = [] if order is None else [order]
+    said = raters.select(rater, *place, F.posexplode(answer_parts(F.col(code))).alias("pos", "p")).select(rater, *place, "pos", "p.*")
+    return said.groupBy(rater, "item_id").agg(F.max_by("label", F.struct(*place, "pos")).alias("label"))
 
 
 def judgement(label: Column) -> Column:
@@ -41,7 +42,7 @@ def threshold(keymap: DataFrame, override: float | None = None) -> DataFrame:
 
 def rater_tallies(answers: DataFrame, keymap: DataFrame) -> DataFrame:
     """Catches passed and seen, natives called good, unsure and scoreable items of each rater. Items not in the key are left out."""
-    j = answers.join(F.broadcast(keymap), "item_id")
+    j = answers.join(keymap, "item_id")
     expected = F.coalesce("catch_expected", F.lit("ok"))
     scoreable = ~F.col("is_catch") & F.col("label").isin("ok", "bad") & F.col("tone_i2").isNotNull()
     native = ~F.col("is_catch") & (F.col("source") == "native") & F.col("label").isin("ok", "bad")
@@ -65,7 +66,7 @@ def rater_gate(tallies: DataFrame) -> DataFrame:
 
 def ab_tallies(answers: DataFrame, keymap: DataFrame) -> DataFrame:
     """Trials won by the correct twin, ties out, and catches, of each rater. keymap(item_id, correct_side, is_catch, expect_pick)."""
-    j = answers.join(F.broadcast(keymap), "item_id").withColumn("pick", F.upper("label"))
+    j = answers.join(keymap, "item_id").withColumn("pick", F.upper("label"))
     said = F.col("pick").isin("A", "B")
     return j.groupBy("rater").agg(
         F.count_if(F.col("is_catch")).alias("catch_total"),

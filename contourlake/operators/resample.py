@@ -1,43 +1,45 @@
 """Bootstrap, permutation and control populations with deterministic draws.
 
-Draws are MD5 hashes of (seed, replicate, draw), so a rerun, a retry and another
-engine give the same ones. A bootstrap over clips first reduces each clip to its
-counts; replicates multiply those rows, not units. Replicates are spread by the
-hash join on the draw, and each is a small aggregate.
+Permutations are MD5 hashes of (seed, key), so a rerun, a retry and another
+engine give the same ones. A bootstrap first reduces its units (clips, pairs or
+items) to rows of counts and these to kinds, equal rows with their number. A
+replicate draws as many units as there are, with replacement; which kinds they
+are is a multinomial draw over kinds. It is split exactly: the driver draws how
+many fall into each of ``GROUPS`` groups of kinds, and each group draws its own,
+so no unit is ever multiplied or joined. Generators are seeded by (seed, group)
+and kinds are sorted, so the cluster's layout does not matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..storage import Tables
-from .metrics import TONES
+from .metrics import TONES, average_ranks
+from .running import numbered
 
 Stat = Callable[[str], Column]
 
 
+#: Groups of kinds that are drawn apart.
+GROUPS = 64
+
+
 def clip_counts(tbu: DataFrame) -> DataFrame:
-    """c_HH ... c_LL: each clip's confusion counts, and a dense index k from 0 in clip order."""
+    """c_HH ... c_LL: each clip's confusion counts."""
     cells = [F.count_if((F.col("target") == t) & (F.col("pred") == p)).alias(f"c_{t}{p}") for t in TONES for p in TONES]
-    return indexed(tbu.groupBy("clip_id").agg(*cells), "clip_id")
-
+    return tbu.groupBy("clip_id").agg(*cells)
 
-def indexed(rows: DataFrame, *order: str) -> DataFrame:
-    """k: the row's place in the order, from 0.
 
-    Rows are range-partitioned and written with their place in the partition;
-    partition sizes, one row each, turn that into a global place.
-    """
-    spark = rows.sparkSession
-    placed = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    tagged = Tables(spark, "indexed").put("rows", placed.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33)))
-    sizes = tagged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return tagged.join(F.broadcast(before), "_p").withColumn("k", F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_before")
+def pair_counts(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """c_HH ... c_LL of each pair, one of which is 1 if both sides are in the classes, and c_n, 1."""
+    return pairs.select(*(F.coalesce((F.col(a) == t) & (F.col(b) == p), F.lit(False)).cast("long").alias(f"c_{t}{p}") for t in TONES for p in TONES), F.lit(1).cast("long").alias("c_n"))
 
 
 def balanced(prefix: str = "c_") -> Column:
@@ -61,32 +63,45 @@ def swapped_balanced(prefix: str = "c_") -> Column:
     return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.size(kept))
 
 
-def counts_kappa(prefix: str = "c_") -> Column:
-    """Cohen's kappa of target and pred from summed confusion counts."""
+def counts_kappa(prefix: str = "c_", total: str | None = None) -> Column:
+    """Cohen's kappa of target and pred from summed confusion counts; total: the column of all pairs, those outside the classes, too."""
     at = lambda t, p: F.col(f"{prefix}{t}{p}").cast("double")
-    n = sum((at(t, p) for t in TONES for p in TONES), F.lit(0.0))
+    n = sum((at(t, p) for t in TONES for p in TONES), F.lit(0.0)) if total is None else F.col(total).cast("double")
     po = sum((at(t, t) for t in TONES), F.lit(0.0)) / n
     pe = sum((sum((at(t, p) for p in TONES), F.lit(0.0)) / n * (sum((at(p, t) for p in TONES), F.lit(0.0)) / n) for t in TONES), F.lit(0.0))
     return F.when(n > 0, S.kappa(po, pe))
 
 
-def draws(spark, n_rep: int, n: int, seed: int) -> DataFrame:
-    """rep and k: n draws with replacement from 0 ... n - 1 in each of n_rep replicates."""
-    reps = spark.range(n_rep).withColumnRenamed("id", "rep")
-    each = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
-    return each.select("rep", (S.hash_number(F.lit(seed), F.col("rep"), F.col("draw")) % n).alias("k"))
-
-
 def replicates(rows: DataFrame, n_rep: int, seed: int) -> DataFrame:
-    """Sums of the count columns of rows(k, c_...) over each replicate's draws; rep -1 is the sample itself."""
+    """Sums of the count columns c_... of rows over each replicate's draws; rep -1 is the sample itself."""
     names = [c for c in rows.columns if c.startswith("c_")]
     sums = [F.sum(c).alias(c) for c in names]
-    n = rows.count()
-    point = rows.agg(*sums).withColumn("rep", F.lit(-1).cast("long"))
-    if not n or not n_rep:
+    group = F.pmod(F.xxhash64(*names), F.lit(GROUPS)).cast("int")
+    kinds = Tables(rows.sparkSession, "kinds").put("kinds", rows.groupBy(*names).agg(F.count("*").alias("_w")).withColumn("_g", group))
+    weights = kinds.select(*((F.col(c) * F.col("_w")).alias(c) for c in names))
+    point = weights.agg(*(F.sum(c).cast("long").alias(c) for c in names)).withColumn("rep", F.lit(-1).cast("long"))
+    held = {r["_g"]: r["n"] for r in kinds.groupBy("_g").agg(F.sum("_w").alias("n")).collect()}  # GROUPS rows
+    if not held or not n_rep:
         return point
-    drawn = draws(rows.sparkSession, n_rep, n, seed)
-    return drawn.join(rows, "k").groupBy("rep").agg(*sums).unionByName(point)
+    order = sorted(held)
+    share = np.array([held[g] for g in order], np.float64)
+    split = np.random.default_rng([seed, GROUPS]).multinomial(sum(held.values()), share / share.sum(), size=n_rep)
+
+    def run(table: pa.Table) -> pa.Table:
+        g = table.column("_g")[0].as_py()
+        table = table.sort_by([(c, "ascending") for c in names])
+        counts = np.stack([table.column(c).to_numpy() for c in names], axis=1)
+        w = table.column("_w").to_numpy().astype(np.float64)
+        rng, drawn, out = np.random.default_rng([seed, g]), split[:, order.index(g)], []
+        step = max(1, (1 << 22) // len(w))
+        for lo in range(0, n_rep, step):
+            out.append(rng.multinomial(drawn[lo : lo + step], w / w.sum()) @ counts)
+        both = np.concatenate(out)
+        return pa.table({"rep": pa.array(np.arange(n_rep)), **{c: pa.array(both[:, k]) for k, c in enumerate(names)}})
+
+    schema = ", ".join(["rep long", *(f"{c} long" for c in names)])
+    parts = kinds.select("_g", "_w", *(F.col(c).cast("long").alias(c) for c in names)).groupBy("_g").applyInArrow(run, schema)
+    return parts.groupBy("rep").agg(*sums).unionByName(point)
 
 
 def index_quantile(values: DataFrame, value: str, q: float, clamp: bool = True, keys: Sequence[str] = ()) -> DataFrame:
@@ -107,12 +122,13 @@ def bootstrap(rows: DataFrame, stat: Column, n_rep: int, seed: int, lo: float, h
     return out if hi is None else out.crossJoin(F.broadcast(index_quantile(values.where("rep >= 0"), "value", hi).withColumnRenamed("quantile", "hi")))
 
 
-def permuted_targets(tbu: DataFrame, seed: int) -> DataFrame:
-    """The clip's targets in a hashed order: the control that keeps each clip's tone counts."""
-    by = Window.partitionBy("clip_id")
-    a = tbu.withColumn("_r", F.row_number().over(by.orderBy("tbu_idx")))
-    b = tbu.select("clip_id", F.col("target").alias("_t"), F.row_number().over(by.orderBy(S.hash_number(F.lit(seed), F.col("clip_id"), F.col("tbu_idx")), "tbu_idx")).alias("_r"))
-    return a.join(b, ["clip_id", "_r"]).select("clip_id", "tbu_idx", F.col("_t").alias("target"), "pred")
+def permuted_targets(tbu: DataFrame, *seeds: int) -> DataFrame:
+    """The clip's targets in a hashed order for each seed: the control that keeps each clip's tone counts. Clips are dealt out once for all seeds."""
+    every = tbu.repartition("clip_id").withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    by = Window.partitionBy("clip_id", "seed")
+    a = every.withColumn("_r", F.row_number().over(by.orderBy("tbu_idx")))
+    b = every.select("clip_id", "seed", F.col("target").alias("_t"), F.row_number().over(by.orderBy(S.hash_number(F.col("seed"), F.col("clip_id"), F.col("tbu_idx")), "tbu_idx")).alias("_r"))
+    return a.join(b, ["clip_id", "seed", "_r"]).select("clip_id", "tbu_idx", "seed", F.col("_t").alias("target"), "pred")
 
 
 def all_mid(tbu: DataFrame) -> DataFrame:
@@ -128,23 +144,50 @@ def only_high_low(tbu: DataFrame) -> DataFrame:
     return tbu.where(F.col("target") != "M")
 
 
+#: Distinct values of a side up to which permutations are drawn from counts.
+MOST_VALUES = 1 << 16
+
+
 def trend_test(rows: DataFrame, x: str, y: str, n_perm: int, seed: int) -> DataFrame:
     """One-sided permutation test of a rising trend: rho and p = (as large + 1) / (n_perm + 1); p is 1 if rho is undefined.
 
-    Ranks do not change under permutation, so a replicate is a dot product of
-    two rank columns, one in hashed order. rows is a dose table: small, and
-    joined to replicates by place.
+    Ranks do not change under permutation, so only how often each x meets each
+    y is drawn: tables with the margins fixed, spread over tasks by replicate.
+    The margins, distinct ranks with their counts, go to the tasks if there are
+    at most ``MOST_VALUES`` of each; else each row is dealt to all replicates,
+    which are tasks of their own, and meets the row at its hashed place.
     """
-    from .metrics import average_ranks
-
-    ranked = indexed(average_ranks(average_ranks(rows.select(x, y), x, "rx"), y, "ry"), "rx", "ry").select("k", "rx", "ry")
-    n = ranked.count()
-    reps = ranked.sparkSession.range(-1, n_perm).withColumnRenamed("id", "rep")
-    each = F.broadcast(ranked).crossJoin(reps)
-    order = F.when(F.col("rep") < 0, F.col("k")).otherwise(S.hash_number(F.lit(seed), F.col("rep"), F.col("k")))
-    mixed = each.select("rep", "rx", "k", F.row_number().over(Window.partitionBy("rep").orderBy(order, "k")).alias("place")).join(ranked.select((F.col("k") + 1).alias("place"), F.col("ry").alias("other")), "place")
-    rho = mixed.groupBy("rep").agg(F.when((F.stddev_pop("rx") > 0) & (F.stddev_pop("other") > 0), S.pearson("rx", "other")).alias("rho"))
-    own = F.max(F.when(F.col("rep") < 0, F.col("rho")))
-    both = rho.crossJoin(F.broadcast(rho.where("rep < 0").select(F.col("rho").alias("own"))))
-    out = both.agg(own.alias("rho"), F.count_if((F.col("rep") >= 0) & (F.col("rho") >= F.col("own") - 1e-12)).alias("ge"))
-    return out.select(F.lit(n).alias("n"), "rho", F.when(F.col("rho").isNull(), F.lit(1.0)).otherwise((F.col("ge") + 1) / F.lit(n_perm + 1.0)).alias("p"))
+    ranked = average_ranks(average_ranks(rows.select(x, y), x, "rx"), y, "ry").select("rx", "ry")
+    whole = Tables(rows.sparkSession, "trend").put("ranks", ranked.groupBy("rx", "ry").agg(F.count("*").alias("c")))
+    weighted = lambda c: F.sum(F.col(c) * F.col("c"))
+    n, sx, sy, xx, yy, xy = whole.agg(F.coalesce(F.sum("c"), F.lit(0)), weighted("rx"), weighted("ry"), F.sum(F.col("rx") * F.col("rx") * F.col("c")), F.sum(F.col("ry") * F.col("ry") * F.col("c")), F.sum(F.col("rx") * F.col("ry") * F.col("c"))).first()
+    spark = rows.sparkSession
+    vx, vy = ((s2 / n - (s1 / n) ** 2 if n else 0.0) for s1, s2 in ((sx, xx), (sy, yy)))
+    if vx <= 1e-12 or vy <= 1e-12:
+        return spark.createDataFrame([(n, None, 1.0)], "n long, rho double, p double")
+    rho_of = lambda dot: (dot / n - sx / n * sy / n) / (vx * vy) ** 0.5
+    own = rho_of(xy)
+    sides = [whole.groupBy(c).agg(F.sum("c").alias("c")) for c in ("rx", "ry")]
+    if max(s.count() for s in sides) <= MOST_VALUES and n < 10**9:
+        (vals_x, n_x), (vals_y, n_y) = (np.array(sorted(map(tuple, s.collect()))).T for s in sides)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                dots = []
+                for rep in b.column(0).to_pylist():
+                    rng, left, dot = np.random.default_rng([seed, rep]), n_y.astype(np.int64), 0.0
+                    for v, c in zip(vals_x, n_x.astype(np.int64), strict=True):
+                        met = rng.multivariate_hypergeometric(left, c, method="marginals")
+                        left = left - met
+                        dot += v * float(met @ vals_y)
+                    dots.append(dot)
+                yield pa.RecordBatch.from_arrays([pa.array(dots, pa.float64())], ["dot"])
+
+        dots = spark.range(n_perm).mapInArrow(run, "dot double")
+    else:
+        each = numbered(whole.withColumn("c", F.explode(F.sequence(F.lit(1), F.col("c")))), "rx", "ry", "c").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+        place = F.row_number().over(Window.partitionBy("rep").orderBy(S.hash_number(F.lit(seed), F.col("rep"), F.col("k")), "k")) - 1
+        mixed = each.select("rep", "ry", place.alias("k")).join(each.select("rep", "k", "rx"), ["rep", "k"])
+        dots = mixed.groupBy("rep").agg(F.sum(F.col("rx") * F.col("ry")).alias("dot"))
+    ge = F.count_if(rho_of(F.col("dot")) >= own - 1e-12)
+    return dots.agg(F.lit(n).cast("long").alias("n"), F.lit(own).alias("rho"), ((ge + 1) / F.lit(n_perm + 1.0)).alias("p"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions import text as T
-from ..storage import Tables
+from .running import numbered, running
 
 
 def usable(manifest: DataFrame, lo: float, hi: float, dur: str = "duration_sec", text: str = "text", key: str | None = None) -> DataFrame:
@@ -30,21 +30,14 @@ def without_holdouts(rows: DataFrame, holdouts: DataFrame, text: str = "text", h
 
 
 def budget_prefix(rows: DataFrame, budgets: Sequence[float], dur: str, seed: int, key: str) -> DataFrame:
-    """budget and the rows of each: a prefix of one hashed order, up to and with the row that crosses it. Larger budgets hold smaller ones.
-
-    Running sums need the order: rows of (key, duration) are range-partitioned
-    by their hash, summed per partition, and offset by the partitions before.
-    """
-    spark = rows.sparkSession
-    hashed = rows.withColumn("_h", S.hash_number(F.lit(seed), F.col(key)))
-    ranged = hashed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_h", key)
-    placed = Tables(spark, "budget").put("rows", ranged.withColumn("_p", F.spark_partition_id()))
-    w = Window.partitionBy("_p").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("_p").agg(F.sum(dur).alias("_s"))
-    before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_b"))
-    run = placed.withColumn("_own", F.coalesce(F.sum(dur).over(w), F.lit(0.0))).join(F.broadcast(before), "_p")
-    taken = run.withColumn("budget", F.explode(F.array(*(F.lit(float(b)) for b in budgets)))).where(F.col("_own") + F.col("_b") < F.col("budget"))
-    return taken.drop("_h", "_p", "_own", "_b")
+    """budget and the rows of each: a prefix of one hashed order, up to and with the row that crosses it. Larger budgets hold smaller ones."""
+    summed = running(rows, F.col(dur), S.hash_number(F.lit(seed), F.col(key)), key, out="_b")
+    return summed.withColumn("budget", F.explode(F.array(*(F.lit(float(b)) for b in budgets)))).where(F.col("_b") < F.col("budget")).drop("_b")
+
+
+def remainder(rows: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """The rows whose key was not taken: the pool after a prefix."""
+    return rows.join(taken.select(key).distinct(), key, "left_anti")
 
 
 def capped(rows: DataFrame, by: str, cap: int, *order: str) -> DataFrame:
@@ -84,17 +77,16 @@ def salience(flipped_st: Column, correct_st: Column, residual: Column, mid_ref:
 
 
 def item_ids(rows: DataFrame, seed: int, key: str, form: str = "item%02d") -> DataFrame:
-    """item_id in a hashed order from 1. Kits are small; the numbering is one ordered pass."""
-    w = Window.orderBy(S.hash_number(F.lit(seed), F.col(key)), key)
-    return rows.withColumn("item_id", F.format_string(form, F.row_number().over(w)))
+    """item_id in a hashed order from 1."""
+    return numbered(rows, S.hash_number(F.lit(seed), F.col(key)), key, out="_k").withColumn("item_id", F.format_string(form, F.col("_k") + 1)).drop("_k")
 
 
 def round_robin(catches: DataFrame, natives: DataFrame, catch_key: str, native_key: str) -> DataFrame:
     """Each catch item with the native clip at its place modulo their number."""
-    n = natives.select(native_key, (F.row_number().over(Window.orderBy(native_key)) - 1).alias("_k"))
-    size = natives.agg(F.count("*").alias("_n"))
-    c = catches.withColumn("_i", F.row_number().over(Window.orderBy(catch_key)) - 1).crossJoin(F.broadcast(size))
-    return c.withColumn("_k", F.col("_i") % F.col("_n")).join(F.broadcast(n), "_k").drop("_k", "_i", "_n")
+    n = numbered(natives.select(native_key), native_key, out="_k")
+    size = natives.agg(F.count("*").alias("_n"))  # one row
+    c = numbered(catches, catch_key, out="_i").crossJoin(F.broadcast(size))
+    return c.withColumn("_k", F.col("_i") % F.col("_n")).join(n, "_k").drop("_k", "_i", "_n")
 
 
 def random_side(seed: int, key: Column) -> Column:
@@ -103,5 +95,5 @@ def random_side(seed: int, key: Column) -> Column:
 
 
 def best_by(rows: DataFrame, metric: str, tag: str) -> DataFrame:
-    """The row's tag with the highest metric, the first of equals."""
-    return rows.agg(F.max_by(tag, F.struct(F.col(metric))).alias(tag), F.max(metric).alias(metric))
+    """The row's tag with the highest metric, of equals the tag that sorts first; rows without the metric are left out."""
+    return rows.where(F.col(metric).isNotNull()).agg(F.min_by(tag, F.struct((-F.col(metric)).alias("m"), F.col(tag).alias("t"))).alias(tag), F.max(metric).alias(metric))

@@ -13,23 +13,13 @@ PLACE = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_par
 TBU = f"tbu AS (SELECT l_orderkey AS clip_id, {PLACE} AS tbu_idx, {TONE} AS target, CASE WHEN l_discount = 0 THEN NULL WHEN l_quantity > 33 THEN 'H' WHEN l_quantity <= 16 THEN 'L' ELSE 'M' END AS pred FROM lineitem)"
 TBU2 = f"tbu2 AS (SELECT l_orderkey AS clip_id, {PLACE} AS tbu_idx, {TONE} AS target, CASE WHEN l_tax = 0 THEN NULL WHEN l_tax > 0.055 THEN 'H' WHEN l_tax <= 0.025 THEN 'L' ELSE 'M' END AS pred FROM lineitem)"
 STATS = "cs AS (SELECT target, count(*) AS support, count(pred) AS covered, sum(CASE WHEN pred = target THEN 1 ELSE 0 END) AS correct FROM tbu GROUP BY target)"
-N_REP, SEED = 40, 7
-#: What the queries draw; N_REP and three seeds are only what the SQL draws.
-N_BOOT, FLOOR_SEEDS, N_PERM = 1000, 25, 2000
+#: Replicates of a bootstrap, seeds of the scramble floor, permutations of the trend test, and the draws' seed.
+N_BOOT, FLOOR_SEEDS, N_PERM, SEED = 1000, 25, 2000, 7
 HASH = "('0x' || substr(md5({}), 1, 8))::BIGINT"
-CELLS = ", ".join(f"sum(CASE WHEN target = '{t}' AND pred = '{p}' THEN 1 ELSE 0 END) AS c_{t}{p}" for t in "HML" for p in "HML")
-SUMS = ", ".join(f"sum(c_{t}{p}) AS c_{t}{p}" for t in "HML" for p in "HML")
-
-
 def r6(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-def sql_balanced(swap=False):
-    other = {"H": "L", "L": "H", "M": "M"} if swap else {t: t for t in "HML"}
-    return "(" + "list_avg([" + ", ".join(f"CASE WHEN c_{t}H + c_{t}M + c_{t}L > 0 THEN c_{t}{other[t]}::DOUBLE / (c_{t}H + c_{t}M + c_{t}L) END" for t in "HML") + "]))"
-
-
 QUERIES, SQL = {}, {}
 
 
@@ -80,11 +70,16 @@ def cocovered_kappa(spark, d):
 
 
 @query("subset_metrics", f"""WITH {TBU}, s AS (SELECT CASE WHEN tbu_idx % 2 = 0 THEN 'minpair' ELSE 'long' END AS kind, * FROM tbu),
- c AS (SELECT coalesce(kind, 'ALL') AS subset, target, count(*) AS support, count(pred) AS covered, sum((pred = target)::INT) AS correct FROM s GROUP BY GROUPING SETS ((kind, target), (target)))
- SELECT subset, round(avg(correct::DOUBLE / nullif(covered, 0)), 6) AS tone_i2, round(sum(covered)::DOUBLE / sum(support), 6) AS coverage, sum(covered)::BIGINT AS n FROM c GROUP BY subset""")
+ c AS (SELECT coalesce(kind, 'ALL') AS subset, target, count(*) AS support, count(pred) AS covered, sum((pred = target)::INT) AS correct FROM s GROUP BY GROUPING SETS ((kind, target), (target))),
+ k AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'minpair' ELSE 'long' END AS kind, CASE WHEN l_discount > 0 THEN l_discount END AS cer, l_tax AS ssim, l_quantity / 50 AS len_ratio FROM lineitem),
+ m AS (SELECT coalesce(kind, 'ALL') AS subset, avg(cer) AS cer, avg(ssim) AS ssim, min(ssim) AS ssim_least, avg(len_ratio) AS len_ratio FROM k GROUP BY GROUPING SETS ((kind), ()))
+ SELECT subset, round(avg(correct::DOUBLE / nullif(covered, 0)), 6) AS tone_i2, round(sum(covered)::DOUBLE / sum(support), 6) AS coverage, sum(covered)::BIGINT AS n, round(any_value(cer), 6) AS cer, round(any_value(ssim), 6) AS ssim, any_value(ssim_least) AS ssim_least, round(any_value(len_ratio), 6) AS len_ratio FROM c JOIN m USING (subset) GROUP BY subset""")
 def subset_metrics(spark, d):
     rows = T.tbu(spark, d).withColumn("kind", F.when(F.col("tbu_idx") % 2 == 0, "minpair").otherwise("long"))
-    return r6(metrics.by_subset(rows, "kind"), "tone_i2", "coverage")
+    li = T.table(spark, d, "lineitem")
+    clips = li.select(F.when(F.col("l_linenumber") % 2 == 0, "minpair").otherwise("long").alias("kind"), F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("cer"), F.col("l_tax").alias("ssim"), (F.col("l_quantity") / 50).alias("len_ratio"))
+    out = metrics.by_subset(rows, "kind").join(metrics.clip_means(clips, "kind", ["cer", "ssim", "len_ratio"], ["ssim"]), "subset")
+    return r6(out, "tone_i2", "coverage", "cer", "ssim", "len_ratio")
 
 
 @query("tone_by_speaker", f"""WITH {TBU}, x AS (SELECT o_custkey AS speaker_id, target, pred FROM tbu JOIN orders ON clip_id = o_orderkey WHERE pred IS NOT NULL),
@@ -129,24 +124,25 @@ def band_overlap(spark, d):
 
 
 @query("condition_ablation", f"""WITH {TBU}, x AS (SELECT o_orderpriority AS condition, target, pred FROM tbu JOIN orders ON clip_id = o_orderkey WHERE pred IS NOT NULL),
- c AS (SELECT condition, target, count(*) AS n, sum((pred = target)::INT) AS k FROM x GROUP BY 1, 2), a AS (SELECT condition, avg(k::DOUBLE / n) AS t FROM c GROUP BY 1)
- SELECT condition, round(t, 6) AS tone_i2, round(t - (SELECT t FROM a WHERE condition = '1-URGENT'), 6) AS d_tone, CASE WHEN t - (SELECT t FROM a WHERE condition = '1-URGENT') < -0.12 THEN 'CER IS TONE-BLIND' ELSE 'NOT SHOWN' END AS verdict FROM a""")
+ c AS (SELECT condition, target, count(*) AS n, sum((pred = target)::INT) AS k FROM x GROUP BY 1, 2), b AS (SELECT condition, avg(k::DOUBLE / n) AS tone_i2 FROM c GROUP BY 1),
+ e AS (SELECT o_orderpriority AS condition, avg(l_discount) AS cer, avg(l_tax) AS roundtrip FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1), a AS (SELECT * FROM b JOIN e USING (condition)),
+ d AS (SELECT a.condition, a.tone_i2, a.cer, a.roundtrip, a.tone_i2 - o.tone_i2 AS d_tone, a.cer - o.cer AS d_cer, a.roundtrip - o.roundtrip AS d_roundtrip FROM a, a o WHERE o.condition = '1-URGENT')
+ SELECT condition, round(tone_i2, 6) AS tone_i2, round(cer, 6) AS cer, round(roundtrip, 6) AS roundtrip, round(d_tone, 6) AS d_tone, round(d_cer, 6) AS d_cer, round(d_roundtrip, 6) AS d_roundtrip, CASE WHEN abs(d_cer) < 0.08 AND d_tone < -0.12 AND abs(d_roundtrip) < 0.12 THEN 'CER IS TONE-BLIND' ELSE 'NOT SHOWN' END AS verdict FROM d""")
 def condition_ablation(spark, d):
     cond = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("clip_id"), F.col("o_orderpriority").alias("condition"))
-    a = metrics.population(T.tbu(spark, d).where("pred IS NOT NULL").join(cond, "clip_id"), ["condition"]).select("condition", F.col("balanced_acc").alias("tone_i2"))
-    orig = a.where("condition = '1-URGENT'").select(F.col("tone_i2").alias("orig"))
-    x = a.crossJoin(F.broadcast(orig)).select("condition", "tone_i2", (F.col("tone_i2") - F.col("orig")).alias("d_tone"), F.lit(0.0).alias("d_cer"), F.lit(0.0).alias("d_roundtrip"))
-    return r6(x.withColumn("verdict", gates.tone_blind()).drop("d_cer", "d_roundtrip"), "tone_i2", "d_tone")
+    tone = metrics.population(T.tbu(spark, d).where("pred IS NOT NULL").join(cond, "clip_id"), ["condition"]).select("condition", F.col("balanced_acc").alias("tone_i2"))
+    errors = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("clip_id"), "l_discount", "l_tax").join(cond, "clip_id").groupBy("condition").agg(F.avg("l_discount").alias("cer"), F.avg("l_tax").alias("roundtrip"))
+    out = metrics.against(tone.join(errors, "condition"), "condition", "1-URGENT", {"tone_i2": "d_tone", "cer": "d_cer", "roundtrip": "d_roundtrip"})
+    return r6(out.withColumn("verdict", gates.tone_blind()), "tone_i2", "cer", "roundtrip", "d_tone", "d_cer", "d_roundtrip")
 
 
-@query("dose_response", f"""WITH {TBU}, c AS (SELECT tbu_idx AS factor, target, count(pred) AS n, sum((pred = target)::INT) AS k FROM tbu GROUP BY 1, 2), a AS (SELECT factor, avg(k::DOUBLE / nullif(n, 0)) AS t FROM c GROUP BY 1),
- s AS (SELECT *, lead(t) OVER (ORDER BY factor) AS nx FROM a) SELECT count(*) AS n, bool_and(nx IS NULL OR nx <= t + 0.03) AS monotone, round(corr(factor, t), 6) AS r FROM s""")
+@query("dose_response", f"""WITH {TBU}, c AS (SELECT tbu_idx AS factor, target, count(pred) AS n, sum((pred = target)::INT) AS k FROM tbu GROUP BY 1, 2), e AS (SELECT l_linenumber AS factor, avg(l_discount) AS cer FROM lineitem GROUP BY 1),
+ a AS (SELECT factor, avg(k::DOUBLE / nullif(n, 0)) AS t FROM c GROUP BY 1), s AS (SELECT *, lead(t) OVER (ORDER BY factor) AS nx FROM a LEFT JOIN e USING (factor))
+ SELECT count(*) AS n, bool_and(nx IS NULL OR nx <= t + 0.03) AS monotone, round(corr(factor, t), 6) AS r, round(corr(factor, cer), 6) AS r_cer, round(avg(cer), 6) AS mean_cer FROM s""")
 def dose_response(spark, d):
-    from pyspark.sql import Window
-
-    a = metrics.population(T.tbu(spark, d), ["tbu_idx"]).select(F.col("tbu_idx").alias("factor"), F.col("balanced_acc").alias("t"))
-    s = a.withColumn("nx", F.lead("t").over(Window.orderBy("factor")))  # a row per dose
-    return s.agg(F.count("*").alias("n"), F.bool_and(F.col("nx").isNull() | (F.col("nx") <= F.col("t") + 0.03)).alias("monotone"), F.round(S.pearson(F.col("factor").cast("double"), F.col("t")), 6).alias("r"))
+    tone = metrics.population(T.tbu(spark, d), ["tbu_idx"]).select(F.col("tbu_idx").alias("factor"), F.col("balanced_acc").alias("tone_i2"))
+    cer = T.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("factor")).agg(F.avg("l_discount").alias("cer"))
+    return r6(metrics.dose_response(tone.join(cer, "factor", "left"), "factor", "tone_i2", "cer"), "r", "r_cer", "mean_cer")
 
 
 @query("hours", "SELECT o_orderpriority AS source, round(sum(o_totalprice) / 3600, 4) AS hours, count(DISTINCT o_custkey) AS speakers, count(*) AS clips FROM orders GROUP BY 1")
@@ -185,53 +181,45 @@ def wilson_interval(spark, d):
     return r6(x.select("source", "n", "k", w["p"].alias("p"), w["lo"].alias("lo"), w["hi"].alias("hi")), "p", "lo", "hi")
 
 
-@query("binomial_test", """WITH x AS (SELECT source, count(*) AS n, sum(quality) AS k FROM labels JOIN documents USING (doc_id) GROUP BY 1), t AS (SELECT *, least(k, n - k) AS m FROM x)
- SELECT source, n, k::BIGINT AS k, round(CASE WHEN 2 * k = n THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(0, 400) r(i) WHERE i <= m)) END, 6) AS p_value FROM t""")
+#: The lower tail of n fair throws up to m, as a list of its terms.
+TAIL = "list_sum(list_transform(range(0, m::BIGINT + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2))))".replace("m::", "({m})::")
+
+
+@query("binomial_test", f"""WITH x AS (SELECT source, count(*) AS n, sum(quality) AS k FROM labels JOIN documents USING (doc_id) GROUP BY 1), t AS (SELECT *, least(k, n - k) AS m FROM x)
+ SELECT source, n, k::BIGINT AS k, round(CASE WHEN 2 * k = n THEN 1.0 ELSE least(1.0, 2 * {TAIL.format(m="m", n="n")}) END, 6) AS p_value FROM t""")
 def binomial_test(spark, d):
     docs = T.table(spark, d, "documents").select("doc_id", "source")
     x = T.table(spark, d, "labels").join(docs, "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum("quality").alias("k"))
     return r6(x.withColumn("p_value", S.binom_two_sided(F.col("k"), F.col("n"))), "p_value")
 
 
-@query("paired_win_rate", "SELECT count(*) AS n, sum((l_tax > l_discount)::INT)::BIGINT AS wins, sum((l_tax < l_discount)::INT)::BIGINT AS losses, round((sum((l_tax > l_discount)::INT) + 0.5 * sum((l_tax = l_discount)::INT)) / count(*), 6) AS win_rate, round(avg(l_tax - l_discount), 6) AS mean_margin FROM lineitem WHERE l_orderkey <= 400")
+@query("paired_win_rate", f"""WITH c AS (SELECT count(*) AS n, count_if(l_tax > l_discount)::BIGINT AS wins, count_if(l_tax < l_discount)::BIGINT AS losses, avg(l_tax - l_discount) AS margin FROM lineitem)
+ SELECT n, wins, losses, round((wins + 0.5 * (n - wins - losses)) / n, 6) AS win_rate, round(CASE WHEN wins = losses THEN 1.0 ELSE least(1.0, 2 * {TAIL.format(m="least(wins, losses)", n="(wins + losses)")}) END, 6) AS sign_p, round(margin, 6) AS mean_margin FROM c""")
 def paired_win_rate(spark, d):
-    """Over all pairs; the SQL beside it reads the first orders only."""
-    return r6(metrics.paired_win_rate(T.table(spark, d, "lineitem"), "l_tax", "l_discount").drop("sign_p"), "win_rate", "mean_margin")
-
-
-CC = f"cc AS (SELECT row_number() OVER (ORDER BY clip_id) - 1 AS k, {CELLS} FROM tbu GROUP BY clip_id)"
-DRAWN = f"reps AS (SELECT r.rep, {HASH.format(f"'{SEED}|' || r.rep || '|' || i.draw")} % (SELECT count(*) FROM cc) AS k FROM range(0, {N_REP}) r(rep), range(0, (SELECT count(*) FROM cc)) i(draw))"
-BOOT = f"sums AS (SELECT rep, {SUMS} FROM reps JOIN cc USING (k) GROUP BY rep), pt AS (SELECT {SUMS} FROM cc)"
+    return r6(metrics.paired_win_rate(T.table(spark, d, "lineitem"), "l_tax", "l_discount"), "win_rate", "sign_p", "mean_margin")
 
 
-def sql_kappa():
-    n = " + ".join(f"c_{t}{p}" for t in "HML" for p in "HML")
-    po = " + ".join(f"c_{t}{t}" for t in "HML")
-    pe = " + ".join(f"(c_{t}H + c_{t}M + c_{t}L)::DOUBLE * (c_H{t} + c_M{t} + c_L{t})" for t in "HML")
-    return f"((({po})::DOUBLE / ({n}) - ({pe}) / (({n})::DOUBLE * ({n}))) / (1 - ({pe}) / (({n})::DOUBLE * ({n}))))"
+# Multinomial draws are not SQL's; the tests hold the bootstraps against brute force.
 
 
-def boot_sql(stat, lo, hi=None):
-    q = lambda x: f"(SELECT v FROM (SELECT v, row_number() OVER (ORDER BY v) AS rn FROM (SELECT {stat} AS v FROM sums)) WHERE rn = least({N_REP}, floor({x} * {N_REP})::BIGINT + 1))"
-    return f"WITH {TBU}, {CC}, {DRAWN}, {BOOT} SELECT round((SELECT {stat} FROM pt), 6) AS point, round({q(lo)}, 6) AS lo" + (f", round({q(hi)}, 6) AS hi" if hi else "")
-
-
-@query("bootstrap_lcb", boot_sql(sql_balanced(), 0.05))
+@query("bootstrap_lcb")
 def bootstrap_lcb(spark, d):
     return r6(resample.bootstrap(resample.clip_counts(T.tbu(spark, d)), resample.balanced(), N_BOOT, SEED, 0.05), "point", "lo")
 
 
-@query("bootstrap_ci", boot_sql(sql_balanced(), 0.025, 0.975))
+@query("bootstrap_ci")
 def bootstrap_ci(spark, d):
     return r6(resample.bootstrap(resample.clip_counts(T.tbu(spark, d)), resample.balanced(), N_BOOT, SEED, 0.025, 0.975), "point", "lo", "hi")
 
 
-@query("bootstrap_kappa", boot_sql(sql_kappa(), 0.05))
+@query("bootstrap_kappa")
 def bootstrap_kappa(spark, d):
-    return r6(resample.bootstrap(resample.clip_counts(T.tbu(spark, d)), resample.counts_kappa(), N_BOOT, SEED, 0.05), "point", "lo")
+    """At the grain of pairs, covered units and their targets."""
+    pairs = resample.pair_counts(T.tbu(spark, d).where("pred IS NOT NULL"), "pred", "target")
+    return r6(resample.bootstrap(pairs, resample.counts_kappa(total="c_n"), N_BOOT, SEED, 0.05), "point", "lo")
 
 
-@query("paired_delta", boot_sql(f"({sql_balanced()} - {sql_balanced(True)})", 0.025, 0.975))
+@query("paired_delta")
 def paired_delta(spark, d):
     return r6(resample.bootstrap(resample.clip_counts(T.tbu(spark, d)), resample.balanced() - resample.swapped_balanced(), N_BOOT, SEED, 0.025, 0.975), "point", "lo", "hi")
 
@@ -247,7 +235,7 @@ def balanced_of(rel):
 
 @query("controls", f"WITH {TBU} SELECT 'shuffled_target' AS control, round({balanced_of(permuted_sql(11))}, 6) AS balanced_acc UNION ALL SELECT 'all_mid', round({balanced_of("(SELECT target, CASE WHEN pred IS NOT NULL THEN 'M' END AS pred FROM tbu)")}, 6) UNION ALL SELECT 'swapped', round({balanced_of("(SELECT CASE target WHEN 'H' THEN 'L' WHEN 'L' THEN 'H' ELSE 'M' END AS target, pred FROM tbu)")}, 6) UNION ALL SELECT 'high_low', round({balanced_of("(SELECT * FROM tbu WHERE target <> 'M')")}, 6)")
 def controls(spark, d):
-    t = T.tbu(spark, d)
+    t = T.placed(spark, d)
     parts = {"shuffled_target": resample.permuted_targets(t, 11), "all_mid": resample.all_mid(t), "swapped": resample.swap_high_low(t), "high_low": resample.only_high_low(t)}
     out = None
     for name, rows in parts.items():
@@ -256,13 +244,10 @@ def controls(spark, d):
     return out
 
 
-@query("scramble_floor", f"WITH {TBU}, s AS (" + " UNION ALL ".join(f"SELECT {balanced_of(permuted_sql(s))} AS v" for s in range(3)) + ") SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM s")
+@query("scramble_floor", f"WITH {TBU}, s AS (" + " UNION ALL ".join(f"SELECT {balanced_of(permuted_sql(s))} AS v" for s in range(FLOOR_SEEDS)) + ") SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM s")
 def scramble_floor(spark, d):
-    t, out = T.tbu(spark, d), None
-    for s in range(FLOOR_SEEDS):
-        one = metrics.population(resample.permuted_targets(t, s)).select(F.col("balanced_acc").alias("v"))
-        out = one if out is None else out.unionByName(one)
-    return out.agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"))
+    v = metrics.population(resample.permuted_targets(T.tbu(spark, d), *range(FLOOR_SEEDS)), ["seed"])
+    return v.agg(F.round(F.avg("balanced_acc"), 6).alias("mean"), F.round(F.stddev_pop("balanced_acc"), 6).alias("std"))
 
 
 @query("index_quantiles", "WITH r AS (SELECT o_orderpriority AS source, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT source, v AS quantile FROM r WHERE rn = least(n, floor(0.9 * n)::BIGINT + 1)")
@@ -282,7 +267,7 @@ WIDE = f"""w AS (SELECT 'I2' AS instrument, 'tone' AS role, avg(correct::DOUBLE
 
 
 def _wide(spark, d):
-    t = T.tbu(spark, d)
+    t = T.placed(spark, d)
     cs = metrics.class_stats(t)
     at = lambda c, k: F.max(F.when(F.col("target") == k, F.col(c)))
     w = cs.agg(F.avg("recall").alias("balanced_acc"), S.share(F.sum("correct"), F.sum("covered")).alias("micro_acc"), S.share(F.sum("covered"), F.sum("support")).alias("coverage"), *(at(c, k).alias(f"{c}_{k}") for c in ("recall", "coverage", "support") for k in "HL"))
@@ -364,7 +349,7 @@ def side_assignment(spark, d):
     return T.manifest(spark, d).select("id", selection.random_side(5, F.col("id")).alias("side"))
 
 
-@query("best_checkpoint", f"WITH {RUNS}, s AS (SELECT run_tag, avg(v) AS tone_i2 FROM l WHERE metric = 'tone_i2' GROUP BY 1) SELECT arg_max(run_tag, tone_i2) AS run_tag, round(max(tone_i2), 4) AS tone_i2 FROM s")
+@query("best_checkpoint", f"WITH {RUNS}, s AS (SELECT run_tag, avg(v) AS tone_i2 FROM l WHERE metric = 'tone_i2' GROUP BY 1) SELECT run_tag, round(tone_i2, 4) AS tone_i2 FROM s ORDER BY s.tone_i2 DESC, run_tag LIMIT 1")
 def best_checkpoint(spark, d):
     s = _runs(spark, d).groupBy("run_tag").agg(F.avg("tone_i2").alias("tone_i2"))
     return selection.best_by(s, "tone_i2", "run_tag").withColumn("tone_i2", F.round("tone_i2", 4))

@@ -10,7 +10,7 @@ from ..operators import pilot, selection, signal
 from ..sources import writers
 from ..streaming import monitor
 from . import tables as T
-from .metric_queries import HASH, r6
+from .metric_queries import HASH, TAIL, r6
 
 QUERIES, SQL = {}, {}
 
@@ -33,16 +33,15 @@ MARKED = sql_translate("text", {k: X.STAND_IN[v] for k, v in X.tone_letters().it
 TONES = f"regexp_replace({MARKED}, '[^{''.join(X.STAND_IN.values())}]', '', 'g')"
 BARE = sql_translate("{}", X.bare_letters())
 CER_TEXT = f"trim(regexp_replace(lower({BARE}), '[^\\p{{{{L}}}}\\p{{{{N}}}}_]+', ' ', 'g'))"
-NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+NORM = "trim(regexp_replace(lower(nfc_normalize({})), '\\s+', ' ', 'g'))"
 
 
 @query("tbu_counts", "SELECT lang, " + ", ".join(f"sum(length(m) - length(replace(m, '{X.STAND_IN[t]}', '')))::BIGINT AS n_{t.lower()}" for t in "HML") + f" FROM (SELECT lang, {MARKED} AS m FROM documents) GROUP BY lang")
 def tbu_counts(spark, d):
-    docs = T.table(spark, d, "documents")
-    return docs.groupBy("lang").agg(*(F.sum(X.tone_count(F.col("text"), t)).alias(f"n_{t.lower()}") for t in "HML"))
+    return X.tone_counts(T.table(spark, d, "documents"), "text", ["lang"])
 
 
-@query("tone_bigrams", f"SELECT lang, translate(substr(s, i::INT, 2), '{''.join(X.STAND_IN.values())}', '{''.join(X.STAND_IN)}') AS bigram, count(*) AS n FROM (SELECT lang, {TONES} AS s FROM documents), range(1, 40000) r(i) WHERE i < length(s) GROUP BY 1, 2")
+@query("tone_bigrams", f"SELECT lang, translate(substr(s, i::INT, 2), '{''.join(X.STAND_IN.values())}', '{''.join(X.STAND_IN)}') AS bigram, count(*) AS n FROM (SELECT lang, s, unnest(range(1, length(s)::BIGINT)) AS i FROM (SELECT lang, {TONES} AS s FROM documents)) GROUP BY 1, 2")
 def tone_bigrams(spark, d):
     seq = T.table(spark, d, "documents").select("lang", X.tone_sequence(F.col("text")).alias("s"))
     pairs = F.transform(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), lambda x, i: F.concat(F.get("s", i), x))
@@ -57,7 +56,8 @@ def tone_density(spark, d):
 
 @query("norm_keys", f"SELECT lang, count(*) AS n, count(DISTINCT {NORM.format('text')}) AS keys FROM documents GROUP BY 1")
 def norm_keys(spark, d):
-    return T.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct(X.norm_key(F.col("text"))).alias("keys"))
+    keys = T.table(spark, d, "documents").select("lang", X.norm_key(F.col("text")).alias("key"))
+    return keys.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
 
 
 @query("tone_swap", f"SELECT lang, sum((text <> {sql_translate('text', X.swapped_letters())})::INT)::BIGINT AS changed FROM documents GROUP BY 1")
@@ -65,12 +65,13 @@ def tone_swap(spark, d):
     return T.table(spark, d, "documents").groupBy("lang").agg(F.count_if(F.col("text") != X.swap_tones(F.col("text"))).alias("changed"))
 
 
-CER_A, CER_B = CER_TEXT.format("a.text"), CER_TEXT.format("b.text")
+#: DuckDB's distance counts bytes, so letters beyond ASCII that keep their form without marks become capitals, which no lower-cased text has.
+SINGLE = dict(zip("ßæœøđłðþŋəɛɔɓɗƙƴıĸħŧʼʔªº", "ABCDEFGHIJKLMNOPQRSTUVWX", strict=True))
+CER_A, CER_B = (sql_translate(CER_TEXT.format(c), SINGLE) for c in ("a.text", "b.text"))
 
 
-@query("cer_pairs", f"SELECT item_id, round(levenshtein(r, h)::DOUBLE / length(r), 6) AS cer FROM (SELECT a.item_id, {CER_A} AS r, {CER_B} AS h FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1) WHERE regexp_full_match(r || h, '[ -~]*')")
+@query("cer_pairs", f"SELECT item_id, round(levenshtein(r, h)::DOUBLE / length(r), 6) AS cer FROM (SELECT a.item_id, {CER_A} AS r, {CER_B} AS h FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)")
 def cer_pairs(spark, d):
-    """Every pair; the SQL beside it has plain ASCII only, since DuckDB's levenshtein counts bytes."""
     b = T.table(spark, d, "benchmark")
     pairs = b.select("item_id", "text").join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other")), "item_id")
     return pairs.select("item_id", F.round(X.cer(F.col("text"), F.col("other")), 6).alias("cer"))
@@ -170,9 +171,9 @@ def ssim_pairs(spark, d):
 COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 
 
-@query("voice_diversity", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), s AS (SELECT * FROM r WHERE k <= 4) SELECT a.label, count(*) AS pairs, round(avg({COS}), 6) AS mean_cosine FROM s a JOIN s b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1")
+@query("voice_diversity", f"SELECT a.label, count(*) AS pairs, round(avg({COS}), 6) AS mean_cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1")
 def voice_diversity(spark, d):
-    """Over all pairs of voices of each line; the SQL beside it takes the first four voices only."""
+    """Over all pairs of voices of each line, without listing them; the SQL lists them."""
     return r6(signal.mean_pair_cosine(T.table(spark, d, "embeddings"), "label", "embedding"), "mean_cosine")
 
 
@@ -186,13 +187,12 @@ def role_changes(spark, d):
 
 
 def _codes(spark, d):
-    """A rater's answers as a compact code: suppliers rate parts."""
+    """Raters' answers as compact codes, one for each sitting: suppliers rate the parts of an order."""
     li = T.table(spark, d, "lineitem")
     label = F.when(F.col("l_quantity") > 30, " OK").when(F.col("l_quantity") > 12, "bad ").otherwise("unsure")
-    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    item = F.struct(*order, F.concat(F.lit("item"), F.col("l_partkey"), F.lit("="), label).alias("part"))
-    codes = li.groupBy(F.col("l_suppkey").alias("rater")).agg(F.sort_array(F.collect_list(item)).alias("x"))
-    return codes.select("rater", F.concat(F.lit("PILOT1;;noise;"), F.array_join(F.transform("x", lambda y: y["part"]), ";")).alias("code"))
+    item = F.struct("l_linenumber", "l_partkey", "l_quantity", F.concat(F.lit("item"), F.col("l_partkey"), F.lit("="), label).alias("part"))
+    codes = li.groupBy(F.col("l_suppkey").alias("rater"), F.col("l_orderkey").alias("sitting")).agg(F.sort_array(F.collect_list(item)).alias("x"))
+    return codes.select("rater", "sitting", F.concat(F.lit("PILOT1;;noise;"), F.array_join(F.transform("x", lambda y: y["part"]), ";")).alias("code"))
 
 
 ANSWERS = "ans AS (SELECT rater, item_id, label FROM (SELECT l_suppkey AS rater, 'item' || l_partkey AS item_id, CASE WHEN l_quantity > 30 THEN 'ok' WHEN l_quantity > 12 THEN 'bad' ELSE 'unsure' END AS label, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_quantity DESC) AS k FROM lineitem) WHERE k = 1)"
@@ -200,7 +200,7 @@ ANSWERS = "ans AS (SELECT rater, item_id, label FROM (SELECT l_suppkey AS rater,
 
 @query("answers_parse", f"WITH {ANSWERS} SELECT rater, label, count(*) AS n FROM ans GROUP BY 1, 2")
 def answers_parse(spark, d):
-    return pilot.answer_rows(_codes(spark, d)).groupBy("rater", "label").agg(F.count("*").alias("n"))
+    return pilot.answer_rows(_codes(spark, d), order="sitting").groupBy("rater", "label").agg(F.count("*").alias("n"))
 
 
 def _key(spark, d):
@@ -215,7 +215,7 @@ TALLY = "tally AS (SELECT rater, count_if(is_catch)::BIGINT AS catch_total, coun
 
 @query("rater_gate", f"WITH {ANSWERS}, {KEY}, {TALLY} SELECT *, catch_total >= 5 AND catch_ok >= 5 AS kept, round(native_ok::DOUBLE / nullif(native_total, 0), 6) AS anchor, CASE WHEN NOT (catch_total >= 5 AND catch_ok >= 5) THEN 'FAILED CATCHES' WHEN scoreable < 30 THEN 'NO SCOREABLE PILOT' WHEN NOT coalesce(native_ok::DOUBLE / nullif(native_total, 0) >= 0.75, false) THEN 'ANCHOR LOW' ELSE 'OK' END AS status FROM tally")
 def rater_gate(spark, d):
-    return r6(pilot.rater_gate(pilot.rater_tallies(pilot.answer_rows(_codes(spark, d)), _key(spark, d))), "anchor")
+    return r6(pilot.rater_gate(pilot.rater_tallies(pilot.answer_rows(_codes(spark, d), order="sitting"), _key(spark, d))), "anchor")
 
 
 @query("tone_threshold", f"WITH {KEY} SELECT round(coalesce(median(CASE WHEN source = 'native' AND NOT is_catch THEN tone_i2 END), 0.58)::DOUBLE, 6) AS tau FROM key")
@@ -229,9 +229,9 @@ Z2 = "(1.95996 * 1.95996)"
 
 @query("ab_gate", f"""WITH {ANSWERS}, {KEY}, {AB}, t AS (SELECT rater, count_if(is_catch)::BIGINT AS catch_total, count_if(is_catch AND pick = side)::BIGINT AS catch_ok, count_if(NOT is_catch AND pick <> 'unsure')::BIGINT AS trials, count_if(NOT is_catch AND pick = side)::BIGINT AS wins, count_if(NOT is_catch AND pick = 'unsure')::BIGINT AS unsure FROM ab GROUP BY 1), w AS (SELECT *, wins::DOUBLE / trials AS p, 1 + {Z2} / trials AS d FROM t)
  SELECT rater, catch_total, catch_ok, trials, wins, unsure, coalesce(catch_ok::DOUBLE / nullif(catch_total, 0) >= 0.8, false) AS kept, round(p, 6) AS share, round(greatest(0, (p + {Z2} / (2 * trials)) / d - 1.95996 * sqrt(p * (1 - p) / trials + {Z2} / (4 * trials * trials)) / d), 6) AS lo, round(least(1, (p + {Z2} / (2 * trials)) / d + 1.95996 * sqrt(p * (1 - p) / trials + {Z2} / (4 * trials * trials)) / d), 6) AS hi,
- round(CASE WHEN 2 * wins = trials THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(trials + 1) - lgamma(i + 1) - lgamma(trials - i + 1) - trials * ln(2))) FROM range(0, 1000) r(i) WHERE i <= least(wins, trials - wins))) END, 5) AS p_value, CASE WHEN NOT coalesce(catch_ok::DOUBLE / nullif(catch_total, 0) >= 0.8, false) THEN 'FAILED CATCHES' WHEN trials < 24 THEN 'NO SCOREABLE PILOT' ELSE 'OK' END AS status FROM w""")
+ round(CASE WHEN 2 * wins = trials THEN 1.0 ELSE least(1.0, 2 * {TAIL.format(m="least(wins, trials - wins)", n="trials")}) END, 5) AS p_value, CASE WHEN NOT coalesce(catch_ok::DOUBLE / nullif(catch_total, 0) >= 0.8, false) THEN 'FAILED CATCHES' WHEN trials < 24 THEN 'NO SCOREABLE PILOT' ELSE 'OK' END AS status FROM w""")
 def ab_gate(spark, d):
-    a = pilot.answer_rows(_codes(spark, d)).withColumn("label", F.when(F.col("label") == "ok", "a").when(F.col("label") == "bad", "b").otherwise("unsure"))
+    a = pilot.answer_rows(_codes(spark, d), order="sitting").withColumn("label", F.when(F.col("label") == "ok", "a").when(F.col("label") == "bad", "b").otherwise("unsure"))
     k = _key(spark, d).withColumns({"correct_side": selection.random_side(5, F.col("item_id")), "expect_pick": selection.random_side(5, F.col("item_id"))})
     return r6(pilot.ab_gate(pilot.ab_tallies(a, k)), "share", "lo", "hi").withColumn("p_value", F.round("p_value", 5))
 
@@ -269,9 +269,9 @@ def item_ids(spark, d):
     return selection.item_ids(b, 9, "clip")
 
 
-@query("pitch_histogram", "SELECT least(greatest(floor((value - 0) / 50) + 1, 0), 11)::BIGINT AS bin, count(*) AS n FROM events WHERE value < 500 GROUP BY 1")
+@query("pitch_histogram", "SELECT least(greatest(floor((value - 0) / 50) + 1, 0), 11)::BIGINT AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
 def pitch_histogram(spark, d):
-    return writers.histogram(T.table(spark, d, "events").where("value < 500"), "value", 0.0, 500.0, 10).select("bin", "n")
+    return writers.histogram(T.table(spark, d, "events"), "value", 0.0, 500.0, 10).select("bin", "n")
 
 
 @query("stream_sessions", """WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)

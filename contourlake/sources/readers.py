@@ -98,7 +98,7 @@ def language_map(spark: SparkSession, path: str, language: str) -> DataFrame:
 
 def form_items(pages: DataFrame, html: str = "html", variable: str = "ITEMS") -> DataFrame:
     """item_id, text and audio (bytes) of the items in a generated form."""
-    raw = F.regexp_extract(F.col(html), rf"const {variable} = (\[.*?\]);", 1)
+    raw = F.regexp_extract(F.col(html), rf"(?md)^const {variable} = (\[.*\]);$", 1)  # the list is a line of its own
     item = F.explode(F.from_json(raw, "array<struct<item_id: string, text: string, audio: string>>"))
     return pages.select(item.alias("i")).select("i.item_id", "i.text", F.unbase64(F.substring_index("i.audio", ",", -1)).alias("audio"))
 
