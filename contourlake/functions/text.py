@@ -55,6 +55,27 @@ def swapped_letters() -> dict[str, str]:
     return out | {ACUTE: GRAVE, GRAVE: ACUTE}
 
 
+def align_text(text: str) -> tuple[str, list[int], str]:
+    """What an aligner hears of a text: lower case without tone marks, other marks kept and composed; the place in it of each tone-bearing unit; the units' tones."""
+    flat, places, tones = [], [], []
+    size = 0
+    clusters: list[str] = []
+    for c in unicodedata.normalize("NFD", text):
+        if clusters and unicodedata.combining(c):
+            clusters[-1] += c
+        else:
+            clusters.append(c)
+    for c in clusters:
+        kept = unicodedata.normalize("NFC", "".join(x for x in c if x not in TONE_OF_MARK)).lower()
+        tone = tone_of_letter(c) if c[0].isalpha() else None
+        if tone is not None and kept:
+            places.append(size)
+            tones.append(tone)
+        flat.append(kept)
+        size += len(kept)
+    return "".join(flat), places, "".join(tones)
+
+
 def _translated(text: Column, table: dict[str, str]) -> Column:
     return F.translate(text, "".join(table), "".join(table.values()))
 
@@ -139,6 +160,12 @@ def fill_carrier(template: Column, word: Column) -> Column:
     return F.replace(template, F.lit("___"), word)
 
 
+def first_replaced(text: Column, old: Column, new: Column) -> Column:
+    """The text with the first occurrence of old as new: a homograph's variant."""
+    at = F.locate(old, text) if isinstance(old, str) else F.instr(text, old)
+    return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), new, F.substr(text, at + F.length(old)))).otherwise(text)
+
+
 def bad_tags(tags: Column, valid: list[str]) -> Column:
     """The tags, split at commas of either width, that are not valid."""
     named = F.filter(F.transform(F.split(F.lower(tags), "[,\uff0c]"), lambda x: F.trim(x)), lambda x: x != "")

@@ -1,8 +1,12 @@
-"""Leaves: what a clip's audio gives. Each runs once per clip and returns one struct.
-
-A Backend has pitch, emissions and alignment as plain numpy functions; models
-plug in by subclassing. The default needs numpy alone: autocorrelation pitch,
-and Viterbi alignment of a CTC emission matrix.
+"""Leaves: what a clip's audio gives. Each runs once per clip and returns one row.
+
+A Backend has plain numpy functions: decode, pitch, emissions, latents and
+voice; models plug in by subclassing. The default needs numpy alone: PCM wave
+files, autocorrelation pitch, and Viterbi alignment of whatever CTC emissions a
+subclass gives. ``precompute`` is the one pass from clip and text to targets,
+pitch, windows, transcript and embedding; its parts are read out with
+``frames_of`` and ``windows_of``. A clip that cannot be read is a row with a
+status, not a gap.
 """
 
 from __future__ import annotations
@@ -17,12 +21,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import align_text
+
 
 def read_wav(data: bytes) -> tuple[np.ndarray, int]:
-    """Mono float samples and the rate of 16-bit PCM."""
+    """Mono float samples and the rate of PCM of 8, 16, 24 or 32 bits."""
     with wave.open(io.BytesIO(data)) as w:
-        x = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float32) / 32768
-        return x.reshape(-1, w.getnchannels()).mean(axis=1), w.getframerate()
+        raw, width, channels, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
+    if width == 1:  # the only unsigned width
+        x = np.frombuffer(raw, np.uint8).astype(np.float32) / 128 - 1
+    elif width == 3:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / (1 << 23)
+    else:
+        x = np.frombuffer(raw, f"<i{width}").astype(np.float32) / (1 << (8 * width - 1))
+    return mono(x.reshape(-1, channels)), rate
+
+
+def mono(x: np.ndarray) -> np.ndarray:
+    """The mean of the channels."""
+    return x.mean(axis=1) if x.ndim > 1 else x
 
 
 def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
@@ -37,34 +55,36 @@ def peak_normalised(x: np.ndarray, peak: float = 0.95) -> np.ndarray:
     return x * (peak / top) if top > 0 else x
 
 
-def pitch(x: np.ndarray, rate: int, lo: float = 65.0, hi: float = 400.0, hop: float = 0.01, width: float = 0.04, voiced: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """times and f0 (NaN: unvoiced) by the normalised difference function, with parabolic refinement."""
+def pitch(x: np.ndarray, rate: int, lo: float = 65.0, hi: float = 400.0, hop: float = 0.01, width: float = 0.04, voiced: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """times, f0 (NaN: unvoiced) and confidence by the normalised difference function, with parabolic refinement; all frames at once."""
     n, step = int(width * rate), int(hop * rate)
     longest, shortest = int(rate / lo) + 1, max(2, int(rate / hi))
     starts = np.arange(0, max(0, len(x) - n - longest), step)
-    times, f0 = starts / rate + width / 2, np.full(len(starts), np.nan)
-    for k, s in enumerate(starts):
-        a = x[s : s + n].astype(np.float64)
-        if np.sqrt((a * a).mean()) < 1e-3:
-            continue
-        b = x[s : s + n + longest].astype(np.float64)
-        cross = np.correlate(b, a, "valid")[: longest + 1]
-        energy = np.cumsum(np.r_[0, b * b])
-        diff = energy[n] + (energy[n : n + len(cross)] - energy[: len(cross)]) - 2 * cross
-        norm = diff[1:] * np.arange(1, len(diff)) / np.maximum(np.cumsum(diff[1:]), 1e-12)
-        band = norm[shortest - 1 : longest - 1]
-        good = np.flatnonzero(band < 0.15)
-        j = int(good[0]) if len(good) else int(band.argmin())
-        while len(good) and j + 1 < len(band) and band[j + 1] < band[j]:
-            j += 1
-        if band[j] > voiced:
-            continue
-        lag = j + shortest
-        if 1 < lag < len(norm):
-            l, c, r = norm[lag - 2 : lag + 1]
-            lag += 0.5 * (l - r) / (l - 2 * c + r) if l - 2 * c + r else 0.0
-        f0[k] = rate / lag
-    return times, f0
+    times, f0, sure = starts / rate + width / 2, np.full(len(starts), np.nan), np.zeros(len(starts))
+    for at in range(0, len(starts), 1024):
+        b = np.lib.stride_tricks.sliding_window_view(x, n + longest)[starts[at : at + 1024]].astype(np.float64)
+        a = b[:, :n]
+        size = 1 << int(np.ceil(np.log2(2 * n + longest)))
+        cross = np.fft.irfft(np.fft.rfft(b, size) * np.conj(np.fft.rfft(a, size)), size)[:, : longest + 1]
+        energy = np.concatenate([np.zeros((len(b), 1)), np.cumsum(b * b, axis=1)], axis=1)
+        diff = energy[:, n : n + 1] + energy[:, n : n + longest + 1] - energy[:, : longest + 1] - 2 * cross
+        norm = diff[:, 1:] * np.arange(1, longest + 1) / np.maximum(np.cumsum(diff[:, 1:], axis=1), 1e-12)
+        band = norm[:, shortest - 1 : longest - 1]
+        good = band < 0.15
+        # The first dip under the threshold, followed to its bottom; the least of all where there is none.
+        rising = np.concatenate([band[:, 1:] >= band[:, :-1], np.ones((len(band), 1), bool)], axis=1)
+        first = np.where(good.any(axis=1), good.argmax(axis=1), band.shape[1])
+        bottom = (rising & (np.arange(band.shape[1]) >= first[:, None])).argmax(axis=1)
+        j = np.where(good.any(axis=1), bottom, band.argmin(axis=1))
+        rows = np.arange(len(band))
+        depth, lag = band[rows, j], j + shortest
+        l, c, r = (norm[rows, np.clip(lag + k - 1, 0, norm.shape[1] - 1)] for k in (-1, 0, 1))
+        bend = l - 2 * c + r
+        fine = lag + np.where((bend != 0) & (lag > 1) & (lag < norm.shape[1]), 0.5 * (l - r) / np.where(bend, bend, 1), 0)
+        live = (depth <= voiced) & (np.sqrt((a * a).mean(axis=1)) >= 1e-3)
+        f0[at : at + len(b)] = np.where(live, rate / fine, np.nan)
+        sure[at : at + len(b)] = np.where(live, np.clip(1 - depth, 0, 1), 0)
+    return times, f0, sure
 
 
 def greedy_decode(logits: np.ndarray, vocabulary: list[str], blank: int = 0) -> str:
@@ -105,27 +125,66 @@ def ctc_windows(logits: np.ndarray, symbols: list[int], seconds: float, blank: i
     return out
 
 
-def segment(latents: np.ndarray, t0: float | None, t1: float | None, hop: float = 0.02, least: int = 1) -> np.ndarray | None:
+def segment(latents: np.ndarray, t0: float | None, t1: float | None, hop: float = 0.02, least: int = 2) -> np.ndarray | None:
     """The latent frames of a window; None if it is not aligned or too short."""
     if t0 is None or t1 is None:
         return None
-    out = latents[int(t0 / hop) : int(np.ceil(t1 / hop))]
+    out = latents[max(0, int(t0 / hop)) : int(np.ceil(t1 / hop))]
     return out if len(out) >= least else None
 
 
+def unit_windows(backend: Backend, text: str, logits: np.ndarray, seconds: float, whole: bool = False) -> list[tuple[float, float] | None] | None:
+    """Times of each tone-bearing unit by forced alignment; a unit whose character the model lacks is None. whole: None altogether if any unit is. None if nothing can be aligned."""
+    flat, places, _ = align_text(text)
+    ids, at = [], []
+    for k, c in enumerate(flat):
+        i = backend.symbol(c)
+        if i is not None:
+            ids.append(i)
+            at.append(k)
+    if len(flat) < 2 or not places or len(ids) < 2:
+        return None
+    found = dict(zip(at, ctc_windows(logits, ids, seconds, backend.blank), strict=True))
+    out = [found.get(p) for p in places]
+    return None if whole and None in out else out
+
+
 class Backend:
-    """Pitch by autocorrelation; no acoustic model, hence no alignment."""
+    """Pitch by autocorrelation; no acoustic model, hence no alignment, latents or voice."""
 
     name = "numpy"
+    #: The rate that models hear.
+    rate = 16_000
+    blank = 0
+    vocabulary: tuple[str, ...] = ()
+
+    def decode(self, data: bytes) -> tuple[np.ndarray, int]:
+        """Samples and rate. Compressed kinds need a subclass with a codec."""
+        if data[:4] != b"RIFF":
+            raise ValueError("not a wave file")
+        return read_wav(data)
+
+    def pitch(self, x: np.ndarray, rate: int, lo: float = 65.0, hi: float = 400.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return pitch(x, rate, lo, hi)
+
+    def emissions(self, x: np.ndarray) -> np.ndarray | None:
+        """Frames by symbols."""
+        return None
 
-    def pitch(self, x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
-        return pitch(x, rate)
+    def latents(self, x: np.ndarray) -> np.ndarray | None:
+        """Frames, 20 ms each, by dimensions."""
+        return None
 
-    def emissions(self, x: np.ndarray, rate: int) -> np.ndarray | None:
+    def voice(self, x: np.ndarray) -> np.ndarray | None:
         return None
 
-    def symbols(self, text: str) -> list[int]:
-        return []
+    def symbol(self, character: str) -> int | None:
+        """The model's number of a character, a space being |; None if it has none."""
+        c = "|" if character == " " else character
+        return self.vocabulary.index(c) if c in self.vocabulary and self.vocabulary.index(c) != self.blank else None
+
+    def transcript(self, logits: np.ndarray) -> str:
+        return greedy_decode(logits, list(self.vocabulary), self.blank).replace("|", " ").strip()
 
 
 @lru_cache(maxsize=4)
@@ -134,24 +193,89 @@ def loaded(kind: type[Backend]) -> Backend:
     return kind()
 
 
-def frames(clips: DataFrame, kind: type[Backend] = Backend) -> DataFrame:
-    """frames(clip_id, frame_idx, t, f0) of clips(clip_id, content), NaN as NULL; a clip that cannot be read gives none."""
+def read(backend: Backend, data: bytes, peak: float | None = None) -> tuple[np.ndarray | None, int, str]:
+    """Samples, rate and status (ok, or why there are none)."""
+    try:
+        x, rate = backend.decode(bytes(data))
+    except (wave.Error, EOFError, ValueError) as e:
+        return None, 0, f"unreadable: {e}"
+    if not len(x):
+        return None, rate, "empty"
+    return x if peak is None else peak_normalised(x, peak), rate, "ok"
+
+
+FRAME = "clip_id string, status string, backend string, frame_idx int, t double, f0 double, confidence double"
+
+
+def frames(clips: DataFrame, kind: type[Backend] = Backend, lo: float = 65.0, hi: float = 400.0) -> DataFrame:
+    """frames(clip_id, status, backend, frame_idx, t, f0, confidence) of clips(clip_id, content), NaN as NULL. A clip that cannot be read gives one row with its status and no time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = loaded(kind)
         for batch in batches:
             for clip, data in zip(batch.clip_id, batch.content, strict=True):
-                try:
-                    times, f0 = backend.pitch(*read_wav(bytes(data)))
-                except (wave.Error, EOFError):
-                    continue
-                yield pd.DataFrame({"clip_id": clip, "frame_idx": range(len(times)), "t": times, "f0": f0})
+                x, rate, status = read(backend, data)
+                times, f0, sure = ([None],) * 3 if x is None else backend.pitch(x, rate, lo, hi)
+                yield pd.DataFrame({"clip_id": clip, "status": status, "backend": backend.name, "frame_idx": range(len(times)), "t": times, "f0": f0, "confidence": sure}).astype({"t": float, "f0": float, "confidence": float})
+
+    out = clips.select(F.col("clip_id").cast("string"), "content").mapInPandas(run, FRAME)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("t", "f0", "confidence")})
+
 
-    out = clips.select(F.col("clip_id").cast("string"), "content").mapInPandas(run, "clip_id string, frame_idx int, t double, f0 double")
-    return out.withColumn("f0", F.when(~F.isnan("f0"), F.col("f0")))
+PRECOMPUTED = "clip_id string, status string, backend string, method string, seconds double, targets array<string>, times array<double>, f0 array<double>, t0 array<double>, t1 array<double>, hyp string, voice array<double>, latents array<array<float>>"
 
 
-def clips(spark, folder: str) -> DataFrame:
-    """clip_id (file name without its ending) and content of the wave files of a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("clip_id"), "content")
+def precompute(clips: DataFrame, kind: type[Backend] = Backend, whole: bool = False, lo: float = 65.0, hi: float = 400.0) -> DataFrame:
+    """All that scoring needs of clips(clip_id, text, content), one row each, in one pass over the audio.
+
+    method: forced-align, else proportional (the voiced span in equal windows),
+    else abstain (no span; windows are NULL). whole: a clip of which one unit is
+    not aligned falls back altogether. Emissions are computed once for both the
+    transcript and the windows. latents, voice and hyp are NULL without a model.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        backend = loaded(kind)
+        for batch in batches:
+            out = []
+            for clip, text, data in zip(batch.clip_id, batch.text, batch.content, strict=True):
+                text = text if isinstance(text, str) else ""
+                x, rate, status = read(backend, data)
+                tones = list(align_text(text)[2])
+                row = {"clip_id": clip, "status": status, "backend": backend.name, "method": "abstain", "seconds": 0.0, "targets": tones, "times": [], "f0": [], "t0": [None] * len(tones), "t1": [None] * len(tones), "hyp": None, "voice": None, "latents": None}
+                if x is not None:
+                    times, f0, _ = backend.pitch(x, rate, lo, hi)
+                    at_rate = resampled(x, rate, backend.rate)
+                    seconds = len(x) / rate
+                    logits, latents, voice = backend.emissions(at_rate), backend.latents(at_rate), backend.voice(at_rate)
+                    found = None if logits is None else unit_windows(backend, text, logits, seconds, whole)
+                    live = np.flatnonzero(~np.isnan(f0))
+                    if found is not None:
+                        row["method"] = "forced-align"
+                    elif len(live) and tones:
+                        edges = np.linspace(times[live[0]], times[live[-1]], len(tones) + 1)
+                        found = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+                        row["method"] = "proportional"
+                    found = found or [None] * len(tones)
+                    row |= {"seconds": seconds, "times": times.tolist(), "f0": [None if np.isnan(v) else float(v) for v in f0], "t0": [w and w[0] for w in found], "t1": [w and w[1] for w in found]}
+                    row |= {"hyp": None if logits is None else backend.transcript(logits), "voice": None if voice is None else voice.tolist(), "latents": None if latents is None else latents.tolist()}
+                out.append(row)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PRECOMPUTED.split(", ")])
+
+    return clips.select(F.col("clip_id").cast("string"), "text", "content").mapInPandas(run, PRECOMPUTED)
+
+
+def frames_of(pre: DataFrame) -> DataFrame:
+    """frames(clip_id, frame_idx, t, f0) of precomputed clips."""
+    return pre.select("clip_id", F.posexplode(F.arrays_zip("times", "f0")).alias("frame_idx", "x")).select("clip_id", "frame_idx", F.col("x.times").alias("t"), F.col("x.f0").alias("f0"))
+
+
+def windows_of(pre: DataFrame) -> DataFrame:
+    """windows(clip_id, tbu_idx, target, t0, t1) of precomputed clips."""
+    return pre.select("clip_id", F.posexplode(F.arrays_zip("targets", "t0", "t1")).alias("tbu_idx", "x")).select("clip_id", "tbu_idx", F.col("x.targets").alias("target"), F.col("x.t0").alias("t0"), F.col("x.t1").alias("t1"))
+
+
+def clips(spark, folder: str, pattern: str = "*.wav") -> DataFrame:
+    """clip_id (file name without its ending) and content of the audio files of a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("clip_id"), "content")

@@ -164,3 +164,35 @@ def spread(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], sample:
     long = rows.select(*keys, F.explode(F.create_map(*(x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))))).alias("metric", "value"))
     dev = F.coalesce(F.stddev_samp("value"), F.lit(0.0)) if sample else F.stddev_pop("value")
     return long.groupBy(*keys, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), dev.alias("std"), (dev / F.sqrt(F.count("value").cast("double"))).alias("sem"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+
+
+def paired_blocks(keymap: DataFrame, blocks: Sequence[str] = ("frozen", "deployed")) -> DataFrame:
+    """The paired win rate of each block of scores, over keymap(is_catch, tone_i2_<block>_correct, tone_i2_<block>_flipped) without catches."""
+    pairs = [F.struct(F.lit(b).alias("block"), F.col(f"tone_i2_{b}_correct").alias("c"), F.col(f"tone_i2_{b}_flipped").alias("f")) for b in blocks]
+    long = keymap.where(~F.col("is_catch")).select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where(F.col("c").isNotNull() & F.col("f").isNotNull())
+    x = long.groupBy("block").agg(F.count("*").alias("usable"), F.count_if(F.col("c") > F.col("f")).alias("wins"), F.count_if(F.col("c") < F.col("f")).alias("losses"), F.count_if(F.col("c") == F.col("f")).alias("ties"))
+    return x.select("block", "usable", "wins", "losses", "ties", S.share(F.col("wins") + 0.5 * F.col("ties"), F.col("usable")).alias("win_rate"), S.sign_test(F.col("wins"), F.col("losses")).alias("sign_p"))
+
+
+def margins(keymap: DataFrame, block: str = "frozen") -> DataFrame:
+    """pair_id and margin (correct less flipped) of the pairs that have both scores."""
+    m = F.col(f"tone_i2_{block}_correct") - F.col(f"tone_i2_{block}_flipped")
+    return keymap.where(~F.col("is_catch")).select("pair_id", m.alias("margin")).where(F.col("margin").isNotNull())
+
+
+def ordered(rows: DataFrame, *, ascending: Sequence[str] = (), descending: Sequence[str] = ()) -> DataFrame:
+    """rows for print: by some columns ascending, then by others descending, missing values last."""
+    return rows.orderBy(*(F.col(c).asc_nulls_last() for c in ascending), *(F.col(c).desc_nulls_last() for c in descending))
+
+
+def grid(*tables: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """All combinations of parameter tables (seeds, budgets, factors, ks), which must be at most so many."""
+    n = 1
+    for t in tables:
+        n *= t.count()
+    if n > most:
+        raise ValueError(f"{n} combinations are over {most}; join by a key instead")
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.crossJoin(t)
+    return out

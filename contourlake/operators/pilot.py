@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..storage import Tables
+from . import resample
 
 #: What a label says.
 JUDGED = {"ok": 1, "bad": 0}
@@ -86,7 +88,7 @@ def ab_gate(tallies: DataFrame) -> DataFrame:
 
 
 def oracle_summary(rows: DataFrame, full_k: float) -> DataFrame:
-    """Of oracle rows(kind, k, meter, detected, false_flips, ff_total, flipped): per meter, detection at full_k (or the largest k), false flips, flips and control trips."""
+    """Of oracle rows(kind, k, meter, detected, false_flips, ff_total, flipped): per meter, detection by k and at full_k (or the largest k), false flips, flips and control trips. ``oracle.trend`` adds whether detection rises."""
     flip, control = F.col("kind") == "flip", F.col("kind") == "control"
     ks = rows.where(flip).groupBy("meter", "k").agg(F.avg(F.col("detected").cast("double")).alias("rate"))
     strong = ks.groupBy("meter").agg(F.coalesce(F.max(F.when(F.col("k") == full_k, F.col("rate"))), F.max_by("rate", "k")).alias("strong_detect"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "rate")))).alias("detect_by_k"))
@@ -96,3 +98,63 @@ def oracle_summary(rows: DataFrame, full_k: float) -> DataFrame:
         S.share(F.count_if(control & F.col("flipped")), F.count_if(control)).alias("control_trip"),
     )
     return sums.join(strong, "meter", "left")
+
+
+def judged_pairs(answers: DataFrame, keymap: DataFrame) -> DataFrame:
+    """rater, pair_id and correct (1 if the rater picked the correct twin) of trials with a pick, catches left out."""
+    pick = F.upper(F.trim("label"))
+    j = answers.join(keymap.where(~F.col("is_catch")).select("item_id", "pair_id", "correct_side"), "item_id").where(pick.isin("A", "B"))
+    return j.select("rater", "pair_id", (pick == F.col("correct_side")).cast("int").alias("correct"))
+
+
+def pooled(rows: DataFrame, raters: DataFrame) -> DataFrame:
+    """The rows of kept raters."""
+    return rows.join(raters.where("kept").select("rater"), "rater", "left_semi")
+
+
+def scored_items(answers: DataFrame, keymap: DataFrame, tau: float) -> DataFrame:
+    """rater, item_id, human, tone_i2 and metric (tone_i2 at tau or more) of judged items with a score, catches left out."""
+    human = judgement(F.col("label"))
+    j = answers.join(keymap.where(~F.col("is_catch") & F.col("tone_i2").isNotNull()).select("item_id", "tone_i2"), "item_id")
+    return j.select("rater", "item_id", human.alias("human"), "tone_i2", (F.col("tone_i2") >= tau).cast("int").alias("metric")).where(F.col("human").isNotNull())
+
+
+def pilot_result(answers: DataFrame, keymap: DataFrame, tau: float, n_rep: int = 2000, seed: int = 4242) -> DataFrame:
+    """One row: kept raters, pooled items and natives; AUROC, r and kappa with limits; gate and verdict. Raters who miss the catches are left out."""
+    tallies = rater_gate(rater_tallies(answers, keymap))
+    kept = tallies.where("kept").agg(F.count("*").alias("n_kept"), F.coalesce(F.sum("native_ok"), F.lit(0)).alias("native_ok"), F.coalesce(F.sum("native_total"), F.lit(0)).alias("native_total"))
+    items = pooled(scored_items(answers, keymap, tau), tallies)
+    n = items.agg(F.count("*").alias("n_scored"))
+    values = Tables(answers.sparkSession, "pilot").put("values", resample.item_bootstrap(items, "tone_i2", "human", n_rep, seed, "metric"))
+    out = kept.crossJoin(F.broadcast(n))
+    for stat in ("auroc", "r", "kappa"):
+        one = resample.interval(values, stat).select(F.col("point").alias(stat), F.col("lo").alias(f"{stat}_lo"), F.col("hi").alias(f"{stat}_hi"))
+        out = out.join(F.broadcast(one), how="left")  # one row
+    w = S.wilson(F.col("native_ok"), F.col("native_total"))
+    return out.select("*", w["p"].alias("anchor"), w["lo"].alias("anchor_lo"), w["hi"].alias("anchor_hi")).withColumn("verdict", pilot_verdict())
+
+
+def pilot_verdict() -> Column:
+    """The metric is valid if AUROC reaches its gate; only raters who know the natives can say so."""
+    return (
+        F.when((F.col("n_kept") == 0) | (F.col("n_scored") < SCOREABLE_LEAST), "NO SCOREABLE PILOT")
+        .when(~S.at_least(F.col("anchor"), ANCHOR_GATE), "RATER GATE FAILED")
+        .when(S.at_least(F.col("auroc"), AUROC_GATE), "PASS")
+        .otherwise("INCONCLUSIVE")
+    )
+
+
+def ab_result(answers: DataFrame, keymap: DataFrame, n_rep: int = 2000, seed: int = 4242) -> DataFrame:
+    """One row: pooled trials of kept raters, how many were right with limits and exact test, and AUROC and r of the frozen margin against being right, with limits."""
+    from .metrics import margins
+
+    kept = ab_gate(ab_tallies(answers, keymap))
+    trials = pooled(judged_pairs(answers, keymap), kept).join(margins(keymap), "pair_id")
+    values = Tables(answers.sparkSession, "pilot").put("values", resample.item_bootstrap(trials, "margin", "correct", n_rep, seed))
+    out = trials.agg(F.count("*").alias("n_scored"), F.coalesce(F.sum("correct"), F.lit(0)).alias("n_correct"))
+    for stat in ("auroc", "r"):
+        one = resample.interval(values, stat).select(F.col("point").alias(stat), F.col("lo").alias(f"{stat}_lo"), F.col("hi").alias(f"{stat}_hi"))
+        out = out.join(F.broadcast(one), how="left")  # one row
+    w = S.wilson(F.col("n_correct"), F.col("n_scored"))
+    status = F.when(F.col("n_scored") < AB_TRIALS, "NO SCOREABLE PILOT").otherwise("OK")
+    return out.select("*", w["p"].alias("share"), w["lo"].alias("share_lo"), w["hi"].alias("share_hi"), S.binom_two_sided(F.col("n_correct"), F.col("n_scored")).alias("p_value"), status.alias("status"))

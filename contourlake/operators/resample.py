@@ -191,3 +191,52 @@ def trend_test(rows: DataFrame, x: str, y: str, n_perm: int, seed: int) -> DataF
         dots = mixed.groupBy("rep").agg(F.sum(F.col("rx") * F.col("ry")).alias("dot"))
     ge = F.count_if(rho_of(F.col("dot")) >= own - 1e-12)
     return dots.agg(F.lit(n).cast("long").alias("n"), F.lit(own).alias("rho"), ((ge + 1) / F.lit(n_perm + 1.0)).alias("p"))
+
+
+def item_bootstrap(items: DataFrame, score: str, label: str, n_rep: int, seed: int, pick: str | None = None) -> DataFrame:
+    """rep, auroc, r (of score and label) and kappa (of pick and label, both 0 or 1) of items drawn with replacement; rep -1 is the sample.
+
+    Items are judgements of listeners; equal ones are one kind. All kinds, at
+    most ``MOST_VALUES``, go to the tasks, which share the replicates.
+    """
+    label_col, pick_col = F.col(label).cast("int"), F.col(pick or label).cast("int")
+    kinds = items.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s"), label_col.alias("y"), pick_col.alias("m")).agg(F.count("*").alias("w"))
+    rows = kinds.orderBy("s", "y", "m").limit(MOST_VALUES + 1).collect()
+    if len(rows) > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} kinds of items")
+    s, y, m, w = (np.array([r[k] for r in rows], np.float64) for k in range(4))
+    first = np.r_[True, s[1:] != s[:-1]] if len(s) else np.empty(0, bool)
+    group = np.cumsum(first) - 1
+    names = ("auroc", "r", "kappa")
+
+    def of(c: np.ndarray) -> tuple[float | None, ...]:
+        n, pos = c.sum(), c @ y
+        per, up = np.bincount(group, c), np.bincount(group, c * y)
+        below = np.cumsum(per - up) - (per - up)
+        auc = float((up * (below + (per - up) / 2)).sum() / (pos * (n - pos))) if 0 < pos < n else None
+        mean_s, mean_y = c @ s / n, pos / n
+        vs, vy = c @ (s - mean_s) ** 2 / n, mean_y * (1 - mean_y)
+        r = float((c @ (s * y) / n - mean_s * mean_y) / (vs * vy) ** 0.5) if vs > 1e-24 and vy > 1e-24 else None
+        po, pm = c @ (m == y) / n, c @ m / n
+        pe = pm * mean_y + (1 - pm) * (1 - mean_y)
+        return auc, r, float((po - pe) / (1 - pe)) if pe < 1 else float(po >= 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for rep in b.column(0).to_pylist():
+                c = w if rep < 0 else np.random.default_rng([seed, rep]).multinomial(int(w.sum()), w / w.sum()).astype(np.float64)
+                out.append(of(c))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in out], pa.float64()) for k in range(3))], ["rep", *names])
+
+    reps = items.sparkSession.range(-1, n_rep) if len(rows) else items.sparkSession.range(0)
+    return reps.mapInArrow(run, "rep long, auroc double, r double, kappa double")
+
+
+def interval(values: DataFrame, stat: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
+    """stat, point, lo and hi of a column of replicates; missing values are left out."""
+    v = values.select("rep", F.col(stat).alias("v"))
+    out = v.where("rep < 0").select(F.lit(stat).alias("stat"), F.col("v").alias("point"))
+    for name, q in (("lo", lo), ("hi", hi)):
+        out = out.join(index_quantile(v.where("rep >= 0"), "v", q).select(F.lit(stat).alias("stat"), F.col("quantile").alias(name)), "stat", "left")
+    return out

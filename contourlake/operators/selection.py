@@ -97,3 +97,40 @@ def random_side(seed: int, key: Column) -> Column:
 def best_by(rows: DataFrame, metric: str, tag: str) -> DataFrame:
     """The row's tag with the highest metric, of equals the tag that sorts first; rows without the metric are left out."""
     return rows.where(F.col(metric).isNotNull()).agg(F.min_by(tag, F.struct((-F.col(metric)).alias("m"), F.col(tag).alias("t"))).alias(tag), F.max(metric).alias(metric))
+
+
+def first_passing(rows: DataFrame, by: str, passed: str, *order: str | Column) -> DataFrame:
+    """The first row of each key, in the order, that passed; a key without one has no row."""
+    w = Window.partitionBy(by).orderBy(*order)
+    return rows.where(F.col(passed)).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def anchored(points: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Curve points with fixed anchors, columns that one side lacks being missing."""
+    return points.unionByName(anchors, allowMissingColumns=True)
+
+
+def kit_items(natives: DataFrame, models: DataFrame, catches: DataFrame) -> DataFrame:
+    """All items of a listening kit with their kind, columns that a part lacks being missing."""
+    parts = [natives.withColumns({"source": F.lit("native"), "is_catch": F.lit(False)}), models.withColumns({"source": F.lit("model"), "is_catch": F.lit(False)}), catches.withColumn("is_catch", F.lit(True))]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+
+
+def train_and_dev(rows: DataFrame, dev: DataFrame, largest: DataFrame, key: str) -> DataFrame:
+    """What must be at hand for a sweep: the largest training set and the dev set, once each."""
+    wanted = largest.select(key).unionByName(dev.select(key)).distinct()
+    return rows.join(wanted, key, "left_semi")
+
+
+def with_paths(rows: DataFrame, paths: DataFrame, key: str = "id") -> DataFrame:
+    """rows with the local path of each, for those that have one. paths(key, path)."""
+    return rows.join(paths.select(key, "path"), key)
+
+
+def probe_lines(words: DataFrame, carriers: DataFrame, long_lines: DataFrame, seed: int) -> DataFrame:
+    """id, kind, text: long lines in a hashed order, then each word in the carriers in turn. words(id, text), carriers(k, template), long_lines(id, text), which may be empty."""
+    size = carriers.agg(F.count("*").alias("_n"))  # one row
+    numbered_words = numbered(words, "id", out="_i").crossJoin(F.broadcast(size)).withColumn("k", F.col("_i") % F.col("_n"))
+    filled = numbered_words.join(carriers.select(F.col("k").cast("long").alias("k"), "template"), "k").select("id", F.lit("minpair").alias("kind"), T.fill_carrier(F.col("template"), F.col("text")).alias("text"))
+    long = long_lines.select("id", F.lit("long").alias("kind"), "text")
+    return long.unionByName(filled).orderBy(F.when(F.col("kind") == "long", 0).otherwise(1), S.hash_number(F.lit(seed), F.col("id")), "id")

@@ -73,18 +73,28 @@ def residuals(units: DataFrame, slopes: DataFrame) -> DataFrame:
     return units.join(slopes, "clip_id", "left").withColumn("res", F.col("st") - F.coalesce("slope", F.lit(0.0)) * F.col("t_mid"))
 
 
-def classify(res: DataFrame, theta_h: float = THETA_H, theta_l: float = THETA_L, mid_ref: float | None = None) -> DataFrame:
-    """pred of each unit: its residual over the clip's median (or mid_ref) against the thresholds, both inclusive; NULL stays NULL."""
+def classify(res: DataFrame, theta_h: float = THETA_H, theta_l: float = THETA_L, mid_ref: float | DataFrame | None = None) -> DataFrame:
+    """pred of each unit: its residual over the clip's median against the thresholds, both inclusive; NULL stays NULL. mid_ref: one centre for all, or mids(clip_id, mid), frozen per clip; a clip without one abstains."""
     if mid_ref is None:
-        mids = res.groupBy("clip_id").agg(F.median("res").alias("mid"))
-        res = res.join(mids, "clip_id")
+        res = res.join(res.groupBy("clip_id").agg(F.median("res").alias("mid")), "clip_id")
+    elif isinstance(mid_ref, DataFrame):
+        res = res.join(mid_ref.select("clip_id", "mid"), "clip_id", "left")
     else:
         res = res.withColumn("mid", F.lit(float(mid_ref)))
     c = F.col("res") - F.col("mid")
     return res.withColumn("pred", F.when(c.isNull(), F.lit(None).cast("string")).when(c >= theta_h, "H").when(c <= -theta_l, "L").otherwise("M"))
 
 
-def score_tone(frames: DataFrame, windows: DataFrame, mode: str = "blind", theta_h: float = THETA_H, theta_l: float = THETA_L, late: float = LATE, mid_ref: float | None = None) -> DataFrame:
+def fitting_windows(windows: DataFrame, targets: DataFrame) -> DataFrame:
+    """windows of targets(clip_id, tones): where a clip has another number of windows than tones, each of its units has NULL times."""
+    units = targets.select("clip_id", F.size("tones").alias("_n"), F.posexplode("tones").alias("tbu_idx", "target"))
+    sizes = windows.groupBy("clip_id").agg(F.count("*").alias("_m"))
+    both = units.join(sizes, "clip_id", "left").join(windows.select("clip_id", "tbu_idx", "t0", "t1"), ["clip_id", "tbu_idx"], "left")
+    ok = F.col("_n") == F.col("_m")
+    return both.select("clip_id", "tbu_idx", "target", F.when(ok, F.col("t0")).alias("t0"), F.when(ok, F.col("t1")).alias("t1"))
+
+
+def score_tone(frames: DataFrame, windows: DataFrame, mode: str = "blind", theta_h: float = THETA_H, theta_l: float = THETA_L, late: float = LATE, mid_ref: float | DataFrame | None = None) -> DataFrame:
     """The absolute meter: tbu rows with pred, residual and slope. mode: blind (Theil-Sen) or fw (with the answer key)."""
     units = unit_semitones(frames, windows, late)
     slopes = theil_sen(units) if mode == "blind" else fw_slope(units)
@@ -110,6 +120,13 @@ def transitions(res: DataFrame, rise: float = RISE, fall: float = FALL) -> DataF
     return out.where("_k > 1").drop("_k")
 
 
+def transition_scores(frames: DataFrame, windows: DataFrame, rise: float = RISE, fall: float = FALL, late: float = LATE) -> DataFrame:
+    """accuracy, coverage, n_scored and n_trans of each clip's transitions, from frames and windows in one call."""
+    units = unit_semitones(frames, windows, late)
+    steps = transitions(residuals(units, theil_sen(units)), rise, fall)
+    return clip_scores(steps).withColumnRenamed("n_tbu", "n_trans")
+
+
 def v1_tones(frames: DataFrame, windows: DataFrame, band: float = 0.8) -> DataFrame:
     """The retired meter: median pitch in the closed window against the clip's median, strict thresholds, unvoiced is M."""
     voiced = frames.where(F.col("f0").isNotNull())
@@ -121,6 +138,11 @@ def v1_tones(frames: DataFrame, windows: DataFrame, band: float = 0.8) -> DataFr
     return out.select("clip_id", "tbu_idx", "target", F.when(c > band, "H").when(c < -band, "L").otherwise("M").alias("pred"))
 
 
+def v1_scores(frames: DataFrame, windows: DataFrame, methods: DataFrame, band: float = 0.8) -> DataFrame:
+    """The retired meter's accuracy of each clip, beside the method of its windows; methods(clip_id, method)."""
+    return clip_scores(v1_tones(frames, windows, band)).select("clip_id", "accuracy", "n_tbu").join(methods.select("clip_id", "method"), "clip_id", "left")
+
+
 def shift_window(frames: DataFrame, edits: DataFrame) -> DataFrame:
     """f0 times 2**(semitones/12) inside edits(clip_id, e0, e1, semitones), half-open and disjoint within a clip."""
     w = edits.select("clip_id", "e0", "e1", "semitones")
@@ -140,14 +162,24 @@ def scale_excursion(frames: DataFrame, factor: float) -> DataFrame:
     return frames.withColumn("f0", mean + factor * (F.col("f0") - mean))
 
 
-def set_contour(frames: DataFrame, t0: float, t1: float, points: DataFrame) -> DataFrame:
-    """Frames outside [t0, t1) and the given points(clip_id, t, f0)."""
-    return frames.where((F.col("t") < t0) | (F.col("t") >= t1)).select("clip_id", "t", "f0").unionByName(points.select("clip_id", "t", "f0"))
+def set_contour(frames: DataFrame, spans: DataFrame, points: DataFrame) -> DataFrame:
+    """Each clip's frames outside its span [e0, e1), and those of the given points(clip_id, t, f0) that lie in it. spans(clip_id, e0, e1), one per clip; a clip without one stays."""
+    s = spans.select("clip_id", "e0", "e1")
+    inside = (F.col("t") >= F.col("e0")) & (F.col("t") < F.col("e1"))
+    out = frames.join(s, "clip_id", "left").where(F.col("e0").isNull() | ~inside)
+    return out.select("clip_id", "t", "f0").unionByName(points.join(s, "clip_id").where(inside).select("clip_id", "t", "f0"))
+
+
+def contour_points(frames: DataFrame, spans: DataFrame) -> DataFrame:
+    """Each clip's own voiced points in its closed span, to impose again."""
+    inside = frames.join(spans.select("clip_id", "e0", "e1"), "clip_id")
+    return inside.where(F.col("f0").isNotNull() & F.col("t").between(F.col("e0"), F.col("e1"))).select("clip_id", "t", "f0")
 
 
-def contour_points(frames: DataFrame, t0: float, t1: float) -> DataFrame:
-    """A clip's own voiced points in the closed interval, to impose again."""
-    return frames.where(F.col("f0").isNotNull() & F.col("t").between(t0, t1)).select("clip_id", "t", "f0")
+def median_in_span(frames: DataFrame, spans: DataFrame) -> DataFrame:
+    """st of each clip: the median semitone of its voiced frames in [e0, e1); a clip without any has no row."""
+    inside = frames.where(F.col("f0").isNotNull()).join(spans.select("clip_id", "e0", "e1"), "clip_id").where((F.col("t") >= F.col("e0")) & (F.col("t") < F.col("e1")))
+    return inside.groupBy("clip_id").agg(S.semitone(F.median("f0")).alias("st"))
 
 
 def flip_contour(edits: DataFrame, step: float = 0.01) -> DataFrame:
@@ -216,6 +248,14 @@ def mean_pair_cosine(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return counts.join(sums, key, "left").select(key, F.expr("_n * (_n - 1) div 2").alias("pairs"), mean.alias("mean_cosine"))
 
 
+def clone_diversity(rows: DataFrame, speaker: str = "speaker_id", voice: str = "to_voice", other: str = "to_other", least: int = 2, margin: float = 0.05) -> DataFrame:
+    """Whether clones keep to their speakers: per speaker the mean similarity to the own voice and to the common one, then their means, how many speakers are nearer to their own, and intact (enough speakers, a margin between the means, and at least half nearer)."""
+    per = rows.groupBy(speaker).agg(F.avg(voice).alias("v"), F.avg(other).alias("o"))
+    out = per.agg(F.count("*").alias("n_voices"), F.count_if(F.col("v") > F.col("o")).alias("n_ok"), F.avg("v").alias("to_voice"), F.avg("o").alias("to_other"))
+    intact = (F.col("n_voices") >= least) & (F.col("to_voice") > F.col("to_other") + margin) & (F.col("n_ok") >= F.floor((F.col("n_voices") + 1) / 2))
+    return out.withColumn("intact", F.coalesce(intact, F.lit(False)))
+
+
 def ssim(a: Column, b: Column) -> Column:
     """Speaker similarity in [0, 1]."""
     return (S.clip(cosine(a, b), -1.0, 1.0) + 1) / 2

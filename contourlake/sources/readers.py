@@ -11,7 +11,6 @@ from ..operators.pilot import answer_rows
 from ..operators.selection import first_usable
 
 MANIFEST = "id string, text string, source string, speaker_id string, duration_sec double, audio_s3_key string"
-HOLDOUTS = "language string, eval_texts array<struct<base: string, text: string>>, minimal_pairs array<struct<base: string, text: string>>"
 MINIMAL_PAIRS = "carriers array<struct<template: string, gloss: string, verified: boolean>>, sets array<struct<base: string, items array<struct<text: string, tones: string, gloss: string, verified: boolean>>>>"
 CALIBRATION = "theta_h double, theta_l double, mode string, late_frac double"
 KEY = "clip_id string, source string, intended_text string, tone_i2 double, coverage double, n_pairs int, is_catch boolean, catch_expected string"
@@ -25,11 +24,12 @@ def manifest(spark: SparkSession, path: str, accept: Column | None = None, limit
     return out if limit is None else out.limit(limit)
 
 
-def holdouts(spark: SparkSession, path: str) -> DataFrame:
-    """text of every held-out sentence and minimal pair."""
-    doc = spark.read.schema(HOLDOUTS).json(path, multiLine=True)
-    every = F.concat(F.coalesce("eval_texts", F.array()), F.coalesce("minimal_pairs", F.array()))
-    return doc.select(F.explode(F.flatten(F.transform(every, lambda x: F.array_compact(F.array(x["text"], x["base"]))))).alias("text")).distinct()
+def holdouts(spark: SparkSession, path: str, fields: Sequence[str] = ("eval_texts", "minimal_pairs")) -> DataFrame:
+    """text of every string value, at any depth, under the given fields of a JSON file of held-out sentences; names of fields are not values."""
+    doc = spark.read.text(path, wholetext=True)
+    parts = F.concat_ws(",", *(F.get_json_object("value", f"$.{c}") for c in fields))
+    values = doc.select(F.explode(F.regexp_extract_all(parts, F.lit(r'("(?:[^"\\]|\\.)*")(?!\s*:)(?=\s*([,\]}]|$))'), F.lit(1))).alias("s"))
+    return values.select(F.from_json(F.concat(F.lit('{"v":'), "s", F.lit("}")), "v string")["v"].alias("text")).where("text IS NOT NULL").distinct()
 
 
 def minimal_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -98,7 +98,8 @@ def language_map(spark: SparkSession, path: str, language: str) -> DataFrame:
 
 def form_items(pages: DataFrame, html: str = "html", variable: str = "ITEMS") -> DataFrame:
     """item_id, text and audio (bytes) of the items in a generated form."""
-    raw = F.regexp_extract(F.col(html), rf"(?md)^const {variable} = (\[.*\]);$", 1)  # the list is a line of its own
+    head = f"const {variable} = "
+    raw = F.substr(F.col(html), F.locate(head, F.col(html)) + F.lit(len(head)))  # the JSON parser reads one value and leaves the rest
     item = F.explode(F.from_json(raw, "array<struct<item_id: string, text: string, audio: string>>"))
     return pages.select(item.alias("i")).select("i.item_id", "i.text", F.unbase64(F.substring_index("i.audio", ",", -1)).alias("audio"))
 

@@ -20,6 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def required(spark: SparkSession, *names: str) -> dict[str, str]:
+    """Settings that a job cannot do without, such as a store's; all that are missing are named at once. Values are the session's, never the code's."""
+    found = {n: spark.conf.get(n, None) for n in names}
+    if missing := [n for n, v in found.items() if not v]:
+        raise ValueError(f"set {', '.join(missing)}")
+    return found
+
+
 class Tables:
     """Tables of one run. Written tables cut the lineage: what a lost executor held is read again, not computed again.
 

@@ -85,7 +85,8 @@ def test_edits(spark):
     assert signal.flatten(frames).select(F.round("f0", 6)).distinct().count() == 1
     points = signal.flip_contour(spark.createDataFrame([(1, 0.0, 0.2, 3.0, 0.0)], "clip_id long, e0 double, e1 double, r double, slope double"))
     assert points.count() == 21 and points.first()["f0"] == pytest.approx(100 * 2 ** (3 / 12))
-    again = signal.set_contour(frames, 0.0, 0.2, signal.contour_points(frames, 0.0, 0.19))
+    span = lambda hi: spark.createDataFrame([(1, 0.0, hi)], "clip_id long, e0 double, e1 double")
+    again = signal.set_contour(frames, span(0.2), signal.contour_points(frames, span(0.19)))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, frames.collect()))
     levels = signal.levels(signal.unit_semitones(frames, windows).withColumn("res", F.col("st"))).first()
     assert levels["delta_hl"] == pytest.approx(6)
@@ -104,7 +105,9 @@ def test_audio_to_tones(spark, tmp_path):
         w.writeframes(b"".join(struct.pack("<h", int(v * 32767)) for v in x))
     (tmp_path / "bad.wav").write_bytes(b"nothing")
     frames = backend.frames(backend.clips(spark, str(tmp_path))).cache()
-    assert {r[0] for r in frames.select("clip_id").distinct().collect()} == {"one"}
+    bad = frames.where("clip_id = 'bad'").collect()
+    assert len(bad) == 1 and bad[0]["status"].startswith("unreadable") and bad[0]["t"] is None
+    assert {r["status"] for r in frames.where("clip_id = 'one'").collect()} == {"ok"}
     windows = spark.createDataFrame([("one", i, t, 0.25 * i, 0.25 * (i + 1)) for i, t in enumerate("HMLHMH")], WINDOWS.replace("clip_id long", "clip_id string"))
     rows = signal.score_tone(frames, windows, mid_ref=12 * math.log2(1.3)).orderBy("tbu_idx").collect()
     assert [r["pred"] for r in rows] == list("HMLHMH")

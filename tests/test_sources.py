@@ -1,7 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from contourlake import storage
 from contourlake.sources import readers, writers
 from contourlake.streaming import monitor
 
@@ -17,8 +19,8 @@ def test_manifest_and_pairs(spark, tmp_path):
     pairs = put(tmp_path / "p.json", {"carriers": [{"template": "Mo rí ___", "gloss": "g", "verified": True}], "sets": [{"base": "oko", "items": [{"text": "ọkọ", "tones": "M-M", "gloss": "hoe", "verified": False}, {"text": "ọkọ̀", "tones": "M-L", "gloss": "car", "verified": True}]}]})
     got = {r["id"]: r["tones"] for r in readers.minimal_pairs(spark, pairs).collect()}
     assert got == {"mp_oko_0": ["M", "M"], "mp_oko_1": ["M", "L"]} and readers.carriers(spark, pairs).first()["template"] == "Mo rí ___"
-    held = put(tmp_path / "h.json", {"language": "yo", "eval_texts": [{"base": "a", "text": "b"}]})
-    assert {r[0] for r in readers.holdouts(spark, held).collect()} == {"a", "b"}
+    held = put(tmp_path / "h.json", {"language": "yo", "eval_texts": [{"base": "a", "text": "b", "more": {"deep": ['c, "d": ]', "è\n"]}}, "bare"], "other": "no"})
+    assert {r[0] for r in readers.holdouts(spark, held).collect()} == {"a", "b", 'c, "d": ]', "è\n", "bare"}
     c = readers.calibration(spark, put(tmp_path / "c.json", {"theta_h": 1.5, "theta_l": 1.0})).first()
     assert tuple(c) == (1.5, 1.0, "blind", 0.5)
 
@@ -73,3 +75,36 @@ def test_oracles_agree(spark):
         cols = sorted(a.columns)
         assert cols == sorted(b.columns), name
         assert sorted(tuple(map(shown, r)) for r in a[cols].itertuples(index=False)) == sorted(tuple(map(shown, r)) for r in b[cols].itertuples(index=False)), name
+
+
+def test_forms_for_trials_give_a_csv(spark):
+    kit = spark.createDataFrame([("item01", "t", "data:a", "data:b")], "item_id string, text string, audio_a string, audio_b string")
+    page = writers.form(kit, ["A", "B", "unsure"], "Trials", "PILOT2")
+    assert "it.audio_a" in page and "it.audio_b" in page and "responses.csv" in page and "'PILOT2'" in page and "item_id,answer" in page
+
+
+def test_uploads_shards_and_logs(spark, tmp_path):
+    files = spark.createDataFrame([(f"d{k % 2}/c{k}.wav", bytearray([k] * k)) for k in range(6)], "path string, content binary")
+    for _ in range(2):
+        assert {tuple(r) for r in writers.upload(files, f"file://{tmp_path}/up").collect()} == {(f"d{k % 2}/c{k}.wav", k) for k in range(6)}
+    assert (tmp_path / "up/d1/c5.wav").read_bytes() == bytes([5] * 5)
+    rows = spark.createDataFrame([(str(k), "t") for k in range(40)], "id string, text string")
+    writers.shards(rows, str(tmp_path / "shards"), 4, 1)
+    assert spark.read.json(str(tmp_path / "shards")).count() == 40 and 2 <= len(list((tmp_path / "shards").glob("part-*"))) <= 4
+    log = spark.createDataFrame([("step 1",), ("loss 0.5",), ("noise",)], "value string")
+    assert {r[0] for r in writers.tee(log, str(tmp_path / "log"), "step|loss").collect()} == {"step 1", "loss 0.5"}
+    assert spark.read.text(str(tmp_path / "log")).count() == 3
+
+
+def test_audio_uris():
+    def broken(_):
+        raise OSError("no codec")
+
+    assert writers.audio_uri(b"ab").startswith("data:audio/wav;base64,") and writers.audio_uri(b"ab", broken) == writers.audio_uri(b"ab")
+    assert writers.audio_uri(b"ab", lambda x: x[::-1]) == "data:audio/mpeg;base64,YmE="
+
+
+def test_required_settings(spark):
+    with pytest.raises(ValueError, match="spark.store.a, spark.store.b"):
+        storage.required(spark, "spark.store.a", "spark.sql.session.timeZone", "spark.store.b")
+    assert storage.required(spark, "spark.sql.session.timeZone") == {"spark.sql.session.timeZone": "UTC"}
