@@ -35,13 +35,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, prepared, restored
-from .token_output import encoder_of, stretches
+from .token_output import codec, encoder_of, stretches, train_dictionary
 
 CAPACITIES = (256, 512, 1024, 2048)
 OVERHEAD = 16
@@ -110,11 +109,12 @@ def plan(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES, over
     return out
 
 
-def items(docs: DataFrame, largest: int, path: str, end_id: int, with_ids: bool) -> DataFrame:
-    """id, piece, length, task, nth (of the task's items of this length) and, if wanted, ids (serialized, compressed) of the items of prepared rows."""
+def items(docs: DataFrame, largest: int, path: str, end_id: int, dictionary: bytes | None) -> DataFrame:
+    """id, piece, length, task, nth (of the task's items of this length) and, if there is a dictionary, ids (serialized, compressed with it) of the items of prepared rows."""
+    with_ids = dictionary is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, task = encoder_of(path), zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
+        encoder, packer, task = encoder_of(path), codec(dictionary or b"")[0], TaskContext.get().partitionId()
         end, seen = np.array([end_id], encoder.kind), np.zeros(largest + 1, np.int64)
         for b in batches:
             for part in stretches(b, 2):
@@ -138,11 +138,11 @@ def items(docs: DataFrame, largest: int, path: str, end_id: int, with_ids: bool)
     return docs.select("id", "tkey", "body").mapInArrow(run, "id long, piece long, length int, task int, nth long" + ", ids binary" * with_ids)
 
 
-def placed_items(docs: DataFrame, path: str, id_col: str, text_col: str, capacities: Sequence[int], overhead: float, end_id: int, with_ids: bool) -> DataFrame:
-    """id, piece, length, bin_id, bin_capacity, bin_offset (and ids) of each item of docs."""
-    spark = docs.sparkSession
+def placed_items(docs: DataFrame, path: str, id_col: str, text_col: str, capacities: Sequence[int], overhead: float, end_id: int, dictionary: bytes | None = None) -> DataFrame:
+    """id, piece, length, bin_id, bin_capacity, bin_offset (and ids, if there is a dictionary) of each item of docs."""
+    spark, with_ids = docs.sparkSession, dictionary is not None
     tables = Tables(spark, "packing")
-    found = tables.put("items", items(prepared(docs, id_col, text_col), max(capacities), path, end_id, with_ids))
+    found = tables.put("items", items(prepared(docs, id_col, text_col), max(capacities), path, end_id, dictionary))
     counts = tables.put("counts", found.groupBy("task", "length").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most the largest capacity
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
@@ -178,18 +178,19 @@ def placed_items(docs: DataFrame, path: str, id_col: str, text_col: str, capacit
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD, end_id: int = 0) -> DataFrame:
     """id_col, piece, length, bin_id, bin_capacity, bin_offset of each item of docs."""
-    out = placed_items(docs, path, id_col, text_col, capacities, overhead, end_id, with_ids=False)
+    out = placed_items(docs, path, id_col, text_col, capacities, overhead, end_id)
     return out.select(restored().alias(id_col), "piece", "length", "bin_id", "bin_capacity", "bin_offset")
 
 
 def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD, end_id: int = 0) -> DataFrame:
     """bin_id, bin_capacity, doc_ids, offsets (where each document's piece begins) and ids (all token ids, in order) of each bin."""
     kind = encoder_of(path).kind.str
-    found = placed_items(docs, path, id_col, text_col, capacities, overhead, end_id, with_ids=True)
+    dictionary = train_dictionary(prepared(docs, id_col, text_col), path, docs.count())
+    found = placed_items(docs, path, id_col, text_col, capacities, overhead, end_id, dictionary)
     bins = found.groupBy("bin_id", "bin_capacity").agg(F.sort_array(F.collect_list(F.struct("bin_offset", restored().alias("id"), "ids"))).alias("held"))  # at most the capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
+        _, unpacker = codec(dictionary)
         for b in batches:
             held = [[x.values() for x in h] for h in b.column(2).to_pylist()]
             offsets, docs, packed = ([[list(x)[k] for x in h] for h in held] for k in range(3))

@@ -360,12 +360,13 @@ def components(tables: Tables, edges: DataFrame, most_rounds: int = 100) -> Data
 
 def classes(tables: Tables, rows: DataFrame, shingle: int = 3, shape: Shape = EXACT) -> DataFrame:
     """id, tkey, fp, root (a fingerprint that names the component) and component (its smallest id) of each prepared row."""
-    fps = tables.put("fps", fingerprints(rows, shingle, shape.bits))
-    reps = tables.put("reps", fps.groupBy("fp").agg(F.min("id").alias("rep")))
-    roots = components(tables, links(tables, reps.select("fp"), shape))
-    rooted = tables.put("rooted", reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
+    fps, part = tables.put("fps", fingerprints(rows, shingle, shape.bits)), tables.below("links")
+    reps = part.put("reps", fps.groupBy("fp").agg(F.min("id").alias("rep")))
+    roots = components(part, links(part, reps.select("fp"), shape))
+    rooted = part.put("rooted", reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     labels = tables.put("labels", rooted.join(least, "root").select("fp", "root", "component"))
+    tables.drop("links")
     return fps.join(labels, "fp")
 
 
