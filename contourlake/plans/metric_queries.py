@@ -289,11 +289,6 @@ def tone_gate_verdict(spark, d):
     return gates.tone_gate_verdict(_wide(spark, d), ["I2"])
 
 
-@query("layer0_verdict")
-def layer0_verdict(spark, d):
-    return gates.layer0_verdict(spark, _wide(spark, d), ["I2"])
-
-
 REWARD_COLS = "o_totalprice / 500000 AS tone_acc, CASE WHEN o_orderkey % 11 = 0 THEN 'proportional' ELSE 'forced-align' END AS method, (o_custkey % 100) / 100.0 AS voiced, o_orderkey % 4 AS n_kinds, (o_orderkey % 50) / 100.0 AS cer, (o_custkey % 7) / 7.0 AS ssim, (o_orderkey % 30) / 10.0 AS dur, o_orderpriority AS text"
 
 
