@@ -13,10 +13,12 @@ character), and each block meets every row of documents in one scan without a
 shuffle. A document's q-grams first meet a bitmap; only hits meet the index.
 
 Texts are compared lowered and with runs of white space as one space. The
-budget of a short item shrinks until the bound is at least ``least`` q-grams;
-items of fewer characters than ``min_chars`` after that are not looked for,
-nor are null items: they would be found in clean texts. A null or empty text
-holds nothing. Repeated rows get equal rows; a table without rows, on either
+budget of a short item shrinks until the bound is at least ``least`` q-grams.
+Items of fewer characters than ``min_chars`` after that are looked for exactly,
+between word boundaries, by one automaton over all of them; those of fewer than
+``min_exact`` (a word or two, which clean texts have) only if that parameter is
+lowered. Null and empty items are not looked for. A null or empty text holds
+nothing. Repeated rows get equal rows; a table without rows, on either
 side, gives no hits; extra columns are left behind.
 """
 
@@ -24,7 +26,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 Q = 8
 RATE = 0.1
-MIN_CHARS = 24
+MIN_CHARS, MIN_EXACT = 24, 12
 BLOCK_CHARS = 4 << 20
 #: Characters of text looked up at once.
 SLICE = 1 << 21
@@ -71,7 +75,7 @@ def slots(g: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Items of a block: ids, normal texts, q-grams sorted with their item and place, and a bitmap of them."""
+    """Items of a block: ids, normal texts, q-grams sorted with their item and place, and a bitmap of them; short: items that are looked for exactly."""
 
     ids: list[int]
     texts: list[str]
@@ -81,12 +85,28 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     bitmap: np.ndarray
+    short: list[int]
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        out = ahocorasick.Automaton()
+        for k in self.short:
+            out.add_word(self.texts[k], [*out.get(self.texts[k], []), k])
+        out.make_automaton()
+        return out
 
-def build(ids: list[int], texts: list[str], rate: float) -> Index:
+    def exact(self, text: str) -> Iterator[int]:
+        """Short items that stand in the text between word boundaries."""
+        for end, found in self.automaton.iter(text):
+            start = end + 1 - len(self.texts[found[0]])
+            if not (start and text[start - 1].isalnum() and text[start].isalnum()) and not (end + 1 < len(text) and text[end].isalnum() and text[end + 1].isalnum()):
+                yield from found
+
+
+def build(ids: list[int], texts: list[str], rate: float, min_chars: int = MIN_CHARS) -> Index:
     edits = np.array([budget(len(t), rate) for t in texts], np.int64)
     need = np.array([len(t) + 1 - Q * (e + 1) for t, e in zip(texts, edits, strict=True)], np.int64)
-    parts = [grams(folded(t)) for t in texts]
+    parts = [grams(folded(t)) if len(t) >= min_chars else np.empty(0, np.uint64) for t in texts]
     sizes = [len(p) for p in parts]
     keys = np.concatenate([np.empty(0, np.uint64), *parts])
     item = np.repeat(np.arange(len(parts)), sizes)
@@ -94,7 +114,7 @@ def build(ids: list[int], texts: list[str], rate: float) -> Index:
     order = np.argsort(keys, kind="stable")
     bitmap = np.zeros(1 << SLOT_BITS, bool)
     bitmap[slots(keys)] = True
-    return Index(ids, texts, edits, need, keys[order], item[order].astype(np.int64), place[order].astype(np.int64), bitmap)
+    return Index(ids, texts, edits, need, keys[order], item[order].astype(np.int64), place[order].astype(np.int64), bitmap, [k for k, t in enumerate(texts) if len(t) < min_chars])
 
 
 def regions(index: Index, codes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
@@ -167,7 +187,7 @@ def aligned(item: str, text: str, diagonal: int, edits: int) -> int:
 
 def held(index: Index, texts: list[str]) -> list[list[tuple[int, int]]]:
     """For each normal text the (item, edits) it holds."""
-    out: list[dict[int, int]] = [{} for _ in texts]
+    out: list[dict[int, int]] = [{k: 0 for k in index.exact(t)} if index.short else {} for t in texts]
     lo = 0
     while lo < len(texts):
         hi, n = lo, 0
@@ -187,13 +207,13 @@ def held(index: Index, texts: list[str]) -> list[list[tuple[int, int]]]:
     return [sorted(x.items()) for x in out]
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, min_chars: int, block_chars: int) -> Iterator[tuple[list[int], list[str]]]:
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, min_exact: int, block_chars: int) -> Iterator[tuple[list[int], list[str]]]:
     """The benchmark's distinct items in blocks; a partition of it is in the driver's memory at a time."""
     ids, texts, n = [], [], 0
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).distinct()
     for r in rows.toLocalIterator():
         t = normal(r["t"])
-        if len(t) < min_chars:
+        if len(t) < max(1, min_exact):
             continue
         if texts and n + len(t) > block_chars:
             yield ids, texts
@@ -205,14 +225,14 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, min_chars: int, b
         yield ids, texts
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS, min_exact: int = MIN_EXACT) -> DataFrame:
     """id_col, item_id and edits of each item that each row of docs holds."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     schema = "id long, item_id long, edits long"
 
     def scan(block):
-        sent = spark.sparkContext.broadcast(build(*block, rate))
+        sent = spark.sparkContext.broadcast(build(*block, rate, min_chars))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value
@@ -225,20 +245,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         return rows.mapInArrow(run, schema)
 
     out = None
-    for block in blocks(benchmark, item_col, item_text_col, min_chars, block_chars):
+    for block in blocks(benchmark, item_col, item_text_col, min_exact, block_chars):
         out = scan(block) if out is None else out.unionByName(scan(block))
     out = spark.createDataFrame([], schema) if out is None else out
     return out.withColumnRenamed("id", id_col)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS, min_exact: int = MIN_EXACT) -> DataFrame:
     """The rows of docs, whole, that hold no item: a filter per block, without a shuffle."""
     schema, names = docs.schema, docs.columns
     spark = docs.sparkSession
     out = docs
 
     def scan(rows, block):
-        sent = spark.sparkContext.broadcast(build(*block, rate))
+        sent = spark.sparkContext.broadcast(build(*block, rate, min_chars))
         at = names.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +268,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         return rows.mapInArrow(run, schema)
 
-    for block in blocks(benchmark, item_col, item_text_col, min_chars, block_chars):
+    for block in blocks(benchmark, item_col, item_text_col, min_exact, block_chars):
         out = scan(out, block)
     return out

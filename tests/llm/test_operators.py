@@ -453,11 +453,12 @@ def edits(item, t):
 
 def test_decontamination(spark, docs, rows, empty):
     rng = random.Random(4)
-    items = [(k, t) for k, t in enumerate([rows[12][1][:120], "Quite another sentence, about the pitch of voices at sea.", "short", "", None, "x y z w v u t s r q p o n m l k"])]
+    items = [(k, t) for k, t in enumerate([rows[12][1][:120], "Quite another sentence, about the pitch of voices at sea.", "short", "", None, "x y z w v u t s r q p o n m l k", "What is a tone?", "is a tone", "no"])]
     changed = list(items[1][1])
     for _ in range(4):
         changed[rng.randrange(len(changed))] = "#"
     extra = [(900, f"before {''.join(changed).upper()}\n after", "en", "s", 1, "", 0, 0, "", ""), (901, "x y z w v u t s r q p o n m l k", "en", "s", 1, "", 0, 0, "", "")]
+    extra += [(902 + k, t, "en", "s", 1, "", 0, 0, "", "") for k, t in enumerate(["So: what IS\na  tone? no", "somewhat is a tone?", "what is a tone", "(What is a tone?)y"])]
     all_docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = Counter()
@@ -468,11 +469,14 @@ def test_decontamination(spark, docs, rows, empty):
                 e = edits(n, decontamination.normal(r[1]))
                 if e <= decontamination.budget(len(n)):
                     want[(r[0], k, e)] += 1
-    assert {k for _, k, _ in want} == {0, 1, 5}
+            elif r[1] is not None and len(n) >= decontamination.MIN_EXACT and re.search(rf"(?<![a-z]){re.escape(n)}", decontamination.normal(r[1])):
+                want[(r[0], k, 0)] += 1
+    assert {k for _, k, _ in want} == {0, 1, 5, 6} and {i for i, k, _ in want if k == 6} == {902, 905}
+    assert {r["doc_id"] for r in decontamination.leaks(all_docs, bench, min_exact=1).where("item_id = 8").collect()} == {902} and decontamination.leaks(all_docs, bench, min_exact=1).where("item_id = 7").count() == 4
     assert got(decontamination.leaks(all_docs, bench), "doc_id", "item_id", "edits") == want
     assert got(decontamination.leaks(all_docs, bench, block_chars=30), "doc_id", "item_id", "edits") == want
     kept = decontamination.drop_leaks(all_docs, bench)
-    assert kept.columns == docs.columns and kept.count() == len(rows) + 2 - sum({k[0]: n for k, n in want.items()}.values())
+    assert kept.columns == docs.columns and kept.count() == len(rows) + 6 - sum({k[0]: n for k, n in want.items()}.values())
     for a, b in ((empty, bench), (all_docs, bench.limit(0))):
         assert decontamination.leaks(a, b).count() == 0 and decontamination.drop_leaks(a, b).count() == a.count()
 
