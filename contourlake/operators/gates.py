@@ -19,12 +19,14 @@ from ..functions import stats as S
 MICRO_FLOOR = {"I1": 0.72, "I2": 0.68}
 MICRO_FLOOR_ELSE = 0.70
 LAYER_B = {"coverage": 0.70, "recall_H": 0.60, "recall_L": 0.60, "coverage_H": 0.55, "coverage_L": 0.55, "margin": 0.15}
+#: Fixed value: the least kappa between two instruments.
 KAPPA_FLOOR = 0.45
 #: Fixed values of the Layer-0 gate by role: (check, is a floor, threshold).
 LAYER_0 = {
     "quality": (("balanced_acc", True, 0.70), ("coverage", True, 0.70), ("shuffled_target", False, 0.40)),
     "tone": (("balanced_acc", True, 0.52), ("recall_H", True, 0.40), ("recall_L", True, 0.40), ("monotone", False, 0.40), ("margin", True, 0.08), ("shuffled_target", False, 0.40)),
 }
+#: The least support of H and of L, and the controls that each role must have run.
 LEAST_SUPPORT = 150
 EVIDENCE = {"quality": ("shuffled_target",), "tone": ("shuffled_target", "monotone")}
 

@@ -11,6 +11,7 @@ from . import resample
 
 #: What a label says.
 JUDGED = {"ok": 1, "bad": 0}
+#: Gates of raters and of the pilot.
 CATCH_LEAST, SCOREABLE_LEAST, ANCHOR_GATE, AUROC_GATE = 5, 30, 0.75, 0.70
 AB_CATCH_SHARE, AB_TRIALS = 0.80, 24
 TONE_DEFAULT = 0.58

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 
+#: Limits of a declination in semitones a second, thresholds of levels and of transitions, and where a window's late part begins.
 SLOPE_LEAST, SLOPE_MOST = -2.0, 0.0
 THETA_H = THETA_L = 1.0
 RISE, FALL = 0.6, 0.9
