@@ -14,7 +14,7 @@ from ..storage import Tables
 
 
 def running(rows: DataFrame, amount: Column, *order: str | Column, out: str = "before") -> DataFrame:
-    """rows with the sum of the amounts of all rows before, in an order that should leave no ties."""
+    """rows with the sum of the amounts of all rows before, in an ascending order that should leave no ties."""
     spark = rows.sparkSession
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     keyed = rows.withColumns({f"_o{k}": c for k, c in enumerate(keys)}).withColumn("_a", amount)

@@ -84,7 +84,7 @@ def test_running_totals(spark):
     df = spark.createDataFrame(rows, "k long, v double").repartition(5)
     got = {r["k"]: r["b"] for r in running.running(df, F.col("v"), "k", out="b").collect()}
     assert got == {k: sum(v for j, v in rows if j < k) for k, _ in rows}
-    assert {r["k"]: r["n"] for r in running.numbered(df, F.desc("k"), out="n").collect()} == {k: 100 - k for k in range(101)}
+    assert {r["k"]: r["n"] for r in running.numbered(df, -F.col("k"), out="n").collect()} == {k: 100 - k for k in range(101)}
     assert running.running(df.limit(0), F.col("v"), "k").count() == 0
 
 
