@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions import text as X
+from ..leaves import backend, synth
 from ..operators import conditions, gates, kits, metrics, oracle, pilot, resample, selection, signal
 from ..sources import readers, writers
 from ..storage import Tables
@@ -331,6 +334,32 @@ def answer_key_oracle(spark, d):
     return r6(out, *out.columns)
 
 
+#: Patterns of tones that clips with known pitch are made of; the letter with its tone mark for each.
+PATTERNS = ("HMLH", "LMHL", "MLMH", "MMHL", "HLML")
+LETTERS = {"H": "á", "M": "a", "L": "à"}
+
+
+def _clips(spark, d):
+    """A synthetic clip per nation; nations are 25."""
+    rows = [(r["n_name"], PATTERNS[r["n_nationkey"] % 5]) for r in T.table(spark, d, "nation").select("n_name", "n_nationkey").collect()]
+    return spark.createDataFrame([(name, " ".join("b" + LETTERS[t] for t in tones), synth.tone_clip(tones)) for name, tones in rows], "clip_id string, text string, content binary")
+
+
+@query("audio_tones", "SELECT n_name AS clip_id, 'ok' AS status, 'proportional' AS method, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS coverage, 4::BIGINT AS n_tbu FROM nation")
+def audio_tones(spark, d):
+    """From wave files to tones; what was put in must come out."""
+    pre = Tables(spark, "precomputed").put("clips", backend.precompute(_clips(spark, d)))
+    mids = pre.select("clip_id", F.lit(12 * math.log2(1.4)).alias("mid"))
+    scores = signal.clip_scores(signal.score_tone(backend.frames_of(pre), backend.windows_of(pre), mid_ref=mids))
+    return pre.select("clip_id", "status", "method").join(scores.select("clip_id", "accuracy", "coverage", "n_tbu"), "clip_id")
+
+
+@query("audio_transitions", "SELECT n_name AS clip_id, 1.0::DOUBLE AS accuracy, 3::BIGINT AS n_trans FROM nation")
+def audio_transitions(spark, d):
+    pre = Tables(spark, "precomputed").put("clips", backend.precompute(_clips(spark, d)))
+    return signal.transition_scores(backend.frames_of(pre), backend.windows_of(pre)).select("clip_id", "accuracy", "n_trans")
+
+
 # --- files
 
 @query("manifest_read", "SELECT o_orderkey::VARCHAR AS id, o_totalprice AS duration_sec FROM orders WHERE o_totalprice BETWEEN 50000 AND 90000")
