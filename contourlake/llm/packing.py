@@ -134,6 +134,7 @@ def items(docs: DataFrame, largest: int, path: str, end_id: int, dictionary: byt
                     whole = [np.concatenate([x, end]) for x in got]
                     cols.append(pa.array([packer.compress(whole[r][k * largest : (k + 1) * largest].tobytes()) for r, k in zip(row.tolist(), piece.tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ITEM[: len(cols)])
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     return docs.select("id", "tkey", "body").mapInArrow(run, "id long, piece long, length int, task int, nth long" + ", ids binary" * with_ids)
 

@@ -86,8 +86,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.sizes = np.empty(0, self.kind), np.empty(0, np.int64)
+        self.known = pa.array([], pa.string())
+        self.ids, self.sizes = np.empty(0, self.kind), np.empty(0, np.int32)
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -97,29 +97,38 @@ class Encoder:
         as_bytes = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
         return [t.id for t in self.bpe.tokenize("Ġ" + as_bytes)]
 
-    def _learn(self, words: list[str]) -> np.ndarray:
-        """The number of each of the distinct words; new ones get theirs."""
+    def _learn(self, words: pa.StringArray) -> np.ndarray:
+        """The number of each of the distinct words; new ones get theirs. What is known is an Arrow array, a tenth of what a dict takes."""
         if len(self.known) > self.most:
             self._forget()
-        known, latin = self.known, LATIN.fullmatch
-        new = [w for w in words if w not in known]
-        if new:
-            flat, sizes, rest = array("I"), [], []
-            for w in new:
-                if latin(w):
-                    ids = self._word(w)
-                    known[w] = len(known)
-                    flat.extend(ids)
-                    sizes.append(len(ids))
-                else:
-                    rest.append(w)
-            for w, ids in zip(rest, self.library([w if w[:1] == "\n" else w[1:] if w[:1] == "\x00" else " " + w for w in rest]), strict=True):
-                known[w] = len(known)
+        found = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(found))
+        if not len(new):
+            return found.to_numpy().astype(np.int64)
+        flat, sizes, rest, latin = array("I"), [], [], LATIN.fullmatch
+        texts = new.to_pylist()
+        for k, w in enumerate(texts):
+            if latin(w):
+                ids = self._word(w)
                 flat.extend(ids)
                 sizes.append(len(ids))
-            self.ids = np.concatenate([self.ids, np.frombuffer(flat, np.uintc).astype(self.kind)])
-            self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            else:
+                rest.append(k)
+        words_of = [texts[k] for k in rest]
+        for ids in self.library([w if w[:1] == "\n" else w[1:] if w[:1] == "\x00" else " " + w for w in words_of]):
+            flat.extend(ids)
+            sizes.append(len(ids))
+        latins = np.ones(len(texts), bool)
+        latins[rest] = False
+        order = np.r_[np.flatnonzero(latins), rest].astype(np.int64)  # in which they were learned
+        numbers = np.empty(len(texts), np.int64)
+        numbers[order] = np.arange(len(texts)) + len(self.known)
+        self.known = pa.concat_arrays([self.known, new.take(pa.array(order))])
+        self.ids = np.concatenate([self.ids, np.frombuffer(flat, np.uintc).astype(self.kind)])
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int32)])
+        out = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        out[out < 0] = numbers
+        return out
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a string array without nulls."""
@@ -134,9 +143,9 @@ class Encoder:
         marked = pc.replace_substring_regex(marked, MARKS, "\\1 \x00\\2\\3")
         split = pc.split_pattern(marked, " ")
         words = split.values.dictionary_encode()
-        number = self._learn(words.dictionary.to_pylist())[words.indices.to_numpy()]
-        ends = np.cumsum(self.sizes)
-        n = self.sizes[number]
+        number = self._learn(words.dictionary)[words.indices.to_numpy()]
+        ends = np.cumsum(self.sizes, dtype=np.int64)
+        n = self.sizes[number].astype(np.int64)
         total = np.cumsum(n)
         flat = self.ids[np.arange(total[-1]) + np.repeat(ends[number] - total, n)]
         cuts = np.r_[0, total][split.offsets.to_numpy()]
@@ -190,6 +199,7 @@ def frames(rows: DataFrame, path: str, dictionary: bytes, end_id: int) -> DataFr
                 got = encoder(part.column(2).cast(pa.string()))
                 packed = [packer.compress(x.tobytes() + end) for x in got]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) + 1 for x in got], pa.int32()), pa.array(packed, pa.binary())], ["id", "tkey", "n", "frame"])
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     return rows.select("id", "tkey", "body").mapInArrow(run, "id long, tkey long, n int, frame binary")
 
