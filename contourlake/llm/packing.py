@@ -114,7 +114,7 @@ def items(docs: DataFrame, largest: int, path: str, end_id: int, dictionary: byt
     with_ids = dictionary is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, task = encoder_of(path), codec(dictionary or b"")[0], TaskContext.get().partitionId()
+        encoder, packer, task = encoder_of(path), codec(dictionary or b"", 9)[0], TaskContext.get().partitionId()
         end, seen = np.array([end_id], encoder.kind), np.zeros(largest + 1, np.int64)
         for b in batches:
             for part in stretches(b, 2):

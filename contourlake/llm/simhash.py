@@ -378,8 +378,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs, whole, of each component of documents whose fingerprints state the similarity or more: the one with the smallest id, then the smallest hash of its text, then the least other columns, as JSON."""
-    found = classes(Tables(docs.sparkSession, "simhash"), prepared(docs, id_col, text_col), shingle, shape_for(docs.count(), similarity))
-    first = found.groupBy("root").agg(F.min(F.struct("id", "tkey")).alias("_k")).select("_k.id", "_k.tkey")
+    tables = Tables(docs.sparkSession, "simhash")
+    found = classes(tables, prepared(docs, id_col, text_col), shingle, shape_for(docs.count(), similarity))
+    first = tables.put("first", found.groupBy("root").agg(F.min(F.struct("id", "tkey")).alias("_k")).select("_k.id", "_k.tkey"))
+    tables.drop("fps", "labels")
     kept = squeezed(docs, id_col, text_col).join(first, ["id", "tkey"], "left_semi")
     one = kept.groupBy("id", "tkey").agg(F.min_by(F.struct("row", "z"), F.to_json("row")).alias("v")).select("v.row", "v.z")
     return restored_rows(one, docs.schema, text_col)

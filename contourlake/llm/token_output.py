@@ -183,9 +183,9 @@ def train_dictionary(rows: DataFrame, path: str, n_rows: int, size: int = 64 <<
         return b""
 
 
-def codec(dictionary: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+def codec(dictionary: bytes, level: int = 3) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-    return zstandard.ZstdCompressor(level=3, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
+    return zstandard.ZstdCompressor(level=level, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
 
 
 def frames(rows: DataFrame, path: str, dictionary: bytes, end_id: int) -> DataFrame:
