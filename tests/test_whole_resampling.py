@@ -5,7 +5,6 @@ import statistics
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import DATA
 
 from contourlake.operators import resample
 from contourlake.plans import metric_queries
@@ -22,9 +21,9 @@ def balanced(cells, key=lambda t: t):
 
 
 @pytest.fixture(scope="module")
-def few(spark, tmp_path_factory):
+def few(spark, data, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("few"))
-    spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_orderkey <= 100").coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    spark.read.parquet(f"{data}/lineitem.parquet").where("l_orderkey <= 100").coalesce(1).write.parquet(f"{path}/lineitem.parquet")
     return path
 
 
