@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, lm_scoring, packing, quality_rules, simhash, substring_dedup, token_output, url_filters
+from . import decontamination, language_id, line_dedup, lm_scoring, packing, quality_rules, runs, simhash, substring_dedup, token_output, url_filters
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -59,6 +60,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text")
 
 
+def planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of one document in ten with a periodic end: from a hashed word on, a hashed number of words over and over."""
+    h = 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find(spark.read.parquet(f"{sf_dir}/documents.parquet"), rewrite=planted_run))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
@@ -70,5 +86,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
-
