@@ -132,7 +132,8 @@ def smaller_before(values: np.ndarray) -> np.ndarray:
 def previous_factors(s: Suffixes) -> tuple[np.ndarray, np.ndarray]:
     """Length of the longest factor at each place that also begins at an earlier place, and that place."""
     n = len(s.sa)
-    sides = (smaller_before(s.sa), n - 1 - smaller_before(s.sa[::-1])[::-1])
+    group = s.classes[0][s.sa].astype(np.int64) * n  # suffixes with another first symbol have nothing in common: the search ends at them
+    sides = (smaller_before(s.sa + group), n - 1 - smaller_before((s.sa - group)[::-1])[::-1])
     length, source = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for side in sides:
         has = np.flatnonzero((side >= 0) & (side < n))
