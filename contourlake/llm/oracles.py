@@ -55,4 +55,9 @@ def url_filters() -> str:
  SELECT page_id, host, path, {rule} AS rule, {said} WHEN ok AND ({match[U.BLOCK]}) AND NOT ({match[U.ALLOW]}) THEN 'block' ELSE 'allow' END AS verdict FROM h"""
 
 
-ORACLE_SQL = {"op4_line_dedup": line_dedup(), "op8_url_filters": url_filters(), "op9_quality_rules": quality_rules(), "op10_substring_dedup": substring_dedup()}
+def warc(least: int = 1000) -> str:
+    return f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages), k AS (SELECT d, max(page_id) AS keeper FROM p WHERE n >= {least} GROUP BY d)
+ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < keeper THEN keeper END AS refers_to FROM p LEFT JOIN k USING (d)"""
+
+
+ORACLE_SQL = {"op4_line_dedup": line_dedup(), "op8_url_filters": url_filters(), "op9_quality_rules": quality_rules(), "op10_substring_dedup": substring_dedup(), "op13_warc": warc()}
