@@ -97,16 +97,17 @@ def crc_fold_of(doc_id: int | None, folds: int = 5) -> int | None:
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % folds
 
 
-def dealt_join(rows: DataFrame, table: DataFrame, key: str, size: str, by: str, parts: int = 64, hot: int = 1000) -> DataFrame:
+def dealt_join(rows: DataFrame, table: DataFrame, key: str | list[str], size: str, by: str, parts: int = 64, hot: int = 1000) -> DataFrame:
     """rows left-joined to table, in which each key is once and ``size`` says how many of the rows have it.
 
     The rows of a key that has more than a thousandth of the sizes' sum, of
     which there are at most a thousand, are dealt over ``parts`` tasks by ``by``.
     """
+    keys = [key] if isinstance(key, str) else key
     total = table.agg(F.sum(size)).first()[0] or 0
-    heavy = table.where(F.col(size) > F.lit(total / hot)).select(key, F.lit(True).alias("_hot"))  # at most ``hot`` rows
+    heavy = table.where(F.col(size) > F.lit(total / hot)).select(*keys, F.lit(True).alias("_hot"))  # at most ``hot`` rows
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(parts))).otherwise(F.lit(0).cast("long"))
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    left = rows.join(F.broadcast(heavy), key, "left").withColumn("_salt", salt).drop("_hot")
-    right = table.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+    left = rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", salt).drop("_hot")
+    right = table.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], "left").drop("_salt")

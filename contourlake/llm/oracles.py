@@ -55,9 +55,24 @@ def url_filters() -> str:
  SELECT page_id, host, path, {rule} AS rule, {said} WHEN ok AND ({match[U.BLOCK]}) AND NOT ({match[U.ALLOW]}) THEN 'block' ELSE 'allow' END AS verdict FROM h"""
 
 
+def collocations(least: int = 30, most: int = 2000) -> str:
+    low = lowered("coalesce(text, '')")
+    grams = " UNION ALL ".join(f"SELECT lang, array_to_string(ws[i:i + {k - 1}], ' ') AS g, {k} AS k FROM (SELECT lang, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM p WHERE len(ws) >= {k})" for k in (1, 2, 3, 4))
+    return f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array({low}, '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+ p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM (SELECT lang, unnest(ps) AS piece FROM d)),
+ g AS (SELECT lang, g, k, count(*) AS f FROM ({grams}) GROUP BY lang, g, k), n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+ c AS (SELECT lang, g, string_split(g, ' ') AS ws, k, f FROM g WHERE k > 1 AND f >= {least}),
+ cuts AS (SELECT lang, g, f, j, array_to_string(ws[:j], ' ') AS lg, array_to_string(ws[j + 1:], ' ') AS rg FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+ s AS (SELECT cuts.lang, cuts.g, cuts.f AS a, j, x.f AS l, y.f AS r, ((2000000::HUGEINT * cuts.f) // (x.f::HUGEINT + y.f))::BIGINT AS score FROM cuts JOIN g x ON x.lang = cuts.lang AND x.g = lg JOIN g y ON y.lang = cuts.lang AND y.g = rg),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+ w AS (SELECT lang, sub, max(f) AS longer FROM (SELECT lang, f, array_to_string(ws[i:i + m - 1], ' ') AS sub FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2))) GROUP BY lang, sub),
+ t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank FROM b LEFT JOIN w ON w.lang = b.lang AND w.sub = b.g WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+ SELECT t.lang, rank, t.g AS phrase, a, l, r, n, score FROM t JOIN n ON n.lang = t.lang WHERE rank <= {most}"""
+
+
 def warc(least: int = 1000) -> str:
     return f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages), k AS (SELECT d, max(page_id) AS keeper FROM p WHERE n >= {least} GROUP BY d)
  SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < keeper THEN keeper END AS refers_to FROM p LEFT JOIN k USING (d)"""
 
 
-ORACLE_SQL = {"op4_line_dedup": line_dedup(), "op8_url_filters": url_filters(), "op9_quality_rules": quality_rules(), "op10_substring_dedup": substring_dedup(), "op13_warc": warc()}
+ORACLE_SQL = {"op4_line_dedup": line_dedup(), "op8_url_filters": url_filters(), "op9_quality_rules": quality_rules(), "op10_substring_dedup": substring_dedup(), "op12_collocations": collocations(), "op13_warc": warc()}
