@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..functions import text as X
 from ..leaves import backend, synth
-from ..operators import conditions, gates, kits, metrics, oracle, pilot, resample, selection, signal
+from ..operators import conditions, gates, kits, metrics, oracle, pilot, probe, recurrent, resample, selection, signal
 from ..sources import readers, writers
 from ..storage import Tables
 from . import pipelines
@@ -360,6 +360,21 @@ def audio_transitions(spark, d):
     return signal.transition_scores(backend.frames_of(pre), backend.windows_of(pre)).select("clip_id", "accuracy", "n_trans")
 
 
+@query("recurrent_probe")
+def recurrent_probe(spark, d):
+    """Learns whether an order's quantities rise, fall or stay from its first line to its last, which no mean tells; predictions for orders held out. The tests hold training against finite differences and known rules."""
+    li = T.table(spark, d, "lineitem")
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = F.sort_array(F.collect_list(F.struct(*order)))
+    rows = li.groupBy(F.col("l_orderkey").cast("string").alias("clip_id")).agg(lines.alias("x")).where(F.size("x") > 1)
+    rise = F.element_at("x", -1)["l_quantity"] - F.element_at("x", 1)["l_quantity"]
+    target = F.when(rise > 5, "H").when(rise < -5, "L").otherwise("M")
+    segments = Tables(spark, "orders").put("segments", rows.select("clip_id", F.lit(0).alias("tbu_idx"), target.alias("target"), F.transform("x", lambda r: F.array(r["l_quantity"] / 25 - 1, F.lit(1.0))).alias("segment")))
+    held = F.pmod(F.crc32(F.col("clip_id").cast("binary")), F.lit(5)) == 0
+    found, _, _ = recurrent.train(segments.where(~held), segments.where(held), hidden=12, epochs=6, batch=1 << 15, rate=0.03, seed=1)
+    return probe.predicted(segments.where(held), found).select("clip_id", "target", "pred")
+
+
 # --- files
 
 @query("manifest_read", "SELECT o_orderkey::VARCHAR AS id, o_totalprice AS duration_sec FROM orders WHERE o_totalprice BETWEEN 50000 AND 90000")
