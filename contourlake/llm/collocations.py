@@ -7,7 +7,7 @@ counts are per language.
 1. Shards. The words of a few MB of text of one language are written as a row:
    its vocabulary and the words' numbers, compressed. A language with most of the
    texts has most of the shards.
-2. Sketch. Each phrase of two words falls into one of about a quarter as many
+2. Sketch. Each word and each phrase of two falls into one of about a quarter as many
    cells as there are words. A shard sends the cells that it fills and how often,
    cut into segments of cells; a segment's counts are added up as they stream by,
    a byte a cell, and bound the counts of its phrases from above. Each shard gets
@@ -15,9 +15,9 @@ counts are per language.
    same way, but only those whose pairs of words were all let through.
 3. Count. A shard's candidates make an Aho-Corasick automaton, guarded by a space
    at both ends, which finds every occurrence, overlapping ones too, in the
-   shard's text. The shards' counts are added up and those below ``least`` go.
-4. Score. A phrase's parts are phrases that reach ``least`` too, or words, so all
-   counts are at hand. A part that many phrases ask for is dealt over many tasks.
+   shard's text. Lists of them, by hash, are added up and what stays below
+   ``least`` goes.
+4. Score. A phrase's parts reach ``least`` too, so all counts are at hand. A part that many phrases ask for is dealt over many tasks.
 
 The sketch only decides what is counted: whatever it lets through by chance is
 dropped by its exact count, and it never holds back a phrase that reaches
@@ -186,13 +186,13 @@ def _of(reply: list[dict] | None, shape: Shape) -> np.ndarray:
 
 
 def filled(rows: DataFrame, sizes: tuple[int, ...], shape: Shape) -> DataFrame:
-    """shard, segment, cells and counts (255 at most) of the cells that each shard fills; rows have the shards' columns and let2, the reply for pairs (null if pairs are asked for)."""
+    """shard, segment, cells and counts (255 at most) of the cells that each shard fills; rows have the shards' columns and let2, the reply for words and pairs (null if these are asked for)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 s = Shard(row["lang"], row["words"], row["ids"])
-                pairs = None if sizes == (2,) else _let(s, 2, shape, _of(row["let2"], shape))
+                pairs = None if sizes == (1, 2) else _let(s, 2, shape, _of(row["let2"], shape))
                 cells, counts = np.unique(_asked(s, sizes, shape, pairs), return_counts=True)
                 if not len(cells):
                     continue
@@ -251,21 +251,6 @@ def replies(cells: DataFrame, full: DataFrame, shape: Shape, parts: int) -> Data
     return said.groupBy("shard").agg(F.collect_list(F.struct("segment", "cells")).alias("let"))
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """lang, phrase (a word) and f of each word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                words = zstandard.decompress(row["words"]).split(b"\n")
-                counts = np.bincount(unpacked(row["ids"]), minlength=len(words) + 1)[1:]
-                if counts.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(words)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts)], ["lang", "phrase", "f"])
-
-    found = rows.select("lang", "words", "ids").mapInArrow(run, "lang string, phrase string, f long")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-
-
 def candidates_of(s: Shard, at: dict[int, np.ndarray]) -> list[str]:
     """The distinct phrases that begin at the places, by size."""
     out, v = [], len(s.words)
@@ -292,54 +277,89 @@ def occurrences(s: Shard, phrases: list[str]) -> np.ndarray:
     return np.bincount(np.fromiter((k for _, k in automaton.iter(text)), np.int64), minlength=len(phrases))
 
 
-def counted(rows: DataFrame, longest: int, shape: Shape) -> DataFrame:
-    """lang, phrase and f of each candidate; rows have the shards' columns and let2 and let3, the replies."""
+def counted(rows: DataFrame, longest: int, shape: Shape, buckets: int) -> DataFrame:
+    """bucket, lang, phrases and counts (compressed lists) of each shard's candidates, by a hash of the phrase; rows have the shards' columns and let2 and let3, the replies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 s = Shard(row["lang"], row["words"], row["ids"])
-                pairs = _let(s, 2, shape, _of(row["let2"], shape))
+                let = _of(row["let2"], shape)
+                pairs = _let(s, 2, shape, let)
                 longer = _of(row["let3"], shape)
-                at = {2: pairs} | {n: _let(s, n, shape, longer, pairs) for n in range(3, longest + 1)}
-                phrases = candidates_of(s, at)
-                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(occurrences(s, phrases))], ["lang", "phrase", "f"])
+                phrases = candidates_of(s, {2: pairs} | {n: _let(s, n, shape, longer, pairs) for n in range(3, longest + 1)})
+                found, times = np.unique(s.ids[_let(s, 1, shape, let)], return_counts=True)
+                lines = [s.words[k] for k in found.tolist()] + [p.encode() for p in phrases]
+                counts = np.r_[times, occurrences(s, phrases)]
+                place = np.fromiter((xxhash.xxh64_intdigest(x) % buckets for x in lines), np.int64, len(lines))
+                order = np.argsort(place, kind="stable")
+                cuts = np.searchsorted(place[order], np.unique(place)).tolist() + [len(order)]
+                out = [(int(place[order[lo]]), zstandard.compress(b"\n".join([lines[k] for k in order[lo:hi].tolist()]), 1), packed(counts[order[lo:hi]])) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([row["lang"]] * len(out), pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "lang", "phrases", "counts"])
         pa.default_memory_pool().release_unused()
 
-    found = rows.select("lang", "words", "ids", "let2", "let3").mapInArrow(run, "lang string, phrase string, f long")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return rows.select("lang", "words", "ids", "let2", "let3").mapInArrow(run, "bucket long, lang string, phrases binary, counts binary")
+
 
+def summed(lists: DataFrame, least: int, parts: int) -> DataFrame:
+    """lang, phrase, size and f of the phrases that reach least in all shards together."""
 
-def phrase_counts(tables: Tables, docs: DataFrame, text_col: str, lang_col: str, longest: int, least: int, shard_words: int) -> DataFrame:
-    """lang, phrase, size and f of all words and of all phrases of up to longest words that occur least times or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[bytes, int] = {}
+        at = None
+
+        def said():
+            kept = {p: n for p, n in sums.items() if n >= least}
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array([at[1]] * len(kept), pa.string()), pa.array(list(kept), pa.binary()).cast(pa.string()), pa.array([p.count(b" ") + 1 for p in kept], pa.int32()), pa.array(list(kept.values()), pa.int64())], ["lang", "phrase", "size", "f"])
+
+        for b in batches:
+            for bucket, lang, phrases, counts in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if at != (bucket, lang):
+                    if at is not None:
+                        yield said()
+                    at = (bucket, lang)
+                for p, n in zip(zstandard.decompress(phrases).split(b"\n"), unpacked(counts).tolist(), strict=True):
+                    sums[p] = sums.get(p, 0) + n
+        if at is not None:
+            yield said()
+
+    dealt = lists.repartition(parts, "bucket").sortWithinPartitions("bucket", "lang")
+    return dealt.mapInArrow(run, "lang string, phrase string, size int, f long")
+
+
+def phrase_counts(tables: Tables, docs: DataFrame, text_col: str, lang_col: str, longest: int, least: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
+    """lang, phrase, size and f of all words and phrases of up to longest words that occur least times or more; lang and n, all words of each language."""
     if not 1 <= least <= 255 or not 2 <= longest <= 5:
         raise ValueError("least is 1 to 255 and longest 2 to 5")
     made = tables.put("shards", shards(docs, text_col, lang_col, shard_words))
-    n_words = made.agg(F.sum("n_words")).first()[0] or 0
+    sizes = tables.put("sizes", made.groupBy("lang").agg(F.sum("n_words").alias("n")).where("n > 0"))
+    n_words = sizes.agg(F.sum("n")).first()[0] or 0
     shape = Shape(n_words)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << (shape.cells - shape.within), n_words >> 22))
+    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffles, min(1 << (shape.cells - shape.within), n_words >> 22))
     rows = made.withColumn("let2", F.lit(None).cast("array<struct<segment: long, cells: binary>>"))
-    for sizes, name in (((2,), "let2"), (tuple(range(3, longest + 1)), "let3")):
-        if sizes:
-            cells = tables.put(f"cells-{name}", filled(rows, sizes, shape))
+    for sizes_of, name in (((1, 2), "let2"), (tuple(range(3, longest + 1)), "let3")):
+        if sizes_of:
+            cells = tables.put(f"cells-{name}", filled(rows, sizes_of, shape))
             full = tables.put(f"full-{name}", bounds(cells, shape, least, parts))
             reply = tables.put(name, replies(cells, full, shape, parts).withColumnRenamed("let", name))
             tables.drop(f"cells-{name}", f"full-{name}")
             rows = (made if name == "let2" else rows).join(reply, "shard", "left")
         else:
             rows = rows.withColumn(name, F.lit(None).cast("array<struct<segment: long, cells: binary>>"))
-    words = word_counts(made).withColumn("size", F.lit(1))
-    phrases = counted(rows, longest, shape).where(F.col("f") >= least).withColumn("size", F.size(F.split("phrase", " ")))
-    out = tables.put("counts", words.unionByName(phrases))
+    # At most a tenth of all words are phrases that occur often; a bucket holds some 100,000 of them.
+    buckets = max(shuffles, min(1 << 20, n_words // 10 >> 17))
+    counts = tables.put("counts", summed(counted(rows, longest, shape, buckets), least, max(shuffles, buckets >> 3)))
     tables.drop("shards", "let2", "let3")
-    return out
+    return counts, sizes
 
 
 def _part(words: Column, lo: Column, n: Column) -> Column:
     return F.array_join(F.slice(words, lo, n), " ")
 
 
-def scored(tables: Tables, counts: DataFrame, least: int) -> DataFrame:
+def scored(tables: Tables, counts: DataFrame) -> DataFrame:
     """lang, phrase, a, l, r and score of each phrase, by its lowest-scoring cut."""
     phrases = counts.where(F.col("size") > 1)
     ks = F.sequence(F.lit(1), F.col("size") - 1)
@@ -348,7 +368,7 @@ def scored(tables: Tables, counts: DataFrame, least: int) -> DataFrame:
     sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), _part(words, F.lit(1), F.col("k")).alias("part")), F.struct(F.lit("r").alias("side"), _part(words, F.col("k") + 1, F.col("size") - F.col("k")).alias("part"))))
     asked = cuts.select("lang", "phrase", "a", "k", sides.alias("s")).select("lang", "phrase", "a", "k", "s.side", "s.part")
     sizes = asked.groupBy("lang", "part").agg(F.count("*").alias("n_asked"))
-    known = tables.put("parts", sizes.join(counts.where(F.col("f") >= least).select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"]))
+    known = tables.put("parts", sizes.join(counts.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"]))
     got = dealt_join(asked, known, ["lang", "part"], "n_asked", "phrase")
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("f"))).alias(side)
     each = got.groupBy("lang", "phrase", "a", "k").agg(of("l"), of("r"))
@@ -382,10 +402,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     more is left out.
     """
     tables = Tables(docs.sparkSession, "collocations")
-    counts = phrase_counts(tables, docs, text_col, lang_col, longest, least, shard_words)
-    rows = scored(tables, counts, least).join(inside(counts), ["lang", "phrase"], "left")
+    counts, sizes = phrase_counts(tables, docs, text_col, lang_col, longest, least, shard_words)
+    rows = scored(tables, counts).join(inside(counts), ["lang", "phrase"], "left")
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     kept = rows.where(F.col("longer").isNull() | (wide("longer") * 100 < wide("a") * share)).drop("longer")
     first = top(kept, "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], most, "phrase")
-    n = counts.where("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-    return first.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return first.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

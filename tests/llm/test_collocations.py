@@ -96,7 +96,7 @@ def test_the_sketch_holds_back_rare_phrases(spark):
     made = tables.put("shards", collocations.shards(df, "text", "lang", 2000))
     shape = collocations.Shape(made.agg({"n_words": "sum"}).first()[0])
     none = collocations.F.lit(None).cast("array<struct<segment: long, cells: binary>>")
-    cells = tables.put("cells", collocations.filled(made.withColumn("let2", none), (2,), shape))
+    cells = tables.put("cells", collocations.filled(made.withColumn("let2", none), (1, 2), shape))
     full = tables.put("full", collocations.bounds(cells, shape, 30, 4))
     let = collocations.replies(cells, full, shape, 4)
     n_let = sum(len(collocations._of([x.asDict() for x in r["let"]], shape)) for r in let.collect())
@@ -116,7 +116,7 @@ def test_packing_numbers():
 def test_scores_are_exact_beyond_64_bits(spark):
     big = (1 << 62) - 3
     counts = spark.createDataFrame([("en", "a", 1, big), ("en", "b", 1, big - 2), ("en", "a b", 2, big - 5)], "lang string, phrase string, size int, f long")
-    (r,) = collocations.scored(Tables(spark, "test"), counts, 30).collect()
+    (r,) = collocations.scored(Tables(spark, "test"), counts).collect()
     assert r["score"] == 2000000 * (big - 5) // (2 * big - 2)
 
 
