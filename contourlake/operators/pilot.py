@@ -39,8 +39,9 @@ def judgement(label: Column) -> Column:
 
 def threshold(keymap: DataFrame, override: float | None = None) -> DataFrame:
     """tau: the override, else the median native tone_i2, else the default."""
-    native = F.median(F.when((F.col("source") == "native") & ~F.col("is_catch"), F.col("tone_i2")))
-    return keymap.agg(F.coalesce(F.lit(override).cast("double"), native, F.lit(TONE_DEFAULT)).alias("tau"))
+    native = keymap.where((F.col("source") == "native") & ~F.col("is_catch"))
+    middle = resample.exact_median(native, "tone_i2").agg(F.max("median").alias("median"))  # one row, of NULL without natives
+    return middle.select(F.coalesce(F.lit(override).cast("double"), "median", F.lit(TONE_DEFAULT)).alias("tau"))
 
 
 def rater_tallies(answers: DataFrame, keymap: DataFrame) -> DataFrame:

@@ -1,13 +1,11 @@
 """Bootstrap, permutation and control populations with deterministic draws.
 
-Permutations are MD5 hashes of (seed, key), so a rerun, a retry and another
+Permutations are keyed by (seed, replicate), so a rerun, a retry and another
 engine give the same ones. A bootstrap first reduces its units (clips, pairs or
 items) to rows of counts and these to kinds, equal rows with their number. A
-replicate draws as many units as there are, with replacement; which kinds they
-are is a multinomial draw over kinds. It is split exactly: the driver draws how
-many fall into each of ``GROUPS`` groups of kinds, and each group draws its own,
-so no unit is ever multiplied or joined. Generators are seeded by (seed, group)
-and kinds are sorted, so the cluster's layout does not matter.
+replicate draws as many units as there are, with replacement; how often each
+kind is drawn is a multinomial, drawn down a tree of kinds (``multinomial``), so
+no unit is ever multiplied or joined and any number of kinds will do.
 """
 
 from __future__ import annotations
@@ -22,15 +20,12 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..storage import Tables
 from .metrics import TONES, average_ranks
-from .running import numbered
+from .multinomial import drawn, kinds_of
+from .running import keyed_running, numbered
 
 Stat = Callable[[str], Column]
 
 
-#: Groups of kinds that are drawn apart.
-GROUPS = 64
-
-
 def clip_counts(tbu: DataFrame) -> DataFrame:
     """c_HH ... c_LL: each clip's confusion counts."""
     cells = [F.count_if((F.col("target") == t) & (F.col("pred") == p)).alias(f"c_{t}{p}") for t in TONES for p in TONES]
@@ -73,53 +68,51 @@ def counts_kappa(prefix: str = "c_", total: str | None = None) -> Column:
 
 
 def replicates(rows: DataFrame, n_rep: int, seed: int) -> DataFrame:
-    """Sums of the count columns c_... of rows over each replicate's draws; rep -1 is the sample itself."""
+    """Sums of the count columns c_... of rows over each replicate's draws; rep -1 is the sample itself, of which empty rows are zeros."""
     names = [c for c in rows.columns if c.startswith("c_")]
-    sums = [F.sum(c).alias(c) for c in names]
-    group = F.pmod(F.xxhash64(*names), F.lit(GROUPS)).cast("int")
-    kinds = Tables(rows.sparkSession, "kinds").put("kinds", rows.groupBy(*names).agg(F.count("*").alias("_w")).withColumn("_g", group))
-    weights = kinds.select(*((F.col(c) * F.col("_w")).alias(c) for c in names))
-    point = weights.agg(*(F.sum(c).cast("long").alias(c) for c in names)).withColumn("rep", F.lit(-1).cast("long"))
-    held = {r["_g"]: r["n"] for r in kinds.groupBy("_g").agg(F.sum("_w").alias("n")).collect()}  # GROUPS rows
-    if not held or not n_rep:
-        return point
-    order = sorted(held)
-    share = np.array([held[g] for g in order], np.float64)
-    split = np.random.default_rng([seed, GROUPS]).multinomial(sum(held.values()), share / share.sum(), size=n_rep)
-
-    def run(table: pa.Table) -> pa.Table:
-        g = table.column("_g")[0].as_py()
-        table = table.sort_by([(c, "ascending") for c in names])
-        counts = np.stack([table.column(c).to_numpy() for c in names], axis=1)
-        w = table.column("_w").to_numpy().astype(np.float64)
-        rng, drawn, out = np.random.default_rng([seed, g]), split[:, order.index(g)], []
-        step = max(1, (1 << 22) // len(w))
-        for lo in range(0, n_rep, step):
-            out.append(rng.multinomial(drawn[lo : lo + step], w / w.sum()) @ counts)
-        both = np.concatenate(out)
-        return pa.table({"rep": pa.array(np.arange(n_rep)), **{c: pa.array(both[:, k]) for k, c in enumerate(names)}})
-
-    schema = ", ".join(["rep long", *(f"{c} long" for c in names)])
-    parts = kinds.select("_g", "_w", *(F.col(c).cast("long").alias(c) for c in names)).groupBy("_g").applyInArrow(run, schema)
-    return parts.groupBy("rep").agg(*sums).unionByName(point)
+    kinds = kinds_of(rows.select(*(F.col(c).cast("long").alias(c) for c in names)), names, Tables(rows.sparkSession, "kinds"))
+
+    def use(columns: dict[str, np.ndarray], n: np.ndarray) -> dict[str, np.ndarray]:
+        return {c: columns[c].astype(np.int64) @ n for c in names}
+
+    parts = drawn(kinds, 62, n_rep, seed, ", ".join(f"{c} long" for c in names), use)
+    none = rows.sparkSession.range(1).select(F.lit(0).alias("g"), F.lit(-1).alias("rep"), *(F.lit(None).cast("long").alias(c) for c in names))
+    return parts.unionByName(none).groupBy("rep").agg(*(F.sum(c).alias(c) for c in names))
+
+
+def _spots(values: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """Each key's distinct values with how many are smaller (before), equal (ties) and there at all (n)."""
+    live = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("ties"))
+    return keyed_running(live, F.col("ties"), keys, value)
 
 
 def index_quantile(values: DataFrame, value: str, q: float, clamp: bool = True, keys: Sequence[str] = ()) -> DataFrame:
-    """The value at place floor(q n) of the sorted non-NULL values (the last, if clamped and beyond)."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    live = values.where(F.col(value).isNotNull())
-    n = F.count("*").over(Window.partitionBy(*keys))
-    at = F.floor(F.lit(q) * n) + 1
-    ranked = live.withColumn("_rn", F.row_number().over(w)).withColumn("_at", F.least(n, at) if clamp else at)
-    return ranked.where("_rn = _at").select(*keys, F.col(value).alias("quantile"))
+    """The value at place floor(q n) of each key's sorted non-NULL values (the last, if clamped and beyond). A key may have any share of the rows."""
+    at = F.floor(F.lit(q) * F.col("n"))
+    at = F.least(F.col("n") - 1, at) if clamp else at
+    return _spots(values, value, keys).where((F.col("before") <= at) & (at < F.col("before") + F.col("ties"))).select(*keys, F.col(value).alias("quantile"))
+
+
+def exact_median(values: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The median of each key's non-NULL values, the mean of the middle two for an even number."""
+    holds = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("ties"))
+    low, high = F.expr("(n - 1) div 2"), F.expr("n div 2")
+    two = _spots(values, value, keys).where(holds(low) | holds(high)).withColumn("_v", F.col(value).cast("double"))
+    return two.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias("median"))
+
+
+def _place(replicates: DataFrame, value: str, q: float) -> DataFrame:
+    """index_quantile of replicates, of which there are as many as the caller asked for."""
+    ranked = replicates.where(F.col(value).isNotNull()).select(F.col(value).alias("quantile"), F.row_number().over(Window.orderBy(value)).alias("_rn"), F.count("*").over(Window.partitionBy()).alias("_n"))
+    return ranked.where(F.col("_rn") == F.least(F.col("_n"), F.floor(F.lit(q) * F.col("_n")) + 1)).select("quantile")
 
 
 def bootstrap(rows: DataFrame, stat: Column, n_rep: int, seed: int, lo: float, hi: float | None = None) -> DataFrame:
     """point, lo (and hi) of a statistic over summed counts."""
-    values = replicates(rows, n_rep, seed).select("rep", stat.alias("value"))
+    values = Tables(rows.sparkSession, "bootstrap").put("values", replicates(rows, n_rep, seed).select("rep", stat.alias("value")))
     point = values.where("rep < 0").select(F.col("value").alias("point"))
-    out = point.crossJoin(F.broadcast(index_quantile(values.where("rep >= 0"), "value", lo).withColumnRenamed("quantile", "lo")))
-    return out if hi is None else out.crossJoin(F.broadcast(index_quantile(values.where("rep >= 0"), "value", hi).withColumnRenamed("quantile", "hi")))
+    out = point.crossJoin(F.broadcast(_place(values.where("rep >= 0"), "value", lo).withColumnRenamed("quantile", "lo")))  # one row each
+    return out if hi is None else out.crossJoin(F.broadcast(_place(values.where("rep >= 0"), "value", hi).withColumnRenamed("quantile", "hi")))
 
 
 def permuted_targets(tbu: DataFrame, *seeds: int) -> DataFrame:
@@ -144,93 +137,115 @@ def only_high_low(tbu: DataFrame) -> DataFrame:
     return tbu.where(F.col("target") != "M")
 
 
-#: Distinct values of a side up to which permutations are drawn from counts.
-MOST_VALUES = 1 << 16
+#: Rounds of the keyed bijection, and the prime that its rounds are reduced by.
+ROUNDS, PRIME = 8, (1 << 31) - 1
+
+
+def side_of(n: int) -> int:
+    """Half of the bijection's digits: the even number whose square holds n places with room to spare."""
+    return 2 * ((int(max(n - 1, 0) ** 0.5) + 1) // 2 + 1)
+
+
+def round_keys(reps: DataFrame, seed: int) -> DataFrame:
+    """rep and keys: two numbers below 2**30 for each round, from MD5 over (seed, rep, round, which)."""
+    parts = [F.shiftright(S.hash_number(F.lit(seed), F.col("rep"), F.lit(k), F.lit(w)), 2) for k in range(ROUNDS) for w in (0, 1)]
+    return reps.select("rep", F.array(*parts).alias("keys"))
+
+
+def moved(places: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
+    """Where a replicate puts each of the places 0 ... n - 1: a keyed bijection of the square of pairs (l, r), repeated until the place is below n."""
+    side, out = side_of(n), np.array(places, np.int64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = np.divmod(out[todo], side)
+        for a, b in keys.reshape(-1, 2).tolist():
+            left, right = right, (left + (right + a) * (right + b) % PRIME) % side
+        out[todo] = left * side + right
+        todo = todo[out[todo] >= n]
+    return out
 
 
 def trend_test(rows: DataFrame, x: str, y: str, n_perm: int, seed: int) -> DataFrame:
     """One-sided permutation test of a rising trend: rho and p = (as large + 1) / (n_perm + 1); p is 1 if rho is undefined.
 
-    Ranks do not change under permutation, so only how often each x meets each
-    y is drawn: tables with the margins fixed, spread over tasks by replicate.
-    The margins, distinct ranks with their counts, go to the tasks if there are
-    at most ``MOST_VALUES`` of each; else each row is dealt to all replicates,
-    which are tasks of their own, and meets the row at its hashed place.
+    Ranks do not change under permutation. Rows get places once; a replicate is a
+    keyed bijection of places, so each row's new place is computed where the row
+    is and meets the rank there by a join: no sort, no window and no task for a
+    replicate. The rank that most rows have counts from zero, so they stay out.
     """
+    spark, tables = rows.sparkSession, Tables(rows.sparkSession, "trend")
     ranked = average_ranks(average_ranks(rows.select(x, y), x, "rx"), y, "ry").select("rx", "ry")
-    whole = Tables(rows.sparkSession, "trend").put("ranks", ranked.groupBy("rx", "ry").agg(F.count("*").alias("c")))
-    weighted = lambda c: F.sum(F.col(c) * F.col("c"))
-    n, sx, sy, xx, yy, xy = whole.agg(F.coalesce(F.sum("c"), F.lit(0)), weighted("rx"), weighted("ry"), F.sum(F.col("rx") * F.col("rx") * F.col("c")), F.sum(F.col("ry") * F.col("ry") * F.col("c")), F.sum(F.col("rx") * F.col("ry") * F.col("c"))).first()
-    spark = rows.sparkSession
+    whole = tables.put("ranks", numbered(ranked, "rx", "ry", out="place"))
+    product = lambda a, b: F.sum(F.col(a) * F.col(b))
+    n, sx, sy, xx, yy, xy = whole.agg(F.count("*"), F.sum("rx"), F.sum("ry"), product("rx", "rx"), product("ry", "ry"), product("rx", "ry")).first()
     vx, vy = ((s2 / n - (s1 / n) ** 2 if n else 0.0) for s1, s2 in ((sx, xx), (sy, yy)))
     if vx <= 1e-12 or vy <= 1e-12:
         return spark.createDataFrame([(n, None, 1.0)], "n long, rho double, p double")
     rho_of = lambda dot: (dot / n - sx / n * sy / n) / (vx * vy) ** 0.5
-    own = rho_of(xy)
-    sides = [whole.groupBy(c).agg(F.sum("c").alias("c")) for c in ("rx", "ry")]
-    if max(s.count() for s in sides) <= MOST_VALUES and n < 10**9:
-        (vals_x, n_x), (vals_y, n_y) = (np.array(sorted(map(tuple, s.collect()))).T for s in sides)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                dots = []
-                for rep in b.column(0).to_pylist():
-                    rng, left, dot = np.random.default_rng([seed, rep]), n_y.astype(np.int64), 0.0
-                    for v, c in zip(vals_x, n_x.astype(np.int64), strict=True):
-                        met = rng.multivariate_hypergeometric(left, c, method="marginals")
-                        left = left - met
-                        dot += v * float(met @ vals_y)
-                    dots.append(dot)
-                yield pa.RecordBatch.from_arrays([pa.array(dots, pa.float64())], ["dot"])
-
-        dots = spark.range(n_perm).mapInArrow(run, "dot double")
-    else:
-        each = numbered(whole.withColumn("c", F.explode(F.sequence(F.lit(1), F.col("c")))), "rx", "ry", "c").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-        place = F.row_number().over(Window.partitionBy("rep").orderBy(S.hash_number(F.lit(seed), F.col("rep"), F.col("k")), "k")) - 1
-        mixed = each.select("rep", "ry", place.alias("k")).join(each.select("rep", "k", "rx"), ["rep", "k"])
-        dots = mixed.groupBy("rep").agg(F.sum(F.col("rx") * F.col("ry")).alias("dot"))
-    ge = F.count_if(rho_of(F.col("dot")) >= own - 1e-12)
-    return dots.agg(F.lit(n).cast("long").alias("n"), F.lit(own).alias("rho"), ((ge + 1) / F.lit(n_perm + 1.0)).alias("p"))
+    usual = {c: whole.groupBy(c).count().orderBy(F.desc("count"), c).first() for c in ("rx", "ry")}
+    moving, still = ("rx", "ry") if usual["rx"]["count"] >= usual["ry"]["count"] else ("ry", "rx")
+    zero, total = usual[moving][moving], sx if still == "rx" else sy
+    keys = round_keys(spark.range(n_perm).withColumnRenamed("id", "rep"), seed).orderBy("rep").collect()  # n_perm rows
+    sent = np.array([r["keys"] for r in keys], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place, value = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for rep, k in enumerate(sent):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), rep)), pa.array(moved(place, n, k)), pa.array(value)], ["rep", "place", "v"])
+
+    dealt = whole.where(F.col(moving) != zero).select("place", (F.col(moving) - zero).alias("v")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "place")
+    met = dealt.mapInArrow(run, "rep long, place long, v double").join(whole.select("place", still), "place")
+    dots = met.groupBy("rep").agg((F.sum(F.col("v") * F.col(still)) + zero * total).alias("dot"))
+    ge = F.count_if(rho_of(F.col("dot")) >= rho_of(xy) - 1e-12)
+    return dots.agg(F.lit(n).cast("long").alias("n"), F.lit(rho_of(xy)).alias("rho"), ((ge + 1) / F.lit(n_perm + 1.0)).alias("p"))
+
+
+PARTS = "n double, pos double, u double, ds double, dss double, dsy double, agree double, pick double"
 
 
 def item_bootstrap(items: DataFrame, score: str, label: str, n_rep: int, seed: int, pick: str | None = None) -> DataFrame:
     """rep, auroc, r (of score and label) and kappa (of pick and label, both 0 or 1) of items drawn with replacement; rep -1 is the sample.
 
-    Items are judgements of listeners; equal ones are one kind. All kinds, at
-    most ``MOST_VALUES``, go to the tasks, which share the replicates.
+    Equal items are one kind; kinds are ordered by score, so a group of them is a
+    range of scores. Each group gives its own pairs of unequal labels and its
+    sums; what a group's positives win over all negatives below it is added by
+    running totals over the groups of a replicate.
     """
+    tables = Tables(items.sparkSession, "items")
     label_col, pick_col = F.col(label).cast("int"), F.col(pick or label).cast("int")
-    kinds = items.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s"), label_col.alias("y"), pick_col.alias("m")).agg(F.count("*").alias("w"))
-    rows = kinds.orderBy("s", "y", "m").limit(MOST_VALUES + 1).collect()
-    if len(rows) > MOST_VALUES:
-        raise ValueError(f"more than {MOST_VALUES} kinds of items")
-    s, y, m, w = (np.array([r[k] for r in rows], np.float64) for k in range(4))
-    first = np.r_[True, s[1:] != s[:-1]] if len(s) else np.empty(0, bool)
-    group = np.cumsum(first) - 1
+    live = items.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    kinds = tables.put("kinds", live.groupBy(F.col(score).cast("double").alias("s"), label_col.alias("y"), pick_col.alias("m")).agg(F.count("*").alias("w")))
+    places = numbered(kinds.groupBy("s").agg(F.sum("w").alias("_w")), "s").select("s", "k")
+    n_scores, total, centre = kinds.agg(F.count_distinct("s"), F.sum("w"), F.sum(F.col("s") * F.col("w")) / F.sum("w")).first()
     names = ("auroc", "r", "kappa")
-
-    def of(c: np.ndarray) -> tuple[float | None, ...]:
-        n, pos = c.sum(), c @ y
-        per, up = np.bincount(group, c), np.bincount(group, c * y)
-        below = np.cumsum(per - up) - (per - up)
-        auc = float((up * (below + (per - up) / 2)).sum() / (pos * (n - pos))) if 0 < pos < n else None
-        mean_s, mean_y = c @ s / n, pos / n
-        vs, vy = c @ (s - mean_s) ** 2 / n, mean_y * (1 - mean_y)
-        r = float((c @ (s * y) / n - mean_s * mean_y) / (vs * vy) ** 0.5) if vs > 1e-24 and vy > 1e-24 else None
-        po, pm = c @ (m == y) / n, c @ m / n
-        pe = pm * mean_y + (1 - pm) * (1 - mean_y)
-        return auc, r, float((po - pe) / (1 - pe)) if pe < 1 else float(po >= 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for rep in b.column(0).to_pylist():
-                c = w if rep < 0 else np.random.default_rng([seed, rep]).multinomial(int(w.sum()), w / w.sum()).astype(np.float64)
-                out.append(of(c))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in out], pa.float64()) for k in range(3))], ["rep", *names])
-
-    reps = items.sparkSession.range(-1, n_rep) if len(rows) else items.sparkSession.range(0)
-    return reps.mapInArrow(run, "rep long, auroc double, r double, kappa double")
+    if not total:
+        return items.sparkSession.createDataFrame([], "rep long, auroc double, r double, kappa double")
+    bits = max(1, (4 * n_scores - 1).bit_length())
+    keyed = tables.put("keyed", kinds.join(places, "s").select((F.col("k") * 4 + F.col("y") * 2 + F.coalesce("m", F.lit(0))).alias("key"), "w", (F.col("s") - centre).alias("s"), "y", "m"))
+
+    def use(columns: dict[str, np.ndarray], drawn: np.ndarray) -> dict[str, np.ndarray]:
+        s, y, m = (columns[c].astype(np.float64) for c in ("s", "y", "m"))
+        c = drawn.astype(np.float64)
+        first = np.flatnonzero(np.r_[True, np.diff(columns["key"] >> 2) != 0])
+        up, down = (np.add.reduceat(c * side[:, None], first, axis=0) for side in (y, 1 - y))
+        below = np.cumsum(down, axis=0) - down
+        return {"n": c.sum(axis=0), "pos": y @ c, "u": (up * (below + down / 2)).sum(axis=0), "ds": s @ c, "dss": (s * s) @ c, "dsy": (s * y) @ c, "agree": (m == y).astype(np.float64) @ c, "pick": m @ c}
+
+    parts = drawn(keyed, bits, n_rep, seed, PARTS, use)
+    neg = F.col("n") - F.col("pos")
+    below = F.coalesce(F.sum(neg).over(Window.partitionBy("rep").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # a row per group
+    sums = parts.withColumn("u", F.col("u") + F.col("pos") * below).groupBy("rep").agg(*(F.sum(c).alias(c) for c in (f.split()[0] for f in PARTS.split(", "))))
+    n, pos = F.col("n"), F.col("pos")
+    mean_s, py, pm, po = F.col("ds") / n, pos / n, F.col("pick") / n, F.col("agree") / n
+    vs, vy = F.col("dss") / n - mean_s * mean_s, py * (1 - py)
+    pe = pm * py + (1 - pm) * (1 - py)
+    return sums.select(
+        "rep",
+        F.when((pos > 0) & (neg > 0), F.col("u") / (pos * neg)).alias(names[0]),
+        F.when((vs > 1e-24) & (vy > 1e-24), (F.col("dsy") / n - mean_s * py) / F.sqrt(vs * vy)).alias(names[1]),
+        F.when(pe < 1, (po - pe) / (1 - pe)).otherwise((po >= 1).cast("double")).alias(names[2]),
+    )
 
 
 def interval(values: DataFrame, stat: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
@@ -238,5 +253,5 @@ def interval(values: DataFrame, stat: str, lo: float = 0.025, hi: float = 0.975)
     v = values.select("rep", F.col(stat).alias("v"))
     out = v.where("rep < 0").select(F.lit(stat).alias("stat"), F.col("v").alias("point"))
     for name, q in (("lo", lo), ("hi", hi)):
-        out = out.join(index_quantile(v.where("rep >= 0"), "v", q).select(F.lit(stat).alias("stat"), F.col("quantile").alias(name)), "stat", "left")
+        out = out.join(_place(v.where("rep >= 0"), "v", q).select(F.lit(stat).alias("stat"), F.col("quantile").alias(name)), "stat", "left")
     return out

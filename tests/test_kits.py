@@ -77,12 +77,6 @@ def test_item_bootstrap_against_plain_resampling(spark):
     want = sorted(auc(rng.choices(items, k=60)) for _ in range(600))
     for q in (30, 300, 570):
         assert abs(have[q] - want[q]) < 0.03
-    with pytest.raises(ValueError):
-        most, resample.MOST_VALUES = resample.MOST_VALUES, 3
-        try:
-            resample.item_bootstrap(spark.createDataFrame(items, "s double, y int"), "s", "y", 5, 1)
-        finally:
-            resample.MOST_VALUES = most
 
 
 def test_ab_result_and_blocks(spark):
