@@ -43,12 +43,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, dealt_join
+from .common import Tables, dealt_join, return_memory
 
 #: Punctuation and line breaks end pieces, tabs become spaces, A-Z become small.
 PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * 10 + b" abcdefghijklmnopqrstuvwxyz")
 #: Words of a shard, about.
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: Odd multipliers, one for each word of a phrase.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F], np.uint64)
 BREAK = 0
@@ -115,12 +115,12 @@ def shards(docs: DataFrame, text_col: str, lang_col: str, most: int = SHARD) ->
             for lang, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words, parts, _ = have = held.setdefault(lang, [Words(), [], 0])
                 tokens = body.as_py().translate(PIECES).replace(b"\n", b" \n ").split(b" ")
-                ids = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
+                ids = np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens))
                 ids = ids[ids >= 0]
-                parts += [ids, np.array([BREAK])]
+                parts += [ids, np.array([BREAK], np.int32)]
                 have[2] += len(ids)
                 total += len(ids)
-                if have[2] >= most or total >= 4 * most:
+                if have[2] >= most or total >= 2 * most:
                     longest = max(held, key=lambda k: held[k][2])
                     total -= held[longest][2]
                     yield shard(longest)
@@ -128,7 +128,7 @@ def shards(docs: DataFrame, text_col: str, lang_col: str, most: int = SHARD) ->
         for lang in list(held):
             yield shard(lang)
             made += 1
-        pa.default_memory_pool().release_unused()
+        return_memory()
 
     return rows.mapInArrow(run, "shard long, lang string, n_words long, words binary, ids binary")
 
@@ -137,7 +137,7 @@ class Shard:
     """Words and phrases of a shard's row."""
 
     def __init__(self, lang: str, words: bytes, ids: bytes):
-        self.ids = unpacked(ids).astype(np.int64)
+        self.ids = unpacked(ids).astype(np.int32)
         self.words = [b"\n", *zstandard.decompress(words).split(b"\n")]
         seed = xxhash.xxh32_intdigest(lang)
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
@@ -159,9 +159,14 @@ class Shard:
     def cells(self, at: np.ndarray, size: int, shape: Shape) -> np.ndarray:
         h = np.full(len(at), size, np.uint64) * ODD[-1]
         for k in range(size):
-            h = (h ^ (h >> np.uint64(31))) * ODD[k % 5] + self.hashes[self.ids[at + k]]
-        h = (h ^ (h >> np.uint64(29))) * ODD[1]
-        return ((h ^ (h >> np.uint64(32))) * ODD[0] >> np.uint64(64 - shape.cells)).astype(np.int64)
+            h ^= h >> np.uint64(31)
+            h *= ODD[k % 5]
+            h += self.hashes[self.ids[at + k]]
+        for turn, odd in ((29, ODD[1]), (32, ODD[0])):
+            h ^= h >> np.uint64(turn)
+            h *= odd
+        h >>= np.uint64(64 - shape.cells)
+        return h.view(np.int64)
 
 
 def _asked(s: Shard, sizes: tuple[int, ...], shape: Shape, pairs: np.ndarray | None) -> np.ndarray:
@@ -185,12 +190,18 @@ def _of(reply: list[dict] | None, shape: Shape) -> np.ndarray:
     return np.concatenate([(r["segment"] << shape.within) + _places(r["cells"]) for r in sorted(reply, key=lambda r: r["segment"])])
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows one by one; they are large."""
+    for k in range(batch.num_rows):
+        yield {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+
+
 def filled(rows: DataFrame, sizes: tuple[int, ...], shape: Shape) -> DataFrame:
     """shard, segment, cells and counts (255 at most) of the cells that each shard fills; rows have the shards' columns and let2, the reply for words and pairs (null if these are asked for)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for row in _each(b):
                 s = Shard(row["lang"], row["words"], row["ids"])
                 pairs = None if sizes == (1, 2) else _let(s, 2, shape, _of(row["let2"], shape))
                 cells, counts = np.unique(_asked(s, sizes, shape, pairs), return_counts=True)
@@ -201,6 +212,7 @@ def filled(rows: DataFrame, sizes: tuple[int, ...], shape: Shape) -> DataFrame:
                 low, few = cells & ((1 << shape.within) - 1), np.minimum(counts, 255).astype(np.uint8)
                 out = [(int(segments[lo]), _steps(low[lo:hi]), zstandard.compress(few[lo:hi].tobytes(), 1)) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(out), pa.int64()), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary())))], ["shard", "segment", "cells", "counts"])
+        return_memory()
 
     return rows.select("shard", "lang", "words", "ids", "let2").mapInArrow(run, "shard long, segment long, cells binary, counts binary")
 
@@ -258,7 +270,7 @@ def candidates_of(s: Shard, at: dict[int, np.ndarray]) -> list[str]:
     for size, places in at.items():
         left = s.ids[places]
         for k in range(1, size):  # a number for each distinct beginning, so keys stay small and exact
-            _, first, left = np.unique(left * v + s.ids[places + k], return_index=True, return_inverse=True)
+            _, first, left = np.unique(left.astype(np.int64) * v + s.ids[places + k], return_index=True, return_inverse=True)
         if size > 1 and len(places):
             out += [" ".join([names[i] for i in row]) for row in np.stack([s.ids[places[first] + k] for k in range(size)], axis=1).tolist()]
     return out
@@ -282,7 +294,7 @@ def counted(rows: DataFrame, longest: int, shape: Shape, buckets: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for row in _each(b):
                 s = Shard(row["lang"], row["words"], row["ids"])
                 let = _of(row["let2"], shape)
                 pairs = _let(s, 2, shape, let)
@@ -296,7 +308,7 @@ def counted(rows: DataFrame, longest: int, shape: Shape, buckets: int) -> DataFr
                 cuts = np.searchsorted(place[order], np.unique(place)).tolist() + [len(order)]
                 out = [(int(place[order[lo]]), zstandard.compress(b"\n".join([lines[k] for k in order[lo:hi].tolist()]), 1), packed(counts[order[lo:hi]])) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([row["lang"]] * len(out), pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "lang", "phrases", "counts"])
-        pa.default_memory_pool().release_unused()
+        return_memory()
 
     return rows.select("lang", "words", "ids", "let2", "let3").mapInArrow(run, "bucket long, lang string, phrases binary, counts binary")
 

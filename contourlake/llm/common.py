@@ -11,6 +11,8 @@ documents are counted, and rows that also share their text get the same result;
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -83,6 +85,13 @@ def partitions(spark: SparkSession, n_bytes: int, each: int = 32 << 20) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
 
 
+def return_memory() -> None:
+    """Gives back what a task has freed; its worker process stays for the next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, dtype=np.uint64).view(np.int64)
 
