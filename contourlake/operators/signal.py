@@ -1,9 +1,10 @@
 """From pitch frames to tones, all relational.
 
 frames(clip_id, t, f0): f0 is NULL where unvoiced. windows(clip_id, tbu_idx,
-target, t0, t1): NULL times where a unit was not aligned. Frames meet windows in
-an equi-join on the clip with the range as its residual condition, never in a
-nested loop; per-clip regressions and medians are aggregates and windows.
+target, t0, t1): NULL times where a unit was not aligned. Frames meet windows by
+time bins, so a long clip is cut over tasks and a frame meets the windows near it
+only; nearest frames come from one sorted merge of frames and the times that are
+asked for; per-clip regressions and medians are aggregates and windows.
 """
 
 from __future__ import annotations
@@ -34,13 +35,31 @@ def proportional_windows(spans: DataFrame, targets: DataFrame) -> DataFrame:
     return unit.select("clip_id", "tbu_idx", "target", (F.col("v0") + F.col("tbu_idx") * F.col("each")).alias("t0"), (F.col("v0") + (F.col("tbu_idx") + 1) * F.col("each")).alias("t1"))
 
 
+def inside(points: DataFrame, intervals: DataFrame, key: str, t: str, lo: str, hi: str) -> DataFrame:
+    """Each point(key, t, ...) with each interval(key, lo, hi, ...) of its key that holds it, lo <= t < hi.
+
+    An interval belongs to the level of the power of two that its length does not
+    exceed and lies in the two or three bins of that width that it touches; a
+    point lies in a bin of each level there is. So intervals of one length are
+    next to points in a stretch of a few times theirs only, whatever the lengths
+    of others, and a key with most of the points is cut by time.
+    """
+    width = lambda level: F.pow(F.lit(2.0), level)
+    bin_of = lambda x, level: F.floor(F.col(x) / width(level))
+    live = intervals.where(F.col(lo) < F.col(hi)).withColumn("_l", F.ceil(F.log2(F.col(hi) - F.col(lo))))
+    levels = live.agg(F.sort_array(F.collect_set("_l")).alias("_ls"))  # one row of at most some dozens of levels, those of doubles
+    cut = live.withColumn("_b", F.explode(F.sequence(bin_of(lo, F.col("_l")), bin_of(hi, F.col("_l")))))
+    spread = points.crossJoin(F.broadcast(levels)).withColumn("_l", F.explode("_ls")).withColumn("_b", bin_of(t, F.col("_l"))).drop("_ls")
+    return spread.join(cut, [key, "_l", "_b"]).where((F.col(t) >= F.col(lo)) & (F.col(t) < F.col(hi))).drop("_l", "_b")
+
+
 def unit_semitones(frames: DataFrame, windows: DataFrame, late: float = LATE) -> DataFrame:
     """st and t_mid of each unit: the median pitch of the window's late part, else of all of it, else NULL."""
     w = windows.select("clip_id", "tbu_idx", "target", "t0", "t1")
     voiced = frames.where(F.col("f0").isNotNull()).select("clip_id", F.col("t").alias("_t"), F.col("f0").alias("_f0"))
-    inside = voiced.join(w.where(F.col("t0").isNotNull()), "clip_id").where((F.col("_t") >= F.col("t0")) & (F.col("_t") < F.col("t1")))
+    near = inside(voiced, w.select("clip_id", "tbu_idx", "t0", "t1"), "clip_id", "_t", "t0", "t1")
     from_late = F.col("_t") >= F.col("t0") + late * (F.col("t1") - F.col("t0"))
-    med = inside.groupBy("clip_id", "tbu_idx").agg(F.median(F.when(from_late, F.col("_f0"))).alias("a"), F.median("_f0").alias("b"))
+    med = near.groupBy("clip_id", "tbu_idx").agg(F.median(F.when(from_late, F.col("_f0"))).alias("a"), F.median("_f0").alias("b"))
     out = w.join(med, ["clip_id", "tbu_idx"], "left")
     return out.select("clip_id", "tbu_idx", "target", S.semitone(F.coalesce("a", "b")).alias("st"), ((F.col("t0") + F.col("t1")) / 2).alias("t_mid"))
 
@@ -204,18 +223,57 @@ def islands(frames: DataFrame) -> DataFrame:
     return frames.withColumn("island", gap).where(F.col("f0").isNotNull())
 
 
+#: Which frame is asked for: the last up to a time, or the first from it on; frames at the very time count or not.
+LAST_BEFORE, LAST_UP_TO, FIRST_FROM, FIRST_AFTER = range(4)
+
+
+def nearest(points: DataFrame, asked: DataFrame, key: str, t: str, *carry: str) -> DataFrame:
+    """asked(key, at, which, ...) with found: the point (t and carry) of the key that is asked for, or NULL.
+
+    An as-of merge: points and times are one table, sorted by key and time once
+    in each direction, and each time takes the last point that went by.
+    """
+    point = F.struct(t, *carry)
+    names = [c for c in asked.columns if c not in (key, "at", "which")]
+    empty = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in names]
+    rows = points.select(key, F.col(t).cast("double").alias("at"), F.lit(None).cast("int").alias("which"), point.alias("_p"), *empty)
+    times = asked.select(key, F.col("at").cast("double").alias("at"), F.col("which").cast("int").alias("which"), F.lit(None).cast(rows.schema["_p"].dataType).alias("_p"), *names)
+    # Where a time meets a point: those that leave it out to the left come before it, the others after it.
+    side = F.when(F.col("which").isNull(), 1).when(F.col("which").isin(LAST_BEFORE, FIRST_FROM), 0).otherwise(2)
+    both = rows.unionByName(times).withColumn("_s", side)
+    w = Window.partitionBy(key)
+    past = lambda *order: F.last("_p", ignorenulls=True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    filled = both.withColumns({"_back": past("at", "_s"), "_on": past(F.desc("at"), F.desc("_s"))})
+    is_last = F.col("which").isin(LAST_BEFORE, LAST_UP_TO)
+    return filled.where(F.col("which").isNotNull()).select(key, "at", "which", *names, F.when(is_last, F.col("_back")).otherwise(F.col("_on")).alias("found"))
+
+
 def voiced_rhyme(frames: DataFrame, windows: DataFrame, min_s: float = 0.06) -> DataFrame:
     """r0 and r1 of each aligned unit: the island of voiced frames around the frame nearest its centre, cut at its neighbours' edges; NULL if shorter than min_s.
 
     The nearest frame is one inside the window if there is any, then the
-    earliest of equals.
+    earliest of equals. It is the last one up to the centre or the first one
+    after it, within the edges; a window that holds a frame holds one of the two.
     """
-    units = neighbour_edges(windows).where(F.col("t0").isNotNull()).select("clip_id", "tbu_idx", "t0", "t1", "left", "right")
-    near = islands(frames).join(units, "clip_id").where((F.col("left").isNull() | (F.col("t") >= F.col("left"))) & (F.col("right").isNull() | (F.col("t") < F.col("right"))))
-    centre = (F.col("t0") + F.col("t1")) / 2
-    outside = ~((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")))
-    best = F.min_by("island", F.struct(outside, F.abs(F.col("t") - centre), F.col("t"))).over(Window.partitionBy("clip_id", "tbu_idx"))
-    grown = near.withColumn("_seed", best).where(F.col("island") == F.col("_seed")).groupBy("clip_id", "tbu_idx").agg(F.min("t").alias("r0"), F.max("t").alias("r1"))
+    units = neighbour_edges(windows).where(F.col("t0").isNotNull()).select("clip_id", "tbu_idx", "t0", "t1", "left", "right", ((F.col("t0") + F.col("t1")) / 2).alias("c"))
+    voiced = islands(frames).select("clip_id", "t", "island")
+    left, right, c = F.col("left"), F.col("right"), F.col("c")
+    ask = lambda name, at, which: F.struct(F.lit(name).alias("name"), at.alias("at"), F.lit(which).alias("which"))
+    four = F.array(
+        F.when(right <= c, ask("back", right, LAST_BEFORE)).otherwise(ask("back", c, LAST_UP_TO)),
+        F.when(left > c, ask("on", left, FIRST_FROM)).otherwise(ask("on", c, FIRST_AFTER)),
+        ask("first", left, FIRST_FROM),
+        ask("last", right, LAST_BEFORE),
+    )
+    asked = units.select("clip_id", "tbu_idx", F.explode(four).alias("q")).select("clip_id", "tbu_idx", "q.name", "q.at", "q.which").where(F.col("at").isNotNull())
+    found = nearest(voiced, asked, "clip_id", "t", "island")
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("found"))).alias(f"_{name}")
+    wide = found.groupBy("clip_id", "tbu_idx").agg(*map(of, ("back", "on", "first", "last"))).join(units, ["clip_id", "tbu_idx"])
+    ok = lambda p: F.col(p).isNotNull() & (left.isNull() | (F.col(p)["t"] >= left)) & (right.isNull() | (F.col(p)["t"] < right))
+    rank = lambda p: F.when(ok(p), F.struct(~((F.col(p)["t"] >= F.col("t0")) & (F.col(p)["t"] < F.col("t1"))).alias("o"), F.abs(F.col(p)["t"] - c).alias("d"), F.col(p)["t"].alias("t"), F.col(p)["island"].alias("island")))
+    best = wide.withColumn("island", F.least(rank("_back"), rank("_on"))["island"]).where(F.col("island").isNotNull())
+    ends = voiced.groupBy("clip_id", "island").agg(F.min("t").alias("i0"), F.max("t").alias("i1"))
+    grown = best.join(ends, ["clip_id", "island"]).select("clip_id", "tbu_idx", F.greatest("i0", F.col("_first.t")).alias("r0"), F.least("i1", F.col("_last.t")).alias("r1"))
     return grown.where(F.col("r1") - F.col("r0") >= min_s - 1e-9)
 
 
