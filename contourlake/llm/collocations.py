@@ -48,7 +48,7 @@ from .common import Tables, dealt_join, return_memory
 #: Punctuation and line breaks end pieces, tabs become spaces, A-Z become small.
 PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * 10 + b" abcdefghijklmnopqrstuvwxyz")
 #: Words of a shard, about.
-SHARD = 1 << 19
+SHARD = 1 << 20
 #: Odd multipliers, one for each word of a phrase.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F], np.uint64)
 BREAK = 0
