@@ -12,6 +12,7 @@ from ..leaves import backend, synth
 from ..operators import conditions, gates, kits, metrics, oracle, pilot, probe, recurrent, resample, selection, signal
 from ..sources import readers, writers
 from ..storage import Tables
+from ..streaming import monitor, scorer
 from . import pipelines
 from . import tables as T
 from .metric_queries import HASH, STATS, TBU, WIDE, _wide, balanced_of, permuted_sql, r6
@@ -375,6 +376,26 @@ def recurrent_probe(spark, d):
     return probe.predicted(segments.where(held), found).select("clip_id", "target", "pred")
 
 
+@query("stream_tones", f"{SIGNAL}, {PRED} SELECT clip_id::VARCHAR AS clip_id, tbu_idx, target, pred FROM pred")
+def stream_tones(spark, d):
+    """The events in three shuffled files, read as a stream that keeps clips open until all have come; final tones are the batch meter's."""
+    tables, hour = Tables(spark, "stream"), lambda x: F.timestamp_micros((F.lit(1704067200000000) + F.round(x * 3.6e9)).cast("long"))
+    frames = scorer.frame_rows(T.frames(spark, d).withColumn("ts", hour(F.col("t"))))
+    units = scorer.unit_rows(T.windows(spark, d).withColumn("ts", hour(F.col("t0"))))
+    tables.put("arrived/a", frames.unionByName(units).repartition(3, F.xxhash64("clip_id", "t")))
+    end = spark.range(1).select(F.lit("end").alias("clip_id"), F.to_timestamp(F.lit("2100-01-01")).alias("ts"), F.lit(0.0).alias("t"), F.lit(None).cast("double").alias("f0"))
+    tables.put("arrived/b", scorer.frame_rows(end))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    scorer.state_store(spark)
+    try:
+        stream = spark.readStream.schema(scorer.ROWS).option("maxFilesPerTrigger", 2).parquet(f"{tables.root}/arrived/*")
+        monitor.run_once(scorer.scores(stream, delay="3650 days", gap=60.0, unit=3600.0, digits=6), f"{tables.root}/out", f"{tables.root}/checkpoint")
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema(scorer.SCORES).parquet(f"{tables.root}/out").where("final").select("clip_id", "tbu_idx", "target", "pred")
+
+
 # --- files
 
 @query("manifest_read", "SELECT o_orderkey::VARCHAR AS id, o_totalprice AS duration_sec FROM orders WHERE o_totalprice BETWEEN 50000 AND 90000")
