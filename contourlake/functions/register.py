@@ -14,13 +14,22 @@ FUNCTIONS = {
 }
 
 
+def _marked(tones: dict[str, str]) -> str:
+    """``text.marked_units`` of t as SQL: tone-bearing letters as their tones' stand-ins, then letters with loose marks."""
+    whole = f"translate(t, '{''.join(tones)}', '{''.join(X.STAND_IN[v] for v in tones.values())}')"
+    loose = whole
+    for mark, tone in X.TONE_OF_MARK.items():
+        loose = f"regexp_replace({loose}, '(?:\\\\p{{L}}|{X.STAND_IN['M']})[\\\\x{{302}}\\\\x{{303}}\\\\x{{305}}-\\\\x{{36F}}]*{mark}', '{X.STAND_IN[tone]}')"
+    return f"CASE WHEN t RLIKE '[{''.join(X.TONE_OF_MARK)}]' THEN {loose} ELSE {whole} END"
+
+
 def register(spark: SparkSession) -> list[str]:
     """Makes temporary SQL functions norm_key, semitone, wilson_lo, wilson_hi, cer_text and tone_string; their names."""
     bare, tones = X.bare_letters(), X.tone_letters()
     stand = "".join(X.STAND_IN.values())
     own = {
         "cer_text(t STRING) RETURNS STRING": f"trim(regexp_replace(lower(regexp_replace(translate(t, '{''.join(bare)}', '{''.join(bare.values())}'), '[\\\\x{{300}}-\\\\x{{36F}}]', '')), '[^\\\\p{{L}}\\\\p{{N}}_]+', ' '))",
-        "tone_string(t STRING) RETURNS STRING": f"translate(regexp_replace(translate(t, '{''.join(tones)}', '{''.join(X.STAND_IN[v] for v in tones.values())}'), '[^{stand}]', ''), '{stand}', '{''.join(X.STAND_IN)}')",
+        "tone_string(t STRING) RETURNS STRING": f"translate(regexp_replace({_marked(tones)}, '[^{stand}]', ''), '{stand}', '{''.join(X.STAND_IN)}')",
     }
     for head, body in (FUNCTIONS | own).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

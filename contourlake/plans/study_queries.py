@@ -7,16 +7,17 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..functions import tables as sql_tables
 from ..functions import text as X
 from ..leaves import backend, synth
-from ..operators import conditions, gates, kits, metrics, oracle, pilot, probe, recurrent, resample, selection, signal
+from ..operators import conditions, gates, kits, metrics, oracle, pilot, probe, recurrent, resample, selection, signal, sketches
 from ..sources import readers, writers
 from ..storage import Tables
 from ..streaming import monitor, scorer
 from . import pipelines
 from . import tables as T
 from .metric_queries import HASH, STATS, TBU, WIDE, _wide, balanced_of, permuted_sql, r6
-from .signal_queries import ANSWERS, FRAMES, KEY, PRED, SIGNAL, SPANS, STEP, WINS, _codes, _key, sql_translate
+from .signal_queries import ANSWERS, FRAMES, KEY, PRED, SIGNAL, SPANS, STEP, TONES, WINS, _codes, _key, sql_translate
 
 QUERIES, SQL = {}, {}
 
@@ -310,6 +311,31 @@ def _signal(spark, d):
     return t.put("frames", T.frames(spark, d)), t.put("windows", T.windows(spark, d))
 
 
+@query("sql_units", f"SELECT lang, target, count(*) AS n, sum(i)::BIGINT AS places FROM (SELECT lang, translate(substr(s, i::INT + 1, 1), '{''.join(X.STAND_IN.values())}', '{''.join(X.STAND_IN)}') AS target, i FROM (SELECT lang, s, unnest(range(0, length(s)::BIGINT)) AS i FROM (SELECT lang, {TONES} AS s FROM documents))) GROUP BY 1, 2")
+def sql_units(spark, d):
+    """Tone-bearing units of all texts, by a table function in SQL."""
+    sql_tables.register_tables(spark)
+    return spark.sql("SELECT lang, target, count(*) AS n, sum(tbu_idx) AS places FROM {docs}, LATERAL tbu_rows(text) GROUP BY lang, target", docs=T.table(spark, d, "documents").select("lang", "text"))
+
+
+@query("sql_conditions", f"WITH {FRAMES}, m AS (SELECT clip_id, avg(f0) AS m FROM frames GROUP BY 1), c AS (SELECT clip_id, unnest(['original', 'roundtrip', 'flat', 'half']) AS condition, f0, m FROM frames JOIN m USING (clip_id)) SELECT condition, clip_id, count(f0) AS n, round(sum(CASE condition WHEN 'flat' THEN CASE WHEN f0 IS NOT NULL THEN m END WHEN 'half' THEN m + 0.5 * (f0 - m) ELSE f0 END), 4) AS total FROM c GROUP BY 1, 2")
+def sql_conditions(spark, d):
+    """Every clip under every condition, by a table function in SQL."""
+    sql_tables.register_tables(spark)
+    nested = T.frames(spark, d).groupBy("clip_id").agg(F.collect_list(F.struct("t", "f0")).alias("frames"))
+    return spark.sql("SELECT condition, clip_id, count(f0) AS n, round(sum(f0), 4) AS total FROM {clips}, LATERAL all_conditions(frames) GROUP BY condition, clip_id", clips=nested)
+
+
+@query("sketched_manifest")
+def sketched_manifest(spark, d):
+    """Opt-in sketches stored by source and merged, beside the exact values; the tests hold them to their bounds."""
+    path, m = Tables(spark, "sketches").root, T.manifest(spark, d)
+    sketches.store(sketches.sketched(m, ["duration_sec"], ["speaker_id"], ["source"]), path, "source")
+    about = sketches.approximate(sketches.merged(spark.read.parquet(path)), (0.5,))
+    exact = resample.exact_median(m, "duration_sec").crossJoin(F.broadcast(m.agg(F.count_distinct("speaker_id").alias("speakers"))))  # one row each
+    return about.crossJoin(F.broadcast(exact))
+
+
 @query("flip_oracle_run")
 def flip_oracle_run(spark, d):
     """Edits, scores and summarises; the tests hold the oracle against clips whose tones are known."""
