@@ -35,22 +35,17 @@ def proportional_windows(spans: DataFrame, targets: DataFrame) -> DataFrame:
     return unit.select("clip_id", "tbu_idx", "target", (F.col("v0") + F.col("tbu_idx") * F.col("each")).alias("t0"), (F.col("v0") + (F.col("tbu_idx") + 1) * F.col("each")).alias("t1"))
 
 
-def inside(points: DataFrame, intervals: DataFrame, key: str, t: str, lo: str, hi: str) -> DataFrame:
+def inside(points: DataFrame, intervals: DataFrame, key: str, t: str, lo: str, hi: str, bin_s: float = 1.0) -> DataFrame:
     """Each point(key, t, ...) with each interval(key, lo, hi, ...) of its key that holds it, lo <= t < hi.
 
-    An interval belongs to the level of the power of two that its length does not
-    exceed and lies in the two or three bins of that width that it touches; a
-    point lies in a bin of each level there is. So intervals of one length are
-    next to points in a stretch of a few times theirs only, whatever the lengths
-    of others, and a key with most of the points is cut by time.
+    Time is cut into bins of bin_s: a point lies in one, an interval in all that
+    it touches, and they meet by key and bin. So a key with most of the points is
+    spread over tasks, a point is beside the intervals near it only, and a long
+    interval costs a row a bin, which is little beside the points in it.
     """
-    width = lambda level: F.pow(F.lit(2.0), level)
-    bin_of = lambda x, level: F.floor(F.col(x) / width(level))
-    live = intervals.where(F.col(lo) < F.col(hi)).withColumn("_l", F.ceil(F.log2(F.col(hi) - F.col(lo))))
-    levels = live.agg(F.sort_array(F.collect_set("_l")).alias("_ls"))  # one row of at most some dozens of levels, those of doubles
-    cut = live.withColumn("_b", F.explode(F.sequence(bin_of(lo, F.col("_l")), bin_of(hi, F.col("_l")))))
-    spread = points.crossJoin(F.broadcast(levels)).withColumn("_l", F.explode("_ls")).withColumn("_b", bin_of(t, F.col("_l"))).drop("_ls")
-    return spread.join(cut, [key, "_l", "_b"]).where((F.col(t) >= F.col(lo)) & (F.col(t) < F.col(hi))).drop("_l", "_b")
+    bin_of = lambda x: F.floor(F.col(x) / F.lit(float(bin_s)))
+    cut = intervals.where(F.col(lo) < F.col(hi)).withColumn("_b", F.explode(F.sequence(bin_of(lo), bin_of(hi))))
+    return points.withColumn("_b", bin_of(t)).join(cut, [key, "_b"]).where((F.col(t) >= F.col(lo)) & (F.col(t) < F.col(hi))).drop("_b")
 
 
 def unit_semitones(frames: DataFrame, windows: DataFrame, late: float = LATE) -> DataFrame:
