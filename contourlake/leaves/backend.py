@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +44,26 @@ def mono(x: np.ndarray) -> np.ndarray:
     return x.mean(axis=1) if x.ndim > 1 else x
 
 
-def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
+def resampled(x: np.ndarray, rate: int, to: int, crossings: int = 24) -> np.ndarray:
+    """x at another rate, band-limited: what lies above half of the lower rate is filtered out, so nothing folds back.
+
+    Each output sample is a sum over a windowed sinc (Hann, so many zero
+    crossings to a side), divided by the sum of its weights; memory is bounded.
+    """
     if rate == to or not len(x):
         return x
-    n = round(len(x) * to / rate)
-    return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x).astype(np.float32)
+    n, cut = round(len(x) * to / rate), min(1.0, to / rate)
+    reach = int(np.ceil(crossings / cut))
+    taps = np.arange(-reach, reach + 1)
+    out, x = np.empty(n, np.float32), np.asarray(x, np.float64)
+    for lo in range(0, n, 1 << 12):
+        at = np.arange(lo, min(n, lo + (1 << 12))) * (rate / to)
+        k = np.floor(at).astype(np.int64)[:, None] + taps
+        d = (at[:, None] - k) * cut
+        w = np.sinc(d) * np.where(np.abs(d) < crossings, 0.5 + 0.5 * np.cos(np.pi * d / crossings), 0)
+        w = np.where((k >= 0) & (k < len(x)), w, 0)
+        out[lo : lo + len(at)] = (w * x[np.clip(k, 0, len(x) - 1)]).sum(axis=1) / w.sum(axis=1)
+    return out
 
 
 def peak_normalised(x: np.ndarray, peak: float = 0.95) -> np.ndarray:
@@ -207,14 +223,14 @@ def read(backend: Backend, data: bytes, peak: float | None = None) -> tuple[np.n
 FRAME = "clip_id string, status string, backend string, frame_idx int, t double, f0 double, confidence double"
 
 
-def frames(clips: DataFrame, kind: type[Backend] = Backend, lo: float = 65.0, hi: float = 400.0) -> DataFrame:
+def frames(clips: DataFrame, kind: type[Backend] = Backend, lo: float = 65.0, hi: float = 400.0, peak: float | None = None) -> DataFrame:
     """frames(clip_id, status, backend, frame_idx, t, f0, confidence) of clips(clip_id, content), NaN as NULL. A clip that cannot be read gives one row with its status and no time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = loaded(kind)
         for batch in batches:
             for clip, data in zip(batch.clip_id, batch.content, strict=True):
-                x, rate, status = read(backend, data)
+                x, rate, status = read(backend, data, peak)
                 times, f0, sure = ([None],) * 3 if x is None else backend.pitch(x, rate, lo, hi)
                 yield pd.DataFrame({"clip_id": clip, "status": status, "backend": backend.name, "frame_idx": range(len(times)), "t": times, "f0": f0, "confidence": sure}).astype({"t": float, "f0": float, "confidence": float})
 
@@ -222,47 +238,60 @@ def frames(clips: DataFrame, kind: type[Backend] = Backend, lo: float = 65.0, hi
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("t", "f0", "confidence")})
 
 
-PRECOMPUTED = "clip_id string, status string, backend string, method string, seconds double, targets array<string>, times array<double>, f0 array<double>, t0 array<double>, t1 array<double>, hyp string, voice array<double>, latents array<array<float>>"
+PRECOMPUTED = "clip_id string, status string, backend string, method string, seconds double, targets array<string>, times array<double>, f0 array<double>, t0 array<double>, t1 array<double>, hyp string, voice array<double>, latents array<float>, latent_width int"
+
 
+def _list(values: np.ndarray | None, kind: pa.DataType, missing: bool = False) -> pa.Array:
+    """One list of numbers, or NULL; missing: NaN is NULL in it."""
+    if values is None:
+        return pa.nulls(1, pa.list_(kind))
+    flat = np.ravel(values)
+    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat, kind, mask=np.isnan(flat) if missing else None))
 
-def precompute(clips: DataFrame, kind: type[Backend] = Backend, whole: bool = False, lo: float = 65.0, hi: float = 400.0) -> DataFrame:
+
+def precompute(clips: DataFrame, kind: type[Backend] = Backend, whole: bool = False, lo: float = 65.0, hi: float = 400.0, peak: float | None = None) -> DataFrame:
     """All that scoring needs of clips(clip_id, text, content), one row each, in one pass over the audio.
 
     method: forced-align, else proportional (the voiced span in equal windows),
     else abstain (no span; windows are NULL). whole: a clip of which one unit is
-    not aligned falls back altogether. Emissions are computed once for both the
-    transcript and the windows. latents, voice and hyp are NULL without a model.
+    not aligned falls back altogether. peak: clips are scaled to that peak first.
+    Emissions are computed once for both the transcript and the windows. latents
+    (frames one after the other, latent_width numbers each), voice and hyp are
+    NULL without a model. Rows leave clip by clip, so a task holds one clip's
+    results, beside the clips' bytes of its partition.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def row(backend: Backend, clip: str, text: str | None, data: bytes) -> pa.RecordBatch:
+        x, rate, status = read(backend, data, peak)
+        tones = list(align_text(text or "")[2])
+        method, seconds, found, hyp = "abstain", 0.0, None, None
+        times = f0 = np.empty(0)
+        voice = latents = None
+        if x is not None:
+            times, f0, _ = backend.pitch(x, rate, lo, hi)
+            at_rate, seconds = resampled(x, rate, backend.rate), len(x) / rate
+            logits, latents, voice = backend.emissions(at_rate), backend.latents(at_rate), backend.voice(at_rate)
+            if logits is not None:
+                hyp, found = backend.transcript(logits), unit_windows(backend, text or "", logits, seconds, whole)
+            live = np.flatnonzero(~np.isnan(f0))
+            if found is not None:
+                method = "forced-align"
+            elif len(live) and tones:
+                edges = np.linspace(times[live[0]], times[live[-1]], len(tones) + 1)
+                found, method = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)), "proportional"
+        found = found or [None] * len(tones)
+        one = lambda v, t: pa.array([v], t)
+        edge = lambda k: one([w and w[k] for w in found], pa.list_(pa.float64()))
+        columns = [one(v, pa.string()) for v in (clip, status, backend.name, method)] + [one(seconds, pa.float64()), one(tones, pa.list_(pa.string())), _list(times, pa.float64()), _list(f0, pa.float64(), True), edge(0), edge(1), one(hyp, pa.string()), _list(voice, pa.float64()), _list(latents, pa.float32()), one(None if latents is None else int(latents.shape[1]), pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PRECOMPUTED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         backend = loaded(kind)
-        for batch in batches:
-            out = []
-            for clip, text, data in zip(batch.clip_id, batch.text, batch.content, strict=True):
-                text = text if isinstance(text, str) else ""
-                x, rate, status = read(backend, data)
-                tones = list(align_text(text)[2])
-                row = {"clip_id": clip, "status": status, "backend": backend.name, "method": "abstain", "seconds": 0.0, "targets": tones, "times": [], "f0": [], "t0": [None] * len(tones), "t1": [None] * len(tones), "hyp": None, "voice": None, "latents": None}
-                if x is not None:
-                    times, f0, _ = backend.pitch(x, rate, lo, hi)
-                    at_rate = resampled(x, rate, backend.rate)
-                    seconds = len(x) / rate
-                    logits, latents, voice = backend.emissions(at_rate), backend.latents(at_rate), backend.voice(at_rate)
-                    found = None if logits is None else unit_windows(backend, text, logits, seconds, whole)
-                    live = np.flatnonzero(~np.isnan(f0))
-                    if found is not None:
-                        row["method"] = "forced-align"
-                    elif len(live) and tones:
-                        edges = np.linspace(times[live[0]], times[live[-1]], len(tones) + 1)
-                        found = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-                        row["method"] = "proportional"
-                    found = found or [None] * len(tones)
-                    row |= {"seconds": seconds, "times": times.tolist(), "f0": [None if np.isnan(v) else float(v) for v in f0], "t0": [w and w[0] for w in found], "t1": [w and w[1] for w in found]}
-                    row |= {"hyp": None if logits is None else backend.transcript(logits), "voice": None if voice is None else voice.tolist(), "latents": None if latents is None else latents.tolist()}
-                out.append(row)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PRECOMPUTED.split(", ")])
-
-    return clips.select(F.col("clip_id").cast("string"), "text", "content").mapInPandas(run, PRECOMPUTED)
+        for b in batches:
+            for k in range(b.num_rows):
+                yield row(backend, *(b.column(c)[k].as_py() for c in range(3)))
+
+    return clips.select(F.col("clip_id").cast("string"), F.col("text").cast("string"), F.col("content").cast("binary")).mapInArrow(run, PRECOMPUTED)
 
 
 def frames_of(pre: DataFrame) -> DataFrame:

@@ -70,12 +70,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def unit_segments(pre: DataFrame, hop: float = 0.02, least: int = 2) -> DataFrame:
     """clip_id, tbu_idx, target and segment (NULL if the unit is not aligned or its window too short) of precomputed clips with latents."""
-    n = F.size("latents")
-    unit = pre.select("clip_id", "latents", F.posexplode(F.arrays_zip("targets", "t0", "t1")).alias("tbu_idx", "u"))
+    w = F.col("latent_width")
+    n = F.expr("size(latents) div latent_width").cast("int")
+    unit = pre.select("clip_id", "latents", "latent_width", F.posexplode(F.arrays_zip("targets", "t0", "t1")).alias("tbu_idx", "u"))
     first = F.greatest(F.lit(0), F.floor(F.col("u.t0") / hop).cast("int"))
     last = F.least(n, F.ceil(F.col("u.t1") / hop).cast("int"))
     some = F.col("latents").isNotNull() & F.col("u.t0").isNotNull() & F.col("u.t1").isNotNull() & (last - first >= least)
-    return unit.select("clip_id", "tbu_idx", F.col("u.targets").alias("target"), F.when(some, F.slice("latents", first + 1, last - first)).alias("segment"))
+    return unit.select("clip_id", "tbu_idx", F.col("u.targets").alias("target"), F.when(some, F.transform(F.sequence(first, last - 1), lambda k: F.slice("latents", k * w + 1, w))).alias("segment"))
 
 
 def pooled_features(segments: DataFrame) -> DataFrame:

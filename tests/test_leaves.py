@@ -163,9 +163,9 @@ def test_lstm_steps_one_segment_at_a_time():
 
 
 def test_segments_abstain(spark):
-    pre = spark.createDataFrame([("c", ["H", "M", "L", "H"], [0.1, None, 0.5, 1.0], [0.3, None, 0.52, 9.0], [[float(k)] for k in range(100)])], "clip_id string, targets array<string>, t0 array<double>, t1 array<double>, latents array<array<float>>")
+    pre = spark.createDataFrame([("c", ["H", "M", "L", "H"], [0.1, None, 0.5, 1.0], [0.3, None, 0.52, 9.0], [float(k // 2) for k in range(200)], 2)], "clip_id string, targets array<string>, t0 array<double>, t1 array<double>, latents array<float>, latent_width int")
     got = [r["segment"] for r in probe.unit_segments(pre).orderBy("tbu_idx").collect()]
-    assert [None if s is None else len(s) for s in got] == [10, None, None, 50] and got[0][0] == [5.0]
+    assert [None if s is None else len(s) for s in got] == [10, None, None, 50] and got[0][0] == [5.0, 5.0]
     assert backend.segment(np.zeros((100, 8)), 0.5, 0.52) is None and len(backend.segment(np.zeros((100, 8)), 1.0, 1.4)) == 20
 
 
@@ -179,3 +179,57 @@ def test_eval_point(spark):
     by = {r["clip_id"]: r for r in scored.collect()}
     assert by["one"]["accuracy"] == 1.0 and by["two"]["accuracy"] is None and by["three"]["status"] != "ok"
     assert units.where(F.col("clip_id") == "two").where("pred IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("rate", (48_000, 44_100, 8_000))
+def test_resampling_is_band_limited(rate):
+    """A tone below half of the lower rate stays as it is; one above it is gone."""
+    t, to = np.arange(rate) / rate, 16_000
+    for hz in (300.0, 3_000.0, 0.4 * min(rate, to)):
+        y = backend.resampled(np.sin(2 * np.pi * hz * t), rate, to)[400:-400]
+        want = np.sin(2 * np.pi * hz * (np.arange(to) / to))[400:-400]
+        assert len(y) == to - 800 and np.abs(y - want).max() < 0.01
+    if rate > to:
+        for hz in (9_500.0, 12_000.0):
+            assert np.abs(backend.resampled(np.sin(2 * np.pi * hz * t), rate, to)[400:-400]).max() < 0.01
+    assert np.allclose(backend.resampled(np.full(999, 0.25), rate, to), 0.25) and len(backend.resampled(np.empty(0), rate, to)) == 0
+
+
+def test_peak_goes_through_precompute(spark):
+    class Loud(backend.Backend):
+        def voice(self, x):
+            return np.array([np.abs(x).max()])
+
+    clips = clips_of(spark, [("c", "a", "bá", tone_wav([0]))])
+    assert backend.precompute(clips, Loud).first()["voice"][0] == pytest.approx(0.6, abs=1e-3)
+    assert backend.precompute(clips, Loud, peak=0.95).first()["voice"][0] == pytest.approx(0.95, abs=1e-3)
+
+
+def test_precompute_holds_one_clip_at_a_time(spark, tmp_path):
+    """500 clips of a minute, 60 s at 1 kHz, whose latents are 4 MB each: 2 GB in all, but a worker stays small."""
+
+    class Wide(backend.Backend):
+        rate = 1000
+
+        def pitch(self, x, rate, lo, hi):
+            return np.arange(600) / 10, np.where(np.arange(600) % 3, 120.0, np.nan), np.ones(600)
+
+        def latents(self, x):
+            return np.zeros((3000, 350), np.float32)
+
+        def voice(self, x):
+            import resource
+
+            return np.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024])
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(1000)
+        w.writeframes(np.ones(60_000, "<i2").tobytes())
+    clip = out.getvalue()
+    clips = spark.range(500).select(F.col("id").cast("string").alias("clip_id"), F.lit("bá").alias("text"), F.lit(clip).alias("content")).coalesce(1)
+    pre = backend.precompute(clips, Wide).select(F.size("latents").alias("n"), "latent_width", F.col("voice")[0].alias("mb"))
+    r = pre.agg(F.count("*").alias("n"), F.sum("n").alias("values"), F.min("mb").alias("least"), F.max("mb").alias("most")).first()
+    assert (r["n"], r["values"]) == (500, 500 * 3000 * 350) and r["most"] - r["least"] < 300
