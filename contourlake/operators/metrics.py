@@ -166,6 +166,14 @@ def spread(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], sample:
     return long.groupBy(*keys, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), dev.alias("std"), (dev / F.sqrt(F.count("value").cast("double"))).alias("sem"), F.min("value").alias("least"), F.max("value").alias("greatest"))
 
 
+def band_overlap(stats: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Whether the bands mean +- std of two named runs overlap; one row, overlap NULL if a run is missing. stats: a row per run, with mean and std."""
+    of = lambda name, c: F.max(F.when(F.col(key) == name, c))
+    lo, hi = F.col("mean") - F.col("std"), F.col("mean") + F.col("std")
+    x = stats.agg(of(a, lo).alias("la"), of(a, hi).alias("ha"), of(b, lo).alias("lb"), of(b, hi).alias("hb"))
+    return x.select(F.lit(a).alias("run_a"), F.lit(b).alias("run_b"), ((F.col("la") <= F.col("hb")) & (F.col("lb") <= F.col("ha"))).alias("overlap"))
+
+
 def paired_blocks(keymap: DataFrame, blocks: Sequence[str] = ("frozen", "deployed")) -> DataFrame:
     """The paired win rate of each block of scores, over keymap(is_catch, tone_i2_<block>_correct, tone_i2_<block>_flipped) without catches."""
     pairs = [F.struct(F.lit(b).alias("block"), F.col(f"tone_i2_{b}_correct").alias("c"), F.col(f"tone_i2_{b}_flipped").alias("f")) for b in blocks]

@@ -102,6 +102,12 @@ def oracle_summary(rows: DataFrame, full_k: float) -> DataFrame:
     return sums.join(strong, "meter", "left")
 
 
+def by_k(column: str) -> Column:
+    """Detection by k as text, k=rate in order of k, six decimals."""
+    each = F.transform(F.map_entries(column), lambda e: F.concat(F.format_string("%.2f", e["key"].cast("double")), F.lit("="), F.format_string("%.6f", e["value"])))
+    return F.array_join(F.array_sort(each), ";")
+
+
 def judged_pairs(answers: DataFrame, keymap: DataFrame) -> DataFrame:
     """rater, pair_id and correct (1 if the rater picked the correct twin) of trials with a pick, catches left out."""
     pick = F.upper(F.trim("label"))

@@ -116,11 +116,9 @@ def training_seed_stats(spark, d):
     return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "sem", "least", "greatest")})
 
 
-@query("band_overlap", f"WITH {RUNS}, s AS (SELECT run_tag, avg(v) AS m, coalesce(stddev_samp(v), 0) AS sd FROM l WHERE metric = 'tone_i2' GROUP BY 1) SELECT a.run_tag AS run_a, b.run_tag AS run_b, (a.m - a.sd <= b.m + b.sd AND b.m - b.sd <= a.m + a.sd) AS overlap FROM s a JOIN s b ON a.run_tag < b.run_tag")
+@query("band_overlap", f"WITH {RUNS}, s AS (SELECT run_tag, avg(v) AS m, coalesce(stddev_samp(v), 0) AS sd FROM l WHERE metric = 'tone_i2' GROUP BY 1) SELECT a.run_tag AS run_a, b.run_tag AS run_b, (a.m - a.sd <= b.m + b.sd AND b.m - b.sd <= a.m + a.sd) AS overlap FROM s a, s b WHERE a.run_tag = '1-URGENT' AND b.run_tag = '3-MEDIUM'")
 def band_overlap(spark, d):
-    s = metrics.spread(_runs(spark, d), ["run_tag"], ["tone_i2"], sample=True).select("run_tag", (F.col("mean") - F.col("std")).alias("lo"), (F.col("mean") + F.col("std")).alias("hi"))
-    a, b = s.alias("a"), s.alias("b")
-    return a.join(F.broadcast(b), F.col("a.run_tag") < F.col("b.run_tag")).select(F.col("a.run_tag").alias("run_a"), F.col("b.run_tag").alias("run_b"), ((F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi"))).alias("overlap"))
+    return metrics.band_overlap(metrics.spread(_runs(spark, d), ["run_tag"], ["tone_i2"], sample=True), "run_tag", "1-URGENT", "3-MEDIUM")
 
 
 @query("condition_ablation", f"""WITH {TBU}, x AS (SELECT o_orderpriority AS condition, target, pred FROM tbu JOIN orders ON clip_id = o_orderkey WHERE pred IS NOT NULL),

@@ -10,26 +10,40 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..functions import text as X
 from ..leaves import backend
-from ..operators import conditions, gates, metrics, resample, selection, signal
+from ..operators import conditions, gates, metrics, probe, resample, selection, signal
 from ..sources import writers
 from ..storage import Tables
 
 
-def scored_clips(clips: DataFrame, kind: type[backend.Backend] = backend.Backend, theta_h: float = signal.THETA_H, theta_l: float = signal.THETA_L, mids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Of clips(clip_id, kind, text, content): a row of measures per clip, and their units. Audio is heard once; cer and the pitch come from the same row."""
+def scored_clips(clips: DataFrame, kind: type[backend.Backend] = backend.Backend, theta_h: float = signal.THETA_H, theta_l: float = signal.THETA_L, mids: DataFrame | None = None, trained: probe.Probe | None = None, voices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of clips(clip_id, kind, text, content): a row of measures per clip, and their units. Audio is heard once; cer, pitch, latents and voice come from the same row.
+
+    i1 and i1_cov are accuracy and coverage of the probe, ssim the similarity to
+    the voice that voices(clip_id, voice) wants; NULL without probe or voices.
+    """
     pre = Tables(clips.sparkSession, "precomputed").put("clips", backend.precompute(clips, kind))
     units = signal.score_tone(backend.frames_of(pre), backend.windows_of(pre), theta_h=theta_h, theta_l=theta_l, mid_ref=mids)
     own = signal.clip_scores(units)
     info = clips.select(F.col("clip_id").cast("string"), "kind", "text")
-    rows = pre.select("clip_id", "status", "method", "seconds", "hyp").join(info, "clip_id").join(own, "clip_id", "left")
-    out = rows.select("clip_id", "kind", "status", "method", X.cer(F.col("text"), F.col("hyp")).alias("cer"), S.len_ratio(F.col("seconds"), F.col("text")).alias("len_ratio"), "accuracy", "coverage", "n_scored", "n_tbu")
+    rows = pre.select("clip_id", "status", "method", "seconds", "hyp", "voice").join(info, "clip_id").join(own, "clip_id", "left")
+    none = F.lit(None).cast("double")
+    if trained is None:
+        rows = rows.withColumns({"i1": none, "i1_cov": none})
+    else:
+        rows = rows.join(probe.probe_score(pre, trained).select("clip_id", F.col("accuracy").alias("i1"), F.col("coverage").alias("i1_cov")), "clip_id", "left")
+    if voices is None:
+        rows = rows.withColumn("ssim", none)
+    else:
+        wanted = voices.select(F.col("clip_id").cast("string"), F.col("voice").alias("_wanted"))
+        rows = rows.join(wanted, "clip_id", "left").withColumn("ssim", signal.ssim(F.col("voice"), F.col("_wanted")))
+    out = rows.select("clip_id", "kind", "status", "method", X.cer(F.col("text"), F.col("hyp")).alias("cer"), S.len_ratio(F.col("seconds"), F.col("text")).alias("len_ratio"), "i1", "i1_cov", "ssim", "accuracy", "coverage", "n_scored", "n_tbu")
     return out, units.join(info.select("clip_id", "kind"), "clip_id")
 
 
-def eval_point(clips: DataFrame, kind: type[backend.Backend] = backend.Backend) -> DataFrame:
-    """Per kind and for ALL: pooled tone_i2, coverage and the means of error rate and length ratio."""
-    rows, units = scored_clips(clips, kind)
-    return metrics.by_subset(units, "kind").join(metrics.clip_means(rows, "kind", ["cer", "len_ratio"]), "subset")
+def eval_point(clips: DataFrame, kind: type[backend.Backend] = backend.Backend, trained: probe.Probe | None = None, voices: DataFrame | None = None) -> DataFrame:
+    """Per kind and for ALL: pooled tone_i2, coverage and the means of error rate, length ratio, the probe's accuracy and coverage and the voice's similarity, of which the least, too."""
+    rows, units = scored_clips(clips, kind, trained=trained, voices=voices)
+    return metrics.by_subset(units, "kind").join(metrics.clip_means(rows, "kind", ["cer", "len_ratio", "i1", "i1_cov", "ssim"], ["ssim"]), "subset")
 
 
 def native_anchor(units: DataFrame, n_rep: int = 1000, seed: int = 0) -> DataFrame:

@@ -237,12 +237,13 @@ def ab_gate(spark, d):
 
 
 @query("flip_oracle", """WITH o AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'flip' ELSE 'control' END AS kind, (l_linenumber % 3 + 1) * 0.5 AS k, CASE WHEN l_suppkey % 2 = 0 THEN 'I1' ELSE 'I2' END AS meter, l_quantity > 20 AS detected, l_linenumber % 2 AS ff, 8 AS tot, l_tax > 0.06 AS flipped FROM lineitem),
- s AS (SELECT meter, count_if(kind = 'flip')::BIGINT AS n_flips, round(sum(CASE WHEN kind = 'flip' THEN ff END)::DOUBLE / sum(CASE WHEN kind = 'flip' THEN tot END), 6) AS false_flip_rate, round(count_if(kind = 'control' AND flipped)::DOUBLE / count_if(kind = 'control'), 6) AS control_trip FROM o GROUP BY 1)
- SELECT s.*, round((SELECT avg(detected::INT) FROM o WHERE o.meter = s.meter AND kind = 'flip' AND k = 1.0), 6) AS strong_detect FROM s""")
+ s AS (SELECT meter, count_if(kind = 'flip')::BIGINT AS n_flips, round(sum(CASE WHEN kind = 'flip' THEN ff END)::DOUBLE / sum(CASE WHEN kind = 'flip' THEN tot END), 6) AS false_flip_rate, round(count_if(kind = 'control' AND flipped)::DOUBLE / count_if(kind = 'control'), 6) AS control_trip FROM o GROUP BY 1),
+ r AS (SELECT meter, k, avg(detected::INT) AS rate FROM o WHERE kind = 'flip' GROUP BY 1, 2), j AS (SELECT meter, string_agg(format('{:.2f}={:.6f}', k::DOUBLE, rate), ';' ORDER BY k) AS detect_by_k FROM r GROUP BY 1)
+ SELECT s.*, round((SELECT rate FROM r WHERE r.meter = s.meter AND k = 1.0), 6) AS strong_detect, detect_by_k FROM s JOIN j USING (meter)""")
 def flip_oracle(spark, d):
     li = T.table(spark, d, "lineitem")
     rows = li.select(F.when(F.col("l_linestatus") == "F", "flip").otherwise("control").alias("kind"), ((F.col("l_linenumber") % 3 + 1) * F.lit(0.5)).alias("k"), F.when(F.col("l_suppkey") % 2 == 0, "I1").otherwise("I2").alias("meter"), (F.col("l_quantity") > 20).alias("detected"), (F.col("l_linenumber") % 2).alias("false_flips"), F.lit(8).alias("ff_total"), (F.col("l_tax") > 0.06).alias("flipped"))
-    return r6(pilot.oracle_summary(rows, 1.0).drop("detect_by_k"), "false_flip_rate", "control_trip", "strong_detect")
+    return r6(pilot.oracle_summary(rows, 1.0).withColumn("detect_by_k", pilot.by_k("detect_by_k")), "false_flip_rate", "control_trip", "strong_detect")
 
 
 @query("upsert_runs", "SELECT run_tag, round(v, 4) AS v FROM (SELECT o_orderpriority AS run_tag, avg(o_totalprice) AS v FROM orders WHERE o_orderpriority > '2' GROUP BY 1 UNION ALL SELECT o_orderpriority, -1 FROM orders WHERE o_orderpriority < '2' GROUP BY 1)")

@@ -16,7 +16,7 @@ from ..storage import Tables
 from ..streaming import monitor, scorer
 from . import pipelines
 from . import tables as T
-from .metric_queries import HASH, STATS, TBU, WIDE, _wide, balanced_of, permuted_sql, r6
+from .metric_queries import HASH, STATS, TAIL, TBU, WIDE, _wide, balanced_of, permuted_sql, r6
 from .signal_queries import ANSWERS, FRAMES, KEY, PRED, SIGNAL, SPANS, STEP, TONES, WINS, _codes, _key, sql_translate
 
 QUERIES, SQL = {}, {}
@@ -87,9 +87,9 @@ def _trials(spark, d):
 
 
 @query("paired_blocks", f"""WITH {TRIALS}, b AS (SELECT 'frozen' AS block, fc AS c, ff AS f FROM k WHERE NOT is_catch UNION ALL SELECT 'deployed', dc, df FROM k WHERE NOT is_catch),
- s AS (SELECT block, count(*) AS usable, count_if(c > f)::BIGINT AS wins, count_if(c < f)::BIGINT AS losses, count_if(c = f)::BIGINT AS ties FROM b WHERE c IS NOT NULL AND f IS NOT NULL GROUP BY 1) SELECT *, round((wins + 0.5 * ties) / usable, 6) AS win_rate FROM s""")
+ s AS (SELECT block, count(*) AS usable, count_if(c > f)::BIGINT AS wins, count_if(c < f)::BIGINT AS losses, count_if(c = f)::BIGINT AS ties FROM b WHERE c IS NOT NULL AND f IS NOT NULL GROUP BY 1) SELECT *, round((wins + 0.5 * ties) / usable, 6) AS win_rate, round(CASE WHEN wins = losses THEN 1.0 ELSE least(1.0, 2 * {TAIL.format(m="least(wins, losses)", n="(wins + losses)")}) END, 6) AS sign_p FROM s""")
 def paired_blocks(spark, d):
-    return r6(metrics.paired_blocks(_trials(spark, d)).drop("sign_p"), "win_rate")
+    return r6(metrics.paired_blocks(_trials(spark, d)), "win_rate", "sign_p")
 
 
 @query("margins", f"WITH {TRIALS} SELECT count(*) AS n, round(avg(fc - ff), 6) AS mean, round(min(fc - ff), 6) AS least FROM k WHERE NOT is_catch AND fc IS NOT NULL AND ff IS NOT NULL")
@@ -340,7 +340,7 @@ def sketched_manifest(spark, d):
 def flip_oracle_run(spark, d):
     """Edits, scores and summarises; the tests hold the oracle against clips whose tones are known."""
     rows = Tables(spark, "oracle").put("rows", oracle.run(*_signal(spark, d), {"I2": oracle.absolute_meter()}))
-    return r6(pilot.oracle_summary(rows, 1.0).drop("detect_by_k").crossJoin(F.broadcast(oracle.trend(rows, "I2").drop("n"))), "false_flip_rate", "control_trip", "strong_detect", "trend_rho", "trend_p")
+    return r6(pilot.oracle_summary(rows, 1.0).withColumn("detect_by_k", pilot.by_k("detect_by_k")).crossJoin(F.broadcast(oracle.trend(rows, "I2").drop("n"))), "false_flip_rate", "control_trip", "strong_detect", "trend_rho", "trend_p")
 
 
 @query("ab_pairs")
@@ -443,8 +443,8 @@ def training_manifest(spark, d):
 @query("keymap_read", f"WITH {KEY} SELECT item_id, source, round(tone_i2, 4)::DOUBLE AS tone_i2, is_catch, catch_expected FROM key")
 def keymap_read(spark, d):
     path = Tables(spark, "key").root
-    writers.keymap_json(_key(spark, d)).write.text(path)
-    return readers.keymap(spark, path).select("item_id", "source", "tone_i2", "is_catch", "catch_expected")
+    writers.keymap(_key(spark, d), path)
+    return readers.keymap_lines(spark, path).select("item_id", "source", "tone_i2", "is_catch", "catch_expected")
 
 
 @query("answers_csv", "SELECT 'r1' AS rater, 'item' || p_partkey AS item_id, CASE WHEN p_size > 25 THEN 'ok' ELSE 'bad' END AS label FROM part WHERE p_size % 4 > 0")

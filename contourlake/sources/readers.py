@@ -25,11 +25,13 @@ def manifest(spark: SparkSession, path: str, accept: Column | None = None, limit
 
 
 def holdouts(spark: SparkSession, path: str, fields: Sequence[str] = ("eval_texts", "minimal_pairs")) -> DataFrame:
-    """text of every string value, at any depth, under the given fields of a JSON file of held-out sentences; names of fields are not values."""
+    """text of every string value, at any depth, under the given fields of a JSON file of held-out sentences, also of a field that is one string; names of fields are not values."""
     doc = spark.read.text(path, wholetext=True)
-    parts = F.concat_ws(",", *(F.get_json_object("value", f"$.{c}") for c in fields))
-    values = doc.select(F.explode(F.regexp_extract_all(parts, F.lit(r'("(?:[^"\\]|\\.)*")(?!\s*:)(?=\s*([,\]}]|$))'), F.lit(1))).alias("s"))
-    return values.select(F.from_json(F.concat(F.lit('{"v":'), "s", F.lit("}")), "v string")["v"].alias("text")).where("text IS NOT NULL").distinct()
+    # As a map of values kept as JSON text, strings keep their quotes.
+    parts = F.from_json("value", "map<string, variant>")
+    values = F.concat_ws(",", *(F.to_json(F.element_at(parts, c)) for c in fields))
+    found = doc.select(F.explode(F.regexp_extract_all(values, F.lit(r'("(?:[^"\\]|\\.)*")(?!\s*:)(?=\s*([,\]}]|$))'), F.lit(1))).alias("s"))
+    return found.select(F.from_json(F.concat(F.lit('{"v":'), "s", F.lit("}")), "v string")["v"].alias("text")).where("text IS NOT NULL").distinct()
 
 
 def minimal_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -56,6 +58,11 @@ def keymap(spark: SparkSession, path: str, value: str = KEY) -> DataFrame:
     return text.select(F.explode(F.from_json("value", f"map<string, struct<{value}>>")).alias("item_id", "v")).select("item_id", "v.*")
 
 
+def keymap_lines(spark: SparkSession, path: str, value: str = KEY) -> DataFrame:
+    """item_id and the fields of a key that is written as lines; also reads a key of one line."""
+    return spark.read.text(path).select(F.explode(F.from_json("value", f"map<string, struct<{value}>>")).alias("item_id", "v")).select("item_id", "v.*")
+
+
 def answers_csv(spark: SparkSession, path: str, rater: str) -> DataFrame:
     """rater, item_id, label of a CSV with a header; rows without a key or value are left out."""
     rows = spark.read.schema("item_id string, answer string").option("header", True).csv(path)

@@ -47,6 +47,14 @@ def keymap_json(items: DataFrame, item: str = "item_id") -> DataFrame:
     return rounded.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(item, fields)))), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def keymap(items: DataFrame, path: str, item: str = "item_id") -> None:
+    """The key as JSON lines, a one-entry map of item to fields each, numbers rounded, NaN as null; of any size, since no row holds them all. ``keymap_json`` is for a kit's form."""
+    numbers = {c: S.rounded(F.col(c)) for c, t in items.dtypes if t == "double"}
+    rounded = items.withColumns(numbers) if numbers else items
+    fields = F.struct(*(c for c in items.columns if c != item))
+    rounded.select(F.to_json(F.create_map(F.col(item), fields), {"ignoreNullFields": "false"}).alias("json")).write.mode("overwrite").text(path)
+
+
 def data_uri(audio, kind: str = "audio/wav"):
     return F.concat(F.lit(f"data:{kind};base64,"), F.base64(audio))
 

@@ -169,6 +169,21 @@ def test_segments_abstain(spark):
     assert backend.segment(np.zeros((100, 8)), 0.5, 0.52) is None and len(backend.segment(np.zeros((100, 8)), 1.0, 1.4)) == 20
 
 
+def test_eval_point_with_probe_and_voices(spark):
+    good = tone_wav([4, 0, -4, 4])
+    rows = [("one", "long", "bá ba bà bá", good), ("two", "minpair", "bá ba bà bá", good), ("three", "minpair", "bá", b""), ("four", "long", "bá", good)]
+    trained, _ = probe.train(segments(spark, 240, 1), segments(spark, 60, 2), penalties=(0.01,))
+    voices = spark.createDataFrame([("one", [1.0, 0.5]), ("two", [-1.0, -0.5]), ("three", [1.0, 0.0])], "clip_id string, voice array<double>")
+    scored, _ = pipelines.scored_clips(clips_of(spark, rows), schedule_backend(), trained=trained, voices=voices)
+    by = {r["clip_id"]: r for r in scored.collect()}
+    assert by["one"]["i1"] == by["two"]["i1"] == 1.0 and by["one"]["i1_cov"] == 1.0 and (by["three"]["i1"], by["three"]["i1_cov"]) == (None, 0.0)
+    assert by["one"]["ssim"] == pytest.approx(1) and by["two"]["ssim"] == pytest.approx(0) and by["three"]["ssim"] is None and by["four"]["ssim"] is None
+    out = {r["subset"]: r for r in pipelines.eval_point(clips_of(spark, rows), schedule_backend(), trained, voices).collect()}
+    assert out["ALL"]["ssim"] == pytest.approx(0.5) and out["ALL"]["ssim_least"] == pytest.approx(0) and out["long"]["i1"] == 1.0
+    bare = pipelines.eval_point(clips_of(spark, rows), schedule_backend()).where("subset = 'ALL'").first()
+    assert bare["i1"] is None and bare["ssim"] is None
+
+
 def test_eval_point(spark):
     good = tone_wav([4, 0, -4, 4])
     rows = [("one", "long", "bá ba bà bá", good), ("two", "minpair", "bá ba bà bá", good), ("three", "minpair", "bá", b"")]

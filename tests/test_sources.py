@@ -21,6 +21,8 @@ def test_manifest_and_pairs(spark, tmp_path):
     assert got == {"mp_oko_0": ["M", "M"], "mp_oko_1": ["M", "L"]} and readers.carriers(spark, pairs).first()["template"] == "Mo rí ___"
     held = put(tmp_path / "h.json", {"language": "yo", "eval_texts": [{"base": "a", "text": "b", "more": {"deep": ['c, "d": ]', "è\n"]}}, "bare"], "other": "no"})
     assert {r[0] for r in readers.holdouts(spark, held).collect()} == {"a", "b", 'c, "d": ]', "è\n", "bare"}
+    assert [r[0] for r in readers.holdouts(spark, put(tmp_path / "h1.json", {"eval_texts": "single one"})).collect()] == ["single one"]
+    assert readers.holdouts(spark, put(tmp_path / "h2.json", {"eval_texts": None, "more": "x"})).count() == 0
     c = readers.calibration(spark, put(tmp_path / "c.json", {"theta_h": 1.5, "theta_l": 1.0})).first()
     assert tuple(c) == (1.5, 1.0, "blind", 0.5)
 
