@@ -196,5 +196,6 @@ def tables_bitmaps(docs: DataFrame, rows: DataFrame, min_docs: int, min_chars: i
 def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with the kept lines in text_col (null stays null); all other columns as they are."""
     bitmaps = tables_bitmaps(docs, prepared(docs, id_col, text_col), min_docs, min_chars)
-    joined = squeezed(docs, id_col, text_col).join(bitmaps.select("id", "tkey", "bitmap"), ["id", "tkey"], "left")
+    # Both sides grow with the corpus, so neither is sent around, however small they are today.
+    joined = squeezed(docs, id_col, text_col).join(bitmaps.select("id", "tkey", "bitmap").hint("merge"), ["id", "tkey"], "left")
     return restored_rows(joined, docs.schema, text_col, lambda text, bitmap: kept_text(text, bitmap)[0], "bitmap")
