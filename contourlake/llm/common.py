@@ -55,7 +55,7 @@ def squeezed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(z, pa.binary())], ["id", "tkey", "row", "z"])
 
     kinds = [("id", T.LongType()), ("tkey", T.LongType()), ("row", keyed.schema["row"].dataType), ("z", T.BinaryType())]
-    return keyed.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in kinds]))
+    return keyed.mapInArrow(returning(run), T.StructType([T.StructField(n, k) for n, k in kinds]))
 
 
 def restored_rows(squeezed_rows: DataFrame, schema: T.StructType, text_col: str, change: Callable[[bytes, object], bytes] | None = None, by: str | None = None) -> DataFrame:
@@ -72,7 +72,7 @@ def restored_rows(squeezed_rows: DataFrame, schema: T.StructType, text_col: str,
             parts[at] = pa.array([None if x is None else x.decode() for x in texts], pa.string())
             yield pa.RecordBatch.from_arrays(parts, schema.fieldNames())
 
-    return squeezed_rows.select("row", "z", *([by] if by else [])).mapInArrow(run, schema)
+    return squeezed_rows.select("row", "z", *([by] if by else [])).mapInArrow(returning(run), schema)
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -92,6 +92,16 @@ def return_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def returning(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and at its end the worker's free memory goes back."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        return_memory()
+
+    return task
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, dtype=np.uint64).view(np.int64)
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, partitions, prepared, restored, restored_rows, squeezed
+from .common import Tables, partitions, prepared, restored, restored_rows, returning, squeezed
 
 ROW = "h1 long, h2 long, id long, tkey long, pos int, n_lines int"
 #: Rows that a task sends or holds at once.
@@ -68,7 +68,7 @@ def line_rows(docs: DataFrame, min_chars: int = 1) -> DataFrame:
         if places:
             yield batch()
 
-    return docs.select("id", "tkey", "body").mapInArrow(run, ROW)
+    return docs.select("id", "tkey", "body").mapInArrow(returning(run), ROW)
 
 
 def _stream(min_docs: int):
@@ -134,7 +134,7 @@ def line_bitmaps(tables: Tables, docs: DataFrame, min_docs: int = 10, min_chars:
     lines = tables.put("lines", line_rows(docs, min_chars))
     n = partitions(docs.sparkSession, 48 * lines.count())
     place = [F.col(c) for c in ("h1", "h2", "id", "tkey", "pos")]
-    found = tables.put("found", lines.repartitionByRange(n, *place[:3]).sortWithinPartitions(*place).mapInArrow(_stream(min_docs), f"{ROW}, state int"))
+    found = tables.put("found", lines.repartitionByRange(n, *place[:3]).sortWithinPartitions(*place).mapInArrow(returning(_stream(min_docs)), f"{ROW}, state int"))
     tables.drop("lines")
     cut = found.where("state = 2").groupBy("h1", "h2").agg(F.sum("pos").alias("docs")).where(F.col("docs") >= min_docs).select("h1", "h2")
     settled = found.where("state = 1").join(F.broadcast(cut), ["h1", "h2"], "left_semi")  # at most two rows a partition
@@ -150,7 +150,7 @@ def line_bitmaps(tables: Tables, docs: DataFrame, min_docs: int = 10, min_chars:
                 n_dropped.append(n_lines - int(keep.sum()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(n_dropped, pa.int32()), pa.array(bits, pa.binary())], ["id", "tkey", "n_lines", "n_dropped", "bitmap"])
 
-    return gone.mapInArrow(run, "id long, tkey long, n_lines int, n_dropped int, bitmap binary")
+    return gone.mapInArrow(returning(run), "id long, tkey long, n_lines int, n_dropped int, bitmap binary")
 
 
 def kept_text(body: bytes, bitmap: bytes | None) -> tuple[bytes, int, int]:
@@ -181,7 +181,7 @@ def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ["id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
-    out = with_bitmaps(rows, bitmaps).select("id", "body", "bitmap").mapInArrow(run, "id long, n_lines long, n_dropped long, kept_sha256 string")
+    out = with_bitmaps(rows, bitmaps).select("id", "body", "bitmap").mapInArrow(returning(run), "id long, n_lines long, n_dropped long, kept_sha256 string")
     return out.select(restored().alias(id_col), "n_lines", "n_dropped", "kept_sha256")
 
 

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, prepared, restored
+from .common import Tables, prepared, restored, returning
 from .token_output import codec, encoder_of, stretches, train_dictionary
 
 CAPACITIES = (256, 512, 1024, 2048)
@@ -134,9 +134,8 @@ def items(docs: DataFrame, largest: int, path: str, end_id: int, dictionary: byt
                     whole = [np.concatenate([x, end]) for x in got]
                     cols.append(pa.array([packer.compress(whole[r][k * largest : (k + 1) * largest].tobytes()) for r, k in zip(row.tolist(), piece.tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ITEM[: len(cols)])
-        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
-    return docs.select("id", "tkey", "body").mapInArrow(run, "id long, piece long, length int, task int, nth long" + ", ids binary" * with_ids)
+    return docs.select("id", "tkey", "body").mapInArrow(returning(run), "id long, piece long, length int, task int, nth long" + ", ids binary" * with_ids)
 
 
 def placed_items(docs: DataFrame, path: str, id_col: str, text_col: str, capacities: Sequence[int], overhead: float, end_id: int, dictionary: bytes | None = None) -> DataFrame:
@@ -174,7 +173,7 @@ def placed_items(docs: DataFrame, path: str, id_col: str, text_col: str, capacit
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bins), pa.array(size.astype(np.int32)), pa.array(offset.astype(np.int32)), *b.columns[5:]], ["id", "piece", "length", "bin_id", "bin_capacity", "bin_offset", "ids"][: b.num_columns + 1])
 
     schema = "id long, piece long, length int, bin_id long, bin_capacity int, bin_offset int" + ", ids binary" * with_ids
-    return found.join(before, ["task", "length"]).select("id", "piece", "length", "nth", "before", *["ids"] * with_ids).mapInArrow(run, schema)
+    return found.join(before, ["task", "length"]).select("id", "piece", "length", "nth", "before", *["ids"] * with_ids).mapInArrow(returning(run), schema)
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD, end_id: int = 0) -> DataFrame:
@@ -198,4 +197,4 @@ def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             ids = [np.concatenate([np.frombuffer(unpacker.decompress(x), kind) for x in p]).astype(np.int32) for p in packed]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(docs, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32()))], ["bin_id", "bin_capacity", "doc_ids", "offsets", "ids"])
 
-    return bins.mapInArrow(run, "bin_id long, bin_capacity int, doc_ids array<long>, offsets array<int>, ids array<int>")
+    return bins.mapInArrow(returning(run), "bin_id long, bin_capacity int, doc_ids array<long>, offsets array<int>, ids array<int>")

@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, partitions, prepared, restored, restored_rows, squeezed
+from .common import Tables, partitions, prepared, restored, restored_rows, returning, squeezed
 
 SEED = 42
 #: A doc's shingles are hashed and summed this many at a time, or fewer for wide fingerprints.
@@ -130,7 +130,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64) -> DataFrame
             fp = [fingerprint(x, shingle, bits) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.binary())], ["id", "tkey", "fp"])
 
-    return docs.select("id", "tkey", "body").mapInArrow(run, "id long, tkey long, fp binary")
+    return docs.select("id", "tkey", "body").mapInArrow(returning(run), "id long, tkey long, fp binary")
 
 
 def as_words(column: pa.Array, bits: int) -> np.ndarray:
@@ -157,7 +157,7 @@ def table_rows(fps: DataFrame, shape: Shape) -> DataFrame:
                 of = column.take(pa.array(np.repeat(np.arange(n), len(names))))
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(rest.ravel()), of], ["key", "rest", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "key long, rest int, fp binary")
+    return fps.select("fp").mapInArrow(returning(run), "key long, rest int, fp binary")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:

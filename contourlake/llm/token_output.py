@@ -66,7 +66,7 @@ class Encoder:
     other white space, gets the library's ids of whole texts.
     """
 
-    most = 400_000
+    most = 200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
