@@ -1,21 +1,28 @@
-"""Clips whose tones are known: a step of pitch per unit, for tests and examples."""
+"""Audio whose tones are known, made in tasks from rows of tones: a hummed pulse train that glides from tone to tone."""
 
 from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 STEPS = {"H": 4.0, "M": 0.0, "L": -4.0}
 
 
-def tone_clip(tones: str | Sequence[float], rate: int = 16_000, each: float = 0.2, base: float = 140.0, peak: float = 0.6) -> bytes:
-    """A wave file of a voiced sound, each tone (a letter, or semitones from the base) for so many seconds."""
-    t = np.arange(int(rate * each)) / rate
-    parts = [sum(np.sin(2 * np.pi * h * base * 2 ** ((STEPS[x] if isinstance(x, str) else x) / 12) * t) / h for h in range(1, 6)) for x in tones]
-    x = np.concatenate(parts)
+def hummed(tones: Sequence[str], rate: int = 16_000, each: float = 0.2, base: float = 140.0, glide: float = 0.03, peak: float = 0.6) -> bytes:
+    """A wave file: each tone for so many seconds, reached by a glide; one narrow pulse a period, smoothed by a running mean of half a millisecond."""
+    n, slide = int(rate * each), max(1, int(rate * glide))
+    steps = np.repeat([STEPS[t] for t in tones], n)
+    level = np.convolve(np.r_[np.full(slide, steps[0]), steps], np.full(slide, 1 / slide), "full")[slide : slide + len(steps)]
+    phase = np.cumsum(base * 2 ** (level / 12) / rate)
+    pulse = np.exp(-0.5 * ((phase % 1 - 0.5) / 0.08) ** 2)
+    width = max(1, rate // 2000)
+    x = np.convolve(pulse - pulse.mean(), np.full(width, 1 / width), "same")
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
         w.setnchannels(1)
@@ -23,3 +30,14 @@ def tone_clip(tones: str | Sequence[float], rate: int = 16_000, each: float = 0.
         w.setframerate(rate)
         w.writeframes(np.round(x * (peak / np.abs(x).max()) * 32767).astype("<i2").tobytes())
     return out.getvalue()
+
+
+def clips(rows: DataFrame) -> DataFrame:
+    """clip_id, text and content of rows(clip_id, text, tones)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([hummed(b.column(2)[k].as_py())], pa.binary())], ["clip_id", "text", "content"])
+
+    return rows.select(F.col("clip_id").cast("string"), "text", "tones").mapInArrow(run, "clip_id string, text string, content binary")
