@@ -40,7 +40,7 @@ def test_conditions(spark, texts):
         assert near(got) == near(f.select("clip_id", "t", "f0"))
         assert "Python" not in plan(got) and "Join" not in plan(got)
     every = spark.sql("SELECT concat(condition, '|', clip_id) AS clip_id, t, f0 FROM nested, LATERAL all_conditions(frames)")
-    assert near(every) == near(conditions.applied(frames, windows)[0].select("clip_id", "t", "f0"))
+    assert near(every) == near(conditions.applied(frames, windows, list(sql_tables.EDITS))[0].select("clip_id", "t", "f0"))
     assert spark.sql("SELECT * FROM nested, LATERAL condition_rows(frames, 'loud')").count() == 0
     sql_tables.register_tables(spark, {"octave": "2D * x.f0"})
     up = spark.sql("SELECT sum(f0) FROM nested, LATERAL condition_rows(frames, 'octave')").first()[0]
