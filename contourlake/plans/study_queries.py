@@ -379,7 +379,8 @@ def audio_tones(spark, d):
     """From a part's number to audio, from audio to tones: each unit must be heard as what the number says."""
     pre = Tables(spark, "precomputed").put("clips", backend.precompute(_clips(spark, d)))
     mids = pre.select("clip_id", F.lit(12 * math.log2(1.4)).alias("mid"))
-    heard = signal.score_tone(backend.frames_of(pre), backend.windows_of(pre), mid_ref=mids, mode="fw")
+    units = backend.units_of(pre)
+    heard = signal.classify(signal.residuals(units, signal.fw_slope(units)), mid_ref=mids)
     return heard.join(pre.select("clip_id", "method"), "clip_id").select("clip_id", "method", "tbu_idx", "target", "pred")
 
 
@@ -387,7 +388,7 @@ def audio_tones(spark, d):
 def audio_transitions(spark, d):
     """The steps between neighbours, heard in the audio: how often each kind was said and heard."""
     pre = Tables(spark, "precomputed").put("clips", backend.precompute(_clips(spark, d)))
-    units = signal.unit_semitones(backend.frames_of(pre), backend.windows_of(pre))
+    units = backend.units_of(pre)
     steps = signal.transitions(units.withColumn("res", F.col("st")))
     return steps.groupBy("target", "pred").agg(F.count("*").alias("n"))
 
