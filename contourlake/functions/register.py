@@ -23,13 +23,18 @@ def _marked(tones: dict[str, str]) -> str:
     return f"CASE WHEN t RLIKE '[{''.join(X.TONE_OF_MARK)}]' THEN {loose} ELSE {whole} END"
 
 
+def tone_string() -> str:
+    """The tones of t as SQL, for bodies in which no other SQL function may stand."""
+    stand = "".join(X.STAND_IN.values())
+    return f"translate(regexp_replace({_marked(X.tone_letters())}, '[^{stand}]', ''), '{stand}', '{''.join(X.STAND_IN)}')"
+
+
 def register(spark: SparkSession) -> list[str]:
     """Makes temporary SQL functions norm_key, semitone, wilson_lo, wilson_hi, cer_text and tone_string; their names."""
-    bare, tones = X.bare_letters(), X.tone_letters()
-    stand = "".join(X.STAND_IN.values())
+    bare = X.bare_letters()
     own = {
         "cer_text(t STRING) RETURNS STRING": f"trim(regexp_replace(lower(regexp_replace(translate(t, '{''.join(bare)}', '{''.join(bare.values())}'), '[\\\\x{{300}}-\\\\x{{36F}}]', '')), '[^\\\\p{{L}}\\\\p{{N}}_]+', ' '))",
-        "tone_string(t STRING) RETURNS STRING": f"translate(regexp_replace({_marked(tones)}, '[^{stand}]', ''), '{stand}', '{''.join(X.STAND_IN)}')",
+        "tone_string(t STRING) RETURNS STRING": tone_string(),
     }
     for head, body in (FUNCTIONS | own).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

@@ -1,4 +1,9 @@
-"""SQL functions that return tables, which Catalyst inlines: no Python runs for them."""
+"""SQL functions that return tables, which Catalyst inlines: no Python runs for them.
+
+A body is one generator and nothing else, so that a lateral call becomes a
+generator over the caller's rows; a filter or a subquery around it would become
+a join of the rows with their distinct arguments.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +38,7 @@ def register_tables(spark: SparkSession, edits: dict[str, str] | None = None) ->
     edited = f"transform(frames, x -> named_struct('t', x.t, 'f0', {f0}))"
     edited_each = f"transform(frames, x -> named_struct('condition', name, 't', x.t, 'f0', {f0}))"
     own = {
-        "tbu_rows(t STRING) RETURNS TABLE (tbu_idx INT, target STRING)": "SELECT pos, col FROM (SELECT posexplode(split(s, '')) FROM (SELECT tone_string(t) AS s)) WHERE col <> ''",
+        "tbu_rows(t STRING) RETURNS TABLE (tbu_idx INT, target STRING)": f"SELECT posexplode(array_remove(split({register.tone_string()}, ''), ''))",
         f"condition_rows(frames {FRAMES}, name STRING) RETURNS TABLE (t DOUBLE, f0 DOUBLE)": f"SELECT inline(CASE WHEN name IN ({names}) THEN {_with_mean(edited)} ELSE array() END)",
         f"all_conditions(frames {FRAMES}) RETURNS TABLE (condition STRING, t DOUBLE, f0 DOUBLE)": f"SELECT inline({_with_mean(f'flatten(transform(array({names}), name -> {edited_each}))')})",
     }

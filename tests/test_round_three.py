@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from contourlake.functions import tables as sql_tables
+from contourlake.functions.text import align_text, tone_bigrams
 from contourlake.leaves import backend
 from contourlake.operators import signal
 
@@ -34,3 +36,24 @@ def test_pitch_of_windows_that_hops_do_not_divide():
         _, f0, sure = backend.pitch(x, rate)
         assert np.nanmedian(f0) == pytest.approx(150 * rate / 11_025, rel=0.01) and sure.min() > 0.5
     assert backend.fft_size(407) == 432 and all(n <= backend.fft_size(n) < 1.2 * n + 1 for n in range(1, 3000))
+
+
+def test_lateral_tone_rows_make_no_join(spark):
+    sql_tables.register_tables(spark)
+    texts = spark.createDataFrame([(1, "bá ba"), (2, ""), (3, None), (4, "bá ba"), (5, "tsk"), (6, "ò")], "id int, text string")
+    got = spark.sql("SELECT id, tbu_idx, target FROM {t}, LATERAL tbu_rows(text)", t=texts)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, "H"), (1, 1, "M"), (4, 0, "H"), (4, 1, "M"), (6, 0, "L")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_bigrams_of_a_language_are_counted_without_a_row_for_each(spark):
+    rng = np.random.default_rng(3)
+    texts = [("x", "".join(rng.choice(list("áaàb "), size=n))) for n in (0, 1, 2, 3, 40, 300)] + [("x", "ááááá"), ("x", "àáàáà"), ("y", None), ("z", "tsk"), (None, "aa a"), ("y", "á"), ("x", "HM á à")]
+    want = {}
+    for lang, text in texts:
+        tones = align_text(text or "")[2]
+        for pair in map("".join, zip(tones, tones[1:], strict=False)):
+            want[lang, pair] = want.get((lang, pair), 0) + 1
+    got = tone_bigrams(spark.createDataFrame(texts, "lang string, text string"), "text", ["lang"])
+    assert {(r["lang"], r["bigram"]): r["n"] for r in got.collect()} == want and dict(got.dtypes)["n"] == "bigint"
