@@ -107,6 +107,24 @@ def tone_counts(docs: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     return tones.groupBy(*keys).agg(*(F.sum(F.length("_t") - F.length(F.replace("_t", F.lit(t), F.lit("")))).cast("long").alias(f"n_{t.lower()}") for t in TONE_OF_MARK.values()))
 
 
+def tone_bigrams(docs: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
+    """bigram and n of each key: how often a tone follows another within a text.
+
+    Two unequal tones cannot overlap themselves, so what a text loses without
+    them counts them. A tone follows itself wherever it neither begins the text
+    nor follows another.
+    """
+    tones = docs.select(*keys, tone_letters_of(F.col(text)).alias("_t"))
+    lost = lambda part: (F.length("_t") - F.length(F.replace("_t", F.lit(part), F.lit("")))).cast("long")
+    names = list(TONE_OF_MARK.values())
+    sums = [F.sum(lost(t)).alias(f"_{t}") for t in names] + [F.sum(F.col("_t").startswith(t).cast("long")).alias(f"_s{t}") for t in names]
+    unequal = [a + b for a in names for b in names if a != b]
+    counted = tones.groupBy(*keys).agg(*sums, *((F.sum(lost(p)) / 2).cast("long").alias(f"_{p}") for p in unequal))
+    own = {t + t: F.col(f"_{t}") - F.col(f"_s{t}") - sum((F.col(f"_{p}") for p in unequal if p[1] == t), F.lit(0)) for t in names}
+    each = F.array(*(F.struct(F.lit(p).alias("bigram"), n.alias("n")) for p, n in ({p: F.col(f"_{p}") for p in unequal} | own).items()))
+    return counted.select(*keys, F.explode(each).alias("_p")).select(*keys, "_p.*").where("n > 0")
+
+
 def flat_for_align(text: Column) -> Column:
     """Lower-cased text without tone marks; dots below and other marks stay."""
     table = {}

@@ -43,14 +43,12 @@ def tbu_counts(spark, d):
 
 @query("tone_bigrams", f"SELECT lang, translate(substr(s, i::INT, 2), '{''.join(X.STAND_IN.values())}', '{''.join(X.STAND_IN)}') AS bigram, count(*) AS n FROM (SELECT lang, s, unnest(range(1, length(s)::BIGINT)) AS i FROM (SELECT lang, {TONES} AS s FROM documents)) GROUP BY 1, 2")
 def tone_bigrams(spark, d):
-    seq = T.table(spark, d, "documents").select("lang", X.tone_sequence(F.col("text")).alias("s"))
-    pairs = F.transform(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), lambda x, i: F.concat(F.get("s", i), x))
-    return seq.select("lang", F.explode(pairs).alias("bigram")).groupBy("lang", "bigram").agg(F.count("*").alias("n"))
+    return X.tone_bigrams(T.table(spark, d, "documents"), "text", ["lang"])
 
 
 @query("tone_density", f"SELECT doc_id, length({TONES})::INT AS n_tbu, round(length({TONES})::DOUBLE / length(text), 6) AS density FROM documents")
 def tone_density(spark, d):
-    docs = T.table(spark, d, "documents").select("doc_id", "text", F.size(X.tone_sequence(F.col("text"))).alias("n_tbu"))
+    docs = T.table(spark, d, "documents").select("doc_id", "text", F.length(X.tone_letters_of(F.col("text"))).alias("n_tbu"))
     return docs.select("doc_id", "n_tbu", F.round(F.col("n_tbu") / F.length("text"), 6).alias("density"))
 
 
