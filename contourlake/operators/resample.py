@@ -116,12 +116,17 @@ def bootstrap(rows: DataFrame, stat: Column, n_rep: int, seed: int, lo: float, h
 
 
 def permuted_targets(tbu: DataFrame, *seeds: int) -> DataFrame:
-    """The clip's targets in a hashed order for each seed: the control that keeps each clip's tone counts. Clips are dealt out once for all seeds."""
-    every = tbu.repartition("clip_id").withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
-    by = Window.partitionBy("clip_id", "seed")
-    a = every.withColumn("_r", F.row_number().over(by.orderBy("tbu_idx")))
-    b = every.select("clip_id", "seed", F.col("target").alias("_t"), F.row_number().over(by.orderBy(S.hash_number(F.col("seed"), F.col("clip_id"), F.col("tbu_idx")), "tbu_idx")).alias("_r"))
-    return a.join(b, ["clip_id", "seed", "_r"]).select("clip_id", "tbu_idx", "seed", F.col("_t").alias("target"), "pred")
+    """The clip's targets in a hashed order for each seed: the control that keeps each clip's tone counts.
+
+    A clip's units meet once, as a list in one row; a seed orders the list there
+    and its rows leave one by one, so no row is shuffled, sorted or joined again
+    for a seed.
+    """
+    unit = F.struct("tbu_idx", "target", "pred")
+    clips = tbu.groupBy("clip_id").agg(F.sort_array(F.collect_list(unit)).alias("_u")).withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    drawn_order = F.array_sort(F.transform("_u", lambda u: F.struct(S.hash_number(F.col("seed"), F.col("clip_id"), u["tbu_idx"]).alias("h"), u["tbu_idx"].alias("tbu_idx"), u["target"].alias("target"))))
+    paired = F.zip_with("_u", drawn_order, lambda u, o: F.struct(u["tbu_idx"].alias("tbu_idx"), o["target"].alias("target"), u["pred"].alias("pred")))
+    return clips.select("clip_id", "seed", F.inline(paired)).select("clip_id", "tbu_idx", "seed", "target", "pred")
 
 
 def all_mid(tbu: DataFrame) -> DataFrame:

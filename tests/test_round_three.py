@@ -1,3 +1,7 @@
+import hashlib
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +9,8 @@ from pyspark.sql import functions as F
 from contourlake.functions import tables as sql_tables
 from contourlake.functions.text import align_text, tone_bigrams
 from contourlake.leaves import backend
-from contourlake.operators import signal
+from contourlake.operators import metrics, resample, signal
+from contourlake.plans import metric_queries
 
 PRE = "clip_id string, targets array<string>, times array<double>, f0 array<double>, t0 array<double>, t1 array<double>"
 
@@ -57,3 +62,42 @@ def test_bigrams_of_a_language_are_counted_without_a_row_for_each(spark):
             want[lang, pair] = want.get((lang, pair), 0) + 1
     got = tone_bigrams(spark.createDataFrame(texts, "lang string, text string"), "text", ["lang"])
     assert {(r["lang"], r["bigram"]): r["n"] for r in got.collect()} == want and dict(got.dtypes)["n"] == "bigint"
+
+
+def test_permuted_targets_meet_in_one_row(spark):
+    rng = np.random.default_rng(2)
+    rows = [(c, k, str(rng.choice(list("HML"))), None if rng.random() < 0.2 else str(rng.choice(list("HML")))) for c in range(12) for k in range(int(rng.integers(1, 9)))]
+    tbu = spark.createDataFrame(rows, "clip_id long, tbu_idx int, target string, pred string")
+    want = set()
+    for seed in (0, 3):
+        for c in range(12):
+            own = [r for r in rows if r[0] == c]
+            order = sorted(own, key=lambda r: (int(hashlib.md5(f"{seed}|{c}|{r[1]}".encode()).hexdigest()[:8], 16), r[1]))
+            want |= {(c, r[1], seed, o[2], r[3]) for r, o in zip(own, order, strict=True)}
+    got = resample.permuted_targets(tbu, 0, 3)
+    assert set(map(tuple, got.collect())) == want and got.count() == 2 * len(rows)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+
+
+def test_bands_of_all_pairs_of_runs(spark):
+    stats = spark.createDataFrame([("a", 1.0, 0.5), ("b", 1.6, 0.2), ("c", 9.0, 0.0), ("d", 8.0, 1.0)], "run string, mean double, std double")
+    got = {(r["run_a"], r["run_b"]): r["overlap"] for r in metrics.band_overlaps(stats, "run").collect()}
+    assert got == {("a", "b"): True, ("a", "c"): False, ("a", "d"): False, ("b", "c"): False, ("b", "d"): False, ("c", "d"): True}
+
+
+def test_go_no_go_does_not_depend_on_the_order_of_rows(spark, tmp_path):
+    def verdict(keys):
+        mean = lambda of: reduce(add, map(of, keys)) / len(keys)
+        rest = mean(lambda k: k % 50 / 100) <= 0.25 and 0.5 + mean(lambda k: k % 10 / 15) >= 0.8 and mean(lambda k: k % 9 / 9) >= 0.4 and mean(lambda k: k % 6) <= 2.5 and 0.4 + mean(lambda k: k % 8 / 10) >= 0.7
+        climb = mean(lambda k: k % 13 / 16) >= 1 / 3 + 0.04
+        return "GO" if rest and climb else "MIXED" if climb else "NO-GO-FLAT"
+
+    rng, rows = np.random.default_rng(1), []
+    while len(rows) < 40:
+        keys = sorted(map(int, rng.choice(100_000, 10, replace=False)))
+        if verdict(keys) != verdict(keys[::-1]):
+            rows += [(k, len(rows) // 10) for k in keys[::-1]]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    want = {c: verdict(sorted(k for k, o in rows if o == c)) for c in range(4)}
+    assert dict(map(tuple, metric_queries.go_no_go(spark, str(tmp_path)).collect())) == want
