@@ -174,6 +174,12 @@ def band_overlap(stats: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return x.select(F.lit(a).alias("run_a"), F.lit(b).alias("run_b"), ((F.col("la") <= F.col("hb")) & (F.col("lb") <= F.col("ha"))).alias("overlap"))
 
 
+def band_overlaps(stats: DataFrame, key: str) -> DataFrame:
+    """Whether the bands mean +- std overlap, of each two runs once, run_a before run_b. stats: a row per run, with mean and std."""
+    a, b = (stats.select(F.col(key).alias(f"run_{s}"), (F.col("mean") - F.col("std")).alias(f"_l{s}"), (F.col("mean") + F.col("std")).alias(f"_h{s}")) for s in "ab")
+    return a.join(b, F.col("run_a") < F.col("run_b")).select("run_a", "run_b", ((F.col("_la") <= F.col("_hb")) & (F.col("_lb") <= F.col("_ha"))).alias("overlap"))
+
+
 def paired_blocks(keymap: DataFrame, blocks: Sequence[str] = ("frozen", "deployed")) -> DataFrame:
     """The paired win rate of each block of scores, over keymap(is_catch, tone_i2_<block>_correct, tone_i2_<block>_flipped) without catches."""
     pairs = [F.struct(F.lit(b).alias("block"), F.col(f"tone_i2_{b}_correct").alias("c"), F.col(f"tone_i2_{b}_flipped").alias("f")) for b in blocks]
