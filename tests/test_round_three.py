@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from contourlake.functions import tables as sql_tables
 from contourlake.functions.text import align_text, tone_bigrams
 from contourlake.leaves import backend
-from contourlake.operators import metrics, resample, signal
+from contourlake.operators import kits, metrics, oracle, resample, signal
 from contourlake.plans import metric_queries
+from test_signal import clip
 
 PRE = "clip_id string, targets array<string>, times array<double>, f0 array<double>, t0 array<double>, t1 array<double>"
 
@@ -101,3 +102,11 @@ def test_go_no_go_does_not_depend_on_the_order_of_rows(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     want = {c: verdict(sorted(k for k, o in rows if o == c)) for c in range(4)}
     assert dict(map(tuple, metric_queries.go_no_go(spark, str(tmp_path)).collect())) == want
+
+
+def test_plans_of_the_oracle_and_the_pairs_stay_small(spark):
+    frames, windows = clip(spark, "HMLHML")
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    rows = oracle.run(frames, windows, {"I2": oracle.absolute_meter()}, ks=(1.0,), most=2)
+    assert joins(rows) <= 10 and rows.count() == 2 + 2
+    assert joins(kits.ab_pairs(frames, windows)) <= 10
