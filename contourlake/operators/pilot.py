@@ -129,11 +129,13 @@ def scored_items(answers: DataFrame, keymap: DataFrame, tau: float) -> DataFrame
 
 def pilot_result(answers: DataFrame, keymap: DataFrame, tau: float, n_rep: int = 2000, seed: int = 4242) -> DataFrame:
     """One row: kept raters, pooled items and natives; AUROC, r and kappa with limits; gate and verdict. Raters who miss the catches are left out."""
-    tallies = rater_gate(rater_tallies(answers, keymap))
+    tables = Tables(answers.sparkSession, "pilot")
+    answers = tables.put("answers", answers)
+    tallies = tables.put("tallies", rater_gate(rater_tallies(answers, keymap)))
     kept = tallies.where("kept").agg(F.count("*").alias("n_kept"), F.coalesce(F.sum("native_ok"), F.lit(0)).alias("native_ok"), F.coalesce(F.sum("native_total"), F.lit(0)).alias("native_total"))
-    items = pooled(scored_items(answers, keymap, tau), tallies)
+    items = tables.put("items", pooled(scored_items(answers, keymap, tau), tallies))
     n = items.agg(F.count("*").alias("n_scored"))
-    values = Tables(answers.sparkSession, "pilot").put("values", resample.item_bootstrap(items, "tone_i2", "human", n_rep, seed, "metric"))
+    values = tables.put("values", resample.item_bootstrap(items, "tone_i2", "human", n_rep, seed, "metric"))
     out = kept.crossJoin(F.broadcast(n))
     for stat in ("auroc", "r", "kappa"):
         one = resample.interval(values, stat).select(F.col("point").alias(stat), F.col("lo").alias(f"{stat}_lo"), F.col("hi").alias(f"{stat}_hi"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from contourlake.functions import tables as sql_tables
 from contourlake.functions.text import align_text, tone_bigrams
 from contourlake.leaves import backend
-from contourlake.operators import kits, metrics, oracle, resample, signal
+from contourlake.operators import kits, metrics, oracle, pilot, resample, signal
 from contourlake.plans import metric_queries
 from test_signal import clip
 
@@ -110,3 +110,13 @@ def test_plans_of_the_oracle_and_the_pairs_stay_small(spark):
     rows = oracle.run(frames, windows, {"I2": oracle.absolute_meter()}, ks=(1.0,), most=2)
     assert joins(rows) <= 10 and rows.count() == 2 + 2
     assert joins(kits.ab_pairs(frames, windows)) <= 10
+
+
+def test_pilot_result_reads_the_answers_once(spark, tmp_path):
+    key = spark.createDataFrame([(f"i{k}", "native" if k % 2 else "model", k / 40, k < 6, None) for k in range(40)], "item_id string, source string, tone_i2 double, is_catch boolean, catch_expected string")
+    said = [("r", f"i{k}", "ok" if k < 6 or k % 3 else "bad") for k in range(40)] + [("s", f"i{k}", "bad") for k in range(40)]
+    spark.createDataFrame(said, "rater string, item_id string, label string").write.parquet(f"{tmp_path}/answers")
+    out = pilot.pilot_result(spark.read.parquet(f"{tmp_path}/answers"), key, 0.5, n_rep=10)
+    assert not any(f"{tmp_path}/answers" in f for f in out.inputFiles())
+    r = out.first()
+    assert (r["n_kept"], r["n_scored"]) == (1, 34)
