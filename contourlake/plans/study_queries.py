@@ -386,9 +386,8 @@ def audio_tones(spark, d):
 
 @query("audio_transitions", f"WITH p AS (SELECT p_partkey::VARCHAR AS clip_id, {PART_TONES} AS tones FROM part), u AS (SELECT clip_id, i, strpos('LMH', substr(tones, i::INT + 1, 1)) - strpos('LMH', substr(tones, i::INT, 1)) AS step FROM p, range(1, 7) r(i)) SELECT CASE WHEN step > 0 THEN 'R' WHEN step < 0 THEN 'F' ELSE 'level' END AS target, CASE WHEN step > 0 THEN 'R' WHEN step < 0 THEN 'F' ELSE 'level' END AS pred, count(*) AS n FROM u GROUP BY 1, 2")
 def audio_transitions(spark, d):
-    """The steps between neighbours, heard in the audio: how often each kind was said and heard."""
-    pre = Tables(spark, "precomputed").put("clips", backend.precompute(_clips(spark, d)))
-    units = backend.units_of(pre)
+    """The steps between neighbours, heard in the audio: how often each kind was said and heard. What is heard is read once, so it is not written."""
+    units = backend.units_of(backend.precompute(_clips(spark, d)))
     steps = signal.transitions(units.withColumn("res", F.col("st")))
     return steps.groupBy("target", "pred").agg(F.count("*").alias("n"))
 
