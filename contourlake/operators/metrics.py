@@ -18,12 +18,13 @@ from .running import running
 TONES = ("H", "M", "L")
 
 
-def class_stats(tbu: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Support, covered, correct, recall and coverage of each target class."""
+def class_stats(tbu: DataFrame, keys: Sequence[str] = (), n: str | None = None) -> DataFrame:
+    """Support, covered, correct, recall and coverage of each target class. n: the column of how many units a row stands for; without it, one."""
+    of = (lambda held: F.count_if(held)) if n is None else (lambda held: F.sum(F.when(held, F.col(n)).otherwise(0)))
     return (
         tbu.where(F.col("target").isin(*TONES))
         .groupBy(*keys, "target")
-        .agg(F.count("*").alias("support"), F.count("pred").alias("covered"), F.count_if(F.col("pred") == F.col("target")).alias("correct"))
+        .agg(of(F.lit(True)).alias("support"), of(F.col("pred").isNotNull()).alias("covered"), of(F.col("pred") == F.col("target")).alias("correct"))
         .withColumns({"recall": S.share(F.col("correct"), F.col("covered")), "coverage": S.share(F.col("covered"), F.col("support"))})
     )
 
@@ -33,9 +34,14 @@ def confusion(tbu: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return tbu.where(F.col("target").isin(*TONES) & F.col("pred").isin(*TONES)).groupBy(*keys, "target", "pred").agg(F.count("*").alias("n"))
 
 
-def population(tbu: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Balanced accuracy (mean recall over classes with covered units), micro accuracy and coverage."""
-    return class_stats(tbu, keys).groupBy(*keys).agg(
+def cells(tbu: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """n units of each target and pred, abstentions among them: all that population needs."""
+    return tbu.groupBy(*keys, "target", "pred").agg(F.count("*").alias("n"))
+
+
+def population(tbu: DataFrame, keys: Sequence[str] = (), n: str | None = None) -> DataFrame:
+    """Balanced accuracy (mean recall over classes with covered units), micro accuracy and coverage. n as in class_stats."""
+    return class_stats(tbu, keys, n).groupBy(*keys).agg(
         F.avg("recall").alias("balanced_acc"),
         S.share(F.sum("correct"), F.sum("covered")).alias("micro_acc"),
         S.share(F.sum("covered"), F.sum("support")).alias("coverage"),

@@ -108,11 +108,11 @@ def _place(replicates: DataFrame, value: str, q: float) -> DataFrame:
 
 
 def bootstrap(rows: DataFrame, stat: Column, n_rep: int, seed: int, lo: float, hi: float | None = None) -> DataFrame:
-    """point, lo (and hi) of a statistic over summed counts."""
+    """point, lo (and hi) of a statistic over summed counts, all from one sorted list of the replicates."""
     values = Tables(rows.sparkSession, "bootstrap").put("values", replicates(rows, n_rep, seed).select("rep", stat.alias("value")))
-    point = values.where("rep < 0").select(F.col("value").alias("point"))
-    out = point.crossJoin(F.broadcast(_place(values.where("rep >= 0"), "value", lo).withColumnRenamed("quantile", "lo")))  # one row each
-    return out if hi is None else out.crossJoin(F.broadcast(_place(values.where("rep >= 0"), "value", hi).withColumnRenamed("quantile", "hi")))
+    both = values.agg(F.max(F.when(F.col("rep") < 0, F.col("value"))).alias("point"), F.sort_array(F.collect_list(F.when(F.col("rep") >= 0, F.col("value")))).alias("_v")).where(F.size("_v") > 0)
+    at = lambda q: F.element_at("_v", F.least(F.size("_v"), F.floor(F.lit(q) * F.size("_v")) + 1).cast("int"))
+    return both.select("point", at(lo).alias("lo"), *([] if hi is None else [at(hi).alias("hi")]))
 
 
 def permuted_targets(tbu: DataFrame, *seeds: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,17 +55,21 @@ def native_anchor(units: DataFrame, n_rep: int = 1000, seed: int = 0) -> DataFra
 
 
 def answer_key_oracle(units: DataFrame, n_rep: int = 1000, seeds: int = 25, seed: int = 0) -> DataFrame:
-    """What the meter says with the right key, the key with H and L exchanged, and shuffled keys: with predictions fixed, only the key moves."""
-    units = Tables(units.sparkSession, "units").put("units", units.select("clip_id", "tbu_idx", "target", "pred"))
-    own = metrics.population(units).select(F.col("balanced_acc").alias("right"))
-    swapped = metrics.population(resample.swap_high_low(units)).select(F.col("balanced_acc").alias("swapped"))
-    hl = metrics.population(resample.only_high_low(units)).select(F.col("balanced_acc").alias("high_low"))
-    floor = metrics.population(resample.permuted_targets(units, *range(seeds)), ["seed"]).agg(F.avg("balanced_acc").alias("floor"), F.stddev_pop("balanced_acc").alias("floor_std"))
-    delta = resample.bootstrap(resample.clip_counts(units), resample.balanced() - resample.swapped_balanced(), n_rep, seed, 0.025, 0.975)
-    out = own
-    for one in (swapped, hl, floor, delta.select(F.col("point").alias("delta"), F.col("lo").alias("delta_lo"), F.col("hi").alias("delta_hi"))):
-        out = out.crossJoin(F.broadcast(one))  # one row each
-    return out
+    """What the meter says with the right key, the key with H and L exchanged, and shuffled keys: with predictions fixed, only the key moves.
+
+    Each part is counted by itself, one after the other, and written as a few
+    rows; so the driver never holds the plans and the running stages of all.
+    """
+    tables = Tables(units.sparkSession, "answers")
+    units = tables.put("units", units.select("clip_id", "tbu_idx", "target", "pred"))
+    own = tables.put("own", metrics.cells(units))
+    moved = tables.put("moved", metrics.cells(resample.permuted_targets(units, *range(seeds)), ["seed"]))
+    delta = tables.put("delta", resample.bootstrap(resample.clip_counts(units), resample.balanced() - resample.swapped_balanced(), n_rep, seed, 0.025, 0.975))
+    keys = {"right": own, "swapped": resample.swap_high_low(own), "high_low": resample.only_high_low(own)}
+    every = reduce(DataFrame.unionByName, (cells.select(F.lit(name).alias("key"), F.lit(0).alias("seed"), *own.columns) for name, cells in keys.items()), moved.select(F.lit("floor").alias("key"), "seed", *own.columns))
+    at = lambda name: F.when(F.col("key") == name, F.col("balanced_acc"))
+    found = metrics.population(every, ["key", "seed"], "n").agg(*(F.max(at(name)).alias(name) for name in keys), F.avg(at("floor")).alias("floor"), F.stddev_pop(at("floor")).alias("floor_std"))
+    return found.crossJoin(F.broadcast(delta.select(F.col("point").alias("delta"), F.col("lo").alias("delta_lo"), F.col("hi").alias("delta_hi"))))  # one row each
 
 
 def condition_table(frames: DataFrame, windows: DataFrame, names: Sequence[str] | None = None, base: str = "original") -> DataFrame:
