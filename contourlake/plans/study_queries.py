@@ -392,6 +392,10 @@ def audio_transitions(spark, d):
     return steps.groupBy("target", "pred").agg(F.count("*").alias("n"))
 
 
+#: Keys that the stream's clips share.
+KEYS = 2048
+
+
 @query("stream_tones", f"{SIGNAL}, {PRED} SELECT clip_id::VARCHAR AS clip_id, tbu_idx, target, pred FROM pred")
 def stream_tones(spark, d):
     """The events in three shuffled files, read as a stream that keeps clips open until all have come; final tones are the batch meter's."""
@@ -406,7 +410,7 @@ def stream_tones(spark, d):
     scorer.state_store(spark)
     try:
         stream = spark.readStream.schema(scorer.ROWS).option("maxFilesPerTrigger", 2).parquet(f"{tables.root}/arrived/*")
-        monitor.run_once(scorer.scores(stream, delay="3650 days", gap=60.0, unit=3600.0, digits=6), f"{tables.root}/out", f"{tables.root}/checkpoint")
+        monitor.run_once(scorer.scores(stream, delay="3650 days", gap=60.0, unit=3600.0, digits=6, groups=KEYS), f"{tables.root}/out", f"{tables.root}/checkpoint")
     finally:
         spark.conf.set(store, before)
     return spark.read.schema(scorer.SCORES).parquet(f"{tables.root}/out").where("final").select("clip_id", "tbu_idx", "target", "pred")
