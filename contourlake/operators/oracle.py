@@ -25,7 +25,7 @@ def absolute_meter(theta_h: float = signal.THETA_H, theta_l: float = signal.THET
     """The absolute meter with blind slope and the frozen centre."""
 
     def score(frames: DataFrame, windows: DataFrame, mids: DataFrame) -> DataFrame:
-        units = Tables(frames.sparkSession, "meter").put("units", signal.unit_semitones(frames, windows))
+        units = Tables(frames.sparkSession, "meter").put_large("units", signal.unit_semitones(frames, windows))
         res = signal.residuals(units, signal.theil_sen(units)).join(mids, "clip_id")
         c = F.col("res") - F.col("mid")
         return res.withColumn("pred", F.when(c.isNull(), F.lit(None).cast("string")).when(c >= theta_h, "H").when(c <= -theta_l, "L").otherwise("M"))
@@ -43,15 +43,15 @@ def run(frames: DataFrame, windows: DataFrame, meters: Mapping[str, Meter], ks:
     another one many times over.
     """
     tables = Tables(frames.sparkSession, "oracle")
-    units = tables.put("units", signal.unit_semitones(frames, windows))
+    units = tables.put_large("units", signal.unit_semitones(frames, windows))
     levels = signal.levels(signal.residuals(units, signal.theil_sen(units)))
-    ok = tables.put("clips", levels.where(F.col("delta_hl") >= least_delta).select("clip_id", "delta_hl", F.col("mid_ref").alias("mid")))
+    ok = tables.put_large("clips", levels.where(F.col("delta_hl") >= least_delta).select("clip_id", "delta_hl", F.col("mid_ref").alias("mid")))
     mids = ok.select("clip_id", "mid")
     base = None
     for name, meter in meters.items():
         one = meter(frames, windows, mids).select("clip_id", "tbu_idx", "target", F.col("pred").alias("base_pred"), F.lit(name).alias("meter"))
         base = one if base is None else base.unionByName(one)
-    base = tables.put("base", base)
+    base = tables.put_large("base", base)
     where = windows.select("clip_id", "tbu_idx", "t0", "t1")
     cands = selection.eligible_flips(base.withColumnRenamed("base_pred", "pred").withColumnRenamed("meter", "instrument").join(where.drop("t1"), ["clip_id", "tbu_idx"]), most)
     by = Window.partitionBy("clip_id")
@@ -63,7 +63,7 @@ def run(frames: DataFrame, windows: DataFrame, meters: Mapping[str, Meter], ks:
     every = F.when(F.col("first"), F.array(*flips, *shams)).otherwise(F.array(*flips))
     edits = cands.select("clip_id", "tbu_idx", F.col("target").alias("src"), "mid", F.col("t0").alias("e0"), F.col("t1").alias("e1"), F.explode(every).alias("e")).select("*", "e.*").drop("e")
     edits = edits.withColumn("variant", F.concat_ws("|", "clip_id", "tbu_idx", "kind", F.coalesce(F.col("k").cast("string"), "control")))
-    edits = tables.put("edits", edits)
+    edits = tables.put_large("edits", edits)
     keyed = edits.select("clip_id", "variant", "e0", "e1", "semitones")
     moved = F.when((F.col("t") >= F.col("e0")) & (F.col("t") < F.col("e1")), F.col("f0") * F.pow(F.lit(2.0), F.col("semitones") / 12)).otherwise(F.col("f0"))
     frames_v = frames.join(keyed, "clip_id").select(F.col("variant").alias("clip_id"), "t", moved.alias("f0"))

@@ -19,6 +19,8 @@ SLOPE_LEAST, SLOPE_MOST = -2.0, 0.0
 THETA_H = THETA_L = 1.0
 RISE, FALL = 0.6, 0.9
 LATE = 0.5
+#: Seconds of an interval beyond which it counts as so long where bins are made.
+LONGEST = 1e9
 
 
 def voiced_span(frames: DataFrame) -> DataFrame:
@@ -35,17 +37,25 @@ def proportional_windows(spans: DataFrame, targets: DataFrame) -> DataFrame:
     return unit.select("clip_id", "tbu_idx", "target", (F.col("v0") + F.col("tbu_idx") * F.col("each")).alias("t0"), (F.col("v0") + (F.col("tbu_idx") + 1) * F.col("each")).alias("t1"))
 
 
-def inside(points: DataFrame, intervals: DataFrame, key: str, t: str, lo: str, hi: str, bin_s: float = 1.0) -> DataFrame:
+def inside(points: DataFrame, intervals: DataFrame, key: str, t: str, lo: str, hi: str) -> DataFrame:
     """Each point(key, t, ...) with each interval(key, lo, hi, ...) of its key that holds it, lo <= t < hi.
 
-    Time is cut into bins of bin_s: a point lies in one, an interval in all that
-    it touches, and they meet by key and bin. So a key with most of the points is
-    spread over tasks, a point is beside the intervals near it only, and a long
-    interval costs a row a bin, which is little beside the points in it.
+    Time is cut into bins as wide as the key's intervals are on average: a point
+    lies in one, an interval in all that it touches, and they meet by key and
+    bin. So a key with most of the points is spread over tasks, a point is beside
+    the intervals near it only, and there are at most three times as many rows
+    as intervals. Widths are means of whole milliseconds, the same in any order
+    of the rows. The size of the files that intervals come from says little of
+    the rows they become, so both joins are by a shuffle.
     """
-    bin_of = lambda x: F.floor(F.col(x) / F.lit(float(bin_s)))
-    cut = intervals.where(F.col(lo) < F.col(hi)).withColumn("_b", F.explode(F.sequence(bin_of(lo), bin_of(hi))))
-    return points.withColumn("_b", bin_of(t)).join(cut, [key, "_b"]).where((F.col(t) >= F.col(lo)) & (F.col(t) < F.col(hi))).drop("_b")
+    live, own = intervals.where(F.col(lo) < F.col(hi)), Window.partitionBy(key)
+    ms = F.round(F.least(F.col(hi) - F.col(lo), F.lit(LONGEST)) * 1000).cast("long")
+    width = lambda total, n: F.greatest(total / n, F.lit(1.0)) / 1000
+    bin_of = lambda x: F.floor(F.col(x) / F.col("_w"))
+    widths = live.groupBy(key).agg(width(F.sum(ms), F.count("*")).alias("_w"))
+    cut = live.withColumn("_w", width(F.sum(ms).over(own), F.count("*").over(own))).withColumn("_b", F.explode(F.sequence(bin_of(lo), bin_of(hi)))).drop("_w")
+    binned = points.join(widths.hint("merge"), key).withColumn("_b", bin_of(t)).drop("_w")
+    return binned.join(cut.hint("merge"), [key, "_b"]).where((F.col(t) >= F.col(lo)) & (F.col(t) < F.col(hi))).drop("_b")
 
 
 def unit_semitones(frames: DataFrame, windows: DataFrame, late: float = LATE) -> DataFrame:

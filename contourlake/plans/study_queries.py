@@ -308,7 +308,7 @@ def flat_condition(spark, d):
 def _signal(spark, d):
     """Frames and windows, written once for plans that read them many times."""
     t = Tables(spark, "signal")
-    return t.put("frames", T.frames(spark, d)), t.put("windows", T.windows(spark, d))
+    return t.put_large("frames", T.frames(spark, d)), t.put_large("windows", T.windows(spark, d))
 
 
 @query("sql_units", f"SELECT lang, target, count(*) AS n, sum(i)::BIGINT AS places FROM (SELECT lang, translate(substr(s, i::INT + 1, 1), '{''.join(X.STAND_IN.values())}', '{''.join(X.STAND_IN)}') AS target, i FROM (SELECT lang, s, unnest(range(0, length(s)::BIGINT)) AS i FROM (SELECT lang, {TONES} AS s FROM documents))) GROUP BY 1, 2")
@@ -339,7 +339,7 @@ def sketched_manifest(spark, d):
 @query("flip_oracle_run")
 def flip_oracle_run(spark, d):
     """Edits, scores and summarises; the tests hold the oracle against clips whose tones are known."""
-    rows = Tables(spark, "oracle").put("rows", oracle.run(*_signal(spark, d), {"I2": oracle.absolute_meter()}))
+    rows = Tables(spark, "oracle").put_large("rows", oracle.run(*_signal(spark, d), {"I2": oracle.absolute_meter()}))
     return r6(pilot.oracle_summary(rows, 1.0).withColumn("detect_by_k", pilot.by_k("detect_by_k")).crossJoin(F.broadcast(oracle.trend(rows, "I2").drop("n"))), "false_flip_rate", "control_trip", "strong_detect", "trend_rho", "trend_p")
 
 

@@ -33,6 +33,9 @@ class Tables:
 
     ``put`` writes a DataFrame and reads it back; ``drop`` deletes tables that
     no later plan reads. Tables that the returned DataFrame still reads stay.
+    Spark sends a table whose files are small through the driver to be joined,
+    but files say little of rows: keys that repeat take hardly any room in them.
+    ``put_large`` is for tables that grow with the input: joins shuffle them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -44,6 +47,9 @@ class Tables:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def put_large(self, name: str, df: DataFrame) -> DataFrame:
+        return self.put(name, df).hint("merge")
+
     def below(self, name: str) -> Tables:
         """Tables of a part of the run, in a folder of their own."""
         out = Tables.__new__(Tables)
