@@ -24,9 +24,9 @@ CATCH_PAST, CATCH_SHIFT = 3.0, 6.0
 def candidates(frames: DataFrame, windows: DataFrame, theta_h: float = signal.THETA_H, theta_l: float = signal.THETA_L, past: float = PAST, catch: bool = False) -> DataFrame:
     """variant, clip_id, tbu_idx, src, expect, mid, e0, e1, r (the residual aimed at) and slope of each unit that is read right on the clean clip and has a voiced rhyme."""
     tables = Tables(frames.sparkSession, "units")
-    units = tables.put("units", signal.unit_semitones(frames, windows))
-    slopes = tables.put("slopes", signal.theil_sen(units))
-    res = tables.put("res", signal.residuals(units, slopes))
+    units = tables.put_large("units", signal.unit_semitones(frames, windows))
+    slopes = tables.put_large("slopes", signal.theil_sen(units))
+    res = tables.put_large("res", signal.residuals(units, slopes))
     levels = signal.levels(res).where(F.col("delta_hl") >= (-1e9 if catch else LEAST_DELTA)).select("clip_id", "med_h", "med_l", F.col("mid_ref").alias("mid"))
     right = signal.classify(res, theta_h, theta_l).where(F.col("target").isin("H", "L") & (F.col("pred") == F.col("target"))).select("clip_id", "tbu_idx", F.col("target").alias("src"))
     rhyme = signal.voiced_rhyme(frames, windows).select("clip_id", "tbu_idx", F.col("r0").alias("e0"), F.col("r1").alias("e1"))
@@ -54,33 +54,33 @@ def balanced(tbu: DataFrame, name: str) -> DataFrame:
 def ab_pairs(frames: DataFrame, windows: DataFrame, seed: int = 0, theta_h: float = signal.THETA_H, theta_l: float = signal.THETA_L) -> DataFrame:
     """One A/B pair per clip that has a candidate which passes: where and how it was flipped, the realised shift, and both twins' scores under the frozen and under their own centre."""
     tables = Tables(frames.sparkSession, "ab")
-    cands = tables.put("candidates", candidates(frames, windows, theta_h, theta_l))
-    flipped, correct = (tables.put(n, f) for n, f in zip(("flipped", "correct"), twins(frames, cands), strict=True))
+    cands = tables.put_large("candidates", candidates(frames, windows, theta_h, theta_l))
+    flipped, correct = (tables.put_large(n, f) for n, f in zip(("flipped", "correct"), twins(frames, cands), strict=True))
     spans = cands.select(F.col("variant").alias("clip_id"), "e0", "e1")
     mids = cands.select(F.col("variant").alias("clip_id"), "mid")
     wins = windows.join(cands.select("clip_id", "variant"), "clip_id").select(F.col("variant").alias("clip_id"), "tbu_idx", "target", "t0", "t1")
     res = {}
     for side, f in (("flipped", flipped), ("correct", correct)):
-        units = tables.put(f"units_{side}", signal.unit_semitones(f, wins))
-        res[side] = tables.put(f"res_{side}", signal.residuals(units, signal.theil_sen(units)))
+        units = tables.put_large(f"units_{side}", signal.unit_semitones(f, wins))
+        res[side] = tables.put_large(f"res_{side}", signal.residuals(units, signal.theil_sen(units)))
     read = {side: signal.classify(r, theta_h, theta_l, mids) for side, r in res.items()}
     at = read["flipped"].select(F.col("clip_id").alias("variant"), "tbu_idx", "res", "pred")
     moved = signal.median_in_span(flipped, spans).select(F.col("clip_id").alias("variant"), F.col("st").alias("st_flipped")).join(signal.median_in_span(correct, spans).select(F.col("clip_id").alias("variant"), F.col("st").alias("st_correct")), "variant", "full")
-    both = cands.join(at, ["variant", "tbu_idx"], "left").join(moved, "variant", "left")
+    both = cands.join(at, ["variant", "tbu_idx"], "left").join(moved.hint("merge"), "variant", "left")
     s = selection.salience(F.col("st_flipped"), F.col("st_correct"), F.col("res"), F.col("mid"), F.col("pred"), F.col("expect"), theta_h, theta_l, LEAST_SHIFT)
     tried = both.withColumn("s", s).select("variant", "clip_id", "tbu_idx", "src", "expect", "e0", "e1", "r", "mid", "s.realized_st", F.col("s.passed").alias("passed"))
-    out = tables.put("shipped", selection.first_passing(tried, "clip_id", "passed", S.hash_number(F.lit(seed), F.col("variant")), "variant").drop("passed"))
+    out = tables.put_large("shipped", selection.first_passing(tried, "clip_id", "passed", S.hash_number(F.lit(seed), F.col("variant")), "variant").drop("passed"))
     for side in ("correct", "flipped"):
         own = signal.classify(res[side], theta_h, theta_l)
         for anchor, tbu in (("frozen", read[side]), ("deployed", own)):
-            out = out.join(balanced(tbu, f"tone_i2_{anchor}_{side}").withColumnRenamed("clip_id", "variant"), "variant", "left")
+            out = out.join(balanced(tbu, f"tone_i2_{anchor}_{side}").withColumnRenamed("clip_id", "variant").hint("merge"), "variant", "left")
     return out.withColumn("flip_dir", F.concat("src", F.lit("->"), "expect")).drop("src", "expect")
 
 
 def catches(frames: DataFrame, windows: DataFrame, seed: int = 0) -> DataFrame:
     """One obvious trial per clip: where a unit was reset far beyond the opposite band, the first whose shift was realised; else flatten, the whole clip at its mean."""
     tables = Tables(frames.sparkSession, "catches")
-    cands = tables.put("candidates", candidates(frames, windows, past=CATCH_PAST, catch=True))
+    cands = tables.put_large("candidates", candidates(frames, windows, past=CATCH_PAST, catch=True))
     bad, good = twins(frames, cands)
     spans = cands.select(F.col("variant").alias("clip_id"), "e0", "e1")
     moved = signal.median_in_span(bad, spans).withColumnRenamed("st", "b").join(signal.median_in_span(good, spans).withColumnRenamed("st", "g"), "clip_id").select(F.col("clip_id").alias("variant"), (F.abs(F.col("b") - F.col("g")) >= CATCH_SHIFT).alias("passed"))

@@ -1,4 +1,4 @@
-from contourlake.operators import oracle, signal
+from contourlake.operators import kits, oracle, signal
 from contourlake.storage import Tables
 
 FRAMES, WINDOWS = "clip_id string, t double, f0 double", "clip_id string, tbu_idx int, target string, t0 double, t1 double"
@@ -42,3 +42,17 @@ def test_no_table_of_the_oracle_goes_through_the_driver(spark):
     assert "BroadcastHashJoin" in plan(windows.hint("broadcast").join(frames, "clip_id"))
     assert "Broadcast" not in plan(signal.unit_semitones(frames, windows))
     assert "Broadcast" not in plan(oracle.run(frames, windows, {"I2": oracle.absolute_meter()}, ks=(1.0,), most=2))
+
+
+def test_no_table_of_the_pairs_goes_through_the_driver(spark):
+    frames = spark.createDataFrame([("c", 0.05 * k, 150.0 if k // 20 % 3 == 0 else 100.0 if k // 20 % 3 == 1 else 70.0) for k in range(120)], FRAMES)
+    windows = spark.createDataFrame([("c", k, "HML"[k % 3], float(k), k + 1.0) for k in range(6)], WINDOWS)
+    tables = Tables(spark, "test")
+    frames, windows = tables.put_large("frames", frames), tables.put_large("windows", windows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2k")  # over what is read of a file here, under the product of two
+    try:
+        pairs, obvious = kits.ab_pairs(frames, windows), kits.catches(frames, windows)
+        assert "Broadcast" not in plan(pairs) and "Broadcast" not in plan(obvious)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert pairs.count() == 1 and obvious.count() == 1
