@@ -49,7 +49,8 @@ def tone_bigrams(spark, d):
 @query("tone_density", f"SELECT doc_id, length({TONES})::INT AS n_tbu, round(length({TONES})::DOUBLE / length(text), 6) AS density FROM documents")
 def tone_density(spark, d):
     docs = T.table(spark, d, "documents").select("doc_id", "text", F.length(X.tone_letters_of(F.col("text"))).alias("n_tbu"))
-    return docs.select("doc_id", "n_tbu", F.round(F.col("n_tbu") / F.length("text"), 6).alias("density"))
+    size = F.length("text")
+    return docs.select("doc_id", "n_tbu", F.when(size == 0, float("nan")).otherwise(F.round(S.share(F.col("n_tbu"), size), 6)).alias("density"))  # 0/0 of an empty text, as in SQL
 
 
 @query("norm_keys", f"SELECT lang, count(*) AS n, count(DISTINCT {NORM.format('text')}) AS keys FROM documents GROUP BY 1")

@@ -1,4 +1,9 @@
+import math
+
+import pytest
+
 from contourlake.operators import kits, oracle, signal
+from contourlake.plans import signal_queries
 from contourlake.storage import Tables
 
 FRAMES, WINDOWS = "clip_id string, t double, f0 double", "clip_id string, tbu_idx int, target string, t0 double, t1 double"
@@ -56,3 +61,15 @@ def test_no_table_of_the_pairs_goes_through_the_driver(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert pairs.count() == 1 and obvious.count() == 1
+
+
+def test_tone_density_of_empty_texts(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = [(1, "ab \u00e1"), (2, ""), (3, None), (4, "xyz"), (5, "   ")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_tbu"], r["density"]) for r in signal_queries.tone_density(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = {d: (n, x) for d, n, x in con.execute(signal_queries.SQL["tone_density"]).fetchall()}
+    assert math.isnan(got[2][1]) and math.isnan(want[2][1])
+    assert {d: v for d, v in got.items() if d != 2} == {d: v for d, v in want.items() if d != 2} and got[2][0] == want[2][0] == 0
